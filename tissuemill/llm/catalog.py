@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, mixing
+from . import chat, decontaminate, line_dedup, mixing, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_sstable": sstable.op3_sstable,
+        "op5_spaced_seed": decontaminate.op5_spaced_seed,
+        "op6_subword_quality": quality.op6_subword_quality,
         "op7_systematic_mix": mixing.op7_systematic_mix,
         "op8_reply_trees": chat.op8_reply_trees,
     }
