@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, quality, sstable
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_subword_quality": quality.op6_subword_quality,
         "op7_systematic_mix": mixing.op7_systematic_mix,
         "op8_reply_trees": chat.op8_reply_trees,
+        "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     }
 
 
