@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_strings, mix64, slices, split_words, table
+from .common import hash_strings, map_arrow, mix64, slices, split_words, table
 
 #: 1: the token counts, 0: it may differ. No substitution pattern of period 1 to 3 hides from all of them.
 MASKS = ("1101100101", "1011010011", "1110010110", "11111")
@@ -170,7 +170,7 @@ def contaminated(
             block = block.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = block.orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], masks))
-        part = docs.select("doc_id", "text").mapInArrow(lambda it, shared=shared: _find(it, shared.value, min_share, min_match), FOUND)
+        part = map_arrow(docs.select("doc_id", "text"), lambda it, shared=shared: _find(it, shared.value, min_share, min_match), FOUND)
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates(["doc_id", "item_id"]) if blocks > 1 else found
 

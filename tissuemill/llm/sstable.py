@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_strings, shared_dir, slices, split_words, stage, table
+from .common import hash_strings, map_arrow, shared_dir, slices, split_words, stage, table
 
 MAGIC = b"TMSST1\0\0"
 FOOTER = struct.Struct("<QQQQQQQ8s")
@@ -49,8 +49,9 @@ BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 END_ID = 2
 LOWEST = -(1 << 63)
-#: Words whose ids a task keeps between batches; beyond it the memory starts anew.
-MEMORY_WORDS = 400_000
+#: Words whose ids a worker keeps between batches; beyond it the memory starts anew.
+MEMORY_WORDS = 1_000_000
+ENCODE_BYTES = 8 << 20
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 MANIFEST = "shard string, first_key long, n_docs long, n_tokens long"
@@ -228,52 +229,90 @@ class Shard:
 class Encoder:
     """Ids of whole texts by way of their words.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
-    words in order. Each different word is encoded once.
+    The tokenizer drops white space, never joins what white space parts, and takes A-Z for a-z outside its
+    special strings; so a text's ids are those of its words in order, and each different word is encoded once.
+    Words are encoded many at a time, with a special token between them that marks where each one ends. What a
+    worker has encoded it keeps for later tasks, up to MEMORY_WORDS words.
     """
 
+    SEPARATOR = "<|startoftext|>"
+    TOGETHER = 200
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[int, int] = {}
+        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self._forget()
 
+    @classmethod
+    def kept(cls, path: str) -> Encoder:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
     def _forget(self) -> None:
-        self.memory.clear()
-        self.flat: list[np.ndarray] = []
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, rows of the pool
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word)."""
+        if self.separator is None:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int32)
+        joined = [self.SEPARATOR.join([*words[i : i + self.TOGETHER], ""]) for i in range(0, len(words), self.TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.separator)
+        return ids[ids != self.separator], np.diff(ends, prepend=-1).astype(np.int32) - 1
+
+    def _learn(self, keys: np.ndarray, words: pa.Array) -> None:
+        marked = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        for part in (~marked, marked):
+            if part.any():
+                chosen = words.filter(pa.array(part)).to_pylist()
+                if part is marked:  # may hold a special token
+                    each = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in chosen]
+                    ids, lengths = np.concatenate(each), np.array(list(map(len, each)), np.int32)
+                else:
+                    ids, lengths = self._encode_words(chosen)
+                rows = np.arange(len(self.lengths), len(self.lengths) + len(chosen), dtype=np.int32)
+                self.starts = np.concatenate((self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)))
+                self.lengths = np.concatenate((self.lengths, lengths))
+                self.pool = np.concatenate((self.pool, ids))
+                self.keys, self.places = np.concatenate((self.keys, keys[part])), np.concatenate((self.places, rows))
+        order = np.argsort(self.keys)
+        self.keys, self.places = self.keys[order], self.places[order]
+
     def _rows(self, words: pa.Array) -> np.ndarray:
-        """Places of these words in the pool, new ones added."""
-        hashes = hash_strings(words).tolist()
-        if len(self.memory) + len(hashes) > MEMORY_WORDS:
+        """Rows of the pool that hold these words, new ones added."""
+        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        keys, first, back = np.unique(hash_strings(words), return_index=True, return_inverse=True)
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        if len(self.keys) + new.sum() > MEMORY_WORDS:
             self._forget()
-        new = [i for i, h in enumerate(hashes) if h not in self.memory]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(new)).to_pylist(), add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            base = len(self.lengths)
-            self.memory.update((hashes[i], base + k) for k, i in enumerate(new))
-            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.pool = np.concatenate((self.pool, np.fromiter((x for ids in encoded for x in ids), np.uint32, int(lengths.sum()))))
-        return np.fromiter(map(self.memory.__getitem__, hashes), np.int64, len(hashes))
+            new[:] = True
+        if new.any():
+            self._learn(keys[new], words.take(pa.array(first[new])))
+        return self.places[np.searchsorted(self.keys, keys)][back]
 
     def encode(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         offsets, codes, vocabulary = split_words(texts)
-        rows = self._rows(vocabulary)[codes] if len(vocabulary) else np.zeros(0, np.int64)
+        rows = self._rows(vocabulary)[codes] if len(vocabulary) else np.zeros(0, np.int32)
         lengths = self.lengths[rows]
-        stops = np.concatenate(([0], np.cumsum(lengths)))
-        shift = np.repeat(self.starts[rows] - stops[:-1], lengths)
-        ids = self.pool[shift + np.arange(len(shift))] if len(rows) else np.zeros(0, np.uint32)
+        stops = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        at = np.repeat(self.starts[rows] - stops[:-1].astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.pool[at]
         tail = np.array([end], np.uint32)
         for a, b in zip(stops[offsets[:-1]], stops[offsets[1:]], strict=True):
             yield np.concatenate((ids[a:b], tail))
 
 
+#: By tokenizer file; lives as long as the Python worker.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: int | None = None, folder: str | None = None) -> DataFrame:
     """Write docs (doc_id, text) and return the manifest: shard, first_key, n_docs, n_tokens."""
     spark = docs.sparkSession
@@ -283,9 +322,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitio
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, first = None, None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 if writer is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = Encoder.kept(tokenizer)
                     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     shard = f"{folder}/{uuid.uuid4().hex}.sst"
                     fs, inner = pafs.FileSystem.from_uri(shard)
@@ -299,7 +338,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitio
             yield pa.RecordBatch.from_pydict({"shard": [shard], "first_key": [first], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
 
     ranged = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ranged.mapInArrow(write, MANIFEST))
+    return stage(map_arrow(ranged, write, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -323,7 +362,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield _records(rows)
 
     shards = manifest.select("shard").repartition(max(1, manifest.count()))
-    return shards.mapInArrow(read, RECORDS).join(bases, F.col("shard") == F.col("_shard")).select(
+    return map_arrow(shards, read, RECORDS).join(bases, F.col("shard") == F.col("_shard")).select(
         "doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"
     )
 
