@@ -58,14 +58,13 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             break
         steps.append(climbing.select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("length").alias("l2"), F.col("total").alias("t2"))
-        state = stage(
-            state.join(above, ["tree", "up"], "left").select(
-                *keys,
-                F.col("up2").alias("up"),
-                (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            )
+        higher = climbing.join(above, ["tree", "up"], "left").select(
+            *keys,
+            F.col("up2").alias("up"),
+            (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"),
+            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
         )
+        state = stage(state.where("up is null").unionByName(higher))
     leaves = state.where("up is null").join(up.select("tree", F.col("up").alias("node")).distinct(), keys, "left_anti")
     rank = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), "length", F.row_number().over(rank).alias("branch")).where(F.col("branch") <= branches)
