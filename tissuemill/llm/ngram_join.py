@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_strings, mix64, slices, split_words, stage, table
+from .common import hash_strings, map_arrow, mix64, slices, split_words, stage, table
 
 SHINGLE = 5
 PER_CENT = 80
@@ -201,7 +201,7 @@ def _list_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def long_lists(docs: DataFrame, long_list: int = LONG_LIST, most: int = BROADCAST_LISTS) -> Order:
-    counted = docs.select("text").mapInArrow(_list_lengths, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = map_arrow(docs.select("text"), _list_lengths, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") > long_list).orderBy(F.col("n").desc(), "shingle").limit(most).toPandas()
     return Order(rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
@@ -257,7 +257,7 @@ class Join:
         spark = docs.sparkSession
         order = long_lists(self.docs, long_list, broadcast_lists)
         told = spark.sparkContext.broadcast(order)
-        self.sets = stage(self.docs.mapInArrow(lambda it: _sets(it, told.value), SETS))
+        self.sets = stage(map_arrow(self.docs, lambda it: _sets(it, told.value), SETS))
         self.nodes = self.sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
         entries = self.sets.select("sig", F.explode("short").alias("shingle"))
         entries = entries.withColumn("block", F.lit(0))
@@ -269,7 +269,7 @@ class Join:
             entries = entries.select("sig", "shingle", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("blocks")), F.lit(0)).cast("int").alias("block"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         entries = entries.select("shingle", "block", "sig").repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "sig")
-        self.shared = stage(entries.mapInArrow(_merge_blocks, "shingle long, block int, sig long"))
+        self.shared = stage(map_arrow(entries, _merge_blocks, "shingle long, block int, sig long"))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, b -> those that link. Sets come from the texts of the nodes in question."""
@@ -287,7 +287,7 @@ class Join:
                     found = list(shingle_sets(part.column("text")))
                     yield pa.RecordBatch.from_arrays([pa.array([signature(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["sig", "held"])
 
-        held = texts.mapInArrow(full, "sig long, held binary").dropDuplicates(["sig"])
+        held = map_arrow(texts, full, "sig long, held binary").dropDuplicates(["sig"])
         first, second = (held.select(F.col("sig").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ class Join:
                     hit.append(probe(p, q, int(required(len(p), len(q)))))
                 yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-        return stage(pairs.join(first, "a").join(second, "b").mapInArrow(linked, "a long, b long"))
+        return stage(map_arrow(pairs.join(first, "a").join(second, "b"), linked, "a long, b long"))
 
     def links(self) -> DataFrame:
         """a, b: links between nodes that connect all that links connect."""
