@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, ngram_join, quality, sstable
+from . import chat, decontaminate, licenses, line_dedup, mixing, ngram_join, order_minhash, privacy, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_disclosure": privacy.op2_disclosure,
         "op3_sstable": sstable.op3_sstable,
+        "op4_order_minhash": order_minhash.op4_order_minhash,
         "op5_spaced_seed": decontaminate.op5_spaced_seed,
         "op6_subword_quality": quality.op6_subword_quality,
         "op7_systematic_mix": mixing.op7_systematic_mix,
         "op8_reply_trees": chat.op8_reply_trees,
         "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+        "op10_license_families": licenses.op10_license_families,
     }
 
 
