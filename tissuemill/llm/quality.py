@@ -7,7 +7,7 @@ labelled documents (the documented bound, taken by the lowest hash of the identi
 
 The output layer is linear in the average, so after training every hashed slot is folded into one number, and
 scoring needs one number for each different word of a batch: the sum over its slots. The folded table
-(2^BUCKET_BITS floats, half a megabyte) is all that is broadcast; its size does not depend on the data.
+(2^BUCKET_BITS floats, one megabyte) is all that is broadcast; its size does not depend on the data.
 
 Labels are learned only from documents whose crc32(doc_id as text) mod 3 is not 1. Only the text enters a score.
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, split_words, table
+from .common import map_arrow, mix64, slices, split_words, table
 
 BUCKET_BITS = 17
 DIM = 8
@@ -35,8 +35,10 @@ NGRAMS = (1, 2, 3, 4)
 EPOCHS = 6
 RATE = 0.25
 BATCH = 16
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 2_000
 SEED = 7
+#: Text scored at a time: the n-grams of its different words are held at once.
+SCORE_BYTES = 3 << 20
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -74,16 +76,17 @@ def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _weighted_slots(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: different slots and the share of the text's features that each has."""
-    offsets, codes, words = split_words(texts)
-    starts, hashed = slots(words)
     out = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        kinds, times = np.unique(codes[a:b], return_counts=True)
-        n = starts[kinds + 1] - starts[kinds]
-        at = np.repeat(starts[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found, back = np.unique(hashed[at], return_inverse=True)
-        mass = np.bincount(back, np.repeat(times, n), len(found)) if len(at) else np.zeros(0)
-        out.append((found, mass / max(1.0, mass.sum())))
+    for first in range(0, len(texts), 32):
+        offsets, codes, words = split_words(texts[first : first + 32])
+        starts, hashed = slots(words)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            kinds, times = np.unique(codes[a:b], return_counts=True)
+            n = starts[kinds + 1] - starts[kinds]
+            at = np.repeat(starts[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found, back = np.unique(hashed[at], return_inverse=True)
+            mass = np.bincount(back, np.repeat(times, n), len(found)) if len(at) else np.zeros(0)
+            out.append((found.astype(np.int32), (mass / max(1.0, mass.sum())).astype(np.float32)))
     return out
 
 
@@ -167,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCORE_BYTES):
                 p = shared.value.score(part.column("text"))
                 held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in part.column("doc_id").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -175,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    return map_arrow(docs.select("doc_id", "text"), run, SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,10 +187,10 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCORE_BYTES):
                 yield part.filter(pa.array(shared.value.score(part.column("text")) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
