@@ -19,10 +19,15 @@ Steps, all on DataFrames:
 2. Second pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
    streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
-4. Round one: every node of a list is paired with the list's smallest node; of its partners a node keeps the one
-   it meets most often. Verified links give components, so large groups of near copies collapse without pairs.
-5. Round two: pairs across components only, counted over their common short lists, those below the required
-   count dropped, the rest verified. Together the rounds lose no link between components.
+4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
+   below; of its partners a node keeps the one it meets most often. Verified links give components, so large
+   groups of near copies collapse without pairs. A second round with other pivots takes only pairs across
+   components.
+5. Rest: pairs across components that can still reach the required overlap. Pairs that meet in a list that is not
+   long are counted over those lists, and what lies outside them bounds the rest of the overlap. Pairs that meet in
+   long lists only cannot share more than their long lists, and come up only if both have enough of them. Of the
+   pairs between two components the most promising is verified first, the others only if it did not link them.
+   Together the rounds lose no link between components.
 
 Long lists are broadcast while there are at most `broadcast_lists`; beyond that only the longest are, which costs
 speed, not links. Candidates are told to the third pass by broadcast up to `broadcast_nodes`, by join beyond it.
@@ -57,7 +62,10 @@ BLOCK = 20_000
 BROADCAST_LISTS = 2_000_000
 BROADCAST_NODES = 4_000_000
 
-SETS = "doc_id long, n int, sig long, short array<long>"
+#: Ratio of sizes within which nodes of a list count as of like size.
+LIKE = 1.1
+
+SETS = "doc_id long, n int, sig long, plain int, short array<long>"
 
 
 def least_overlap(n, per_cent: int = PER_CENT):
@@ -140,7 +148,7 @@ def probe(x: np.ndarray, y: np.ndarray, need: int) -> bool:
 
 
 class Order:
-    """Where each list stands: 0 for short lists, their length for long ones; blocks for salted lists."""
+    """Where each list stands: 0, or its length if it is long."""
 
     def __init__(self, keys: np.ndarray, lengths: np.ndarray):
         order = np.argsort(keys)
@@ -153,27 +161,31 @@ class Order:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == found, self.lengths[at], 0)
 
-    def short(self, found: np.ndarray) -> np.ndarray:
+    def short(self, found: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set's short lists, and how many of them are not long."""
         n = len(found)
         if not n:
-            return found
+            return found, 0
         first = n - int(least_overlap(n)) + 1
         rank = self.rank(found)
         if not rank.any():
-            return found[:first]
-        return found[np.lexsort((found, rank))[:first]]
+            return found[:first], first
+        return found[np.lexsort((found, rank))[:first]], min(first, int(np.count_nonzero(rank == 0)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            n, sigs, short = [], [], []
+            n, sigs, plain, short = [], [], [], []
             for found in shingle_sets(part.column("text")):
                 n.append(len(found))
                 sigs.append(signature(found))
-                short.append(order.short(found))
+                chosen, not_long = order.short(found)
+                plain.append(not_long)
+                short.append(chosen)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), _lists(short)], ["doc_id", "n", "sig", "short"]
+                [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), pa.array(plain, pa.int32()), _lists(short)],
+                ["doc_id", "n", "sig", "plain", "short"],
             )
 
 
@@ -194,7 +206,7 @@ def _list_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
-                short.append(order.short(found))
+                short.append(order.short(found)[0])
             if short:
                 keys, n = np.unique(np.concatenate(short), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n, pa.int64())], ["shingle", "n"])
@@ -252,23 +264,24 @@ def _components(links: DataFrame) -> DataFrame:
 class Join:
     """One run over docs (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, long_list: int = LONG_LIST, block: int = BLOCK, broadcast_lists: int = BROADCAST_LISTS, broadcast_nodes: int = BROADCAST_NODES):
+    def __init__(self, docs: DataFrame, long_list: int = LONG_LIST, block_size: int = BLOCK, broadcast_lists: int = BROADCAST_LISTS, broadcast_nodes: int = BROADCAST_NODES):
         self.docs, self.broadcast_nodes = docs.select("doc_id", "text"), broadcast_nodes
         spark = docs.sparkSession
         order = long_lists(self.docs, long_list, broadcast_lists)
         told = spark.sparkContext.broadcast(order)
         self.sets = stage(map_arrow(self.docs, lambda it: _sets(it, told.value), SETS))
-        self.nodes = self.sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-        entries = self.sets.select("sig", F.explode("short").alias("shingle"))
-        entries = entries.withColumn("block", F.lit(0))
-        big = order.keys[order.lengths > block]
+        self.nodes = self.sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("plain").alias("plain"))
+        entries = self.sets.select("sig", "plain", F.posexplode("short").alias("at", "shingle"))
+        block = F.when(F.col("at") < F.col("plain"), -1).otherwise(0)  # -1: not a long list
+        big = order.keys[order.lengths > block_size]
         if len(big):  # lists too long for one task are dealt in blocks
-            n = (order.lengths[order.lengths > block] // block + 1).tolist()
+            n = (order.lengths[order.lengths > block_size] // block_size + 1).tolist()
             salted = spark.createDataFrame(list(zip(signed(big).tolist(), n, strict=True)), "shingle long, blocks int")
-            entries = entries.drop("block").join(F.broadcast(salted), "shingle", "left")
-            entries = entries.select("sig", "shingle", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("blocks")), F.lit(0)).cast("int").alias("block"))
+            entries = entries.join(F.broadcast(salted), "shingle", "left")
+            block = F.when(block < 0, block).otherwise(F.coalesce(F.pmod(F.xxhash64("sig"), F.col("blocks")), F.lit(0)))
+        entries = entries.select("shingle", block.cast("int").alias("block"), "sig")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        entries = entries.select("shingle", "block", "sig").repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "sig")
+        entries = entries.repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "sig")
         self.shared = stage(map_arrow(entries, _merge_blocks, "shingle long, block int, sig long"))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -301,23 +314,55 @@ class Join:
 
         return stage(map_arrow(pairs.join(first, "a").join(second, "b"), linked, "a long, b long"))
 
-    def links(self) -> DataFrame:
-        """a, b: links between nodes that connect all that links connect."""
-        sized = stage(self.shared.join(self.nodes.select("sig", "n"), "sig"))
-        pivots = sized.groupBy("shingle", "block").agg(F.min(F.struct("n", "sig")).alias("p")).select("shingle", "block", F.col("p.n").alias("m"), F.col("p.sig").alias("pivot"))
-        met = sized.join(pivots, ["shingle", "block"]).where(f"sig <> pivot and m * 100 >= n * {PER_CENT}").groupBy("sig", "pivot").agg(F.count("*").alias("c"))
-        stars = met.groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b")).select(F.col("sig").alias("a"), "b")
-        self.first = self._verify(stage(stars))
-        roots = _components(self.first)
+    def _stars(self, placed: DataFrame, seed: int) -> DataFrame:
+        """placed: shingle, sig, n, root. For each node the pivot of another component that it meets most often."""
+        like = F.floor(F.log(F.col("n").cast("double")) / float(np.log(LIKE))).cast("int")
+        placed = placed.withColumn("like", like)
+        pivots = placed.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sig").alias("h"), "sig", "root")).alias("p"))
+        pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.root").alias("pivot_root"))
+        sides = placed.select("shingle", "sig", "root", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
+        met = sides.join(pivots, ["shingle", "like"]).where("root <> pivot_root").groupBy("sig", "pivot").agg(F.count("*").alias("c"))
+        return stage(met.groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b")).select(F.col("sig").alias("a"), "b"))
+
+    def _placed(self, sized: DataFrame, links: DataFrame) -> DataFrame:
+        """The entries of lists that several components meet in."""
+        roots = _components(links)
         placed = sized.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         several = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-        placed = stage(placed.join(several, "shingle", "left_semi").select("shingle", "sig", "n", "root"))
-        other = placed.select("shingle", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-        pairs = placed.join(other, "shingle").where(f"(n < m or n = m and sig < b) and root <> root_b and n * 100 >= m * {PER_CENT}")
-        pairs = pairs.groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-        need = F.ceil(PER_CENT * (F.col("n") + F.col("m")) / (100 + PER_CENT)) - F.ceil(F.greatest("n", "m") * PER_CENT / 100) + 1
-        pairs = stage(pairs.where(F.col("c") >= need).select("a", "b"))
-        return self.first.unionByName(self._verify(pairs))
+        return stage(placed.join(several, "shingle", "left_semi"))
+
+    def _rest(self, placed: DataFrame) -> DataFrame:
+        """a, b, root_a, root_b, c: pairs across components that may link."""
+        columns = ["shingle", "block", "sig", "n", "outside", "complete", "root"]
+        x = placed.select(*columns)
+        y = placed.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns[1:]))
+        need = F.ceil(PER_CENT * (F.col("n") + F.col("n_b")) / (100 + PER_CENT))
+        least = F.least("outside", "outside_b")
+        fits = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("sig") < F.col("sig_b"))
+        fits &= (F.col("root") != F.col("root_b")) & (F.col("n") * 100 >= F.col("n_b") * PER_CENT)
+        fits &= (F.col("block") < 0) | (least >= need)
+        met = x.join(y, (x["shingle"] == y["shingle"]) & fits).groupBy("sig", "sig_b", "root", "root_b", "n", "n_b", "outside", "outside_b", "complete", "complete_b")
+        met = met.agg(F.sum(F.when(F.col("block") < 0, 1).otherwise(0)).alias("c"))
+        bound = F.when(F.col("complete") & F.col("complete_b"), least).otherwise(F.greatest("outside", "outside_b"))
+        return stage(met.where(F.col("c") + bound >= need).select(F.col("sig").alias("a"), F.col("sig_b").alias("b"), F.col("root").alias("root_a"), "root_b", "c"))
+
+    def links(self) -> DataFrame:
+        """a, b: links between nodes that connect all that links connect."""
+        nodes = self.nodes.select("sig", "n", (F.col("n") - F.col("plain")).alias("outside"), (F.col("plain") < F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1).alias("complete"))
+        sized = stage(self.shared.join(nodes, "sig"))
+        links = self._verify(self._stars(sized.withColumn("root", F.col("sig")), 1))
+        links = links.unionByName(self._verify(self._stars(self._placed(sized, links), 2)))
+        rest = self._rest(self._placed(sized, links))
+        between = [F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi")]
+        best = stage(rest.groupBy(*between).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b"))
+        found = self._verify(best)
+        links = links.unionByName(found)
+        roots = _components(links)
+        for side in "ab":
+            rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"now_{side}")), side, "left")
+        apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+        others = stage(rest.where(apart).select("a", "b").join(best, ["a", "b"], "left_anti"))
+        return links.unionByName(self._verify(others))
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
