@@ -19,10 +19,9 @@ Steps, all on DataFrames:
 2. Second pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
    streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
-4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
+4. Star round: in every list the nodes of like size are paired with one pivot of that size and one of the size
    below; of its partners a node keeps the one it meets most often. Verified links give components, so large
-   groups of near copies collapse without pairs. A second round with other pivots takes only pairs across
-   components.
+   groups of near copies collapse without pairs.
 5. Rest: pairs across components that can still reach the required overlap. Pairs that meet in a list that is not
    long are counted over those lists, and what lies outside them bounds the rest of the overlap. Pairs that meet in
    long lists only cannot share more than their long lists, and come up only if both have enough of them. Of the
@@ -50,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_strings, map_arrow, mix64, slices, split_words, stage, table
@@ -261,6 +260,15 @@ def _components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _need(n: str, m: str) -> Column:
+    return F.ceil(PER_CENT * (F.col(n) + F.col(m)) / (100 + PER_CENT))
+
+
+def _after(n: str) -> Column:
+    """Tokens of a set that come after its short lists."""
+    return F.ceil(F.col(n) * PER_CENT / 100) - 1
+
+
 class Join:
     """One run over docs (doc_id, text)."""
 
@@ -314,15 +322,16 @@ class Join:
 
         return stage(map_arrow(pairs.join(first, "a").join(second, "b"), linked, "a long, b long"))
 
-    def _stars(self, placed: DataFrame, seed: int) -> DataFrame:
-        """placed: shingle, sig, n, root. For each node the pivot of another component that it meets most often."""
+    def _stars(self, sized: DataFrame) -> DataFrame:
+        """For each node the pivot that it meets most often, if often enough that a link is to be hoped for."""
         like = F.floor(F.log(F.col("n").cast("double")) / float(np.log(LIKE))).cast("int")
-        placed = placed.withColumn("like", like)
-        pivots = placed.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sig").alias("h"), "sig", "root")).alias("p"))
-        pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        sides = placed.select("shingle", "sig", "root", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
-        met = sides.join(pivots, ["shingle", "like"]).where("root <> pivot_root").groupBy("sig", "pivot").agg(F.count("*").alias("c"))
-        return stage(met.groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b")).select(F.col("sig").alias("a"), "b"))
+        sized = sized.select("shingle", "sig", "n", like.alias("like"))
+        pivots = sized.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p"))
+        pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.n").alias("m"))
+        sides = sized.select("shingle", "sig", "n", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
+        met = sides.join(pivots, ["shingle", "like"]).where("sig <> pivot").groupBy("sig", "pivot", "n", "m").agg(F.count("*").alias("c"))
+        hope = F.col("c") * 2 >= _need("n", "m") - F.greatest(_after("n"), _after("m"))
+        return stage(met.where(hope).groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b")).select(F.col("sig").alias("a"), "b"))
 
     def _placed(self, sized: DataFrame, links: DataFrame) -> DataFrame:
         """The entries of lists that several components meet in."""
@@ -332,26 +341,35 @@ class Join:
         return stage(placed.join(several, "shingle", "left_semi"))
 
     def _rest(self, placed: DataFrame) -> DataFrame:
-        """a, b, root_a, root_b, c: pairs across components that may link."""
-        columns = ["shingle", "block", "sig", "n", "outside", "complete", "root"]
+        """a, b, root_a, root_b, c: pairs across components that may link.
+
+        outside: tokens of a set not in its plain short lists; long_short: long lists among its short ones. A pair
+        shares at most c plain short lists, and then no more than what lies outside of them in the smaller (if both
+        sets have all their plain lists among the short ones), nor more than the long lists that both have among
+        the short ones and what follows the short lists of one of them.
+        """
+        columns = ["shingle", "block", "sig", "n", "outside", "long_short", "root"]
         x = placed.select(*columns)
         y = placed.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns[1:]))
-        need = F.ceil(PER_CENT * (F.col("n") + F.col("n_b")) / (100 + PER_CENT))
-        least = F.least("outside", "outside_b")
+        both = F.least("long_short", "long_short_b")
+        inside = F.when(both > 0, F.least("outside", "outside_b")).otherwise(F.greatest("outside", "outside_b"))
+        lack = _need("n", "n_b") - F.least(inside, both + F.greatest(_after("n"), _after("n_b")))
         fits = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("sig") < F.col("sig_b"))
         fits &= (F.col("root") != F.col("root_b")) & (F.col("n") * 100 >= F.col("n_b") * PER_CENT)
-        fits &= (F.col("block") < 0) | (least >= need)
-        met = x.join(y, (x["shingle"] == y["shingle"]) & fits).groupBy("sig", "sig_b", "root", "root_b", "n", "n_b", "outside", "outside_b", "complete", "complete_b")
-        met = met.agg(F.sum(F.when(F.col("block") < 0, 1).otherwise(0)).alias("c"))
-        bound = F.when(F.col("complete") & F.col("complete_b"), least).otherwise(F.greatest("outside", "outside_b"))
-        return stage(met.where(F.col("c") + bound >= need).select(F.col("sig").alias("a"), F.col("sig_b").alias("b"), F.col("root").alias("root_a"), "root_b", "c"))
+        fits &= (F.col("block") < 0) | (lack <= 0)
+        met = x.join(y, (x["shingle"] == y["shingle"]) & fits).select(F.col("sig").alias("a"), F.col("sig_b").alias("b"), (F.col("block") < 0).cast("int").alias("plain"), lack.cast("int").alias("lack"))
+        met = met.groupBy("a", "b").agg(F.sum("plain").alias("c"), F.max("lack").alias("lack")).where("c >= lack").select("a", "b", "c")
+        roots = placed.select("sig", "root").distinct()
+        for side in "ab":
+            met = met.join(roots.select(F.col("sig").alias(side), F.col("root").alias(f"root_{side}")), side)
+        return stage(met)
 
     def links(self) -> DataFrame:
         """a, b: links between nodes that connect all that links connect."""
-        nodes = self.nodes.select("sig", "n", (F.col("n") - F.col("plain")).alias("outside"), (F.col("plain") < F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1).alias("complete"))
+        short = F.col("n") - _after("n")
+        nodes = self.nodes.select("sig", "n", (F.col("n") - F.col("plain")).alias("outside"), (short - F.col("plain")).cast("int").alias("long_short"))
         sized = stage(self.shared.join(nodes, "sig"))
-        links = self._verify(self._stars(sized.withColumn("root", F.col("sig")), 1))
-        links = links.unionByName(self._verify(self._stars(self._placed(sized, links), 2)))
+        links = self._verify(self._stars(sized))
         rest = self._rest(self._placed(sized, links))
         between = [F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi")]
         best = stage(rest.groupBy(*between).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b"))
