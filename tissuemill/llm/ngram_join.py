@@ -19,9 +19,9 @@ Steps, all on DataFrames:
 2. Second pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
    streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
-4. Star round: in every list the nodes of like size are paired with one pivot of that size and one of the size
+4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
    below; of its partners a node keeps the one it meets most often. Verified links give components, so large
-   groups of near copies collapse without pairs.
+   groups of near copies collapse without pairs. Later rounds take other pivots, across components only.
 5. Rest: pairs across components that can still reach the required overlap. Pairs that meet in a list that is not
    long are counted over those lists, and what lies outside them bounds the rest of the overlap. Pairs that meet in
    long lists only cannot share more than their long lists, and come up only if both have enough of them. Of the
@@ -63,6 +63,7 @@ BROADCAST_NODES = 4_000_000
 
 #: Ratio of sizes within which nodes of a list count as of like size.
 LIKE = 1.1
+STAR_ROUNDS = 2
 
 SETS = "doc_id long, n int, sig long, plain int, short array<long>"
 
@@ -272,8 +273,8 @@ def _after(n: str) -> Column:
 class Join:
     """One run over docs (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, long_list: int = LONG_LIST, block_size: int = BLOCK, broadcast_lists: int = BROADCAST_LISTS, broadcast_nodes: int = BROADCAST_NODES):
-        self.docs, self.broadcast_nodes = docs.select("doc_id", "text"), broadcast_nodes
+    def __init__(self, docs: DataFrame, long_list: int = LONG_LIST, block_size: int = BLOCK, broadcast_lists: int = BROADCAST_LISTS, broadcast_nodes: int = BROADCAST_NODES, star_rounds: int = STAR_ROUNDS):
+        self.docs, self.broadcast_nodes, self.star_rounds = docs.select("doc_id", "text"), broadcast_nodes, star_rounds
         spark = docs.sparkSession
         order = long_lists(self.docs, long_list, broadcast_lists)
         told = spark.sparkContext.broadcast(order)
@@ -322,14 +323,15 @@ class Join:
 
         return stage(map_arrow(pairs.join(first, "a").join(second, "b"), linked, "a long, b long"))
 
-    def _stars(self, sized: DataFrame) -> DataFrame:
-        """For each node the pivot that it meets most often, if often enough that a link is to be hoped for."""
+    def _stars(self, placed: DataFrame, seed: int) -> DataFrame:
+        """placed: shingle, sig, n, root. For each node the pivot of another component that it meets most often, if
+        often enough that a link is to be hoped for."""
         like = F.floor(F.log(F.col("n").cast("double")) / float(np.log(LIKE))).cast("int")
-        sized = sized.select("shingle", "sig", "n", like.alias("like"))
-        pivots = sized.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p"))
-        pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.n").alias("m"))
-        sides = sized.select("shingle", "sig", "n", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
-        met = sides.join(pivots, ["shingle", "like"]).where("sig <> pivot").groupBy("sig", "pivot", "n", "m").agg(F.count("*").alias("c"))
+        placed = placed.select("shingle", "sig", "n", "root", like.alias("like"))
+        pivots = placed.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sig").alias("h"), "sig", "n", "root")).alias("p"))
+        pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"))
+        sides = placed.select("shingle", "sig", "n", "root", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
+        met = sides.join(pivots, ["shingle", "like"]).where("root <> pivot_root").groupBy("sig", "pivot", "n", "m").agg(F.count("*").alias("c"))
         hope = F.col("c") * 2 >= _need("n", "m") - F.greatest(_after("n"), _after("m"))
         return stage(met.where(hope).groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b")).select(F.col("sig").alias("a"), "b"))
 
@@ -369,7 +371,9 @@ class Join:
         short = F.col("n") - _after("n")
         nodes = self.nodes.select("sig", "n", (F.col("n") - F.col("plain")).alias("outside"), (short - F.col("plain")).cast("int").alias("long_short"))
         sized = stage(self.shared.join(nodes, "sig"))
-        links = self._verify(self._stars(sized))
+        links = self._verify(self._stars(sized.withColumn("root", F.col("sig")), 0))
+        for seed in range(1, self.star_rounds):
+            links = links.unionByName(self._verify(self._stars(self._placed(sized, links), seed)))
         rest = self._rest(self._placed(sized, links))
         between = [F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi")]
         best = stage(rest.groupBy(*between).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b"))
