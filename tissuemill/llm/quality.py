@@ -58,7 +58,8 @@ def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     running = np.full(len(data), 0xCBF29CE484222325, np.uint64)
     for n in range(1, max(NGRAMS) + 1):
         shifted = np.zeros(len(data), np.uint64)
-        shifted[: len(data) - n + 1] = data[n - 1 :]
+        fit = max(0, len(data) - n + 1)
+        shifted[:fit] = data[n - 1 : n - 1 + fit]
         running = (running ^ shifted) * prime
         if n in NGRAMS:
             fits = left >= n
