@@ -261,8 +261,11 @@ class Encoder:
         if self.separator is None:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int32)
-        joined = [self.SEPARATOR.join([*words[i : i + self.TOGETHER], ""]) for i in range(0, len(words), self.TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        parts = []
+        for at in range(0, len(words), 50 * self.TOGETHER):  # encodings are large, so few are held at once
+            joined = [self.SEPARATOR.join([*words[i : i + self.TOGETHER], ""]) for i in range(at, min(at + 50 * self.TOGETHER, len(words)), self.TOGETHER)]
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.separator)
         return ids[ids != self.separator], np.diff(ends, prepend=-1).astype(np.int32) - 1
 
