@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +10,7 @@ from tissuemill.plans import catalog
 
 
 def canonical(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return None
     if hasattr(value, "tolist"):
         value = value.tolist()
