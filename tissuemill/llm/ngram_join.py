@@ -11,12 +11,14 @@ least T(n, m) minus what the long lists can still add; the long lists are then p
 pair at a time, until the overlap is reached or out of reach.
 
 The order puts long lists last: lists with more than `long_list` entries among the short lists of a first pass
-are ordered by length, all others come before them in the order of their hashes. The order decides only cost,
-any order gives the same links.
+are ordered by length, all others come before them in the order of their hashes. A set half of whose short lists
+are long belongs to a large group of near copies; the lists of such sets are counted whole, so that what a near copy
+has for itself comes first and bounds it. The order decides only cost, any order gives the same links.
 
 Steps, all on DataFrames:
-1. First pass over the texts: lengths of the lists (map-side combine), from which the long ones are known.
-2. Second pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
+1. Two passes over the texts: lengths of the short lists, then of all lists of sets that the long ones crowd (map-side
+   combine). From them the long ones are known.
+2. Third pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
    streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
 4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
@@ -29,7 +31,7 @@ Steps, all on DataFrames:
    Together the rounds lose no link between components.
 
 Long lists are broadcast while there are at most `broadcast_lists`; beyond that only the longest are, which costs
-speed, not links. Candidates are told to the third pass by broadcast up to `broadcast_nodes`, by join beyond it.
+speed, not links. Candidates are told to later passes by broadcast up to `broadcast_nodes`, by join beyond it.
 
 Defined edge cases: words are what lies between the six ASCII white-space characters, with A-Z lower-cased;
 a text of one to four words has one shingle, the whole sequence; null, empty and blank texts have no shingles,
@@ -194,9 +196,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(parts) if parts else np.zeros(0, np.uint64))))
 
 
-def _list_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short lists under the plain order, counted inside slices before they travel."""
-    order, seen = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
+def _list_lengths(batches: Iterator[pa.RecordBatch], known: Order) -> Iterator[pa.RecordBatch]:
+    """Lists counted inside slices before they travel: the short ones under the plain order while no long list is known,
+    then all others of the sets that long lists crowd."""
+    plain, seen = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
     for batch in batches:
         for part in slices(batch, "text"):
             short = []
@@ -206,16 +209,27 @@ def _list_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
-                short.append(order.short(found)[0])
+                first = plain.short(found)[0]
+                if not len(known.keys):
+                    short.append(first)
+                elif 2 * np.count_nonzero(known.rank(first)) >= len(first):
+                    short.append(found[known.rank(found) == 0])
             if short:
                 keys, n = np.unique(np.concatenate(short), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n, pa.int64())], ["shingle", "n"])
 
 
 def long_lists(docs: DataFrame, long_list: int = LONG_LIST, most: int = BROADCAST_LISTS) -> Order:
-    counted = map_arrow(docs.select("text"), _list_lengths, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") > long_list).orderBy(F.col("n").desc(), "shingle").limit(most).toPandas()
-    return Order(rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+    keys, lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(2):
+        told = docs.sparkSession.sparkContext.broadcast(Order(keys, lengths))
+        counted = map_arrow(docs.select("text"), lambda it, told=told: _list_lengths(it, told.value), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        rows = counted.where(F.col("n") > long_list).orderBy(F.col("n").desc(), "shingle").limit(most - len(keys)).toPandas()
+        keys = np.concatenate((keys, rows["shingle"].to_numpy(np.int64).view(np.uint64)))
+        lengths = np.concatenate((lengths, rows["n"].to_numpy(np.int64)))
+        if not len(keys) or len(keys) >= most:
+            break
+    return Order(keys, lengths)
 
 
 def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
