@@ -22,7 +22,8 @@ Steps, all on DataFrames:
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
    streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
 4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
-   below; of its partners a node keeps the one it meets most often. Verified links give components, so large
+   below; of its partners a node keeps the one it meets most often. The first round's pivots are the nodes with most
+   long lists among their short ones, which have least for themselves. Verified links give components, so large
    groups of near copies collapse without pairs. Later rounds take other pivots, across components only.
 5. Rest: pairs across components that can still reach the required overlap. Pairs that meet in a list that is not
    long are counted over those lists, and what lies outside them bounds the rest of the overlap. Pairs that meet in
@@ -338,11 +339,12 @@ class Join:
         return stage(map_arrow(pairs.join(first, "a").join(second, "b"), linked, "a long, b long"))
 
     def _stars(self, placed: DataFrame, seed: int) -> DataFrame:
-        """placed: shingle, sig, n, root. For each node the pivot of another component that it meets most often, if
+        """placed: shingle, sig, n, long_short, root. For each node the pivot of another component that it meets most often, if
         often enough that a link is to be hoped for."""
         like = F.floor(F.log(F.col("n").cast("double")) / float(np.log(LIKE))).cast("int")
-        placed = placed.select("shingle", "sig", "n", "root", like.alias("like"))
-        pivots = placed.groupBy("shingle", "like").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sig").alias("h"), "sig", "n", "root")).alias("p"))
+        own = F.lit(0) if seed else -F.col("long_short")
+        placed = placed.select("shingle", "sig", "n", "root", own.alias("own"), like.alias("like"))
+        pivots = placed.groupBy("shingle", "like").agg(F.min(F.struct("own", F.xxhash64(F.lit(seed), "sig").alias("h"), "sig", "n", "root")).alias("p"))
         pivots = pivots.select("shingle", "like", F.col("p.sig").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"))
         sides = placed.select("shingle", "sig", "n", "root", F.explode(F.array("like", F.col("like") - 1)).alias("like"))
         met = sides.join(pivots, ["shingle", "like"]).where("root <> pivot_root").groupBy("sig", "pivot", "n", "m").agg(F.count("*").alias("c"))
@@ -373,12 +375,10 @@ class Join:
         fits = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("sig") < F.col("sig_b"))
         fits &= (F.col("root") != F.col("root_b")) & (F.col("n") * 100 >= F.col("n_b") * PER_CENT)
         fits &= (F.col("block") < 0) | (lack <= 0)
-        met = x.join(y, (x["shingle"] == y["shingle"]) & fits).select(F.col("sig").alias("a"), F.col("sig_b").alias("b"), (F.col("block") < 0).cast("int").alias("plain"), lack.cast("int").alias("lack"))
-        met = met.groupBy("a", "b").agg(F.sum("plain").alias("c"), F.max("lack").alias("lack")).where("c >= lack").select("a", "b", "c")
-        roots = placed.select("sig", "root").distinct()
-        for side in "ab":
-            met = met.join(roots.select(F.col("sig").alias(side), F.col("root").alias(f"root_{side}")), side)
-        return stage(met)
+        pair = [F.col("sig").alias("a"), F.col("sig_b").alias("b"), F.col("root").alias("root_a"), F.col("root_b")]
+        met = x.join(y, (x["shingle"] == y["shingle"]) & fits).select(*pair, (F.col("block") < 0).cast("int").alias("plain"), lack.cast("int").alias("lack"))
+        met = met.groupBy("a", "b", "root_a", "root_b").agg(F.sum("plain").alias("c"), F.max("lack").alias("lack")).where("c >= lack")
+        return stage(met.drop("lack"))
 
     def links(self) -> DataFrame:
         """a, b: links between nodes that connect all that links connect."""
