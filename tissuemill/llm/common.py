@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from ..session import ship
 #: A word is a longest run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes apart at a time.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +48,15 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package on the workers; a worker gives Arrow's memory back after each task."""
+    """mapInArrow with the package on the workers; a worker gives free memory back after each task."""
     ship(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
 
     return df.mapInArrow(tidy, schema)
 

@@ -37,8 +37,10 @@ RATE = 0.25
 BATCH = 16
 TRAIN_DOCS = 2_000
 SEED = 7
-#: Text scored at a time: the n-grams of its different words are held at once.
+#: Text scored at a time.
 SCORE_BYTES = 3 << 20
+#: Different words whose n-grams are held at once.
+WORDS_AT_ONCE = 16_384
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -99,9 +101,12 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         offsets, codes, words = split_words(texts)
-        starts, hashed = slots(words)
-        sums = np.concatenate(([0.0], np.cumsum(self.folded[hashed], dtype=np.float64)))
-        value, n = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
+        value, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            starts, hashed = slots(words[at : at + WORDS_AT_ONCE])
+            sums = np.concatenate(([0.0], np.cumsum(self.folded[hashed], dtype=np.float64)))
+            here = slice(at, at + len(starts) - 1)
+            value[here], n[here] = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
         total = np.concatenate(([0.0], np.cumsum(value[codes])))
         count = np.concatenate(([0], np.cumsum(n[codes])))
         mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(1, count[offsets[1:]] - count[offsets[:-1]])
