@@ -55,7 +55,7 @@ ENCODE_BYTES = 8 << 20
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 MANIFEST = "shard string, first_key long, n_docs long, n_tokens long"
-RECORDS = "shard string, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
+RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def encode_key(key: int | None) -> bytes:
@@ -347,33 +347,30 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitio
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32: all from the files.
 
-    The offsets of the shards are a prefix sum over the manifest, one row for each shard.
+    The offsets of the shards are a prefix sum over the manifest, one row for each shard; each travels with its
+    shard to the task that reads it, so what is read is never joined, shuffled or broadcast.
     """
     before = Window.orderBy("first_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    shards = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("shard").to_pylist():
+            for path, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 rows: list[tuple] = []
                 for key, start, ids in Shard(path).scan():
-                    rows.append((path, None if key == LOWEST else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((None if key == LOWEST else key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(rows) == 20_000:
                         yield _records(rows)
                         rows = []
                 if rows:
                     yield _records(rows)
 
-    shards = manifest.select("shard").repartition(max(1, manifest.count()))
-    return map_arrow(shards, read, RECORDS).join(bases, F.col("shard") == F.col("_shard")).select(
-        "doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    return map_arrow(shards.repartition(max(1, manifest.count())), read, RECORDS)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["shard", "doc_id", "shard_start", "n_tokens", "ids_crc32"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
 
 def default_tokenizer() -> str:
