@@ -65,6 +65,28 @@ def test_combat_removes_sample_shifts(spark):
     assert max(means) - min(means) < 2 and len(means) == 4
 
 
+def test_ordered_arbiter_knows_only_the_folds_before(spark):
+    """The first fold has no target but 0, so the margin chooses; a later fold's labels change nothing before it."""
+    rng = np.random.default_rng(9)
+    models, features = ["a", "b"], ["p_t", "a_top1", "a_margin", "a_entropy", "b_top1", "b_margin", "b_entropy", "agree_a_b"]
+
+    def rows(last_label):
+        made = np.random.default_rng(9).dirichlet([0.6] * 3, (60, 2))
+        return [(i, int(rng.integers(3)) if last_label is None else labels[i] if i % 3 < 2 else last_label, i % 3, float(made[i, 0, 0]), made[i, 0].tolist(), made[i, 1].tolist()) for i in range(60)]
+
+    labels = [r[1] for r in rows(None)]
+    schema = "cell_id long, cell_type int, fold int, p_t double, a array<double>, b array<double>"
+    runs = [{r.cell_id: r for r in M.ordered_arbiter(spark.createDataFrame(rows(x), schema), models, features, 3, 0).collect()} for x in (1, 2)]
+    for i, r in runs[0].items():
+        if r.fold < 2:
+            assert r.choice == runs[1][i].choice
+        if r.fold == 0:
+            assert r.choice == int(r.b_margin > r.a_margin)
+        label = 0 if r.p_t >= 0.55 else int(np.argmax((r.a, r.b)[r.choice]))
+        assert r.pred == label
+    assert len(runs[0]) == 60
+
+
 def test_local_quadratic_follows_a_parabola():
     x = np.linspace(-1, 1, 40)
     assert np.allclose(M.local_quadratic(x, 3 * x * x - x + 2, 0.4), 3 * x * x - x + 2, atol=1e-6)

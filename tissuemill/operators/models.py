@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ship
+from . import classify as C
 
 
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,32 @@ def arbiter_choice(fitted: tuple, df: DataFrame, features: list[str]) -> DataFra
     return model.transform(scaler.transform(raw)).withColumn("choice", F.col("prediction").cast("int")).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def gated_labels(models: list[str], positive: int) -> list[Column]:
+    return [V.gate(V.argmax(F.col(m)), F.col("p_t"), positive) for m in models]
+
+
+def ordered_arbiter(oof: DataFrame, models: list[str], features: list[str], folds: int, positive: int) -> DataFrame:
+    """oof (cell_id, cell_type, fold, p_t, probability columns) with the choice and label of an arbiter that knows only
+    the folds before.
+
+    The rows of later folds take part in each fit as they stand until their fold is predicted: probabilities 0, no label.
+    A lone target leaves nothing to fit; the largest margin then chooses.
+    """
+    margins = [F.col(f"{m}_margin") for m in models]
+    out = None
+    for k in range(folds):
+        known = F.col("fold") < k
+        blank = {m: F.when(known, F.col(m)).otherwise(F.transform(m, lambda _: F.lit(0.0))) for m in models}
+        others = oof.where(F.col("fold") != k).withColumns(blank | {"p_t": F.when(known, F.col("p_t")).otherwise(0.0)})
+        labels = [F.when(known, label).otherwise(-1) for label in gated_labels(models, positive)]
+        target = C.meta_target(F.col("cell_type"), labels, margins)
+        fitted = arbiter(C.meta_features(others, models).withColumn("target", target), features, "target")
+        rows = C.meta_features(oof.where(F.col("fold") == k), models)
+        chosen = rows.withColumn("choice", V.argmax(F.array(*margins))) if fitted[0] is None else arbiter_choice(fitted, rows, features)
+        out = chosen if out is None else out.unionByName(chosen)
+    return out.withColumn("pred", F.element_at(F.array(*gated_labels(models, positive)), F.col("choice") + 1))
+
+
 def l1_markers(pb: DataFrame, genes: list[int], cell_type: str, c: float = 1.0) -> dict[int, float]:
     """gene -> coefficient of an L1 logistic regression of one class against the rest, over standardised pseudobulk columns."""
     wide = pb.groupBy("sample", "cell_type").pivot("gene", genes).agg(F.first("m")).fillna(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,6 +178,8 @@ def embed_strata(t: Tables) -> DataFrame:
     return long.select("cell_id", "batch", "d", F.round(z, 6).alias("z"))
 
 
+BASE = ["knn", "ridge"]
+FOLDS = 3
 FEATURES = ["p_t", "knn_top1", "knn_margin", "knn_entropy", "ridge_top1", "ridge_margin", "ridge_entropy", "agree_knn_ridge"]
 
 
@@ -196,18 +200,32 @@ def ensemble_arbiter(t: Tables) -> DataFrame:
     return ensemble(t).select("cell_id", "cell_type", "pred_final", "choice", F.round("p_t", 6).alias("p_t"))
 
 
+def out_of_fold(train: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """train with fold and the base models' probabilities, every fold's rows predicted by models that did not see them."""
+    folded = C.stratified_folds(train, "cell_type", "cell_id", folds)
+    parts = [base_models(folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("ensemble_ordered")
+def ensemble_ordered(t: Tables) -> DataFrame:
+    """The order-dependent arbiter over the training rows: each fold's choices come from the folds before it."""
+    oof = out_of_fold(labelled(t)[0]).cache()
+    found = M.ordered_arbiter(oof, BASE, FEATURES, FOLDS, POSITIVE_LABEL)
+    return found.select("cell_id", "fold", "cell_type", "choice", F.col("pred").cast("int").alias("pred"))
+
+
 def ensemble(t: Tables) -> DataFrame:
     """Out-of-fold predictions of two base models train an arbiter, which picks a model for each test row; then the gate.
 
-    The clean variant: every fold's rows are predicted by models that did not see them.
+    The clean variant: the arbiter learns from all folds. Its targets are gated labels and margins of ungated
+    probabilities.
     """
     train, test = labelled(t)
-    folded = C.stratified_folds(train, "cell_type", "cell_id", 3)
-    parts = [base_models(folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")) for k in range(3)]
-    oof = C.meta_features(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["knn", "ridge"])
-    target = C.meta_target(F.col("cell_type"), [V.argmax(F.col(m)) for m in ("knn", "ridge")], [F.col(f"{m}_margin") for m in ("knn", "ridge")])
+    oof = C.meta_features(out_of_fold(train), BASE)
+    target = C.meta_target(F.col("cell_type"), M.gated_labels(BASE, POSITIVE_LABEL), [F.col(f"{m}_margin") for m in BASE])
     fitted = M.arbiter(oof.withColumn("target", target), FEATURES, "target")
-    chosen = M.arbiter_choice(fitted, C.meta_features(base_models(train, test), ["knn", "ridge"]), FEATURES)
+    chosen = M.arbiter_choice(fitted, C.meta_features(base_models(train, test), BASE), FEATURES)
     picked = F.element_at(F.array(V.argmax(F.col("knn")), V.argmax(F.col("ridge"))), F.col("choice") + 1)
     return chosen.withColumn("pred_final", V.gate(picked, F.col("p_t"), POSITIVE_LABEL))
 
