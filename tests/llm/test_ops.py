@@ -313,6 +313,17 @@ def test_ngram_join(spark, unique, docs, rows, empty):
     assert kept == sorted({c for _, c in expected.values()})
 
 
+def test_ngram_join_parted_lists(spark):
+    """Lists dealt in blocks of one entry: the nodes of a link lie in different blocks of every list they share."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        words = sentence(rng, 60).split()
+        rows += [(10 * k + j, " ".join([*words[:59], f"end{j}"])) for j in range(2 + k % 2)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), long_list=1, block_size=1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
+
+
 def test_divide_skip_equals_counting():
     rng = random.Random(5)
     lists = {q: sorted(rng.sample(range(60), rng.randrange(1, 50))) for q in range(20)}

@@ -20,7 +20,8 @@ Steps, all on DataFrames:
    combine). From them the long ones are known.
 2. Third pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
-   streaming pass over its sorted entries, so no list is ever held; only lists with two nodes are kept.
+   streaming pass over its sorted entries, so no list is ever held; lists with one node go, except that of a list
+   dealt over several blocks every node stays, as its partners may lie in other blocks.
 4. Star rounds: in every list the nodes of like size are paired with one pivot of that size and one of the size
    below; of its partners a node keeps the one it meets most often. The first round's pivots are the nodes with most
    long lists among their short ones, which have least for themselves. Verified links give components, so large
@@ -234,7 +235,10 @@ def long_lists(docs: DataFrame, long_list: int = LONG_LIST, most: int = BROADCAS
 
 
 def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (list, block, sig): drops repeats and lists with one node. Holds one entry and a batch."""
+    """Entries sorted by (list, block, sig): drops repeats and lists with one node. Holds one entry and a batch.
+
+    Blocks from 1 up are parts of a list: one node alone there may meet nodes of other blocks and stays.
+    """
     last, told = None, False
     for batch in batches:
         lists, blocks, sigs = (batch.column(c).to_numpy() for c in ("shingle", "block", "sig"))
@@ -246,7 +250,7 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(lists):
             continue
         again = np.concatenate((~new_list[1:], [False]))  # the next entry is in this list
-        keep = ~new_list | again
+        keep = ~new_list | again | (blocks > 0)
         carried = not new_list[0] and not told  # the list's first entry ended the batch before
         if carried:
             lists, blocks, sigs = (np.concatenate(([v], x)) for v, x in zip(last, (lists, blocks, sigs), strict=True))
@@ -296,13 +300,13 @@ class Join:
         self.sets = stage(map_arrow(self.docs, lambda it: _sets(it, told.value), SETS))
         self.nodes = self.sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("plain").alias("plain"))
         entries = self.sets.select("sig", "plain", F.posexplode("short").alias("at", "shingle"))
-        block = F.when(F.col("at") < F.col("plain"), -1).otherwise(0)  # -1: not a long list
+        block = F.when(F.col("at") < F.col("plain"), -1).otherwise(0)  # -1: not a long list, 0: a whole one, from 1 up: a part of one
         big = order.keys[order.lengths > block_size]
         if len(big):  # lists too long for one task are dealt in blocks
             n = (order.lengths[order.lengths > block_size] // block_size + 1).tolist()
             salted = spark.createDataFrame(list(zip(signed(big).tolist(), n, strict=True)), "shingle long, blocks int")
             entries = entries.join(F.broadcast(salted), "shingle", "left")
-            block = F.when(block < 0, block).otherwise(F.coalesce(F.pmod(F.xxhash64("sig"), F.col("blocks")), F.lit(0)))
+            block = F.when(block < 0, block).otherwise(F.coalesce(F.pmod(F.xxhash64("sig"), F.col("blocks")) + 1, F.lit(0)))
         entries = entries.select("shingle", block.cast("int").alias("block"), "sig")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         entries = entries.repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "sig")
