@@ -188,6 +188,23 @@ def test_order_minhash(docs, rows, spark, empty):
     assert order_minhash.compare_with_edits(empty).count() == 0
 
 
+def test_order_minhash_of_short_texts(spark):
+    """Halves swapped: about half of all pairs of k-mers change their order, in short texts as in long ones."""
+    rng = random.Random(17)
+    texts = {(n, k): [f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (20, 40, 77, 130) for k in range(12)}
+    rows = [(n, k, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])) for (n, k), w in texts.items()] + [(0, 0, "", "one"), (1, 0, "one", "one"), (2, 0, "one two", "two one"), (3, 0, "a b c", "a b c")]
+    df = spark.createDataFrame(rows, "n int, k int, text string, other string")
+    both = order_minhash.with_cells(order_minhash.with_cells(df, "text", "a"), "other", "b")
+    like = collections.defaultdict(list)
+    for r in both.select("n", "a", "b", order_minhash.likeness("a", "b").alias("like")).collect():
+        like[r.n].append(r.like)
+        assert [x >> 32 for x in r.a] == (list(range(64)) if r.n else [])
+    assert (like[0], like[1], like[2], like[3]) == ([0], [1], [0], [1])
+    for n in (20, 40, 77, 130):
+        kept, swapped = (n - 2) / n, (n // 2 - 1) / (n - 2)  # of each text's pairs of words one differs
+        assert abs(np.mean(like[n]) - kept**2 * swapped) < 0.08, (n, np.mean(like[n]))
+
+
 def test_spaced_seeds(spark, empty):
     rng = random.Random(6)
     items = [(k, sentence(rng, n)) for k, n in enumerate((12, 30, 50, 3))] + [(9, None), (10, "")]

@@ -1,11 +1,13 @@
 """Document fingerprints by Order MinHash.
 
 A text is its words; its k-mers are runs of K words, each numbered by how often it occurred before, so that
-repeats differ. Every numbered k-mer is hashed once. The hash's leading bits name one of BINS bins (one hash
-function dealt out over bins in place of BINS functions), and in each bin the LENGTH smallest hashes are taken, put
-back into text order and hashed as a tuple. Two texts agree in a bin if they chose the same k-mers in the same
-order there, which is what makes the signature sensitive to edit distance rather than to the set of k-mers
-alone. The likeness of two fingerprints is the share of bins in use in which they agree.
+repeats differ. Every numbered k-mer is hashed once, and the hash's leading bits name one of BINS bins. There are
+BINS functions, each an order of all k-mers of the text: the bins in an order that belongs to the function, its own
+bin first, and by hash inside a bin. Of each function the LENGTH smallest k-mers are taken, put back into text order
+and hashed as a tuple. In a long text they lie in the function's own bin; where that has too few, other bins
+follow, so a tuple is short only if the whole text is. Two texts agree in a function if they chose the same k-mers in
+the same order there, which is what makes the signature sensitive to edit distance rather than to the set of k-mers
+alone. The likeness of two fingerprints is the share of functions in which they agree.
 
 Everything is array functions on one row; nothing but the texts themselves is shuffled, once, to bring each
 document next to its successor. Successors come from ranges of doc_id: within a range by a window, across ranges
@@ -32,6 +34,8 @@ BIN_BITS = 6
 LENGTH = 2
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
+#: Bits for the index of a k-mer among the LENGTH smallest of all bins.
+INDEX_BITS = 12
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -44,7 +48,7 @@ def _bin(x: Column) -> Column:
 
 
 def with_cells(df: DataFrame, text: str, out: str, k: int = K, length: int = LENGTH) -> DataFrame:
-    """Adds `out`: array of bin << 32 | 32 bits of the bin's tuple hash, by bin."""
+    """Adds `out`: array of function << 32 | 32 bits of the function's tuple hash, by function."""
     nothing = F.array().cast("array<long>")
     keep = df.columns
     df = _held(df, "_words", F.regexp_extract_all(F.col(text), F.lit(WORD), 0))
@@ -64,13 +68,26 @@ def with_cells(df: DataFrame, text: str, out: str, k: int = K, length: int = LEN
     opens = F.filter(F.transform("_least", lambda x, i: F.when((i > 0) & (_bin(F.get("_least", i - 1)) == _bin(x)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     df = _held(df, "_opens", opens)
 
-    def cell(at: Column, j: Column) -> Column:
-        chosen = F.slice("_least", at + 1, F.coalesce(F.get("_opens", j + 1), F.size("_least")) - at)
+    def refilled(function: Column) -> Column:
+        """The function's smallest k-mers over all bins; inside a bin they stand by hash."""
+        own, index = F.lit(-(1 << 63)), F.lit((1 << INDEX_BITS) - 1)
+        order = F.transform("_least", lambda x, i: F.when(_bin(x) == function, own).otherwise(F.xxhash64(function, _bin(x)).bitwiseAND(F.lit(-(1 << INDEX_BITS)))).bitwiseOR(i.cast("long")))
+        return F.transform(F.slice(F.sort_array(order), 1, length), lambda y: F.get("_least", y.bitwiseAND(index).cast("int")))
+
+    def cell(function: Column, chosen: Column) -> Column:
         placed = F.array_sort(F.transform(chosen, lambda x: F.struct(x.bitwiseAND(F.lit(PLACE)).alias("place"), F.shiftrightunsigned(x, PLACE_BITS).alias("hash"))))
         tuple_hash = F.xxhash64(F.transform(placed, lambda s: s["hash"]))
-        return F.shiftleft(_bin(F.get("_least", at)), 32).bitwiseOR(F.shiftrightunsigned(tuple_hash, 32))
+        return F.shiftleft(function, 32).bitwiseOR(F.shiftrightunsigned(tuple_hash, 32))
+
+    def of_bin(at: Column, j: Column) -> Column:
+        function, n = _bin(F.get("_least", at)), F.coalesce(F.get("_opens", j + 1), F.size("_least")) - at
+        return cell(function, F.when(n >= length, F.slice("_least", at + 1, n)).otherwise(refilled(function)))
 
-    return _held(df, out, F.transform("_opens", cell)).select(*keep, out)
+    functions = F.when(F.size("_opens") > 0, F.array(*(F.lit(b).cast("long") for b in range(1 << BIN_BITS)))).otherwise(nothing)
+    unused = F.array_except(functions, F.transform("_opens", lambda at: _bin(F.get("_least", at))))
+    df = _held(df, "_unused", unused)
+    cells = F.concat(F.transform("_opens", of_bin), F.transform("_unused", lambda b: cell(b, refilled(b))))
+    return _held(df, out, F.sort_array(cells)).select(*keep, out)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -80,7 +97,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def written(cells: str) -> Column:
-    """Ten hexadecimal digits for each bin in use: its number and its hash."""
+    """Ten hexadecimal digits for each function: its number and its hash."""
     return F.array_join(F.transform(cells, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
 
 
