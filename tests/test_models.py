@@ -90,3 +90,13 @@ def test_ordered_arbiter_knows_only_the_folds_before(spark):
 def test_local_quadratic_follows_a_parabola():
     x = np.linspace(-1, 1, 40)
     assert np.allclose(M.local_quadratic(x, 3 * x * x - x + 2, 0.4), 3 * x * x - x + 2, atol=1e-6)
+
+
+def test_one_vs_rest_trees_take_every_label(spark, data):
+    """All labels are learned, and every row of group 0 is predicted."""
+    from tissuemill.plans import catalog, studies  # noqa: F401  studies adds the query
+
+    got = {r.cell_id: (r.cell_type, r.yhat) for r in catalog.queries()["gbt_ovr"](spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()
+    assert {i: label for i, (label, _) in got.items()} == {r.vec_id: r.label for r in rows if r.vec_id % 7 == 0}
+    assert {yhat for _, yhat in got.values()} <= {r.label for r in rows} and max(yhat for _, yhat in got.values()) >= 3

@@ -106,8 +106,7 @@ def gbt_binary(t: Tables) -> DataFrame:
 @query("gbt_ovr")
 def gbt_ovr(t: Tables) -> DataFrame:
     train, test = labelled(t)
-    few = train.where("cell_type < 3")
-    scored = M.gbt_one_vs_rest(few).transform(test.where("cell_type < 3").withColumn("features", M.array_to_vector("f")))
+    scored = M.gbt_one_vs_rest(train).transform(test.withColumn("features", M.array_to_vector("f")))
     return scored.select("cell_id", "cell_type", F.col("prediction").cast("int").alias("yhat"))
 
 
