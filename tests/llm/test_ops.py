@@ -224,6 +224,37 @@ def test_spaced_seeds(spark, empty):
     assert decontaminate.contaminated(docs, bench.where("item_id > 99")).count() == 0
 
 
+def test_spaced_seeds_in_long_items(spark):
+    """Parts of an item under half of it, and a seed that fails close to one that verifies."""
+    rng = random.Random(8)
+    long, middle, short = (sentence(rng, n).split() for n in (400, 59, 20))
+    gap = [*middle[:5], *("gap" for _ in range(9)), *middle[14:44]]
+    rows = [(1, [*sentence(rng, 90).split(), *middle[20:48]]), (2, [*long[100:299], *sentence(rng, 300).split()]), (3, gap), (4, [*long[7:19], *sentence(rng, 50).split()]), (5, [*sentence(rng, 30).split(), *long[50:63]])]
+    rows += [(6, ["x" if k % 5 == 2 else w for k, w in enumerate(long[200:260])]), (7, short[:9])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((long, middle, short))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.length, r.n_equal) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(found) == {(1, 1), (2, 0), (3, 1), (5, 0), (6, 0)}
+    assert found[1, 1] == (90, 20, 28, 28) and found[2, 0] == (0, 100, 199, 199) and found[3, 1] == (0, 0, 44, 35) and found[5, 0] == (30, 50, 13, 13)
+    assert found[6, 0][3] >= 46
+    rng = np.random.default_rng(3)
+    for _ in range(300):  # all hits of an alignment at once as each by itself
+        item = rng.integers(1, 9, rng.integers(12, 40)).astype(np.uint64)
+        doc = np.where(rng.random(len(item)) < rng.uniform(0.2, 0.9), item, 99).astype(np.uint64)
+        held = decontaminate.Items([0], [""], ("11111",))
+        held.words = [item]
+        hits = np.sort(rng.integers(0, len(item) - 10, 4))
+        spans = rng.choice([5, 10], 4)
+        gain, expected = np.concatenate(([0.0], np.cumsum((item == doc) - 0.75))), []
+        for a, s in zip(hits.tolist(), spans.tolist(), strict=True):
+            begin, end = int(np.argmin(gain[: a + 1])), a + s + int(np.argmax(gain[a + s :]))
+            n, equal = end - begin, int((item == doc)[begin:end].sum())
+            if (n >= max(s, 0.5 * len(item)) or equal >= 13) and equal >= 0.75 * n:
+                expected.append((begin, begin, n, equal, len(item)))
+        got = held.verify(doc, 0, 0, hits, spans, 0.5, 0.75, 13)
+        assert got in expected and got[3] == max(e[3] for e in expected) if expected else got is None
+
+
 def test_quality_held_out(spark, data, docs, rows, empty):
     tables = [spark.read.parquet(f"{data}/../sf0.01/{t}.parquet") for t in ("documents", "labels")]
     model = quality.fit(*tables)

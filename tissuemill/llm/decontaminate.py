@@ -3,9 +3,10 @@
 Fixed masks select some of the token positions of a window and ignore the others, so a window still meets its
 benchmark counterpart when tokens at ignored positions were replaced. Every window of every document is hashed
 under every mask and joined with the hashed windows of all benchmark items. Each hit fixes an alignment
-(item position minus document position); the overlap around it is then compared token by token. An alignment
-counts when the best stretch through the hit covers at least `min_share` of the item's tokens (and at least the
-span of a mask) with at least `min_match` of its tokens equal.
+(item position minus document position); the overlap around it is then compared token by token, once for all hits
+of the alignment. An alignment counts when the best stretch through one of its hits has at least `min_match` of its
+tokens equal and either covers at least `min_share` of the item's tokens (and at least the span of a mask) or holds at
+least `least_equal` equal tokens, whatever the size of the item.
 
 Tokens are words with the case of letters dropped and signs at either end cut off. Items shorter than a mask
 are compared by windows of their own length, all positions counting.
@@ -34,6 +35,7 @@ from .common import hash_strings, map_arrow, mix64, slices, split_words, table
 MASKS = ("1101100101", "1011010011", "1110010110", "11111")
 MIN_SHARE = 0.5
 MIN_MATCH = 0.75
+LEAST_EQUAL = 13
 BROADCAST_ITEMS = 50_000
 FILTER_BITS = 22
 
@@ -104,25 +106,33 @@ class Items:
             found.append((np.repeat(at, n), items[each], places[each], np.full(len(each), len(mask))))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def verify(self, doc: np.ndarray, item: int, shift: int, hit: int, span: int, min_share: float, min_match: float) -> tuple | None:
-        """Best stretch of the alignment document position = item position + shift that holds the hit.
+    def verify(self, doc: np.ndarray, item: int, shift: int, hits: np.ndarray, spans: np.ndarray, min_share: float, min_match: float, least_equal: int) -> tuple | None:
+        """Best stretch of the alignment document position = item position + shift that holds one of the hits.
 
-        From the hit the stretch grows to each side while that raises equal tokens - min_match * tokens.
+        From a hit the stretch grows to each side while that raises equal tokens - min_match * tokens.
         """
         words = self.words[item]
         low, high = max(0, -shift), min(len(words), len(doc) - shift)
         same = words[low:high] == doc[low + shift : high + shift]
         gain = np.concatenate(([0.0], np.cumsum(same - min_match)))
-        a, b = hit - low, hit - low + span
-        begin = int(np.argmin(gain[: a + 1]))
-        end = b + int(np.argmax(gain[b:]))
-        n, equal = end - begin, int(same[begin:end].sum())
-        if n < max(min(span, len(words)), min_share * len(words)) or equal < min_match * n:
+        equal = np.concatenate(([0], np.cumsum(same)))
+        places = np.arange(len(gain))
+        before = np.minimum.accumulate(gain)  # the first least gain up to each place
+        begins = np.maximum.accumulate(np.where((gain == before) & np.concatenate(([True], before[1:] < before[:-1])), places, 0))
+        after = np.maximum.accumulate(gain[::-1])[::-1]  # the first largest gain from each place on
+        ends = np.minimum.accumulate(np.where(gain == after, places, len(gain))[::-1])[::-1]
+        begin, end = begins[hits - low], ends[hits - low + spans]
+        n, same = end - begin, equal[end] - equal[begin]
+        long = (n >= np.maximum(np.minimum(spans, len(words)), min_share * len(words))) | (same >= least_equal)
+        same = np.where(long & (same >= min_match * n), same, -1)
+        best = int(np.argmax(same))
+        if same[best] < 0:
             return None
-        return low + begin + shift, low + begin, n, equal, len(words)
+        begin = int(begin[best])
+        return low + begin + shift, low + begin, int(n[best]), int(same[best]), len(words)
 
 
-def _find(batches: Iterator[pa.RecordBatch], items: Items, min_share: float, min_match: float) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], items: Items, min_share: float, min_match: float, least_equal: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for part in slices(batch, "text"):
@@ -133,17 +143,15 @@ def _find(batches: Iterator[pa.RecordBatch], items: Items, min_share: float, min
             at, item, place, span, doc = (x[inside] for x in (at, item, place, span, doc))
             ids = part.column("doc_id").to_pylist()
             best: dict[tuple[int, int], tuple] = {}
-            tried: set[tuple[int, int, int]] = set()
-            for t, i, p, s, d in zip(at.tolist(), item.tolist(), place.tolist(), span.tolist(), doc.tolist(), strict=True):
-                begin = int(offsets[d])
-                shift = t - begin - p
-                was = best.get((d, i))
-                if (d, i, shift, p // 8) in tried or was and was[0] <= t - begin and t - begin + s <= was[0] + was[2]:
-                    continue
-                got = items.verify(hashed[begin : offsets[d + 1]], i, shift, p, s, min_share, min_match)
-                if got is None:
-                    tried.add((d, i, shift, p // 8))
-                elif was is None or got[3] > was[3]:
+            shift = at - offsets[doc] - place
+            order = np.lexsort((place, shift, item, doc))
+            doc, item, shift, place, span = (x[order] for x in (doc, item, shift, place, span))
+            new = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(doc)] if len(doc) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # alignments
+                d, i = int(doc[a]), int(item[a])
+                got = items.verify(hashed[offsets[d] : offsets[d + 1]], i, int(shift[a]), place[a:b], span[a:b], min_share, min_match, least_equal)
+                if got is not None and ((d, i) not in best or got[3] > best[d, i][3]):
                     best[d, i] = got
             rows += [(ids[d], items.ids[i], *got) for (d, i), got in best.items()]
         if rows:
@@ -158,6 +166,7 @@ def contaminated(
     min_share: float = MIN_SHARE,
     min_match: float = MIN_MATCH,
     broadcast_items: int = BROADCAST_ITEMS,
+    least_equal: int = LEAST_EQUAL,
 ) -> DataFrame:
     """One row for each document and benchmark item that overlap; positions and lengths count tokens."""
     spark = docs.sparkSession
@@ -170,7 +179,7 @@ def contaminated(
             block = block.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = block.orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], masks))
-        part = map_arrow(docs.select("doc_id", "text"), lambda it, shared=shared: _find(it, shared.value, min_share, min_match), FOUND)
+        part = map_arrow(docs.select("doc_id", "text"), lambda it, shared=shared: _find(it, shared.value, min_share, min_match, least_equal), FOUND)
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates(["doc_id", "item_id"]) if blocks > 1 else found
 
