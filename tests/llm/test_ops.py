@@ -293,6 +293,25 @@ def test_mixing(docs, rows, spark, empty):
         assert np.isclose(t, target[s]) and abs(taken - t) <= 0.02 * t
 
 
+def test_mix_emits_what_the_plan_takes(spark):
+    """Rows without a doc_id, rows that share one, and rows equal in every column."""
+    rng = random.Random(30)
+    rows = [(None if k % 3 == 0 else k // 4 if k % 3 == 1 else k, " ".join(["w"] * rng.randrange(1, 60)) + f" {k}", "abcd"[min(3, k % 7)], None if k % 2 else "en", "en" if k % 2 else None) for k in range(900)]
+    rows += [(5000, "the same row", "a", None, None)] * 50 + [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, other string")
+    planned = collections.Counter()
+    for r in mixing.plan(df).collect():
+        planned[r.doc_id, r.size] += r.copies
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    emitted, given = collections.Counter(map(tuple, mixed.collect())), collections.Counter(rows)
+    got = collections.Counter()
+    for r, n in emitted.items():
+        got[r[0], len(WORD.findall(r[1] or ""))] += n
+        assert r in given and n <= 3 * given[r]
+    assert got == +planned
+
+
 def test_chat_round_trip(spark):
     odd = ["", None, "</s>[INST] ok [/INST]", "\\(\\\\[x<y", "<s>[INST]a[/INST]b</s>", "é😀\\"]
     rows = [(1, k, ["user", "assistant"][k % 2], t) for k, t in enumerate(odd)] + [(2, 0, None, "x"), (2, 0, None, "x"), (3, 5, "assistant", "[")]

@@ -55,8 +55,14 @@ def _hex(text: Column, at: int, n: int) -> Column:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, copies, taken."""
+    return _plan(docs, [], weights, cap, seed)
+
+
+def _plan(docs: DataFrame, key: list[str], weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """The plan, each row with the columns `key` of its row of docs."""
     sizes = stage(
         docs.select(
+            *key,
             "doc_id",
             F.col("source").isNull().cast("int").alias("no_source"),
             F.coalesce("source", F.lit("")).alias("src"),
@@ -86,13 +92,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, se
         .join(share, source)
         .select(*group, "source_size", "target", "expected", "offset", F.coalesce(F.sum(F.col("n") * F.col("expected")).over(ahead), F.lit(0)).alias("start"))
     )
-    inside = Window.partitionBy(*group).orderBy("mixed", "doc_id", "size")
+    inside = Window.partitionBy(*group).orderBy("mixed", "doc_id", "size", *key)
     until = F.col("start") + F.sum("expected").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset")
     copies = F.shiftright(F.col("until"), BITS) - F.shiftright(F.col("until") - F.col("expected"), BITS)
     return (
         rows.join(starts, group)
         .withColumn("until", until)
-        .select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+        .select(*key, "doc_id", "size", "source_size", "target", copies.alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
@@ -100,12 +106,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, se
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the plan says.
 
-    Rows that share a doc_id are joined with the summed copies of that doc_id dealt evenly, rounded down.
+    A row is known by two 64-bit hashes of all its columns. Rows equal in every column stand for each other: one of
+    them is emitted as often as the plan says for all of them.
     """
-    chosen = plan(docs, weights, cap, seed).groupBy("doc_id").agg(F.expr("cast(sum(copies) div count(*) as int)").alias("_copies"))
-    chosen = chosen.where("_copies > 0").withColumnRenamed("doc_id", "_doc_id")
-    each = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    whole = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    keyed = docs.withColumn("_h1", F.xxhash64(*whole)).withColumn("_h2", F.xxhash64(F.lit("second"), *whole))
+    chosen = _plan(keyed, ["_h1", "_h2"], weights, cap, seed).groupBy("_h1", "_h2").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    chosen = stage(chosen.where("_copies > 0"))
+    each = keyed.join(chosen.where("_rows = 1").drop("_rows"), ["_h1", "_h2"])
+    repeated = chosen.where("_rows > 1").drop("_rows")
+    if not repeated.isEmpty():
+        each = each.unionByName(keyed.join(repeated, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"]))
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
