@@ -77,6 +77,17 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_a_doc_id(spark):
+    """What one text repeats is not taken from another text of the same doc_id, or of none."""
+    texts = {name: "\n".join(f"{name}{k}" for k in range(6)) for name in "abcd"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (7, texts["c"]), (7, texts["d"]), (7, texts["d"]), (None, texts["a"].replace("a", "e")), (None, texts["a"] + "\nnull"), (9, texts["a"]), (9, "x\ny\nz\nu\nv\nw")]
+    got = collections.Counter(tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {
+        (1, "", 6, 6): 1, (1, texts["b"], 6, 0): 1, (7, texts["c"], 6, 0): 1, (7, texts["d"], 6, 0): 2, (None, texts["a"].replace("a", "e"), 6, 0): 1,
+        (None, texts["a"] + "\nnull", 7, 0): 1, (9, "", 6, 6): 1, (9, "x\ny\nz\nu\nv\nw", 6, 0): 1,
+    }
+
+
 def luhn(value):
     total = 0
     for k, d in enumerate(int(c) for c in reversed(value) if c.isdigit()):
@@ -324,6 +335,18 @@ def test_chat_round_trip(spark):
         assert "<" not in inner and "[" not in inner
 
 
+def test_chat_without_conv_id(spark):
+    rows = [(None, 0, "user", "one"), (None, 1, "assistant", "two"), (4, 0, "user", "three")]
+    nodes = chat.conversation_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for threshold in ("10485760", "-1"):  # joined by broadcast, and by sorting
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            back = {r.tree: [tuple(t) for t in r.turns] for r in chat.read_back(chat.format_paths(nodes, chat.best_paths(nodes))).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert back == {None: [("user", "one"), ("assistant", "two")], 4: [("user", "three")]}
+
+
 def test_reply_tree_paths(spark):
     #      1
     #    2   3

@@ -11,7 +11,7 @@ written \\\\, \\( and \\{, so no control string can occur there, and reading bac
 list of code point spans, one for the text of each assistant turn.
 
 Defined edge cases: null text and null role are empty; a message whose parent is absent is a root; messages
-on a cycle belong to no path; ties in score go to the lower leaf; an empty table gives an empty result;
+on a cycle belong to no path; ties in score go to the lower leaf; a null tree is a tree like any other; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -41,13 +41,18 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with tree wrapped, so that a null tree joins like any other; tree.tree is what it was."""
+    return df.withColumn("tree", F.struct("tree"))
+
+
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """nodes: tree, node, parent, score -> tree, leaf, branch (rank from 1), node, place (0 at the root).
 
     The score of a path is the mean of its messages' scores.
     """
     keys = ["tree", "node"]
-    nodes = stage(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
+    nodes = stage(_keyed(nodes).select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
     known = nodes.select("tree", F.col("node").alias("parent"))
     up = nodes.join(known, ["tree", "parent"], "left_semi").select(*keys, F.col("parent").alias("up"))
     state = stage(nodes.join(up, keys, "left").select(*keys, "up", F.lit(1).alias("length"), F.col("score").alias("total")))
@@ -72,13 +77,13 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     for k in reversed(range(len(steps))):
         further = walk.join(steps[k], ["tree", "node"]).select("tree", "leaf", "branch", "length", F.col("up").alias("node"), (F.col("back") + 2**k).alias("back"))
         walk = stage(walk.unionByName(further))
-    return walk.select("tree", "leaf", "branch", "node", (F.col("length") - 1 - F.col("back")).alias("place"))
+    return walk.select("tree.tree", "leaf", "branch", "node", (F.col("length") - 1 - F.col("back")).alias("place"))
 
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """messages: tree, node, role, text. Gives tree, leaf, branch, formatted, loss array<struct<start, length>>."""
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    turns = paths.join(messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), role.alias("r"), text.alias("t")), ["tree", "node"])
+    turns = _keyed(paths).join(_keyed(messages).select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), role.alias("r"), text.alias("t")), ["tree", "node"])
     turns = turns.withColumn("turn", F.concat(F.lit(OPEN), "r", F.lit(MIDDLE), "t", F.lit(CLOSE)))
     path = ["tree", "leaf", "branch"]
     before = Window.partitionBy(*path).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +91,8 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     span = F.when(F.col("role") == LEARN, F.struct(F.col("start"), F.length("t").cast("long").alias("length")))
     whole = turns.withColumn("start", start.cast("long")).groupBy(*path).agg(F.array_sort(F.collect_list(F.struct("place", "turn", span.alias("span")))).alias("all"))
     return whole.select(
-        *path,
+        "tree.tree",
+        *path[1:],
         F.array_join(F.col("all.turn"), "").alias("formatted"),
         F.filter(F.col("all.span"), lambda x: x.isNotNull()).alias("loss"),
     )

@@ -1,14 +1,15 @@
 """Line deduplication by overlapping three-line windows.
 
 Every window of three consecutive lines gets a 128-bit hash. A window that occurs more than once in the
-corpus keeps its first occurrence (lowest doc_id, then lowest line); all lines covered by a later occurrence
+corpus keeps its first occurrence (lowest doc_id, then text hash, then lowest line); all lines covered by a later occurrence
 go, overlapping and touching windows being merged first.
 
 Hot windows are counted with map-side combine; the join back to the occurrences is a plain join that adaptive
 execution splits. What a document loses is a list of intervals, so the final rewrite is linear in its lines.
 
 Defined edge cases: a null text counts as empty and comes back as ''; a text of fewer than three lines loses
-nothing; rows that repeat both doc_id and text are one document given twice and lose the same lines; windows
+nothing; rows that repeat both doc_id and text are one document given twice and lose the same lines, rows that
+share a doc_id, or have none, with different texts are documents of their own; windows
 that repeat inside a document count as later occurrences; further columns are ignored.
 """
 
@@ -26,39 +27,46 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _key() -> Column:
+    """With doc_id, what tells documents apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, line (from 0), h1, h2: one row for each window."""
-    lines = docs.select("doc_id", _lines(F.col("text")).alias("lines")).where(F.size("lines") >= width)
+    """doc_id, text_key, line (from 0), h1, h2: one row for each window."""
+    lines = docs.select("doc_id", _key(), _lines(F.col("text")).alias("lines")).where(F.size("lines") >= width)
     starts = F.sequence(F.lit(0), F.size("lines") - width)
 
     def both(i: Column) -> Column:
         part = [F.col("lines")[i + k] for k in range(width)]
         return F.struct(i.alias("line"), F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit("second"), *part).alias("h2"))
 
-    return lines.select("doc_id", F.inline(F.transform(starts, both)))
+    return lines.select("doc_id", "text_key", F.inline(F.transform(starts, both)))
 
 
 def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, starts, ends: merged intervals of lines (inclusive) that later occurrences cover."""
+    """doc_id, text_key, starts, ends: merged intervals of lines (inclusive) that later occurrences cover."""
     seen = windows(docs, width)
     first = (
         seen.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "line")).alias("first"))
         .where("n > 1")
-        .select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+        .select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"), F.col("first.line").alias("first_line"))
     )
-    later = seen.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    per = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("at"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")) & (F.col("line") == F.col("first_line"))
+    later = seen.join(first, ["h1", "h2"]).where(~is_first)
+    per = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("at"))
     last = F.size("at") - 1
     opens = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > width))
     shuts = F.filter("at", lambda x, i: (i == last) | (F.get("at", i + 1) - x > width))
-    return per.select("doc_id", opens.alias("starts"), F.transform(shuts, lambda x: x + (width - 1)).alias("ends"))
+    return per.select("doc_id", "text_key", opens.alias("starts"), F.transform(shuts, lambda x: x + (width - 1)).alias("ends"))
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text (what stays), n_lines, n_removed."""
-    gone = removed_lines(docs, width).withColumnRenamed("doc_id", "_id")
-    each = docs.select("doc_id", _lines(F.col("text")).alias("lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = removed_lines(docs, width).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    each = docs.select("doc_id", _key(), _lines(F.col("text")).alias("lines"))
+    each = each.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
 
     def between(k: Column) -> Column:
         begin = F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
