@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -439,6 +440,21 @@ def test_license_scan(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_scan_wrapped_and_dual(spark):
+    """Notices wrapped over lines, also behind comment signs and in a long block, and two families in one text."""
+    mit = licenses.FAMILIES["MIT"][3]
+    bsd, lgpl = licenses.FAMILIES["BSD"][0], licenses.FAMILIES["LGPL"][0]
+    wrap = lambda t, n, lead="": "\n".join(lead + x for x in textwrap.wrap(t, n))
+    rng = random.Random(2)
+    rows = [
+        (1, "head\n\n" + wrap(mit, 72) + "\n\nfoot"), (2, wrap(bsd, 40, " * ")), (3, wrap(mit, 50) + "\n" + wrap(bsd, 50)), (4, "Licensed under the MIT License or the Apache License, Version 2.0."),
+        (5, wrap(lgpl, 60)), (6, "\n".join(sentence(rng, 8) for _ in range(40)) + "\n" + wrap(mit, 30) + "\n" + sentence(rng, 9)), (7, "\n\n".join(wrap(mit, 30).split("\n"))), (None, wrap(mit, 72)), (8, None),
+        (9, "\n".join(wrap(t, 30) for t in licenses.UNKNOWN)),
+    ]
+    got = collections.Counter((r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(1, 2, "MIT"), (2, 0, "BSD"), (3, 0, "MIT"), (3, 0, "BSD"), (4, 0, "MIT"), (4, 0, "Apache-2.0"), (5, 0, "LGPL"), (6, 0, "MIT"), (None, 0, "MIT")])
+
+
 def test_split_words():
     offsets, codes, words = split_words(pa.array([" a  b\n", None, "", "b", "\t"]))
     words = words.to_pylist()

@@ -1,6 +1,6 @@
 """License scan: a trained paragraph classifier, its unknown class calibrated, its findings confirmed.
 
-Paragraphs (lines) are lower-cased, parted into words at everything but a-z, 0-9, "+", "-" and inner dots, and seen as
+Paragraphs (lines, and runs of lines that hold words, as notices are often wrapped) are lower-cased, parted into words at everything but a-z, 0-9, "+", "-" and inner dots, and seen as
 sets of word bigrams and trigrams, n-grams of nothing but stop words left out. A softmax over the license
 families and one unknown class is trained in numpy, on the driver, from the notices in license_texts: whole, cut
 into stretches, and set among foreign words; the unknown class learns from paragraphs about licenses that grant
@@ -8,6 +8,10 @@ none and from shuffled words. A temperature chosen on paragraphs kept back calib
 prediction counts only if it is not the unknown class, reaches `least_probability`, and the paragraph holds at
 least `least_coverage` of the n-grams of one of the family's templates.
 
+A paragraph may hold notices of several families. After the likeliest one every other family is reported of which a
+template is covered, by that template's n-grams alone, as far as the families reported before do not explain them.
+A run of lines is reported under its first line, for families that none of its lines tells by itself.
+
 The scan is DataFrame functions only: n-grams are exploded, joined with the weights (a broadcast as large as the
 model, some thousand rows), and only the n-grams found travel to the sums.
 
@@ -26,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .license_texts import FAMILIES, UNKNOWN
 
 ORDERS = (2, 3)
@@ -141,38 +145,106 @@ def _grams(words: Column) -> Column:
     return F.flatten(F.array(*map(of, ORDERS)))
 
 
+def _crossing(own: Column, following: Column) -> Column:
+    """The n-grams that begin in own words and end in following ones."""
+    found = []
+    for n in ORDERS:
+        for k in range(1, n):  # words of own
+            words = [F.get(own, F.size(own) - k + i) for i in range(k)] + [F.get(following, F.lit(i)) for i in range(n - k)]
+            found.append(F.when((F.size(own) >= k) & (F.size(following) >= n - k), F.concat_ws(" ", *words)))
+    return F.array_compact(F.array(*found))
+
+
 def scan(
     docs: DataFrame, model: Model | None = None, least_probability: float = LEAST_PROBABILITY, least_coverage: float = LEAST_COVERAGE, paragraph_break: str = BREAK
 ) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, coverage: one row for each paragraph that is a notice."""
+    """doc_id, paragraph (from 0: its first line), family, probability, coverage: one row for each family found in a line or run of lines."""
     spark = docs.sparkSession
     model = model or train()
     classes = len(model.families) + 1
     weights = F.broadcast(
         spark.createDataFrame([(g, i, *map(float, model.weights[i])) for g, i in model.vocabulary.items()], "gram string, g int, " + ", ".join(f"w{k} double" for k in range(classes)))
     )
+    vocabulary, weights = weights.select("gram", "g"), weights.drop("gram")
+    vocabulary, weights = F.broadcast(vocabulary), F.broadcast(weights)
+    of_all = {f: sorted(model.vocabulary[g] for g in set().union(*(t for x, t in model.templates if x == f))) for f in model.families}
+    grams_of_templates = spark.createDataFrame([(k, sorted(model.vocabulary[g] for g in t), of_all[f]) for k, (f, t) in enumerate(model.templates)], "template int, of_template array<int>, of_all array<int>")
     members = F.broadcast(
         spark.createDataFrame(
             [(model.vocabulary[g], t, model.families.index(family), len(grams)) for t, (family, grams) in enumerate(model.templates) for g in sorted(grams)],
             "g int, template int, of_family int, n int",
         )
     )
-    lines = docs.select("doc_id", F.posexplode(F.split("text", paragraph_break)).alias("paragraph", "line"))
-    plain = F.trim(F.regexp_replace(F.lower("line"), SEPARATOR, " "))
-    # The generator keeps the words from being computed again for each n-gram.
-    words = lines.select("doc_id", "paragraph", F.explode(F.array(F.split(plain, " +"))).alias("words"))
-    grams = words.select("doc_id", "paragraph", F.explode(_grams(F.col("words"))).alias("gram"))
-    unit = ["doc_id", "paragraph"]
-    found = grams.join(weights, "gram").groupBy(*unit, "g").agg(*(F.first(f"w{k}").alias(f"w{k}") for k in range(classes)))
-    logits = [((F.sum(f"w{k}") + float(model.bias[k])) / model.temperature).alias(f"z{k}") for k in range(classes)]
-    scored = found.groupBy(*unit).agg(F.collect_set("g").alias("held"), *logits)
-    z = F.array(*(F.col(f"z{k}") for k in range(classes)))
-    scored = scored.withColumn("top", F.array_max(z)).withColumn("family", (F.array_position(z, F.col("top")) - 1).cast("int"))
-    scored = scored.withColumn("probability", 1 / F.aggregate(F.transform(z, lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v))
-    likely = scored.where((F.col("family") < classes - 1) & (F.col("probability") >= least_probability))
-    covered = likely.select(*unit, "family", "probability", F.explode("held").alias("g")).join(members, "g").where("family = of_family")
-    covered = covered.groupBy(*unit, "family", "probability", "template", "n").agg((F.count("*") / F.col("n")).alias("coverage"))
-    best = covered.groupBy(*unit, "family", "probability").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= least_coverage)
+    clean = F.transform(F.split(F.coalesce("text", F.lit("")), paragraph_break), lambda x: F.trim(F.regexp_replace(F.lower(x), SEPARATOR, " ")))
+    # Generators keep what they hold from being computed again by each reader.
+    cleaned = docs.select("doc_id", F.explode(F.array(clean)).alias("lines"))
+    line, at = (lambda i: F.get("lines", i)), F.sequence(F.lit(0), F.size("lines") - 1)
+    opens = F.filter(at, lambda i: (line(i) != "") & (F.coalesce(line(i - 1), F.lit("")) == ""))
+    shuts = F.filter(at, lambda i: (line(i) != "") & (F.coalesce(line(i + 1), F.lit("")) == ""))
+    runs = cleaned.select("doc_id", F.explode(F.transform(F.arrays_zip(opens.alias("a"), shuts.alias("b")), lambda x: F.struct(x["a"].alias("block"), F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1).alias("lines")))).alias("run"))
+    each = runs.select("doc_id", "run.block", "run.lines", F.posexplode("run.lines").alias("place", "line"))
+    following = F.split(F.concat_ws(" ", F.get("lines", F.col("place") + 1), F.get("lines", F.col("place") + 2)), " +")
+    following = F.when(F.col("place") + 1 < F.size("lines"), F.slice(following, 1, max(ORDERS) - 1)).otherwise(F.array().cast("array<string>"))
+    words = each.select("doc_id", "block", (F.col("block") + F.col("place")).alias("line"), F.split("line", " +").alias("own"), following.alias("following"))
+    words = words.select("doc_id", "block", "line", F.explode(F.array(F.struct("own", "following"))).alias("held"))
+    own, n = F.col("held.own"), F.size("held.own")
+    n_inside = sum((F.greatest(n - (k - 1), F.lit(0)) for k in ORDERS), F.lit(0))
+    grams = words.select("doc_id", "block", "line", n_inside.alias("n_inside"), F.posexplode(F.concat(_grams(own), _crossing(own, F.col("held.following")))).alias("pos", "gram"))
+    grams = grams.select("doc_id", "block", "line", (F.col("pos") < F.col("n_inside")).alias("inside"), "gram")
+    rows = grams.join(vocabulary, "gram")
+    # A gram counts for its line, if it lies in one line, and for the run of lines around it.
+    place = [F.struct(F.lit(0).alias("kind"), F.col("line").alias("paragraph")), F.struct(F.lit(1).alias("kind"), F.col("block").alias("paragraph"))]
+    rows = rows.select("doc_id", "block", "g", F.explode(F.when(F.col("inside"), F.array(*place)).otherwise(F.array(place[1]))).alias("unit"))
+    unit = ["doc_id", "block", "kind", "paragraph"]
+    least = min(int(np.ceil(least_coverage * len(grams))) for _, grams in model.templates)
+    held = rows.groupBy("doc_id", "block", "unit").agg(F.array_sort(F.collect_set("g")).alias("held")).where(F.size("held") >= least)
+    held = stage(held.select("doc_id", "block", "unit.kind", "unit.paragraph", "held"))
+
+    def scored(df: DataFrame, by: list[str]) -> DataFrame:
+        """Adds z, the logits of the n-grams g of each group."""
+        logits = [((F.sum(f"w{k}") + float(model.bias[k])) / model.temperature) for k in range(classes)]
+        return df.join(weights, "g").groupBy(*by).agg(F.array(*logits).alias("z"))
+
+    def probability(k: Column) -> Column:
+        top = F.array_max("z")
+        return F.exp(F.get("z", k) - top) / F.aggregate(F.transform("z", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+
+    # The likeliest family of all n-grams; then every family of which a template is covered, by the template's n-grams.
+    single = held.select(*unit, "held", F.explode("held").alias("g"))
+    likeliest = scored(single, unit).withColumn("family", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
+    likeliest = likeliest.select(*unit, F.struct("family", probability(F.col("family")).alias("probability")).alias("first"))
+    in_template = single.drop("held").join(members, "g")
+    by_template = scored(in_template, [*unit, "template", "of_family", "n"]).select(*unit, "template", "of_family", probability(F.col("of_family")).alias("p"))
+    share = in_template.groupBy(*unit, "template", "of_family", "n").agg((F.count("*") / F.col("n")).alias("coverage")).where(F.col("coverage") >= least_coverage)
+
+    def same(x: DataFrame, y: DataFrame, by: list[str]) -> list[Column]:
+        return [x[c].eqNullSafe(y[c]) for c in by]
+
+    full = [*unit, "template", "of_family"]
+    covered = share.join(by_template, same(share, by_template, full)).select(*(share[c] for c in full), "coverage", "p")
+    covered = covered.join(likeliest, same(covered, likeliest, unit)).select(*(covered[c] for c in full), "coverage", "p", "first")
+    is_first = F.col("of_family") == F.col("first.family")
+    p = F.when(is_first & (F.col("first.probability") >= least_probability), F.col("first.probability")).otherwise(F.col("p"))
+    covered = covered.withColumn("p", p).where(F.col("p") >= least_probability)
+    covered = covered.join(F.broadcast(grams_of_templates), ["template"])
+    rank = F.struct((~is_first).alias("later"), (-F.col("coverage")).alias("c"), (-F.col("p")).alias("q"), "template", F.col("of_family").alias("family"), F.col("p").alias("probability"), "coverage", "of_template", "of_all")
+    candidates = covered.groupBy(*unit).agg(F.array_sort(F.collect_list(rank)).alias("candidates"))
+    candidates = candidates.join(held, same(candidates, held, unit)).select(*(candidates[c] for c in unit), "candidates", "held")
+    found = "struct<family:int,probability:double,coverage:double>"
+
+    def accept(taken: Column, c: Column) -> Column:
+        """A candidate is taken if what no family before it explains of its template is covered too."""
+        fresh = F.array_except(c["of_template"], taken["explained"])
+        good = (F.size(fresh) > 0) & (F.size(F.array_intersect(fresh, F.col("held"))) >= F.size(fresh) * F.lit(least_coverage))
+        more = F.struct(F.array_union(taken["explained"], c["of_all"]).alias("explained"), F.concat(taken["found"], F.array(F.struct(c["family"].alias("family"), c["probability"].alias("probability"), c["coverage"].alias("coverage")))).alias("found"))
+        return F.when(good, more).otherwise(taken)
+
+    none = F.struct(F.array().cast("array<int>").alias("explained"), F.array().cast(f"array<{found}>").alias("found"))
+    taken = stage(candidates.select(*unit, F.inline(F.aggregate("candidates", none, accept)["found"])))
+    # What a line tells by itself is not told again for the lines around it.
+    told = taken.where("kind = 0").select(F.col("doc_id").alias("_doc"), F.col("block").alias("_block"), F.col("family").alias("_family")).distinct()
+    around = taken.where("kind = 1").join(told, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("block") == F.col("_block")) & (F.col("family") == F.col("_family")), "left_anti")
+    best = taken.where("kind = 0").unionByName(around)
     names = F.array(*map(F.lit, model.families))
     return best.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.element_at(names, F.col("family") + 1).alias("family"), "probability", "coverage")
 
