@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Base patterns, by the order of kinds. Possessive quantifiers and the look-behinds only spare the
-#: engine starts that cannot match; card keeps to runs of at least 12 digits, since shorter ones are dropped anyway.
+#: Base patterns, by the order of kinds. The look-behinds only spare the engine starts that cannot match.
+#: Possessive quantifiers change no match, since what they hold cannot be given back to what follows; they keep the
+#: engine from descending once for each repeat, which a long domain would turn into a stack overflow. Card keeps to runs of
+#: at least 12 digits, since shorter ones are dropped anyway.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -132,15 +134,18 @@ def disclosing_terms(
     """
     entity = F.concat_ws(":", "kind", F.lower("value"))
     seen = matches.select(*ROW, entity.alias("entity"), "begin", F.explode(F.array_distinct("near")).alias("term"))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("doc_id").alias("documents"))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct(F.struct(*ROW)).alias("documents"))
     pairs = stage(pairs.where(F.col("documents") >= least_documents))
     asked = pairs.select("term").distinct()
+    # One pass counts both the asked terms and all words.
     words = _words(_texts(docs))
     if asked.count() <= broadcast_terms:
-        counted = words.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("total"))
+        counts = words.join(F.broadcast(asked.withColumn("hit", F.lit(True))), "term", "left").groupBy(F.when(F.col("hit"), F.col("term")).alias("term")).agg(F.count("*").alias("total"))
     else:
-        counted = words.groupBy("term").agg(F.count("*").alias("total")).join(asked, "term", "left_semi")
-    size = _texts(docs).agg(F.sum(F.regexp_count("text", F.lit(TERM)))).first()[0] or 0
+        counts = words.groupBy("term").agg(F.count("*").alias("total"))
+    counts = stage(counts)
+    counted = counts.join(asked, "term", "left_semi")
+    size = counts.agg(F.sum("total")).first()[0] or 0
     alone = matches.groupBy(entity.alias("entity")).agg(F.count("*").alias("occurrences"))
     rated = pairs.join(counted, "term").join(alone, "entity").withColumn("given", F.least(F.lit(1.0), F.col("together") / F.col("total")))
     own = -F.log(F.col("occurrences") / F.lit(max(2, size)))
