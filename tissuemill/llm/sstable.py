@@ -2,25 +2,28 @@
 
 A shard is one immutable file:
 
-    magic "TMSST1\\0\\0"
+    magic "TMSST2\\0\\0"
     data blocks   entries in ascending key order; keys are prefix-compressed inside a block
     filter        Bloom filter over the shard's keys
     index         sparse: first and last key, offset, length and first token position of each block
     footer        fixed 64 bytes: offsets and lengths of filter and index, number of entries, of tokens, magic
 
-A key is the doc_id as 8 big-endian bytes with the sign bit flipped, so byte order is numeric order. An entry is
+A key is nine bytes: 1 and the doc_id as 8 big-endian bytes with the sign bit flipped, so byte order is numeric order,
+or nine zeros for a null doc_id. An entry is
 varint(shared prefix) varint(rest of key) varint(tokens) rest; the token ids of a block follow its entries as
 little-endian unsigned integers, 2 bytes wide if the vocabulary allows it and 4 otherwise, the whole block
 compressed with zstandard. `lookup` asks the Bloom filter, bisects the index and decodes one block.
 
-Writing: documents are dealt by key range and sorted inside each range before they are tokenized, so token ids
-are never shuffled. Each task writes its shard under a name of its own attempt; the manifest, committed by
-Spark's output committer, names the shards that count, so a lost executor or a repeated task leaves at most an
-unnamed file. The manifest has one row for each shard.
+Writing: documents are dealt by ranges of (doc_id, hash of text) and sorted inside each range before they are
+tokenized, so token ids are never shuffled and one doc_id's rows may fill many ranges. A task begins a new shard after
+`shard_tokens` tokens or `shard_docs` documents, so neither a file nor what is held for its Bloom filter grows with the
+range. Each shard is written under a name of its own attempt; the manifest, committed by Spark's output committer, names
+the shards that count, so a lost executor or a repeated task leaves at most an unnamed file. The manifest has one row
+for each shard, ordered by range and number.
 
-Defined edge cases: a null or empty text has only the end id; a null doc_id sorts first (key of the lowest
-number); rows that repeat a doc_id are entries with equal keys, in the order of their texts; an empty table
-gives no shards; further columns are ignored.
+Defined edge cases: a null or empty text has only the end id; a null doc_id sorts first; rows that repeat a doc_id are
+entries with equal keys, in the order of a hash of their texts, then of the texts; an empty table gives no shards;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,33 +40,36 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_strings, map_arrow, shared_dir, slices, split_words, stage, table
 
-MAGIC = b"TMSST1\0\0"
+MAGIC = b"TMSST2\0\0"
 FOOTER = struct.Struct("<QQQQQQQ8s")
 BLOCK_TOKENS = 32_768
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 END_ID = 2
-LOWEST = -(1 << 63)
+SHARD_TOKENS = 1 << 26
+SHARD_DOCS = 1 << 20
+NO_KEY = bytes(9)
 #: Words whose ids a worker keeps between batches; beyond it the memory starts anew.
 MEMORY_WORDS = 1_000_000
 ENCODE_BYTES = 8 << 20
 TOKENIZER_FILE = "word_bpe_49k.json"
 
-MANIFEST = "shard string, first_key long, n_docs long, n_tokens long"
+MANIFEST = "shard string, part int, number int, n_docs long, n_tokens long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def encode_key(key: int | None) -> bytes:
-    return struct.pack(">Q", ((LOWEST if key is None else key) + (1 << 63)) & (2**64 - 1))
+    return NO_KEY if key is None else b"\1" + struct.pack(">Q", key + (1 << 63))
 
 
-def decode_key(raw: bytes) -> int:
-    return struct.unpack(">Q", raw)[0] - (1 << 63)
+def decode_key(raw: bytes) -> int | None:
+    return None if raw == NO_KEY else struct.unpack(">Q", raw[1:])[0] - (1 << 63)
 
 
 def varint(n: int) -> bytes:
@@ -120,17 +126,18 @@ class Bloom:
         self.bits = bits
 
     @classmethod
-    def of(cls, keys: list[bytes]) -> Bloom:
-        bloom = cls(np.zeros(max(8, len(keys) * BLOOM_BITS_PER_KEY // 8 + 1), np.uint8))
-        for key in keys:
-            for at in bloom._places(key):
-                bloom.bits[at >> 3] |= 1 << (at & 7)
-        return bloom
+    def of(cls, digests: bytes) -> Bloom:
+        """Of the digests of the keys, one after the other."""
+        halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+        flags = np.zeros(max(8, len(halves) * BLOOM_BITS_PER_KEY // 8 + 1) * 8, bool)
+        for i in range(BLOOM_HASHES):
+            flags[(halves[:, 1] + np.uint64(i) * (halves[:, 0] | np.uint64(1))) % np.uint64(len(flags))] = True
+        return cls(np.packbits(flags, bitorder="little"))
 
     def _places(self, key: bytes) -> list[int]:
         h = xxhash.xxh3_128_intdigest(key)
         first, second, n = h & (2**64 - 1), h >> 64 | 1, len(self.bits) * 8
-        return [(first + i * second) % n for i in range(BLOOM_HASHES)]
+        return [(first + i * second) % 2**64 % n for i in range(BLOOM_HASHES)]
 
     def __contains__(self, key: bytes) -> bool:
         return all(self.bits[at >> 3] >> (at & 7) & 1 for at in self._places(key))
@@ -142,7 +149,8 @@ class ShardWriter:
     def __init__(self, stream, width: int):
         self.stream, self.width = stream, width
         self.at = stream.write(MAGIC) or len(MAGIC)
-        self.keys: list[bytes] = []
+        self.digests = bytearray()
+        self.docs = 0
         self.index: list[bytes] = []
         self.tokens = 0
         self._start()
@@ -168,22 +176,23 @@ class ShardWriter:
         self.stream.write(raw)
         self.index.append(self.block_keys[0] + self.block_keys[-1] + struct.pack("<QQQ", self.at, len(raw), self.tokens))
         self.at += len(raw)
-        self.keys += self.block_keys
+        self.digests += b"".join(map(xxhash.xxh3_128_digest, self.block_keys))
+        self.docs += len(self.block_keys)
         self.tokens += self.held
         self._start()
 
     def close(self) -> None:
         self.flush()
-        bloom, index = Bloom.of(self.keys).bits.tobytes(), b"".join(self.index)
+        bloom, index = Bloom.of(bytes(self.digests)).bits.tobytes(), b"".join(self.index)
         self.stream.write(bloom + index)
-        self.stream.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), len(self.keys), self.tokens, self.width, MAGIC))
+        self.stream.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.docs, self.tokens, self.width, MAGIC))
         self.stream.close()
 
 
 class Shard:
     """Random access to a shard; reads the footer, then what a call needs."""
 
-    ENTRY = struct.Struct("<8s8sQQQ")
+    ENTRY = struct.Struct("<9s9sQQQ")
 
     def __init__(self, path: str):
         fs, inner = pafs.FileSystem.from_uri(path)
@@ -208,12 +217,12 @@ class Shard:
             yield key, start + done, ids[done : done + count]
             done += count
 
-    def scan(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         for entry in self.index:
             for key, start, ids in self._block(entry):
                 yield decode_key(key), start, ids
 
-    def lookup(self, doc_id: int) -> list[np.ndarray]:
+    def lookup(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every entry with this key: Bloom filter, then binary search in the sparse index."""
         key = encode_key(doc_id)
         if key not in self.bloom:
@@ -316,32 +325,46 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: int | None = None, folder: str | None = None) -> DataFrame:
-    """Write docs (doc_id, text) and return the manifest: shard, first_key, n_docs, n_tokens."""
+def write_shards(
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS
+) -> DataFrame:
+    """Write docs (doc_id, text) and return the manifest: shard, part, number, n_docs, n_tokens.
+
+    tokenizer: path of a vocabulary file on the workers; None stands for the public one that each worker looks up.
+    """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, first = None, None
+        encoder, writer, part_id, number = None, None, TaskContext.get().partitionId(), 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard]), pa.array([part_id], pa.int32()), pa.array([number], pa.int32()), pa.array([writer.docs]), pa.array([writer.tokens])], ["shard", "part", "number", "n_docs", "n_tokens"]
+            )
+
         for batch in batches:
             for part in slices(batch, "text", ENCODE_BYTES):
-                if writer is None:
-                    encoder = Encoder.kept(tokenizer)
-                    width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-                    shard = f"{folder}/{uuid.uuid4().hex}.sst"
-                    fs, inner = pafs.FileSystem.from_uri(shard)
-                    fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                    writer = ShardWriter(fs.open_output_stream(inner), width)
+                encoder = encoder or Encoder.kept(tokenizer or default_tokenizer())
                 for key, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"), end_id), strict=True):
-                    first = (LOWEST if key is None else key) if first is None else first
+                    if writer is None:
+                        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                        shard = f"{folder}/{uuid.uuid4().hex}.sst"
+                        fs, inner = pafs.FileSystem.from_uri(shard)
+                        fs.create_dir(inner.rpartition("/")[0], recursive=True)
+                        writer = ShardWriter(fs.open_output_stream(inner), width)
                     writer.add(key, ids)
+                    if writer.tokens + writer.held >= shard_tokens or writer.docs + len(writer.block_keys) >= shard_docs:
+                        yield closed()
+                        writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "first_key": [first], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
+            yield closed()
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(map_arrow(ranged, write, MANIFEST))
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    ranged = keyed.repartitionByRange(partitions, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text")
+    return stage(map_arrow(ranged.select("doc_id", "text"), write, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -350,7 +373,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     The offsets of the shards are a prefix sum over the manifest, one row for each shard; each travels with its
     shard to the task that reads it, so what is read is never joined, shuffled or broadcast.
     """
-    before = Window.orderBy("first_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +381,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             for path, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 rows: list[tuple] = []
                 for key, start, ids in Shard(path).scan():
-                    rows.append((None if key == LOWEST else key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(rows) == 20_000:
                         yield _records(rows)
                         rows = []
@@ -380,7 +403,7 @@ def default_tokenizer() -> str:
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return read_shards(write_shards(docs, tokenizer or default_tokenizer()))
+    return read_shards(write_shards(docs, tokenizer))
 
 
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
