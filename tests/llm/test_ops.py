@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tissuemill.llm import catalog, chat, decontaminate, licenses, line_dedup, mixing, ngram_join, order_minhash, privacy, quality, sstable
 from tissuemill.llm.common import split_words
@@ -138,7 +139,8 @@ def test_sstable_round_trip(docs, rows, spark, tmp_path, empty):
 
     path = sstable.default_tokenizer()
     reference = Tokenizer.from_file(path)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    text_key = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_key(r[1] or ""), r[1] or ""))
     got = [tuple(r) for r in sstable.encode_and_read(docs).collect()]
     expected, at = [], 0
     for r in order:
@@ -153,6 +155,22 @@ def test_sstable_round_trip(docs, rows, spark, tmp_path, empty):
         assert [*reference.encode(r[1] or "", add_special_tokens=False).ids, 2] in hits
     assert not any(s.lookup(10**12) for s in shards)
     assert sstable.encode_and_read(empty).count() == 0
+    small = sstable.write_shards(docs, partitions=2, shard_tokens=500, shard_docs=5)
+    assert small.count() > 10 and max(r.n_docs for r in small.collect()) <= 5
+    assert sorted(map(tuple, sstable.read_shards(small).collect()), key=lambda r: r[1]) == expected
+
+
+def test_sstable_hot_and_extreme_keys(spark, tmp_path):
+    """One key with a third of the rows fills many ranges; the lowest number is not the absent one."""
+    rows = [(7, f"copy {k}") for k in range(300)] + [(k, "x") for k in range(100, 400)] + [(-(2**63), "lowest"), (2**63 - 1, "highest"), (None, "none"), (None, None)]
+    manifest = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), partitions=6, folder=f"file://{tmp_path}")
+    held = manifest.collect()
+    assert len(held) == 6 and max(r.n_docs for r in held) < 250
+    got = sstable.read_shards(manifest).orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and collections.Counter(ids) == collections.Counter(r[0] for r in rows)
+    shards = [sstable.Shard(r.shard) for r in held]
+    assert sum(len(s.lookup(7)) for s in shards) == 300 and sum(len(s.lookup(None)) for s in shards) == 2 and sum(len(s.lookup(-(2**63))) for s in shards) == 1
 
 
 def test_encoder_equals_the_tokenizer():
@@ -261,9 +279,26 @@ def test_quality_held_out(spark, data, docs, rows, empty):
     assert quality.score(docs, model).count() == len(rows) and quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(empty, model).count() == 0
     assert quality.train([], []).score(pa.array(["a"])).tolist() == [0.5]
+    odd = spark.createDataFrame([(0, 5), (2, -1), (3, None), (None, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, odd).score(pa.array(["a"])).tolist() == [0.5]
     assert quality.fit(empty, tables[1]).score(pa.array([None], pa.string())).tolist() == [0.5]
 
 
+def test_character_ngrams_are_of_code_points():
+    """Slots of a word: one for each different place and length of n-gram of <word>, and one for the word."""
+    words = ["a", "né", "日本語", "😀x", "abc", "é", "ab"]
+    starts, hashed = quality.slots(pa.array(words))
+    of = {w: hashed[a:b] for w, a, b in zip(words, starts[:-1], starts[1:], strict=True)}
+    for w in words:
+        n = len(w) + 2
+        assert len(of[w]) == 1 + sum(max(0, n - k + 1) for k in quality.NGRAMS)
+    first = lambda w: list(quality.slots(pa.array([w]))[1])
+    shared = lambda a, b: len(set(first(a)) & set(first(b)))
+    assert first("né") == list(of["né"]) and shared("日本語", "日本人") > shared("日本語", "abc") and shared("é", "è") <= 2  # "<" and ">" only
+    bounds, points = quality.code_points(pa.array(["", "é", "ab", ""]))
+    assert bounds.tolist() == [0, 0, 1, 3, 3] and points.tolist() == [0xC3A9, 97, 98]
+
+
 def test_mixing(docs, rows, spark, empty):
     got = mixing.plan(docs).collect()
     assert len(got) == len(rows) and sorted(r.size for r in got) == sorted(len(WORD.findall(r[1] or "")) for r in rows)

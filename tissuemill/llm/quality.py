@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors: one hashed vector for each word and one for each of its character
-n-grams, words being wrapped in "<" and ">". A softmax layer turns the average into a probability. Vectors and
+n-grams (over code points), words being wrapped in "<" and ">". A softmax layer turns the average into a probability. Vectors and
 layer are trained together by stochastic gradient descent in numpy, on the driver, from at most `train_docs`
 labelled documents (the documented bound, taken by the lowest hash of the identifier) of which every word counts.
 
@@ -12,8 +12,8 @@ scoring needs one number for each different word of a batch: the sum over its sl
 Labels are learned only from documents whose crc32(doc_id as text) mod 3 is not 1. Only the text enters a score.
 
 Defined edge cases: a null or empty text has the score of the layer's bias alone; without labelled documents,
-or with one class only, the score is the share of label 1 (0.5 if none); repeated rows are scored alike; rows
-with a null doc_id are never used for training; an empty table gives an empty result; further columns are ignored.
+or with one class only, the score is the share of label 1 (0.5 if none); labels other than 0 and 1 teach nothing;
+repeated rows are scored alike; rows with a null doc_id are never used for training; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,17 +44,31 @@ WORDS_AT_ONCE = 16_384
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, one number for each code point): its UTF-8 bytes, the first one highest."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    first = (raw & 0xC0) != 0x80
+    first[(ends[:-1] - ends[0])[ends[1:] > ends[:-1]]] = True
+    at = np.flatnonzero(first)
+    data = raw[at].astype(np.uint64)
+    if len(at) < len(raw):
+        length = np.diff(np.append(at, len(raw)))
+        for k in range(1, 4):
+            more = length > k
+            data[more] = data[more] << np.uint64(8) | raw[at[more] + k]
+    return np.searchsorted(at, ends - ends[0]), data
+
+
 def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, slots): hashed slots of each word and of its character n-grams, over the UTF-8 bytes of <word>."""
+    """(offsets, slots): hashed slots of each word and of its character n-grams, over the code points of <word>."""
     wrapped = pc.binary_join_element_wise("<", words, ">", "") if len(words) else words
     if not len(wrapped):
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    bounds = np.frombuffer(wrapped.buffers()[1], np.int32)[wrapped.offset : wrapped.offset + len(wrapped) + 1].astype(np.int64)
-    data = np.frombuffer(wrapped.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64)
-    bounds = bounds - bounds[0]
+    bounds, data = code_points(wrapped)
     lengths = np.diff(bounds)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    left = bounds[1:][owner] - np.arange(len(data))  # bytes from here to the end of the word
+    left = bounds[1:][owner] - np.arange(len(data))  # code points from here to the end of the word
     prime = np.uint64(0x100000001B3)
     keys, owners = [], []
     running = np.full(len(data), 0xCBF29CE484222325, np.uint64)
@@ -68,7 +82,7 @@ def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             keys.append(running[fits] + np.uint64(n))
             owners.append(owner[fits])
     place = (np.arange(len(data)) - bounds[:-1][owner]).astype(np.uint64)
-    whole = np.add.reduceat(mix64(data + (place << np.uint64(8))), bounds[:-1])  # every word holds "<" and ">"
+    whole = np.add.reduceat(mix64(data + (place << np.uint64(32))), bounds[:-1])  # every word holds "<" and ">"
     keys.append(whole)
     owners.append(np.arange(len(lengths)))
     key, own = np.concatenate(keys), np.concatenate(owners)
@@ -164,7 +178,7 @@ def remainder(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from a bounded number of labelled documents that are not held out."""
-    use = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "quality").where(remainder(F.col("_id")) != 1)
+    use = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), "quality").where(remainder(F.col("_id")) != 1)
     use = use.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
     rows = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
