@@ -436,11 +436,48 @@ def test_ngram_join_parted_lists(spark):
 
 def test_divide_skip_equals_counting():
     rng = random.Random(5)
-    lists = {q: sorted(rng.sample(range(60), rng.randrange(1, 50))) for q in range(20)}
-    count = collections.Counter(x for v in lists.values() for x in v)
-    for t in range(1, 20):
-        for long in range(t):
-            assert ngram_join.divide_skip(list(lists), lists, t, long) == {x: n for x, n in count.items() if n >= t}
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(60), rng.randrange(0, 50))) for _ in range(rng.randrange(1, 25))]
+        count = collections.Counter(x for v in lists for x in v)
+        need = [rng.randrange(1, 27) for _ in range(60)]
+        assert sorted(ngram_join.divide_skip(lists, need)) == sorted(x for x, n in count.items() if n >= need[x])
+    for _ in range(200):
+        pool = np.sort(np.array(rng.sample(range(10**6), 60), np.uint64))
+        query, sets = pool[:40], [np.sort(np.array(rng.sample(pool.tolist(), rng.randrange(1, 60)), np.uint64)) for _ in range(9)]
+        sets.append(np.delete(query, rng.randrange(40)))
+        expected = [k for k, x in enumerate(sets) if 100 * len(np.intersect1d(query, x)) >= 80 * len(np.union1d(query, x))]
+        assert sorted(ngram_join.linked(query, sets)) == expected
+
+
+def test_ngram_join_on_repeated_and_absent_ids(spark, empty):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black grey pink")
+    rows = [(5, a, 1), (3, a, 2), (5, b, 3), (None, c, 4), (None, c, 5), (None, a, 6), (9, None, 7), (9, "", 8), (9, None, 9), (7, b, 10), (7, b, 11), (None, " ", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = collections.Counter(tuple(r) for r in ngram_join.components(df, broadcast_nodes=0).collect())
+    assert got == {(5, 3, 3): 1, (3, 3, 3): 1, (None, 3, 3): 1, (5, 2, 5): 1, (7, 2, 5): 2, (None, 3, None): 2, (9, 0, 9): 3, (None, 0, None): 1}
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert texts == sorted([(3, a), (5, b), (None, c), (9, None), (9, ""), (9, None), (None, " ")], key=repr)
+    assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_ngram_join_of_a_crowd(spark):
+    """Near copies of one text in more parts than a search takes at once, exact copies spread over many partitions, and a
+    passage that documents of all sizes share without being alike."""
+    rng = random.Random(41)
+    base, passage = sentence(rng, 80).split(), sentence(rng, 60)
+    rows = [(k, " ".join(base)) for k in range(40)]
+    for k in range(120):
+        words = list(base)
+        for at in rng.sample(range(80), rng.randrange(1, 3)):
+            words[at] = f"edit{k}"
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(2000 + k, " ".join([sentence(rng, rng.randrange(0, 30)), passage, sentence(rng, rng.randrange(0, 30))])) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    expected = brute_components(rows)
+    for options in ({"long_list": 8, "block_size": 10, "group": 7}, {"long_list": 2, "group": 1000, "star_rounds": 1}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, **options).collect()} == expected
 
 
 def test_license_scan(docs, rows, empty):
