@@ -184,17 +184,69 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == [*reference.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def xx64(*longs, seed=42):
+    """The engine's hash of several long numbers."""
+    for x in longs:
+        seed = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def xx64_text(*strings):
+    seed = 42
+    for x in strings:
+        seed = xxhash.xxh64_intdigest(x.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
 def fingerprint(text):
-    """The sets of numbered k-mers that two texts agree on decide; here only equality is needed."""
+    """Order MinHash by its definition: for each function all numbered k-mers in the order from its start."""
     words = WORD.findall(text)
-    count, out = collections.Counter(), []
-    for k in range(max(1, len(words) - 1) if words else 0):
-        kmer = tuple(words[k : k + 2])
-        out.append((kmer, count[kmer]))
-        count[kmer] += 1
+    if not words:
+        return []
+    kmers = [words[k : k + 2] for k in range(len(words) - 1)] or [words]
+    count, points = collections.Counter(), []
+    for place, kmer in enumerate(kmers):
+        h = xx64_text(*kmer) << 24 & (2**64 - 1)
+        h = (h - (1 << 64) if h >> 63 else h) >> 24
+        point = np.int64(xx64_pair(h, count[h])).astype(np.uint64)
+        points.append((int(point) >> 24 << 24 | place, place))
+        count[h] += 1
+    out = []
+    for f in range(64):
+        start = ((f - 32) << 58) % 2**64
+        chosen = sorted(points, key=lambda p: (p[0] - start) % 2**64)[:2]
+        ordered = [((p >> 25) & (1 << 39) - 1) for p, _ in sorted(chosen, key=lambda c: (c[1], c[0]))]
+        out.append(f << 32 | (xx64(*ordered) & (2**64 - 1)) >> 32)
     return out
 
 
+def xx64_pair(h, number):
+    """Of a long and an int."""
+    seed = xxhash.xxh64_intdigest(int(h).to_bytes(8, "little", signed=True), 42)
+    seed = xxhash.xxh64_intdigest(int(number).to_bytes(4, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_order_minhash_equals_its_definition(spark, tmp_path):
+    """Fingerprints and likeness of the whole query against brute force."""
+    rng = random.Random(31)
+    texts = [None, "", "one", "one two", "two one two one two one two", *(sentence(rng, n) for n in (3, 9, 30, 130, 700)), *(" ".join(rng.choice("abcde") for _ in range(n)) for n in (12, 90, 400))]
+    rows = [(3 * k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in order_minhash.op4_order_minhash(spark, str(tmp_path)).collect()}
+    told = lambda cells: "".join(f"{x:010x}" for x in cells)
+    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / 64
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, following = text or "", following or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, after = fingerprint(text), fingerprint(edited), fingerprint(following)
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), told(own), told(other)), text
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(like(own, other)) and r.near_next == pytest.approx(like(own, after))
+
+
 def test_order_minhash(docs, rows, spark, empty):
     got = order_minhash.compare_with_edits(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -221,7 +273,7 @@ def test_order_minhash(docs, rows, spark, empty):
 def test_order_minhash_of_short_texts(spark):
     """Halves swapped: about half of all pairs of k-mers change their order, in short texts as in long ones."""
     rng = random.Random(17)
-    texts = {(n, k): [f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (20, 40, 77, 130) for k in range(12)}
+    texts = {(n, k): [f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (20, 40, 77, 130) for k in range(60)}
     rows = [(n, k, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])) for (n, k), w in texts.items()] + [(0, 0, "", "one"), (1, 0, "one", "one"), (2, 0, "one two", "two one"), (3, 0, "a b c", "a b c")]
     df = spark.createDataFrame(rows, "n int, k int, text string, other string")
     both = order_minhash.with_cells(order_minhash.with_cells(df, "text", "a"), "other", "b")

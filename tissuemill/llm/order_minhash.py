@@ -1,13 +1,14 @@
 """Document fingerprints by Order MinHash.
 
 A text is its words; its k-mers are runs of K words, each numbered by how often it occurred before, so that
-repeats differ. Every numbered k-mer is hashed once, and the hash's leading bits name one of BINS bins. There are
-BINS functions, each an order of all k-mers of the text: the bins in an order that belongs to the function, its own
-bin first, and by hash inside a bin. Of each function the LENGTH smallest k-mers are taken, put back into text order
-and hashed as a tuple. In a long text they lie in the function's own bin; where that has too few, other bins
-follow, so a tuple is short only if the whole text is. Two texts agree in a function if they chose the same k-mers in
-the same order there, which is what makes the signature sensitive to edit distance rather than to the set of k-mers
-alone. The likeness of two fingerprints is the share of functions in which they agree.
+repeats differ. Every numbered k-mer is hashed once, to a point of a circle. There are FUNCTIONS functions, each an order
+of all k-mers of the text: by the point, going around from the function's own start; the starts are evenly spread. Of each
+function the LENGTH smallest k-mers of the whole text are taken, put back into text order and hashed as a tuple, so a
+tuple is short only if the whole text is. Two texts agree in a function if they chose the same k-mers in the same order
+there, which is what makes the signature sensitive to edit distance rather than to the set of k-mers alone. The likeness
+of two fingerprints is the share of functions in which they agree. The functions are rotations of one hash, not
+independent: the expected likeness is that of independent ones, but of a text with fewer k-mers than functions,
+neighbouring functions choose the same tuple, so its likeness scatters as that of as many functions as it has k-mers.
 
 Everything is array functions on one row; nothing but the texts themselves is shuffled, once, to bring each
 document next to its successor. Successors come from ranges of doc_id: within a range by a window, across ranges
@@ -30,21 +31,20 @@ from pyspark.sql import functions as F
 from .common import WORD, stage, table
 
 K = 2
-BIN_BITS = 6
+FUNCTION_BITS = 6
+FUNCTIONS = 1 << FUNCTION_BITS
 LENGTH = 2
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
-#: Bits for the index of a k-mer among the LENGTH smallest of all bins.
-INDEX_BITS = 12
-
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column by a generator, which the optimizer never merges into what reads the column."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - BIN_BITS)
+def _arc(x: Column) -> Column:
+    """The function whose start lies next before a point; arcs ascend with the points."""
+    return F.shiftright(x, 64 - FUNCTION_BITS).cast("int") + FUNCTIONS // 2
 
 
 def with_cells(df: DataFrame, text: str, out: str, k: int = K, length: int = LENGTH) -> DataFrame:
@@ -63,31 +63,31 @@ def with_cells(df: DataFrame, text: str, out: str, k: int = K, length: int = LEN
     df = _held(df, "_number", F.flatten(numbers))
     hashed = F.zip_with("_sorted", "_number", lambda x, c: F.xxhash64(F.shiftright(x, PLACE_BITS), c).bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
     df = _held(df, "_hashed", F.sort_array(hashed))
-    least = F.filter("_hashed", lambda x, i: (i < length) | (_bin(F.get("_hashed", i - length)) != _bin(x)))
+    # The LENGTH smallest k-mers of a function lie among the first LENGTH of each arc, one after the other.
+    least = F.filter("_hashed", lambda x, i: (i < length) | (_arc(F.get("_hashed", i - length)) != _arc(x)))
     df = _held(df, "_least", least)
-    opens = F.filter(F.transform("_least", lambda x, i: F.when((i > 0) & (_bin(F.get("_least", i - 1)) == _bin(x)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    opens = F.filter(F.transform("_least", lambda x, i: F.when((i > 0) & (_arc(F.get("_least", i - 1)) == _arc(x)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     df = _held(df, "_opens", opens)
 
-    def refilled(function: Column) -> Column:
-        """The function's smallest k-mers over all bins; inside a bin they stand by hash."""
-        own, index = F.lit(-(1 << 63)), F.lit((1 << INDEX_BITS) - 1)
-        order = F.transform("_least", lambda x, i: F.when(_bin(x) == function, own).otherwise(F.xxhash64(function, _bin(x)).bitwiseAND(F.lit(-(1 << INDEX_BITS)))).bitwiseOR(i.cast("long")))
-        return F.transform(F.slice(F.sort_array(order), 1, length), lambda y: F.get("_least", y.bitwiseAND(index).cast("int")))
-
-    def cell(function: Column, chosen: Column) -> Column:
-        placed = F.array_sort(F.transform(chosen, lambda x: F.struct(x.bitwiseAND(F.lit(PLACE)).alias("place"), F.shiftrightunsigned(x, PLACE_BITS).alias("hash"))))
-        tuple_hash = F.xxhash64(F.transform(placed, lambda s: s["hash"]))
-        return F.shiftleft(function, 32).bitwiseOR(F.shiftrightunsigned(tuple_hash, 32))
-
-    def of_bin(at: Column, j: Column) -> Column:
-        function, n = _bin(F.get("_least", at)), F.coalesce(F.get("_opens", j + 1), F.size("_least")) - at
-        return cell(function, F.when(n >= length, F.slice("_least", at + 1, n)).otherwise(refilled(function)))
-
-    functions = F.when(F.size("_opens") > 0, F.array(*(F.lit(b).cast("long") for b in range(1 << BIN_BITS)))).otherwise(nothing)
-    unused = F.array_except(functions, F.transform("_opens", lambda at: _bin(F.get("_least", at))))
-    df = _held(df, "_unused", unused)
-    cells = F.concat(F.transform("_opens", of_bin), F.transform("_unused", lambda b: cell(b, refilled(b))))
-    return _held(df, out, F.sort_array(cells)).select(*keep, out)
+    def tuple_hash(at: Column) -> Column:
+        """Of the k-mers from one point on, around the circle, in text order."""
+        taken = [F.get("_least", (at + j) % F.size("_least")) for j in range(length)]
+        placed = [F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 63 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS + 1)) for x in taken]
+        ordered = F.sort_array(F.array_distinct(F.array(*placed)))
+        return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << 63 - PLACE_BITS) - 1)))), 32)
+
+    # All functions that start between two used arcs choose the same tuple; those after the last one begin anew.
+    used = F.transform("_opens", lambda at: F.struct(_arc(F.get("_least", at)).alias("arc"), tuple_hash(at).alias("hash")))
+    df = _held(df, "_used", used)
+
+    def cells_of(first: Column, last: Column, held: Column) -> Column:
+        functions = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(functions, lambda b: F.shiftleft(b.cast("long"), 32).bitwiseOR(held))
+
+    inner = F.flatten(F.transform("_used", lambda u, j: cells_of(F.coalesce(F.get("_used", j - 1)["arc"] + 1, F.lit(0)), u["arc"], u["hash"])))
+    around = cells_of(F.element_at("_used", -1)["arc"] + 1, F.lit(FUNCTIONS - 1), F.get("_used", F.lit(0))["hash"])
+    cells = F.when(F.size("_used") > 0, F.concat(inner, around)).otherwise(nothing)
+    return _held(df, out, cells).select(*keep, out)
 
 
 def likeness(a: str, b: str) -> Column:
