@@ -1,10 +1,10 @@
 """Training paragraphs of the license classifier.
 
-Fixed values: notices and characteristic passages of public licenses, by family, and paragraphs that speak of
-licenses, permission or rights without granting any.
+Fixed values: notices and characteristic passages of public licenses, by family, names and identifiers of licenses, forms in
+which a name stands in a notice, and paragraphs that speak of licenses, permission or rights without granting any.
 """
 
-FAMILIES: dict[str, tuple[str, ...]] = {
+NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -81,13 +81,95 @@ FAMILIES: dict[str, tuple[str, ...]] = {
         "Dedicated to the public domain under CC0 1.0 Universal.",
         "Released under the CC0 1.0 license.",
     ),
+    "CC-BY-ND": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "This notice may not be removed or altered from any source distribution.",
+    ),
+    "BSL": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "For more information, please refer to http://unlicense.org",
+    ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0.",
+    ),
+    "OFL": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "This license is available with a FAQ at https://scripts.sil.org/OFL",
+    ),
+    "Artistic": (
+        "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    ),
+    "WTFPL": (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "Do What The Fuck You Want To Public License, Version 2.",
+    ),
     "Proprietary": (
+        "All rights reserved.",
         "Copyright. All rights reserved.",
         "No part of this publication may be reproduced, stored or transmitted in any form without the prior written permission of the publisher.",
         "This material is confidential and proprietary; unauthorized copying is strictly prohibited.",
     ),
 }
 
+#: Names and identifiers, by family.
+NAMES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "Apache-2.0": (("Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0"), ("Apache-2.0",)),
+    "MIT": (("MIT License",), ("MIT", "MIT-0")),
+    "BSD": (("BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "New BSD License", "3-clause BSD License"), ("BSD-3-Clause", "BSD-2-Clause", "0BSD")),
+    "GPL": (
+        ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU General Public License v3.0", "GNU General Public License v2.0", "GNU GPL v3", "GNU GPL v2", "GPLv3", "GPLv2"),
+        ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0"),
+    ),
+    "LGPL": (("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3", "LGPLv2.1"), ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later")),
+    "AGPL": (("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"), ("AGPL-3.0-only", "AGPL-3.0-or-later")),
+    "MPL": (("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"), ("MPL-2.0", "MPL-1.1")),
+    "ISC": (("ISC License",), ("ISC",)),
+    "CC-BY": (("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY 3.0", "CC BY 2.0"), ("CC-BY-4.0", "CC-BY-3.0")),
+    "CC-BY-SA": (("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0"), ("CC-BY-SA-4.0", "CC-BY-SA-3.0")),
+    "CC-BY-NC": (("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC-SA 4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0")),
+    "CC-BY-ND": (("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC BY-NC-ND 4.0"), ("CC-BY-ND-4.0", "CC-BY-NC-ND-4.0")),
+    "CC0": (("CC0 1.0 Universal", "CC0 1.0 license"), ("CC0-1.0",)),
+    "Zlib": (("zlib License", "zlib/libpng License"), ("Zlib",)),
+    "BSL": (("Boost Software License, Version 1.0", "Boost Software License 1.0"), ("BSL-1.0",)),
+    "Unlicense": (("Unlicense",), ("Unlicense",)),
+    "EPL": (("Eclipse Public License 2.0", "Eclipse Public License v1.0"), ("EPL-2.0", "EPL-1.0")),
+    "OFL": (("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"), ("OFL-1.1",)),
+    "Artistic": (("Artistic License 2.0",), ("Artistic-2.0", "Artistic-1.0")),
+    "WTFPL": (("WTFPL",), ("WTFPL",)),
+}
+
+FORMS: tuple[str, ...] = ("Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "This project is licensed under the terms of the {}.", "Available under {}.")
+
+#: All training notices of a family: those written out, then each name in each form, then its identifiers.
+FAMILIES: dict[str, tuple[str, ...]] = {
+    family: tuple(dict.fromkeys([*notices, *(f.format(n) for n in NAMES.get(family, ((), ()))[0] for f in FORMS), *(f"SPDX-License-Identifier: {i}" for i in NAMES.get(family, ((), ()))[1])]))
+    for family, notices in NOTICES.items()
+}
+
+#: Words of everyday prose, which tell little about licenses.
+EVERYDAY = frozenset(
+    "all also along alter available can charge claim code commercial copies copy deal derived do document domain express files following form free freely general held "
+    "however http including information into just law list made may must name new only open or origin other out part person place plainly portions project public purpose "
+    "read same see sell several software some source such than their them there they through time under up use used want we what when which who without work written "
+    "above anyone author authors being either event have more names original prior released subject 0 1.0 2.0 3.0 4.0 version org www".split()
+)
+
 UNKNOWN: tuple[str, ...] = (
     "The driver showed the officer a licence and the number plate of the car.",
     "Permission denied while reading the file, ask the owner of the folder for access.",

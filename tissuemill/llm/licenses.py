@@ -1,39 +1,43 @@
 """License scan: a trained paragraph classifier, its unknown class calibrated, its findings confirmed.
 
 Paragraphs (lines, and runs of lines that hold words, as notices are often wrapped) are lower-cased, parted into words at everything but a-z, 0-9, "+", "-" and inner dots, and seen as
-sets of word bigrams and trigrams, n-grams of nothing but stop words left out. A softmax over the license
+sets of single words, word bigrams and trigrams, n-grams of nothing but stop words left out. A softmax over the license
 families and one unknown class is trained in numpy, on the driver, from the notices in license_texts: whole, cut
 into stretches, and set among foreign words; the unknown class learns from paragraphs about licenses that grant
-none and from shuffled words. A temperature chosen on paragraphs kept back calibrates the probabilities. A
+none and from shuffled words. A temperature calibrates the probabilities: it is chosen on whole notices and paragraphs
+that a first model has never seen, and `evaluate` reports recall and calibration error by folds of such. A
 prediction counts only if it is not the unknown class, reaches `least_probability`, and the paragraph holds at
 least `least_coverage` of the n-grams of one of the family's templates.
 
 A paragraph may hold notices of several families. After the likeliest one every other family is reported of which a
 template is covered, by that template's n-grams alone, as far as the families reported before do not explain them.
-A run of lines is reported under its first line, for families that none of its lines tells by itself.
+A run of lines (up to a line without words) is reported under its first line, for families that none of its lines tells
+by itself.
 
-The scan is DataFrame functions only: n-grams are exploded, joined with the weights (a broadcast as large as the
-model, some thousand rows), and only the n-grams found travel to the sums.
+The scan is DataFrame functions only. Texts without any anchor word are turned away first: the anchors are chosen so
+that `least_coverage` of no template can be reached without one, so this loses nothing. Then n-grams are exploded, joined
+with the weights (a broadcast as large as the model, some thousand rows), and only the n-grams found travel to the sums.
 
 Defined edge cases: null and empty texts have no findings; a paragraph without known n-grams is unknown and not
-reported; of equally likely families the first in the order of the training texts wins; rows that repeat a
-doc_id are read as one document, paragraph by paragraph; an empty table gives an empty result; further columns
-are ignored.
+reported; of equally likely families the first in the order of the training texts wins; rows that repeat both doc_id and
+text are one document, rows that share a doc_id (or have none) with other texts are documents of their own; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .license_texts import FAMILIES, UNKNOWN
+from .license_texts import EVERYDAY, FAMILIES, UNKNOWN
 
-ORDERS = (2, 3)
+ORDERS = (1, 2, 3)
 SEPARATOR = r"[^a-z0-9.+\-]+|\.(?![0-9])"
 BREAK = "\n"
 STOP = frozenset("a an and any are as at be by for from in is it its no not of on or that the this to was were will with you your".split())
@@ -72,69 +76,151 @@ class Model:
         return (self.families[best], float(p[best]), coverage) if coverage >= least_coverage else None
 
 
-def _examples(rng: np.random.Generator) -> list[tuple[set[str], int]]:
+def anchors(templates: list[tuple[str, set[str]]], least_coverage: float) -> list[str]:
+    """Words of which each paragraph that covers a template holds one: their n-grams are more than may be missing.
+
+    Greedy; words of everyday prose count for less, since they turn fewer texts away.
+    """
+    missing = [len(t) - int(np.ceil(least_coverage * len(t))) + 1 for _, t in templates]
+    left, chosen = [{g: frozenset(g.split()) for g in t} for _, t in templates], []
+    while any(m > 0 for m in missing):
+        gain: Counter[str] = Counter()
+        for m, grams in zip(missing, left, strict=True):
+            if m > 0:
+                held = Counter(w for words in grams.values() for w in words)
+                for w, n in held.items():
+                    gain[w] += min(n, m)
+        best = min(gain, key=lambda w: (-gain[w] / (1 + 30 * (w in EVERYDAY) + 1000 * (w in STOP)), w))
+        chosen.append(best)
+        for k, grams in enumerate(left):
+            missing[k] -= sum(best in words for words in grams.values())
+            left[k] = {g: words for g, words in grams.items() if best not in words}
+    return sorted(chosen)
+
+
+Notice = tuple[list[str], int]
+
+
+def _notices() -> list[Notice]:
+    """Words and class of every training paragraph; the last class is unknown."""
     labelled = [(words_of(t), k) for k, texts in enumerate(FAMILIES.values()) for t in texts]
-    unknown = [words_of(t) for t in UNKNOWN]
-    every = sorted({w for words, _ in labelled for w in words} | {w for words in unknown for w in words})
+    return labelled + [(words_of(t), len(FAMILIES)) for t in UNKNOWN]
+
+
+def _examples(rng: np.random.Generator, notices: list[Notice]) -> list[tuple[set[str], int, float]]:
+    """(n-grams, class, weight) of the notices: whole, in stretches, among foreign words."""
+    unknown = len(FAMILIES)
+    every = sorted({w for words, _ in notices for w in words})
     out = []
-    for words, k in labelled:
-        out += [(grams_of(words), k)] * 4
-        for _ in range(6):  # stretches of at least two thirds
+    for words, k in notices:
+        out.append((grams_of(words), k, 6.0))
+        if k == unknown:
+            continue
+        for _ in range(2):  # stretches of at least two thirds
             n = max(2, int(np.ceil(len(words) * rng.uniform(0.67, 1))))
             at = rng.integers(0, len(words) - n + 1)
-            out.append((grams_of(words[at : at + n]), k))
-        for _ in range(6):  # among foreign words
+            out.append((grams_of(words[at : at + n]), k, 2.0))
+        for _ in range(2):  # among foreign words
             around = [list(rng.choice(every, rng.integers(1, 12))) for _ in range(2)]
-            out.append((grams_of(around[0] + words + around[1]), k))
-    for words in unknown:
-        out += [(grams_of(words), len(FAMILIES))] * 6
-    for _ in range(600):
-        out.append((grams_of(list(rng.choice(every, rng.integers(4, 30)))), len(FAMILIES)))
-    for words, _ in labelled:  # a few words of a notice are not a notice
-        for _ in range(2):
-            n = min(len(words), int(rng.integers(2, 4)))
+            out.append((grams_of(around[0] + words + around[1]), k, 2.0))
+        n = min(len(words), int(rng.integers(2, 4)))  # a few words of a notice are not a notice
+        if len(words) >= 3 * n:
             at = rng.integers(0, len(words) - n + 1)
-            if len(words) >= 3 * n:
-                out.append((grams_of(words[at : at + n]), len(FAMILIES)))
+            out.append((grams_of(words[at : at + n]), unknown, 1.0))
+    out += [(grams_of(list(rng.choice(every, rng.integers(4, 30)))), unknown, 1.0) for _ in range(300)]
     return out
 
 
-@functools.cache
-def train(seed: int = 11, steps: int = 250, rate: float = 2.0, decay: float = 1e-4) -> Model:
-    rng = np.random.default_rng(seed)
-    examples = _examples(rng)
-    templates = [(family, grams_of(words_of(t))) for family, texts in FAMILIES.items() for t in texts]
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(t for _, t in templates), *(grams_of(words_of(t)) for t in UNKNOWN))))}
+def _matrix(examples: list[tuple[set[str], int, float]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
-    y = np.array([k for _, k in examples])
-    for i, (grams, _) in enumerate(examples):
+    for i, (grams, _, _) in enumerate(examples):
         x[i, [vocabulary[g] for g in grams if g in vocabulary]] = 1
-    kept_back = rng.random(len(y)) < 0.25
-    classes = len(FAMILIES) + 1
+    return x, np.array([k for _, k, _ in examples]), np.array([w for _, _, w in examples], np.float32)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted multinomial logistic regression by full gradient steps, each weight's step scaled by its gradients (Adam)."""
+    classes, w = len(FAMILIES) + 1, (w / w.mean() / len(w))[:, None]
     one = np.eye(classes, dtype=np.float32)[y]
+    x = np.column_stack((x, np.ones(len(x), np.float32)))
+    weights = np.zeros((x.shape[1], classes), np.float32)
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, steps + 1):
+        slope = x.T @ ((_softmax(x @ weights) - one) * w) + decay * weights
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
+        weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+    return weights[:-1], weights[-1]
+
+
+def _vocabulary(notices: list[Notice]) -> dict[str, int]:
+    return {g: i for i, g in enumerate(sorted(set().union(*(grams_of(words) for words, _ in notices))))}
+
+
+def _folds(notices: list[Notice], folds: int, seed: int) -> np.ndarray:
+    """A fold for each notice, dealt inside each class."""
+    rng, out, dealt = np.random.default_rng(seed), np.zeros(len(notices), int), Counter()
+    for i in rng.permutation(len(notices)):
+        out[i] = dealt[notices[i][1]] % folds
+        dealt[notices[i][1]] += 1
+    return out
 
-    def fitted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights, bias = np.zeros((len(vocabulary), classes), np.float32), np.zeros(classes, np.float32)
-        for _ in range(steps):
-            logits = x[rows] @ weights + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = (p - one[rows]) / len(rows)
-            weights -= rate * (x[rows].T @ error + decay * weights)
-            bias -= rate * error.sum(0)
-        return weights, bias
 
-    weights, bias = fitted(np.flatnonzero(~kept_back))
-    logits = x[kept_back] @ weights + bias
+def _kept_back(seed: int, folds: int, only: int | None, steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """(logits, classes) of whole notices by models that never saw them; `only` one fold, or all."""
+    notices = _notices()
+    fold, logits, classes = _folds(notices, folds, seed), [], []
+    for f in range(folds) if only is None else [only]:
+        seen = [n for n, k in zip(notices, fold, strict=True) if k != f]
+        vocabulary = _vocabulary(seen)
+        weights, bias = _fit(*_matrix(_examples(np.random.default_rng(seed + f), seen), vocabulary), steps, rate, decay)
+        x, y, _ = _matrix([(grams_of(words), k, 1.0) for (words, k), at in zip(notices, fold, strict=True) if at == f], vocabulary)
+        logits.append(x @ weights + bias)
+        classes.append(y)
+    return np.concatenate(logits), np.concatenate(classes)
 
+
+def _temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     def loss(t: float) -> float:
-        z = logits / t
-        z = z - z.max(1, keepdims=True)
-        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), y[kept_back]]).mean())
+        return float(-np.log(_softmax(logits / t)[np.arange(len(classes)), classes] + 1e-12).mean())
+
+    return float(min(np.geomspace(0.2, 20, 47), key=loss))
 
-    temperature = min(np.geomspace(0.2, 5, 33), key=loss)
-    weights, bias = fitted(np.arange(len(y)))
-    return Model(vocabulary, np.round(weights.astype(np.float64), 6), np.round(bias.astype(np.float64), 6), float(temperature), templates)
+
+FIT = {"steps": 150, "rate": 0.1, "decay": 1e-5}
+
+
+@functools.cache
+def train(seed: int = 11, folds: int = 4) -> Model:
+    """The classifier of all notices; its temperature comes from one fold of notices kept back whole."""
+    notices = _notices()
+    temperature = _temperature(*_kept_back(seed, folds, 0, **FIT))
+    templates = [(family, grams_of(words_of(t))) for family, texts in FAMILIES.items() for t in texts]
+    vocabulary = _vocabulary(notices)
+    weights, bias = _fit(*_matrix(_examples(np.random.default_rng(seed), notices), vocabulary), **FIT)
+    return Model(vocabulary, np.round(weights.astype(np.float64), 6), np.round(bias.astype(np.float64), 6), temperature, templates)
+
+
+def evaluate(seed: int = 11, folds: int = 4, bins: int = 10) -> dict[str, float]:
+    """On notices kept back whole, fold by fold: recall (family right and probable enough), share of paragraphs that are no
+    notices but taken for one, and the expected calibration error of the likeliest class's probability."""
+    logits, classes = _kept_back(seed, folds, None, **FIT)
+    p = _softmax(logits / _temperature(*_kept_back(seed, folds, 0, **FIT)))
+    top, best, unknown = p.max(1), p.argmax(1), len(FAMILIES)
+    told = (best != unknown) & (top >= LEAST_PROBABILITY)
+    place = np.minimum((top * bins).astype(int), bins - 1)
+    error = sum(abs((best == classes)[place == b].mean() - top[place == b].mean()) * (place == b).mean() for b in range(bins) if (place == b).any())
+    return {
+        "notices": float((classes != unknown).sum()),
+        "recall": float((told & (best == classes))[classes != unknown].mean()),
+        "wrong_family": float((told & (best != classes))[classes != unknown].mean()),
+        "false_alarms": float(told[classes == unknown].mean()),
+        "calibration_error": float(error),
+    }
 
 
 def _grams(words: Column) -> Column:
@@ -175,30 +261,35 @@ def scan(
             "g int, template int, of_family int, n int",
         )
     )
-    clean = F.transform(F.split(F.coalesce("text", F.lit("")), paragraph_break), lambda x: F.trim(F.regexp_replace(F.lower(x), SEPARATOR, " ")))
+    told = "|".join(re.escape(w) for w in anchors(model.templates, least_coverage))
+    low = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).alias("doc"), F.lower("text").alias("low"))
+    told = f"(?<![a-z0-9])(?:{told})"
+    low = low.where(F.col("low").rlike(told))
+    clean = F.transform(F.split("low", paragraph_break), lambda x: F.trim(F.regexp_replace(x, SEPARATOR, " ")))
     # Generators keep what they hold from being computed again by each reader.
-    cleaned = docs.select("doc_id", F.explode(F.array(clean)).alias("lines"))
+    cleaned = low.select("doc", F.explode(F.array(clean)).alias("lines"))
     line, at = (lambda i: F.get("lines", i)), F.sequence(F.lit(0), F.size("lines") - 1)
     opens = F.filter(at, lambda i: (line(i) != "") & (F.coalesce(line(i - 1), F.lit("")) == ""))
     shuts = F.filter(at, lambda i: (line(i) != "") & (F.coalesce(line(i + 1), F.lit("")) == ""))
-    runs = cleaned.select("doc_id", F.explode(F.transform(F.arrays_zip(opens.alias("a"), shuts.alias("b")), lambda x: F.struct(x["a"].alias("block"), F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1).alias("lines")))).alias("run"))
-    each = runs.select("doc_id", "run.block", "run.lines", F.posexplode("run.lines").alias("place", "line"))
+    runs = cleaned.select("doc", F.explode(F.transform(F.arrays_zip(opens.alias("a"), shuts.alias("b")), lambda x: F.struct(x["a"].alias("block"), F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1).alias("lines")))).alias("run"))
+    runs = runs.where(F.array_join("run.lines", " ").rlike(told))
+    each = runs.select("doc", "run.block", "run.lines", F.posexplode("run.lines").alias("place", "line"))
     following = F.split(F.concat_ws(" ", F.get("lines", F.col("place") + 1), F.get("lines", F.col("place") + 2)), " +")
     following = F.when(F.col("place") + 1 < F.size("lines"), F.slice(following, 1, max(ORDERS) - 1)).otherwise(F.array().cast("array<string>"))
-    words = each.select("doc_id", "block", (F.col("block") + F.col("place")).alias("line"), F.split("line", " +").alias("own"), following.alias("following"))
-    words = words.select("doc_id", "block", "line", F.explode(F.array(F.struct("own", "following"))).alias("held"))
+    words = each.select("doc", "block", (F.col("block") + F.col("place")).alias("line"), F.split("line", " +").alias("own"), following.alias("following"))
+    words = words.select("doc", "block", "line", F.explode(F.array(F.struct("own", "following"))).alias("held"))
     own, n = F.col("held.own"), F.size("held.own")
     n_inside = sum((F.greatest(n - (k - 1), F.lit(0)) for k in ORDERS), F.lit(0))
-    grams = words.select("doc_id", "block", "line", n_inside.alias("n_inside"), F.posexplode(F.concat(_grams(own), _crossing(own, F.col("held.following")))).alias("pos", "gram"))
-    grams = grams.select("doc_id", "block", "line", (F.col("pos") < F.col("n_inside")).alias("inside"), "gram")
+    grams = words.select("doc", "block", "line", n_inside.alias("n_inside"), F.posexplode(F.concat(_grams(own), _crossing(own, F.col("held.following")))).alias("pos", "gram"))
+    grams = grams.select("doc", "block", "line", (F.col("pos") < F.col("n_inside")).alias("inside"), "gram")
     rows = grams.join(vocabulary, "gram")
     # A gram counts for its line, if it lies in one line, and for the run of lines around it.
     place = [F.struct(F.lit(0).alias("kind"), F.col("line").alias("paragraph")), F.struct(F.lit(1).alias("kind"), F.col("block").alias("paragraph"))]
-    rows = rows.select("doc_id", "block", "g", F.explode(F.when(F.col("inside"), F.array(*place)).otherwise(F.array(place[1]))).alias("unit"))
-    unit = ["doc_id", "block", "kind", "paragraph"]
+    rows = rows.select("doc", "block", "g", F.explode(F.when(F.col("inside"), F.array(*place)).otherwise(F.array(place[1]))).alias("unit"))
+    unit = ["doc", "block", "kind", "paragraph"]
     least = min(int(np.ceil(least_coverage * len(grams))) for _, grams in model.templates)
-    held = rows.groupBy("doc_id", "block", "unit").agg(F.array_sort(F.collect_set("g")).alias("held")).where(F.size("held") >= least)
-    held = stage(held.select("doc_id", "block", "unit.kind", "unit.paragraph", "held"))
+    held = rows.groupBy("doc", "block", "unit").agg(F.array_sort(F.collect_set("g")).alias("held")).where(F.size("held") >= least)
+    held = stage(held.select("doc", "block", "unit.kind", "unit.paragraph", "held"))
 
     def scored(df: DataFrame, by: list[str]) -> DataFrame:
         """Adds z, the logits of the n-grams g of each group."""
@@ -242,11 +333,11 @@ def scan(
     none = F.struct(F.array().cast("array<int>").alias("explained"), F.array().cast(f"array<{found}>").alias("found"))
     taken = stage(candidates.select(*unit, F.inline(F.aggregate("candidates", none, accept)["found"])))
     # What a line tells by itself is not told again for the lines around it.
-    told = taken.where("kind = 0").select(F.col("doc_id").alias("_doc"), F.col("block").alias("_block"), F.col("family").alias("_family")).distinct()
-    around = taken.where("kind = 1").join(told, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("block") == F.col("_block")) & (F.col("family") == F.col("_family")), "left_anti")
+    told = taken.where("kind = 0").select(F.col("doc").alias("_doc"), F.col("block").alias("_block"), F.col("family").alias("_family")).distinct()
+    around = taken.where("kind = 1").join(told, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("block") == F.col("_block")) & (F.col("family") == F.col("_family")), "left_anti")
     best = taken.where("kind = 0").unionByName(around)
     names = F.array(*map(F.lit, model.families))
-    return best.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.element_at(names, F.col("family") + 1).alias("family"), "probability", "coverage")
+    return best.select("doc.doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.element_at(names, F.col("family") + 1).alias("family"), "probability", "coverage")
 
 
 def op10_license_families(spark: SparkSession, sf_dir: str) -> DataFrame:
