@@ -167,7 +167,7 @@ EVERYDAY = frozenset(
     "all also along alter available can charge claim code commercial copies copy deal derived do document domain express files following form free freely general held "
     "however http including information into just law list made may must name new only open or origin other out part person place plainly portions project public purpose "
     "read same see sell several software some source such than their them there they through time under up use used want we what when which who without work written "
-    "above anyone author authors being either event have more names original prior released subject 0 1.0 2.0 3.0 4.0 version org www".split()
+    "above anyone author authors being either event has have itself mit more names original prior released subject 0 1.0 2.0 3.0 4.0 version org www".split()
 )
 
 UNKNOWN: tuple[str, ...] = (

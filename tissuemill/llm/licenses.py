@@ -90,7 +90,7 @@ def anchors(templates: list[tuple[str, set[str]]], least_coverage: float) -> lis
                 held = Counter(w for words in grams.values() for w in words)
                 for w, n in held.items():
                     gain[w] += min(n, m)
-        best = min(gain, key=lambda w: (-gain[w] / (1 + 30 * (w in EVERYDAY) + 1000 * (w in STOP)), w))
+        best = min(gain, key=lambda w: (-gain[w] / (1 + (30 if len(w) > 3 else 300) * (w in EVERYDAY) + 1000 * (w in STOP)), w))
         chosen.append(best)
         for k, grams in enumerate(left):
             missing[k] -= sum(best in words for words in grams.values())
@@ -98,6 +98,18 @@ def anchors(templates: list[tuple[str, set[str]]], least_coverage: float) -> lis
     return sorted(chosen)
 
 
+def pattern(words: list[str]) -> str:
+    """A regular expression for any of the words, standing by itself; words are parted letter by letter, so few are tried at a place."""
+
+    def of(rest: list[str]) -> str:
+        heads = sorted({w[0] for w in rest if w})
+        parts = [re.escape(h) + of([w[1:] for w in rest if w and w[0] == h]) for h in heads]
+        ends = ["(?![a-z0-9])"] if "" in rest else []
+        return "(?:" + "|".join(ends + parts) + ")" if len(ends) + len(parts) > 1 else (ends + parts)[0]
+
+    return "(?:^|[^a-z0-9])" + of(words)
+
+
 Notice = tuple[list[str], int]
 
 
@@ -253,17 +265,19 @@ def scan(
     )
     vocabulary, weights = weights.select("gram", "g"), weights.drop("gram")
     vocabulary, weights = F.broadcast(vocabulary), F.broadcast(weights)
+    # Rare n-grams of a template first: who holds enough of the template holds one of its first few (a prefix filter).
+    of_templates = [sorted(model.vocabulary[g] for g in t) for _, t in model.templates]
+    frequency = Counter(g for t in of_templates for g in t)
     of_all = {f: sorted(model.vocabulary[g] for g in set().union(*(t for x, t in model.templates if x == f))) for f in model.families}
-    grams_of_templates = spark.createDataFrame([(k, sorted(model.vocabulary[g] for g in t), of_all[f]) for k, (f, t) in enumerate(model.templates)], "template int, of_template array<int>, of_all array<int>")
-    members = F.broadcast(
+    lead = [(g, k) for k, t in enumerate(of_templates) for g in sorted(t, key=lambda g: (frequency[g], g))[: len(t) - int(np.ceil(least_coverage * len(t))) + 1]]
+    leads = F.broadcast(spark.createDataFrame(lead, "g int, template int"))
+    templates = F.broadcast(
         spark.createDataFrame(
-            [(model.vocabulary[g], t, model.families.index(family), len(grams)) for t, (family, grams) in enumerate(model.templates) for g in sorted(grams)],
-            "g int, template int, of_family int, n int",
+            [(k, model.families.index(f), of_templates[k], of_all[f]) for k, (f, _) in enumerate(model.templates)], "template int, of_family int, of_template array<int>, of_all array<int>"
         )
     )
-    told = "|".join(re.escape(w) for w in anchors(model.templates, least_coverage))
+    told = pattern(anchors(model.templates, least_coverage))
     low = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).alias("doc"), F.lower("text").alias("low"))
-    told = f"(?<![a-z0-9])(?:{told})"
     low = low.where(F.col("low").rlike(told))
     clean = F.transform(F.split("low", paragraph_break), lambda x: F.trim(F.regexp_replace(x, SEPARATOR, " ")))
     # Generators keep what they hold from being computed again by each reader.
@@ -300,24 +314,27 @@ def scan(
         top = F.array_max("z")
         return F.exp(F.get("z", k) - top) / F.aggregate(F.transform("z", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
 
-    # The likeliest family of all n-grams; then every family of which a template is covered, by the template's n-grams.
-    single = held.select(*unit, "held", F.explode("held").alias("g"))
-    likeliest = scored(single, unit).withColumn("family", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
-    likeliest = likeliest.select(*unit, F.struct("family", probability(F.col("family")).alias("probability")).alias("first"))
-    in_template = single.drop("held").join(members, "g")
-    by_template = scored(in_template, [*unit, "template", "of_family", "n"]).select(*unit, "template", "of_family", probability(F.col("of_family")).alias("p"))
-    share = in_template.groupBy(*unit, "template", "of_family", "n").agg((F.count("*") / F.col("n")).alias("coverage")).where(F.col("coverage") >= least_coverage)
+    # Which templates are covered; the likeliest family of all n-grams; then every family of which a template is covered, by the
+    # template's n-grams.
+    met = held.select(*unit, F.explode("held").alias("g")).join(leads, "g").select(*unit, "template").distinct()
 
     def same(x: DataFrame, y: DataFrame, by: list[str]) -> list[Column]:
         return [x[c].eqNullSafe(y[c]) for c in by]
 
-    full = [*unit, "template", "of_family"]
-    covered = share.join(by_template, same(share, by_template, full)).select(*(share[c] for c in full), "coverage", "p")
-    covered = covered.join(likeliest, same(covered, likeliest, unit)).select(*(covered[c] for c in full), "coverage", "p", "first")
+    pairs = met.join(held, same(met, held, unit)).select(*(met[c] for c in unit), "template", "held").join(templates, "template")
+    n = F.size("of_template")
+    pairs = pairs.withColumn("common", F.array_intersect("of_template", "held")).withColumn("coverage", F.size("common") / n)
+    pairs = stage(pairs.where(F.col("coverage") >= least_coverage).select(*unit, "template", "of_family", "coverage", "common", "held"))
+    single = pairs.select(*unit, "held").distinct().select(*unit, F.explode("held").alias("g"))
+    likeliest = scored(single, unit).withColumn("family", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
+    likeliest = likeliest.select(*unit, F.struct("family", probability(F.col("family")).alias("probability")).alias("first"))
+    full = [*unit, "template", "of_family", "coverage"]
+    covered = scored(pairs.select(*full, F.explode("common").alias("g")), full).select(*full, probability(F.col("of_family")).alias("p"))
+    covered = covered.join(likeliest, same(covered, likeliest, unit)).select(*(covered[c] for c in full), "p", "first")
     is_first = F.col("of_family") == F.col("first.family")
     p = F.when(is_first & (F.col("first.probability") >= least_probability), F.col("first.probability")).otherwise(F.col("p"))
     covered = covered.withColumn("p", p).where(F.col("p") >= least_probability)
-    covered = covered.join(F.broadcast(grams_of_templates), ["template"])
+    covered = covered.join(templates.select("template", "of_template", "of_all"), "template")
     rank = F.struct((~is_first).alias("later"), (-F.col("coverage")).alias("c"), (-F.col("p")).alias("q"), "template", F.col("of_family").alias("family"), F.col("p").alias("probability"), "coverage", "of_template", "of_all")
     candidates = covered.groupBy(*unit).agg(F.array_sort(F.collect_list(rank)).alias("candidates"))
     candidates = candidates.join(held, same(candidates, held, unit)).select(*(candidates[c] for c in unit), "candidates", "held")
