@@ -81,7 +81,7 @@ LIKE = 1.1
 STAR_ROUNDS = 2
 #: Further star rounds follow, at most so many in all, while the lists left hold more pairs than this for each entry.
 MOST_ROUNDS = 6
-PAIRS_PER_ENTRY = 200
+PAIRS_PER_ENTRY = 2_000
 #: Candidates of a query that are searched together, and bytes of their sets that a task holds.
 GROUP = 512
 GROUP_BYTES = 32 << 20
@@ -280,20 +280,22 @@ def _components(links: DataFrame) -> DataFrame:
     Both steps keep connectivity and end in stars. Each round is written to the shared folder.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while True:
+    digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    known = digest(edges)
+    while known[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
         new = stage(small.where("u <> v").distinct())
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         discard(edges)
-        edges = new
-        if same:
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._staged_at = edges._staged_at
-            return out
+        edges, before, known = new, known, digest(new)
+        if known == before:  # equal in number and in a 64-bit digest
+            break
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._staged_at = edges._staged_at
+    return out
 
 
 def _need(n: str, m: str) -> Column:
