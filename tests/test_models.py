@@ -41,7 +41,7 @@ def test_ridge_from_moments_equals_rows(points):
 def test_pca_equals_svd(points):
     x, df = points
     scores, components = M.pca(df, "f", 4, 2)
-    got = np.array([r[0] for r in df.orderBy("cell_id").select(scores).collect()])
+    got = np.array([r.f for r in scores.orderBy("cell_id").collect()])
     centred = x - x.mean(0)
     v = np.linalg.svd(centred, full_matrices=False)[2][:2]
     assert np.allclose(np.abs(components), np.abs(v)) and np.allclose(np.abs(got), np.abs(centred @ v.T))
@@ -87,6 +87,51 @@ def test_ordered_arbiter_knows_only_the_folds_before(spark):
     assert len(runs[0]) == 60
 
 
+def test_gram_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    z, w = rng.normal(0, 1, (300, 7)), rng.uniform(0, 2, 300)
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(z, w, strict=True)], "z array<double>, w double").repartition(5)
+    assert np.allclose(M.gram(df, 7), (z * w[:, None]).T @ z)
+    assert np.allclose(M.gram(df.limit(0), 7), 0)
+
+
+def test_boosted_trees_learn_and_stop():
+    from tissuemill.operators import boosting as B
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(5, 12)) * 1.5
+    y = rng.integers(0, 5, 900)
+    x = centres[y] + rng.normal(size=(900, 12))
+    model = B.fit(x[:600], y[:600], range(5), None, np.arange(600) % 6 == 0)
+    p = model.predict(x[600:])
+    assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y[600:]).mean() > 0.8 and 0 < len(model.rounds) < 300
+    binary = B.fit(x[:600], y[:600] == 2, [0, 1], None, np.arange(600) % 6 == 0)
+    assert ((binary.predict(x[600:])[:, 1] > 0.5) == (y[600:] == 2)).mean() > 0.9
+    alone = B.fit(x[:20], np.zeros(20, int), [0, 1])
+    assert alone.rounds == [] and alone.predict(x[:2])[:, 0].min() > 0.9
+    tree, values = B.grow(np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(B.edges_of(x, 64), x.T, strict=True)]), B.edges_of(x, 64), y - 2.0, np.ones(900), B.Growth(), rng)
+    assert np.allclose(tree.predict(x), values) and (tree.feature >= 0).sum() <= 30
+
+
+def test_nearest_equals_a_full_sort():
+    from tissuemill.operators import classify as C
+
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 6, (40, 50)).astype(float)
+    assert (C.nearest(d, 7) == np.argsort(d, axis=1, kind="stable")[:, :7]).all() and C.nearest(d, 90).shape == (40, 50)
+
+
+def test_fuzzy_graph(spark):
+    """Each row's edges weigh log2 of their number before the union, the nearest weighs 1, and the union is symmetric."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    edges = [(i, int(j), float(d[i, j])) for i in range(30) for j in np.argsort(d[i])[1:7]]
+    got = {(r.cell_id, r.neighbour): r.weight for r in M.fuzzy_graph(spark.createDataFrame(edges, "cell_id long, neighbour long, distance double")).collect()}
+    assert all(np.isclose(got[a, b], got[b, a]) for a, b in got if (b, a) in got) and max(got.values()) <= 1 + 1e-9
+    assert all(np.isclose(got[i, int(np.argsort(d[i])[1])], 1) for i in range(30))
+
+
 def test_local_quadratic_follows_a_parabola():
     x = np.linspace(-1, 1, 40)
     assert np.allclose(M.local_quadratic(x, 3 * x * x - x + 2, 0.4), 3 * x * x - x + 2, atol=1e-6)

@@ -20,12 +20,23 @@ def class_weights(df: DataFrame, label: str, alpha: float = 0.0, most: float = 5
     return counts.select(label, F.least(F.sum("n").over(everything) / (F.count("*").over(everything) * (F.col("n") + alpha)), F.lit(most)).alias("weight"))
 
 
+def nearest(distance: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, ties by column: a partition finds the k-th value, then few are sorted."""
+    k = min(k, distance.shape[1])
+    bound = np.partition(distance, k - 1, axis=1)[:, k - 1]
+    best = np.empty((len(distance), k), np.int64)
+    for i, row in enumerate(distance):
+        near = np.flatnonzero(row <= bound[i])
+        best[i] = near[np.argsort(row[near], kind="stable")[:k]]
+    return best
+
+
 #: Most bytes of training vectors that are broadcast to the block search; more are searched in several blocks.
 BLOCK_BYTES = 256 << 20
 
 
-def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """query, neighbour, label, distance, rank: the k nearest by cosine distance, ties by neighbour.
+def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, block_bytes: int = BLOCK_BYTES, metric: str = "cosine") -> DataFrame:
+    """query, neighbour, label, distance, rank: the k nearest by cosine or euclidean distance, ties by neighbour.
 
     queries: cell_id, f. train: cell_id, cell_type, f. The queries are a stated set; the training side is broadcast in
     blocks of bounded size, each block keeps its own k best, and the blocks' best are merged by a window.
@@ -43,7 +54,7 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, bloc
         ids, labels = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
         vectors = np.array([r[2] for r in rows], float).reshape(len(rows), width)
         norms = np.linalg.norm(vectors, axis=1)
-        told = spark.sparkContext.broadcast((ids, labels, vectors / np.where(norms == 0, 1, norms)[:, None]))
+        told = spark.sparkContext.broadcast((ids, labels, vectors / np.where(norms == 0, 1, norms)[:, None] if metric == "cosine" else vectors))
 
         def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             ids, labels, vectors = told.value
@@ -52,8 +63,12 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, bloc
                     part = batch.slice(at, 512)
                     q = np.array(part.column("f").to_pylist(), float)
                     n = np.linalg.norm(q, axis=1)
-                    distance = np.round(1 - (q / np.where(n == 0, 1, n)[:, None]) @ vectors.T, digits)
-                    best = np.argsort(distance, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep their order
+                    if metric == "cosine":
+                        distance = np.round(1 - (q / np.where(n == 0, 1, n)[:, None]) @ vectors.T, digits)
+                    else:
+                        square = (q * q).sum(1)[:, None] + (vectors * vectors).sum(1) - 2 * q @ vectors.T
+                        distance = np.round(np.sqrt(np.maximum(square, 0)), digits)
+                    best = nearest(distance, k)
                     who = np.repeat(np.array(part.column("query").to_pylist()), best.shape[1])
                     flat = best.ravel()
                     yield pa.RecordBatch.from_pydict(
@@ -69,9 +84,11 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, bloc
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_votes(neighbours: DataFrame, classes: list[int]) -> DataFrame:
-    """query, label, votes, p: every class, p being the softmax of the raw vote counts."""
-    counts = neighbours.groupBy("query", "label").agg(F.count("*").alias("votes"))
+def knn_votes(neighbours: DataFrame, classes: list[int], weighted: bool = False) -> DataFrame:
+    """query, label, votes, p: every class, p being the softmax of the raw vote counts, or of the votes weighted by
+    1 / (distance + 1e-12)."""
+    vote = F.sum(1 / (F.col("distance") + 1e-12)) if weighted else F.count("*")
+    counts = neighbours.groupBy("query", "label").agg(vote.alias("votes"))
     spark = neighbours.sparkSession
     grid = neighbours.select("query").distinct().crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in classes], "label int")))
     full = grid.join(counts, ["query", "label"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
@@ -101,7 +118,8 @@ def meta_target(truth: Column, predicted: list[Column], margins: list[Column]) -
 def group_folds(groups: DataFrame, group: str, n: str, k: int) -> DataFrame:
     """group, fold: largest group first into the lightest fold, the lowest fold on a tie.
 
-    groups has one row for each group; the packing is a fold over one sorted array of them.
+    groups has one row for each group (samples, some thousands at most); the packing is a fold over one sorted array of
+    them, since each step depends on the one before.
     """
     packed = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("m"), F.col(group).alias("g")))).alias("all"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast(f"array<struct<g:{groups.schema[group].dataType.simpleString()},fold:int>>").alias("out"))
@@ -114,14 +132,69 @@ def group_folds(groups: DataFrame, group: str, n: str, k: int) -> DataFrame:
     return packed.select(F.inline(F.aggregate("all", start, step, lambda acc: acc["out"]))).select(F.col("g").alias(group), "fold")
 
 
+def _dealt(df: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
+    """Adds fold: the rows of each group dealt in the order of a hash of the key.
+
+    Slices of the hash are ranked each by itself; what comes before a slice is a prefix sum over 4,096 counts of a group.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_slice", F.substring("_hash", 1, 3))
+    counts = hashed.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_slice").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_slice").orderBy("_hash", key)
+    same = F.col("_slice") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = hashed.withColumn("_row", F.row_number().over(inside)).join(starts, same)
+    return placed.withColumn("fold", ((F.col("_start") + F.col("_row") - 1) % k).cast("int")).select(*df.columns, "fold")
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
     """Adds fold: the rows of each class dealt in the order of a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    return _dealt(df, [label], key, k)
+
+
+def plain_folds(df: DataFrame, key: str, k: int) -> DataFrame:
+    """Adds fold: all rows dealt in the order of a hash of the key."""
+    return _dealt(df, [], key, k)
+
+
+def fold_count(df: DataFrame, mode: str, label: str, group: str, most: int = 5) -> int:
+    """How many folds a mode allows: no more than groups, than rows of the rarest class, or than rows."""
+    if mode == "group":
+        n = df.select(F.coalesce(F.col(group).cast("string"), F.lit("NA"))).distinct().count()
+        if n < 2:
+            raise ValueError(f"two groups are needed, there are {n}")
+        return min(most, n)
+    if mode == "stratified":
+        return max(2, min(most, df.groupBy(label).count().agg(F.min("count")).first()[0] or 0))
+    if mode == "kfold":
+        return max(2, min(most, df.count()))
+    raise ValueError(f"unknown mode {mode!r}: group, stratified or kfold")
+
+
+def folds(df: DataFrame, mode: str, label: str, group: str, key: str, most: int = 5) -> DataFrame:
+    """df with fold, by one of three splitters; the number of folds adjusts itself."""
+    k = fold_count(df, mode, label, group, most)
+    if mode == "group":
+        named = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("NA")))
+        packed = group_folds(named.groupBy("_group").agg(F.count("*").alias("n")), "_group", "n", k)
+        return named.join(F.broadcast(packed), "_group").drop("_group")
+    return stratified_folds(df, label, key, k) if mode == "stratified" else plain_folds(df, key, k)
+
+
+def mean_probabilities(folds: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
+    """keys, p: each key's probabilities averaged over its rows, one for each fold, class by class."""
+    each = folds.select(*keys, F.posexplode(p).alias("_at", "_p")).groupBy(*keys, "_at").agg(F.avg("_p").alias("_p"))
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_p"))).alias("_all"))
+    return listed.select(*keys, F.col("_all._p").alias(p))
 
 
 def lopo_folds(patients: DataFrame, patient: str, most_inner: int = 5) -> DataFrame:
-    """outer, inner, patient, role: leave one patient out; the others in min(5, others) inner folds by rank."""
+    """outer, inner, patient, role: leave one patient out; the others in min(5, others) inner folds by rank.
+
+    The fold table has patients squared rows by design; there are few patients next to cells.
+    """
     everyone = patients.select(F.col(patient).alias("patient")).distinct()
     outer = everyone.select(F.col("patient").alias("outer"))
     others = outer.crossJoin(everyone).where("outer <> patient")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +57,81 @@ def pseudobulk(expr: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("samp
     return grid.join(sums, [*keys, "gene"], "left").select(*keys, "gene", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("m"))
 
 
-def contrast(pb: DataFrame, digits: int = 6) -> DataFrame:
+def contrast(pb: DataFrame, digits: int = 6, by: tuple[str, ...] = (), least: float = 1e-12) -> DataFrame:
     """cell_type, gene, score: log2 of a class's mean over the mean of the rest.
 
     The mean of all is over (sample, class) columns, so classes seen in more samples weigh more. A ratio that is not
-    positive has no score. Scores are rounded, so that ties are ties.
+    positive has no score. Scores are rounded, so that ties are ties. by: further keys, each group ranked by itself;
+    least: lower bound of the number of other classes.
     """
-    means = pb.groupBy("cell_type", "gene").agg(F.avg("m").alias("m_ct"))
-    overall = pb.groupBy("gene").agg((F.avg("m") + TINY).alias("m_all"))
-    k = F.size(F.collect_set("cell_type").over(Window.partitionBy("gene")))
-    both = means.join(overall, "gene").withColumn("k", k)
-    rest = (F.col("m_all") * F.col("k") - F.col("m_ct")) / F.greatest(F.lit(1e-12), F.col("k") - 1.0)
+    by = list(by)
+    means = pb.groupBy(*by, "cell_type", "gene").agg(F.avg("m").alias("m_ct"))
+    overall = pb.groupBy(*by, "gene").agg((F.avg("m") + TINY).alias("m_all"))
+    k = F.size(F.collect_set("cell_type").over(Window.partitionBy(*by, "gene")))
+    both = means.join(overall, [*by, "gene"]).withColumn("k", k)
+    rest = (F.col("m_all") * F.col("k") - F.col("m_ct")) / F.greatest(F.lit(least), F.col("k") - 1.0)
     ratio = F.try_divide(F.col("m_ct") + TINY, rest + TINY)
-    return both.select("cell_type", "gene", F.round(F.when(ratio > 0, F.log2(ratio)), digits).alias("score"))
+    return both.select(*by, "cell_type", "gene", F.round(F.when(ratio > 0, F.log2(ratio)), digits).alias("score"))
+
+
+def scale_moments(expr: DataFrame, n_cells: int) -> DataFrame:
+    """gene, mean, sd (n - 1) over all cells, absent values being zeros; a gene that does not vary has sd 1."""
+    s = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    mean, n = F.col("s") / n_cells, float(max(n_cells, 1))
+    var = F.greatest((F.col("q") - n * mean * mean) / max(n - 1, 1.0), F.lit(0.0))
+    return s.select("gene", mean.alias("mean"), F.when(var <= 1e-24, 1.0).otherwise(F.sqrt(var)).alias("sd"))
+
+
+def scale_clip(expr: DataFrame, n_cells: int, most: float = 10.0) -> DataFrame:
+    """cell_id, gene, value, zero: values scaled to unit variance and cut at `most`; zero is what an absent value becomes."""
+    m = scale_moments(expr, n_cells)
+    z = lambda v: F.least((v - F.col("mean")) / F.col("sd"), F.lit(most))
+    return expr.join(m, "gene").select(*[c for c in expr.columns if c != "value"], z(F.col("value")).alias("value"), z(F.lit(0.0)).alias("zero"))
+
+
+def pseudobulk_scaled(scaled: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("sample", "cell_type")) -> DataFrame:
+    """pseudobulk of a scaled table (with zero): absent values count as what a zero was scaled to."""
+    keys = list(keys)
+    groups = cells.groupBy(*keys).agg(F.count("*").alias("n"))
+    sums = scaled.join(cells.select("cell_id", *keys), "cell_id").groupBy(*keys, "gene").agg(F.sum("value").alias("s"), F.count("*").alias("k"))
+    zeros = scaled.groupBy("gene").agg(F.max("zero").alias("zero"))
+    full = groups.crossJoin(zeros).join(sums, [*keys, "gene"], "left")
+    return full.select(*keys, "gene", ((F.coalesce("s", F.lit(0.0)) + (F.col("n") - F.coalesce("k", F.lit(0))) * F.col("zero")) / F.col("n")).alias("m"))
+
+
+def chosen_or_all(chosen: DataFrame, more: DataFrame, every: DataFrame) -> DataFrame:
+    """gene: those of either side; all genes if there are none."""
+    union = chosen.select("gene").union(more.select("gene")).distinct()
+    return every.select("gene").distinct() if union.isEmpty() else union
+
+
+def markers_or_first(markers: DataFrame, genes: DataFrame, n: int = 200) -> DataFrame:
+    """gene: the markers, or without any the first n genes in order."""
+    found = markers.select("gene").distinct()
+    return genes.select("gene").distinct().orderBy("gene").limit(n) if found.isEmpty() else found
+
+
+def align_genes(*sides: DataFrame) -> DataFrame:
+    """gene: those that all sides have; none in common is an error."""
+    both = reduce(DataFrame.intersect, [s.select("gene") for s in sides])
+    if both.isEmpty():
+        raise ValueError("the tables have no gene in common")
+    return both
+
+
+def standardise(long: DataFrame, by: list[str], value: str) -> DataFrame:
+    """long with z: value less its mean over its deviation (n) plus 1e-9, by group. Moments are aggregated and joined."""
+    m = long.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return long.join(F.broadcast(m), by).withColumn("z", (F.col(value) - F.col("_mean")) / (F.col("_sd") + 1e-9)).drop("_mean", "_sd")
+
+
+def split_key(key: Column) -> Column:
+    """(sample, cell_type) of a key that joins them by a bar; the first bar parts them."""
+    parts = F.split(key, r"\|", 2)
+    return F.struct(parts[0].alias("sample"), F.get(parts, F.lit(1)).alias("cell_type"))
 
 
-def top_k(scores: DataFrame, k: int, by: str = "cell_type", item: str = "gene", score: str = "score") -> DataFrame:
+def top_k(scores: DataFrame, k: int, by: str | list[str] = "cell_type", item: str = "gene", score: str = "score") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.col(score).desc_nulls_last(), item)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -93,9 +154,10 @@ def heatmap(pb: DataFrame, markers: DataFrame) -> DataFrame:
     marked = markers.select(F.col("cell_type").alias("of"), "gene")
     cells = pb.join(F.broadcast(marked), "gene")
     z = cells.withColumn("z", row_z(cells, "gene", "m")).withColumn("mean", F.round(F.avg("m").over(Window.partitionBy("gene")), 9))
-    rows = F.dense_rank().over(Window.orderBy("of", F.col("mean").desc(), "gene"))
-    columns = F.dense_rank().over(Window.orderBy("cell_type", "sample"))
-    return z.select("sample", "cell_type", "gene", "of", rows.alias("row_rank"), columns.alias("col_rank"), "z")
+    # Only the different keys are ranked: markers, and pseudobulk columns.
+    rows = z.select("of", "gene", "mean").distinct().select("of", "gene", F.row_number().over(Window.orderBy("of", F.col("mean").desc(), "gene")).alias("row_rank"))
+    columns = z.select("cell_type", "sample").distinct().select("cell_type", "sample", F.row_number().over(Window.orderBy("cell_type", "sample")).alias("col_rank"))
+    return z.join(F.broadcast(rows), ["of", "gene"]).join(F.broadcast(columns), ["cell_type", "sample"]).select("sample", "cell_type", "gene", "of", "row_rank", "col_rank", "z")
 
 
 def weighted_heatmap(pb: DataFrame, weights: DataFrame, floor: float = 1e-9) -> DataFrame:

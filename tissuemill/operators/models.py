@@ -7,10 +7,11 @@ genes x batches, classes x features or features x features reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -41,16 +42,48 @@ def ridge_from_moments(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray,
     return coefficients, my - mx @ coefficients
 
 
+def gram(df: DataFrame, width: int) -> np.ndarray:
+    """Sum of w z z' over the rows of df (z array<double> of that width, w).
+
+    Every task multiplies its rows in blocks and emits the rows of its own sum; those are dealt by row number, added up,
+    and width^2 numbers reach the driver.
+    """
+    ship(df.sparkSession)
+    schema = "i int, row array<double>"
+
+    def rows_of(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(total), 256):
+            some = sorted(total)[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i].tolist() for i in some], pa.list_(pa.float64()))], ["i", "row"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                z = part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                total += (z * part.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ z
+        yield from rows_of(dict(enumerate(total)))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("row"), strict=True):
+                values = row.values.to_numpy(zero_copy_only=False)
+                total[i] = total[i] + values if i in total else values
+        yield from rows_of(total)
+
+    parts = df.select("z", "w").mapInArrow(partial, schema).repartition("i").mapInArrow(added, schema).collect()
+    out = np.zeros((width, width))
+    for i, row in parts:
+        out[i] = row
+    return out
+
+
 def moments(df: DataFrame, f: str, width: int, target: Column, targets: int, weight: Column) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted sums 1, x, y, x x', x y' in one aggregation over (i, j) pairs; the result has width^2 numbers."""
+    """Weighted sums 1, x, y, x x', x y' in one pass."""
     z = F.concat(F.array(F.lit(1.0)), F.col(f), target)
-    rows = df.select(z.alias("z"), weight.cast("double").alias("w"))
-    left = rows.select("z", "w", F.posexplode("z").alias("i", "a"))
-    pairs = left.select("i", (F.col("w") * F.col("a")).alias("a"), F.posexplode("z").alias("j", "b")).where("j >= i")
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
-    m = np.zeros((1 + width + targets,) * 2)
-    for i, j, s in sums:
-        m[i, j] = m[j, i] = s
+    m = gram(df.select(z.alias("z"), weight.cast("double").alias("w")), 1 + width + targets)
     x, y = slice(1, 1 + width), slice(1 + width, None)
     return m[0, 0], m[0, x], m[0, y], m[x, x], m[x, y]
 
@@ -61,22 +94,49 @@ def linear(f: str, coefficients: np.ndarray, intercepts: np.ndarray) -> Column:
 
 def ridge_classifier(train: DataFrame, classes: list[int], width: int, alpha: float = 10.0) -> Column:
     """Probabilities (softmax of ridge scores on +1 / -1 targets, weighted by class) as a column over f."""
-    counts = dict(train.groupBy("cell_type").count().collect())
-    total = sum(counts.values())
-    weight = F.element_at(F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(min(5.0, total / (len(counts) * max(1, counts.get(c, 0)))))))), F.col("cell_type"))
+    weight = class_weight(train, "cell_type")
     target = F.array(*(F.when(F.col("cell_type") == c, 1.0).otherwise(-1.0) for c in classes))
     return V.softmax(linear("f", *ridge_from_moments(*moments(train, "f", width, target, len(classes), weight), alpha)))
 
 
-def gbt_binary(train: DataFrame, positive: int, rounds: int = 20, seed: int = 42):
-    """Positive class against the rest by boosted trees, stopped early on the rows marked valid."""
-    rows = train.select(array_to_vector("f").alias("features"), (F.col("cell_type") == positive).cast("double").alias("label"), F.col("valid"))
-    return GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, validationIndicatorCol="valid", stepSize=0.2).fit(rows)
+#: Boosted trees of the distributed way: rounds at most, and how they grow.
+ROUNDS = 60
+TREES = {"maxDepth": 4, "stepSize": 0.15, "subsamplingRate": 0.9, "minInstancesPerNode": 2, "validationTol": 0.001}
+
+
+def class_weight(df: DataFrame, label: str, most: float = 5.0) -> Column:
+    """Balanced weight of each label's rows, at most `most`; there are few labels."""
+    weights = C.class_weights(df, label, most=most).collect()
+    return F.element_at(F.create_map(*(F.lit(x) for r in weights for x in (r[0], float(r[1])))), F.col(label)) if weights else F.lit(1.0)
+
+
+def with_valid(train: DataFrame, key: str = "cell_id", share: int = 8) -> DataFrame:
+    """train with valid: every share-th row by a hash of its key, on which boosting is stopped early."""
+    return train.withColumn("valid", F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+
 
+def gbt_binary(train: DataFrame, positive: int, rounds: int = ROUNDS, seed: int = 42):
+    """Positive class against the rest by distributed boosted trees, classes weighted, stopped early on the rows marked valid."""
+    rows = train.withColumn("label", (F.col("cell_type") == positive).cast("double"))
+    rows = rows.select(array_to_vector("f").alias("features"), "label", "valid", class_weight(rows, "label").alias("weight")).cache()
+    model = GBTClassifier(maxIter=rounds, seed=seed, validationIndicatorCol="valid", weightCol="weight", **TREES).fit(rows)
+    rows.unpersist()
+    return model
 
-def gbt_one_vs_rest(train: DataFrame, rounds: int = 8, seed: int = 42):
-    rows = train.select(array_to_vector("f").alias("features"), F.col("cell_type").cast("double").alias("label"))
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed)).fit(rows)
+
+def gbt_one_vs_rest(train: DataFrame, classes: list[int], rounds: int = ROUNDS, seed: int = 42, parallel: int = 4) -> list:
+    """gbt_binary for each class, some at a time."""
+    with ThreadPool(parallel) as pool:
+        return pool.map(lambda c: gbt_binary(train, c, rounds, seed), classes)
+
+
+def one_vs_rest_probabilities(models: list, df: DataFrame, out: str) -> DataFrame:
+    """df with the softmax of the margins of each class's model."""
+    scored = df.withColumn("features", array_to_vector("f"))
+    for k, model in enumerate(models):
+        scored = model.copy({model.rawPredictionCol: f"_raw{k}", model.probabilityCol: "", model.predictionCol: ""}).transform(scored)
+    margins = F.array(*(2.0 * F.get(vector_to_array(f"_raw{k}"), F.lit(1)) for k in range(len(models))))
+    return scored.withColumn(out, V.softmax(margins)).select(*df.columns, out)
 
 
 def positive_probability(model, df: DataFrame) -> DataFrame:
@@ -129,30 +189,44 @@ def ordered_arbiter(oof: DataFrame, models: list[str], features: list[str], fold
     return out.withColumn("pred", F.element_at(F.array(*gated_labels(models, positive)), F.col("choice") + 1))
 
 
-def l1_markers(pb: DataFrame, genes: list[int], cell_type: str, c: float = 1.0) -> dict[int, float]:
-    """gene -> coefficient of an L1 logistic regression of one class against the rest, over standardised pseudobulk columns."""
-    wide = pb.groupBy("sample", "cell_type").pivot("gene", genes).agg(F.first("m")).fillna(0.0)
-    rows = wide.select(array_to_vector(F.array(*(F.col(str(g)) for g in genes))).alias("raw"), (F.col("cell_type") == cell_type).cast("double").alias("label"))
+def l1_markers(pb: DataFrame, genes: list[int], cell_type: str, c: float = 1.0, l1_ratio: float = 1.0) -> dict[int, float]:
+    """gene -> coefficient of a logistic regression of one class against the rest over standardised pseudobulk columns.
+
+    l1_ratio 1 is the lasso, below 1 the elastic net. Columns are arrays in the order of the genes.
+    """
+    wide = pb.groupBy("sample", "cell_type").agg(F.map_from_entries(F.collect_list(F.struct("gene", "m"))).alias("at"))
+    order = F.array(*map(F.lit, genes))
+    rows = wide.select(array_to_vector(F.transform(order, lambda g: F.coalesce(F.element_at("at", g), F.lit(0.0)))).alias("raw"), (F.col("cell_type") == cell_type).cast("double").alias("label"))
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not ones or ones == n:
         return dict.fromkeys(genes, 0.0)
     rows = rows.withColumn("w", F.when(F.col("label") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
-    model = LogisticRegression(elasticNetParam=1.0, regParam=1 / (c * n), standardization=False, weightCol="w").fit(scaled)
+    model = LogisticRegression(elasticNetParam=l1_ratio, regParam=1 / (c * n), standardization=False, weightCol="w").fit(scaled)
     return dict(zip(genes, map(float, model.coefficients.toArray()), strict=True))
 
 
+def batch_scaled(pb: DataFrame) -> DataFrame:
+    """pb with mean, sd, z: each gene less its mean over its deviation inside the samples; no deviation counts as 1."""
+    by_gene, by_batch = Window.partitionBy("gene"), Window.partitionBy("gene", "sample")
+    centred = pb.withColumn("mean", F.avg("m").over(by_gene)).withColumn("residual", F.col("m") - F.avg("m").over(by_batch))
+    centred = centred.withColumn("sd", F.sqrt(F.avg(F.col("residual") ** 2).over(by_gene)))
+    return centred.withColumn("sd", F.when(F.col("sd") <= 1e-12, 1.0).otherwise(F.col("sd"))).withColumn("z", (F.col("m") - F.col("mean")) / F.col("sd"))
+
+
+def batch_moments(scaled: DataFrame) -> DataFrame:
+    """sample, gene, g, d, n: location and scale of each batch and gene; a batch of one column has no scale."""
+    return scaled.groupBy("sample", "gene").agg(F.avg("z").alias("g"), F.var_samp("z").alias("d"), F.count("*").alias("n"))
+
+
 def combat(pb: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """pb with each sample's location and scale removed by parametric empirical Bayes.
 
     Moments come from aggregations; the fixed point is over genes x batches on the driver. A batch of one column has
     no variance of its own: scale 1. The corrected value is again an expression over the rows.
     """
-    by_gene, by_batch = Window.partitionBy("gene"), Window.partitionBy("gene", "sample")
-    centred = pb.withColumn("mean", F.avg("m").over(by_gene)).withColumn("residual", F.col("m") - F.avg("m").over(by_batch))
-    centred = centred.withColumn("sd", F.sqrt(F.avg(F.col("residual") ** 2).over(by_gene)))
-    centred = centred.withColumn("sd", F.when(F.col("sd") <= 1e-12, 1.0).otherwise(F.col("sd"))).withColumn("z", (F.col("m") - F.col("mean")) / F.col("sd"))
-    stats = centred.groupBy("sample", "gene").agg(F.avg("z").alias("g"), F.var_samp("z").alias("d"), F.count("*").alias("n")).toPandas()
+    centred = batch_scaled(pb)
+    stats = batch_moments(centred).toPandas()
     out = []
     for sample, part in stats.groupby("sample"):
         g, d, n = part["g"].to_numpy(float), part["d"].fillna(1.0).to_numpy(float), part["n"].to_numpy(float)
@@ -173,63 +247,92 @@ def combat(pb: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFra
     return fixed.select("sample", "cell_type", "gene", ((F.col("z") - F.col("shift")) / F.sqrt("scale") * F.col("sd") + F.col("mean")).alias("m"))
 
 
-def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[Column, np.ndarray]:
-    """(scores column, components k x width): of the covariance matrix, which is aggregated; signs by the largest entry."""
-    n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
+def components_of(n: float, s: np.ndarray, xx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(components k x width, mean) of a covariance matrix given by sums; signs by the largest entry."""
     mean = s / n
     values, vectors = np.linalg.eigh((xx - n * np.outer(mean, mean)) / max(1, n - 1))
+    k = min(k, len(s), int(n))
     components = vectors[:, np.argsort(values)[::-1][:k]].T
-    components *= np.sign(components[np.arange(k), np.abs(components).argmax(1)])[:, None]
-    return linear(f, components.T, -(components @ mean)), components
+    return components * np.sign(components[np.arange(k), np.abs(components).argmax(1)])[:, None], mean
+
+
+def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(df with its scores in place of f, components k x width): at most k, no more than columns or rows."""
+    n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
+    components, mean = components_of(n, s, xx, k)
+    ship(df.sparkSession)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                scores = (x - mean) @ components.T
+                held = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(components), pa.int32()), pa.array(scores.ravel()))
+                yield part.set_column(part.schema.get_field_index(f), f, held)
+
+    return df.mapInArrow(project, df.schema), components
 
 
-def harmony(df: DataFrame, f: str, batch: str, width: int, clusters: int = 5, rounds: int = 5, sigma: float = 0.1, theta: float = 2.0, ridge_penalty: float = 1.0, seed: int = 0) -> DataFrame:
+def harmony(
+    df: DataFrame, f: str, batch: str, width: int, clusters: int | None = None, rounds: int = 10, sigma: float = 0.1, theta: float = 2.0, ridge_penalty: float = 1.0, tolerance: float = 1e-4, seed: int = 0
+) -> DataFrame:
     """df with column f corrected: soft clusters penalised for batch imbalance, then a ridge shift per cluster and batch.
 
-    Rows keep their vector; the rounds so far are replayed over it in Arrow batches. Each task sums its own rows, so
-    only clusters x batches sums of vectors are shuffled and reach the driver.
+    By default one cluster for 30 rows, 100 at most, started by k-means on a bounded draw of rows. Rounds end when the
+    objective changes by less than `tolerance` of itself. Rows keep their vector; the rounds so far are replayed over it in
+    Arrow batches. Each task sums its own rows, so only clusters x batches sums of vectors are shuffled and reach the driver.
     """
     ship(df.sparkSession)
     number = {r[0]: i for i, r in enumerate(df.select(batch).distinct().orderBy(batch).collect())}
-    start = np.array([r[0] for r in df.orderBy(F.xxhash64(f), f).select(f).limit(50 * clusters).collect()], float)
-    centres = start[np.random.default_rng(seed).choice(len(start), min(clusters, len(start)), replace=False)]
-    clusters, penalty, history = len(centres), np.ones((min(clusters, len(centres)), len(number))), []
+    clusters = clusters or max(1, min(100, round(df.count() / 30)))
+    start = np.array([r[0] for r in df.orderBy(F.xxhash64(f), f).select(f).limit(50 * clusters).collect()], float).reshape(-1, width)
+    centres = k_means(start, clusters, seed)
+    clusters, penalty, history, before = len(centres), np.ones((len(centres), len(number))), [], None
 
-    def assign(z: np.ndarray, b: np.ndarray, centres: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-        unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        x = -2 * (1 - z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) @ unit.T) / sigma
-        soft = np.exp(x - x.max(1, keepdims=True)) * penalty[:, b].T
-        return soft / soft.sum(1, keepdims=True)
+    def soft(z: np.ndarray, b: np.ndarray, centres: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        d = distances(z, centres)
+        r = np.exp((d - d.min(1, keepdims=True)) / -sigma) * penalty[:, b].T
+        return r / r.sum(1, keepdims=True)
 
     def replayed(part: pa.RecordBatch, history: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.array(part.column(f).to_pylist(), float).reshape(part.num_rows, width)
+        x = part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
         b, z = np.array([number[v] for v in part.column(batch).to_pylist()], int), x
         for centres, penalty, shift in history:
-            z = x - np.einsum("nk,nkd->nd", assign(z, b, centres, penalty), shift[:, b].transpose(1, 0, 2))
+            r = soft(z, b, centres, penalty)
+            z = x.copy()
+            for i in np.unique(b):
+                z[b == i] -= r[b == i] @ shift[:, i]
         return x, b, z
 
     for _ in range(rounds):
 
         def sums(batches: Iterator[pa.RecordBatch], history=tuple(history), centres=centres, penalty=penalty) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((clusters, len(number), width + 1))
-            for part in batches:
-                x, b, z = replayed(part, history)
-                soft = assign(z, b, centres, penalty)
-                for i in range(len(number)):
-                    total[:, i] += soft[b == i].T @ np.column_stack((x[b == i], np.ones((b == i).sum())))
-            yield pa.RecordBatch.from_pydict({"k": np.arange(total.size), "v": total.ravel()})
+            total, objective = np.zeros((clusters, len(number), 2 * width + 1)), 0.0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    x, b, z = replayed(batch.slice(at, 4096), history)
+                    r = soft(z, b, centres, penalty)
+                    objective += float((r * distances(z, centres)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum())
+                    for i in np.unique(b):
+                        total[:, i] += r[b == i].T @ np.column_stack((x[b == i], unit(z[b == i]), np.ones((b == i).sum())))
+            values = np.append(total.ravel(), objective)
+            yield pa.RecordBatch.from_pydict({"k": np.arange(len(values)), "v": values})
 
         rows = df.select(f, batch).mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(clusters * len(number) * (width + 1))
+        total = np.zeros(clusters * len(number) * (2 * width + 1) + 1)
         for k, v in rows:
             total[k] = v
-        total = total.reshape(clusters, len(number), width + 1)
-        mass, total = total[:, :, -1], total[:, :, :-1]
-        mean = total.sum(1) / np.maximum(mass.sum(1), 1e-12)[:, None]
-        shift = (total - mass[:, :, None] * mean[:, None, :]) / (mass[:, :, None] + ridge_penalty)
+        objective, total = total[-1], total[:-1].reshape(clusters, len(number), 2 * width + 1)
+        mass, plain, direction = total[:, :, -1], total[:, :, :width], total[:, :, width:-1]
+        mean = plain.sum(1) / np.maximum(mass.sum(1), 1e-12)[:, None]
+        shift = (plain - mass[:, :, None] * mean[:, None, :]) / (mass[:, :, None] + ridge_penalty)
         history.append((centres, penalty, shift))
         expected = mass.sum(1, keepdims=True) * (mass.sum(0) / max(mass.sum(), 1e-12))[None, :]
-        penalty, centres = ((expected + 1) / (mass + 1)) ** theta, mean
+        penalty, centres = ((expected + 1) / (mass + 1)) ** theta, unit(direction.sum(1))
+        if before is not None and abs(before - objective) <= tolerance * abs(before):
+            break
+        before = objective
 
     def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -240,24 +343,83 @@ def harmony(df: DataFrame, f: str, batch: str, width: int, clusters: int = 5, ro
     return df.mapInArrow(correct, df.schema)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def distances(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Twice the cosine distance of rows to centres."""
+    return 2 * (1 - unit(z) @ unit(centres).T)
+
+
+def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
+    """Centres of unit vectors by Lloyd's rounds, begun at rows drawn far from each other."""
+    rng, x = np.random.default_rng(seed), unit(x)
+    k = min(k, len(x))
+    centres = x[[rng.integers(len(x))]] if len(x) else x
+    while len(centres) < k:
+        far = np.maximum(distances(x, centres).min(1), 0)
+        centres = np.vstack((centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]))
+    for _ in range(rounds if len(x) else 0):
+        own = distances(x, centres).argmin(1)
+        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
+    return centres
+
+
+def fuzzy_graph(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """cell_id, neighbour, weight of a neighbour graph (cell_id, neighbour, distance): the fuzzy union of its two directions.
+
+    An edge weighs exp(-(d - nearest) / s), s being chosen by bisection so that a row's edges weigh log2 of their number.
+    """
+    ship(edges.sparkSession)
+    rows = edges.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    rows = rows.select("cell_id", F.col("near.neighbour").alias("neighbour"), F.col("near.distance").alias("distance"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d in batch.column("distance").to_pylist():
+                d = np.array(d)
+                gap = np.maximum(d - d[d > 0].min() if (d > 0).any() else d, 0)
+                low, high, s = 0.0, np.inf, 1.0
+                for _ in range(rounds):
+                    if np.exp(-gap / s).sum() > np.log2(max(2, len(d))):
+                        high = s
+                    else:
+                        low = s
+                    s = s * 2 if high == np.inf else (low + high) / 2
+                out.append(np.exp(-gap / max(s, 1e-3 * max(d.mean(), 1e-12))).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("neighbour"), pa.array(out, pa.list_(pa.float64()))], ["cell_id", "neighbour", "weight"])
+
+    weighed = rows.mapInArrow(weigh, "cell_id long, neighbour array<long>, weight array<double>")
+    one = weighed.select("cell_id", F.explode(F.arrays_zip("neighbour", "weight")).alias("e")).select("cell_id", "e.neighbour", "e.weight")
+    back = one.select(F.col("neighbour").alias("cell_id"), F.col("cell_id").alias("neighbour"), F.col("weight").alias("other"))
+    a, b = F.coalesce("weight", F.lit(0.0)), F.coalesce("other", F.lit(0.0))
+    return one.join(back, ["cell_id", "neighbour"], "full").select("cell_id", "neighbour", (a + b - a * b).alias("weight"))
+
+
+def gene_moments(expr: DataFrame, cells: DataFrame, batch: str) -> DataFrame:
+    """batch, gene, n, mean, var (n - 1): absent values are zeros. There are few batches."""
+    sizes = cells.groupBy(batch).agg(F.count("*").alias("n"))
+    sums = expr.join(cells.select("cell_id", batch), "cell_id").groupBy(batch, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.join(F.broadcast(sizes), batch).select(batch, "gene", "n", mean.alias("mean"), ((F.col("q") - F.col("n") * mean * mean) / F.greatest(F.col("n") - 1, F.lit(1))).alias("var"))
+
+
 def hvg(expr: DataFrame, cells: DataFrame, top: int, batch: str = "split", span: float = 0.3) -> DataFrame:
     """gene, rank (median over batches), batches (in how many it is among the top): variance-stabilised selection.
 
     Means and variances count absent values. The trend of log variance on log mean is a local quadratic fit over
     genes on the driver; the clipped standardised variance is a second aggregation.
     """
-    sizes = dict(cells.groupBy(batch).count().collect())
     joined = expr.join(cells.select("cell_id", batch), "cell_id")
-    stats = joined.groupBy(batch, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q")).toPandas()
     rows = []
-    for b, part in stats.groupby(batch):
-        n = sizes[b]
-        mean = part["s"].to_numpy(float) / n
-        var = (part["q"].to_numpy(float) - n * mean**2) / max(1, n - 1)
+    for b, part in gene_moments(expr, cells, batch).toPandas().groupby(batch):
+        mean, var = part["mean"].to_numpy(float), part["var"].to_numpy(float)
         use = var > 0
         fit = np.zeros(len(mean))
         fit[use] = local_quadratic(np.log10(mean[use]), np.log10(var[use]), span)
-        rows += [(b, int(g), float(m), float(10 ** (f / 2)), n) for g, m, f in zip(part["gene"], mean, fit, strict=True)]
+        rows += [(b, int(g), float(m), float(10 ** (f / 2)), int(n)) for g, m, f, n in zip(part["gene"], mean, fit, part["n"], strict=True)]
     spark = expr.sparkSession
     trend = spark.createDataFrame(rows, f"{batch} string, gene long, mean double, sd double, n long")
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.sqrt("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,46 @@ def cell_qc(expr: DataFrame, genes: DataFrame) -> DataFrame:
     )
 
 
+def quantiles(df: DataFrame, by: list[str], column: str, at: tuple[float, ...], buckets: int = 64) -> DataFrame:
+    """by, q: exact linear quantiles of each group's values, nulls left out.
+
+    Sketches of bounded size cut each group's values into buckets of about equal count; the bucket counts tell in which
+    bucket each order statistic lies, and only the values of those buckets are ranked, each bucket by itself. The cuts
+    decide who ranks what, not what is found.
+    """
+    rows = df.select(*by, F.col(column).cast("double").alias("_v")).where("_v is not null")
+    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)], 100 * buckets).alias("_cuts"), F.count("*").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    keyed = lambda x: x.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    cut = counted.join(keyed(cuts), reduce(Column.__and__, same, F.lit(True))).withColumn("_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("_v"))))
+    cut = cut.select(*by, "_v", "_n", "_all", "_bucket")
+    held = cut.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_held"), F.max("_all").alias("_all"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array(*(x(F.lit(p) * (F.col("_all") - 1)).cast("long") for p in at for x in (F.floor, F.ceil)))
+    asked = held.withColumn("_before", before).withColumn("_ranks", F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_held")))).where(F.size("_ranks") > 0)
+    asked = keyed(asked.select(*by, F.col("_bucket").alias("_of"), "_before", "_ranks"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cut.join(asked, reduce(Column.__and__, [*same, F.col("_bucket") == F.col("_of")])).withColumn("_until", F.col("_before") + F.sum("_n").over(inside))
+    hit = F.filter("_ranks", lambda r: (r < F.col("_until")) & (r >= F.col("_until") - F.col("_n")))
+    found = ranked.select(*by, "_all", "_v", F.explode(hit).alias("_rank")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"), F.max("_all").alias("_all"))
+
+    def value(p: float) -> Column:
+        h = F.lit(p) * (F.col("_all") - 1)
+        low, high = (F.element_at("_at", x(h).cast("long")) for x in (F.floor, F.ceil))
+        return low + (high - low) * (h - F.floor(h))
+
+    return found.select(*by, F.array(*map(value, at)).alias("q"))
+
+
 def describe(df: DataFrame, column: str, percentiles: tuple[float, ...] = PERCENTILES, over: tuple[float, ...] = (5.0, 10.0, 20.0)) -> DataFrame:
     """statistic, value: count, mean, std (n - 1), min, max, exact percentiles, share of rows above each bound."""
     c = F.col(column)
     parts = [F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")]
-    parts += [F.percentile(c, p).alias(f"p{round(p * 100)}") for p in percentiles]
     parts += [F.avg((c > b).cast("double")).alias(f"over_{b:g}") for b in over]
     one = df.agg(*parts)
-    return one.unpivot([], one.columns, "statistic", "value")
+    held = F.explode(F.arrays_zip(F.array(*(F.lit(f"p{round(p * 100)}") for p in percentiles)).alias("statistic"), F.col("q").alias("value")))
+    return one.unpivot([], one.columns, "statistic", "value").unionByName(quantiles(df, [], column, percentiles).select(held.alias("x")).select("x.*"))
 
 
 def filter_cells(expr: DataFrame, min_genes: int) -> DataFrame:
@@ -60,7 +94,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def group_stats(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.median(column).alias("median"), F.avg(column).alias("mean"))
+    plain = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
+    middle = quantiles(df, by, column, (0.5,)).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("q")[0].alias("median"))
+    return plain.join(middle, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left").select(*by, "n", "median", "mean")
 
 
 def first_by(df: DataFrame, by: str, columns: list[str], order: str) -> DataFrame:
@@ -88,8 +124,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    each = df.groupBy(by).agg(F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high"))
+    ends = df.groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    each = ends.join(quantiles(df, [by], column, (0.25, 0.5, 0.75)).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
     return each.select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 
@@ -119,6 +155,51 @@ def numeric_features(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*exclude, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in kept))
 
 
+def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: str = "UNK") -> DataFrame:
+    """df with `value` looked up in table (key, value) by key; the default where the key is absent."""
+    named = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    return df.join(named, F.col(key) == F.col("_key"), "left").withColumn(value, F.coalesce("_value", F.lit(default))).drop("_key", "_value")
+
+
+def known_columns(columns: DataFrame, truth: DataFrame, patient: str = "patient", column: str = "bulk_col") -> DataFrame:
+    """The bulk columns whose patient is known and that have a truth."""
+    return columns.where(F.upper(F.trim(patient)).isin(*UNKNOWN) == F.lit(False)).join(truth.select(column).distinct(), column, "left_semi")
+
+
+def with_default(df: DataFrame, column: str, default: Column) -> DataFrame:
+    """df with `column`, made from the default if it has none."""
+    return df if column in df.columns else df.withColumn(column, default)
+
+
+def category_codes(labels: DataFrame, label: str, *sides: DataFrame) -> DataFrame:
+    """labels with code: the place of the label in the sorted union of the sides' labels; null for what is in none."""
+    union = label_union(label, *sides).withColumnRenamed(label, "_label")
+    return labels.join(F.broadcast(union), F.col(label) == F.col("_label"), "left").withColumn("code", F.col("place")).drop("_label", "place")
+
+
+def label_union(label: str, *sides: DataFrame) -> DataFrame:
+    """place (from 0), label: every label of the sides once, sorted. There are few different labels, so one task ranks them."""
+    every = reduce(DataFrame.union, [s.select(label) for s in sides]).where(F.col(label).isNotNull()).distinct()
+    return every.select((F.row_number().over(Window.orderBy(label)) - 1).alias("place"), label)
+
+
+def union_with_source(parts: dict[str, DataFrame], source: str = "source") -> DataFrame:
+    """The rows of all parts, with the name of the part and the columns that all of them have."""
+    common = [c for c in next(iter(parts.values())).columns if all(c in p.columns for p in parts.values())]
+    return reduce(DataFrame.unionByName, [p.select(*common, F.lit(name).alias(source)) for name, p in parts.items()])
+
+
+def distinct_joined(df: DataFrame, by: str, column: str, separator: str = ",") -> DataFrame:
+    """by, column: the group's different values, sorted and joined."""
+    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), separator).alias(column))
+
+
+def thin_ticks(labels: DataFrame, place: str, most: int = 80) -> DataFrame:
+    """The labels to be drawn on an axis: every ceil(n / most)-th one, by their place from 1."""
+    n = labels.agg(F.count("*").alias("_n"))
+    return labels.join(F.broadcast(n)).where((F.col(place) - 1) % F.ceil(F.col("_n") / most) == 0).drop("_n")
+
+
 def coerce(column: Column) -> Column:
     """A number, or 0 for what is not one."""
     return F.coalesce(F.nanvl(column.try_cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -1,4 +1,5 @@
-"""Queries that fit models; registered beside the relational ones. SQL cannot express them, tests compare with numpy."""
+"""Queries that fit models; registered beside the relational ones. SQL cannot express them; tests/test_studies.py runs each and
+compares what can be compared with numpy."""
 
 from __future__ import annotations
 
@@ -9,21 +10,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import boosting as B
 from ..operators import classify as C
+from ..operators import embedding as E
 from ..operators import expression as X
 from ..operators import models as M
+from ..operators import qc as Q
+from ..sources.files import staged
 from .catalog import CLASSES, K, Tables, composition, pb, query, weights
 
 WIDTH = 64
 LABELS = list(range(10))
 POSITIVE_LABEL = 0
+LEAST_CELLS, LEAST_GENES, MARKERS = 10, 20, 50
 
 
 def bulk_matrix(t: Tables) -> tuple[list[str], np.ndarray]:
-    """(bulk columns, columns x genes of asinh CP10k): as many numbers as bulk samples x marker genes, on the driver."""
-    genes = [r[0] for r in t.genes().select("gene").orderBy("gene").collect()]
-    rows = X.asinh(X.cp10k(t.bulk(), "bulk_col")).groupBy("bulk_col").pivot("gene", genes).agg(F.first("value")).fillna(0.0).orderBy("bulk_col").collect()
-    return [r[0] for r in rows], np.array([list(r[1:]) for r in rows], float)
+    """(bulk columns, columns x genes of asinh CP10k): as many numbers as bulk samples x genes, on the driver."""
+    genes = {r[0]: i for i, r in enumerate(t.genes().select("gene").orderBy("gene").collect())}
+    rows = X.asinh(X.cp10k(t.bulk(), "bulk_col")).groupBy("bulk_col").agg(F.collect_list(F.struct("gene", "value")).alias("held")).orderBy("bulk_col").collect()
+    x = np.zeros((len(rows), len(genes)))
+    for i, r in enumerate(rows):
+        for gene, value in r.held:
+            x[i, genes[gene]] = value
+    return [r.bulk_col for r in rows], x
 
 
 def composition_matrix(t: Tables) -> tuple[list[str], np.ndarray]:
@@ -58,27 +68,31 @@ def ridge_ilr(t: Tables) -> DataFrame:
 def deconv_lopo(t: Tables) -> DataFrame:
     """RMSE of each class, leaving out one patient at a time and averaging over inner folds.
 
-    Pseudobulk is computed once: a fold only drops samples, which commutes with it. Markers are chosen inside each
-    fold from its training samples.
+    Pseudobulk is computed once: a fold only drops samples, which commutes with it. The markers of all folds are chosen
+    in one plan, each from its own training samples, among the genes of the bulk matrix. Folds with fewer than LEAST_CELLS
+    cells, LEAST_GENES markers or two training columns are left out.
     """
     columns, x = bulk_matrix(t)
     _, p = composition_matrix(t)
     genes = [r[0] for r in t.genes().select("gene").orderBy("gene").collect()]
-    who = {f"s{r.n_nationkey}": (r.sample, r.patient) for r in t.cells().select("n_nationkey", "sample", "patient").distinct().collect()}
-    patient = np.array([who[c.split("_")[0]][1] for c in columns])
-    profile = pb(t).join(F.broadcast(t.cells().select("sample", "patient").distinct()), "sample").cache()
+    who = {f"s{r.n_nationkey}": r.patient for r in t.cells().select("n_nationkey", "patient").distinct().collect()}
+    patient = np.array([who.get(c.split("_")[0], "UNK") for c in columns])
+    folds = C.lopo_folds(t.cells(), "patient").where("role = 'train'")
+    roles: dict[tuple, set] = {}
+    for r in folds.collect():
+        roles.setdefault((r["outer"], r["inner"]), set()).add(r["patient"])
+    n_cells = dict(t.cells().groupBy("patient").count().collect())
+    profile = pb(t).join(F.broadcast(t.cells().select("sample", "patient").distinct()), "sample").join(F.broadcast(folds.select("outer", "inner", "patient")), "patient")
+    tops = X.top_k(X.contrast(profile, by=("outer", "inner")), MARKERS, by=["outer", "inner", "cell_type"]).groupBy("outer", "inner").agg(F.collect_set("gene").alias("genes")).collect()
     bags: dict[str, list[np.ndarray]] = {c: [] for c in columns}
-    for outer, inner in {(r["outer"], r["inner"]): None for r in C.lopo_folds(t.cells(), "patient").collect()}:
-        roles = {r.patient for r in C.lopo_folds(t.cells(), "patient").where((F.col("outer") == outer) & (F.col("inner") == inner) & (F.col("role") == "train")).collect()}
-        train = np.flatnonzero(np.isin(patient, list(roles)))
-        if len(train) < 2:
+    for r in sorted(tops, key=lambda r: (r["outer"], r["inner"])):
+        mine = roles[r["outer"], r["inner"]]
+        train, use = np.flatnonzero(np.isin(patient, list(mine))), np.isin(genes, r["genes"])
+        if sum(n_cells[m] for m in mine) < LEAST_CELLS or use.sum() < LEAST_GENES or len(train) < 2:
             continue
-        tops = X.top_k(X.contrast(profile.where(F.col("patient").isin(*roles))), 20).select("gene").distinct().collect()
-        use = np.isin(genes, [r[0] for r in tops])
         w, b = M.ridge(x[np.ix_(train, use)], np_ilr(p[train]), 1e-2)
-        for i in np.flatnonzero(patient == outer):
+        for i in np.flatnonzero(patient == r["outer"]):
             bags[columns[i]].append(np_ilr_inverse((x[i : i + 1, use]) @ w + b)[0])
-    profile.unpersist()
     guess = np.array([np.mean(bags[c], axis=0) if bags[c] else np.full(K, 1 / K) for c in columns])
     error = np.sqrt(((guess - p) ** 2).mean(0))
     return t.spark.createDataFrame([(k, round(float(e), 6)) for k, e in zip([*CLASSES, "AVERAGE"], [*error, error.mean()], strict=True)], "cell_type string, rmse double")
@@ -98,16 +112,18 @@ def ridge_classifier(t: Tables) -> DataFrame:
 
 @query("gbt_binary")
 def gbt_binary(t: Tables) -> DataFrame:
+    """The positive class against the rest by distributed boosted trees."""
     train, test = labelled(t)
-    model = M.gbt_binary(train.withColumn("valid", F.col("grp") == 1), POSITIVE_LABEL)
+    model = M.gbt_binary(M.with_valid(train), POSITIVE_LABEL)
     return M.positive_probability(model, test).select("cell_id", "cell_type", F.round("p_t", 6).alias("p_t"), (F.col("p_t") >= 0.55).alias("gated"))
 
 
 @query("gbt_ovr")
 def gbt_ovr(t: Tables) -> DataFrame:
+    """All ten classes by boosted trees on the softmax loss."""
     train, test = labelled(t)
-    scored = M.gbt_one_vs_rest(train).transform(test.withColumn("features", M.array_to_vector("f")))
-    return scored.select("cell_id", "cell_type", F.col("prediction").cast("int").alias("yhat"))
+    scored = B.with_probabilities(test, {"p": B.fit_rows(train, LABELS)})
+    return scored.select("cell_id", "cell_type", V.argmax(F.col("p")).alias("yhat"), F.round(V.top1(F.col("p")), 6).alias("top1"))
 
 
 @query("combat")
@@ -117,20 +133,19 @@ def combat(t: Tables) -> DataFrame:
 
 @query("pca")
 def pca(t: Tables) -> DataFrame:
-    f = t.features()
-    scores, _ = M.pca(f, "f", WIDTH, 5)
-    return f.select("cell_id", F.posexplode(scores).alias("component", "score")).withColumn("score", F.round("score", 6))
+    """Fifty components of the embedding."""
+    scores, _ = M.pca(t.features(), "f", WIDTH, 50)
+    return scores.select("cell_id", F.posexplode("f").alias("component", "score")).withColumn("score", F.round("score", 6))
 
 
-def reduced(t: Tables, k: int = 8) -> DataFrame:
-    f = t.features()
-    scores, _ = M.pca(f, "f", WIDTH, k)
-    return f.select("cell_id", "cell_type", F.concat(F.lit("b"), F.col("grp") % 3).alias("batch"), scores.alias("f"))
+def reduced(t: Tables, k: int = 50) -> DataFrame:
+    scores, _ = M.pca(t.features(), "f", WIDTH, k)
+    return staged(scores.select("cell_id", "cell_type", F.concat(F.lit("b"), F.col("grp") % 3).alias("batch"), "f"))
 
 
 @query("harmony")
 def harmony(t: Tables) -> DataFrame:
-    fixed = M.harmony(reduced(t), "f", "batch", 8, rounds=2)
+    fixed = M.harmony(reduced(t), "f", "batch", 50)
     return fixed.select("cell_id", "batch", F.posexplode("f").alias("component", "score")).withColumn("score", F.round("score", 6))
 
 
@@ -139,12 +154,11 @@ def hvg(t: Tables) -> DataFrame:
     return M.hvg(X.cp10k(t.expr()), t.cells(), 20)
 
 
-@query("l1_markers")
-def l1_markers(t: Tables) -> DataFrame:
-    """Top markers of each class: ranks of Cohen's d and of the L1 coefficient fused, among genes where both are positive."""
-    profile = pb(t).cache()
+def robust_markers(t: Tables, l1_ratio: float) -> DataFrame:
+    """Top markers of each class: ranks of Cohen's d and of the coefficient fused, among genes where both are positive."""
+    profile = staged(pb(t))
     genes = [r[0] for r in t.genes().select("gene").orderBy("gene").collect()]
-    found = [(c, int(g), v) for c in CLASSES for g, v in M.l1_markers(profile, genes, c).items()]
+    found = [(c, int(g), v) for c in CLASSES for g, v in M.l1_markers(profile, genes, c, l1_ratio=l1_ratio).items()]
     coefficients = t.spark.createDataFrame(found, "cell_type string, gene long, coefficient double")
     both = X.cohens_d(profile, weights(t)).join(coefficients, ["cell_type", "gene"])
     positive = both.where("d > 0 and coefficient > 0")
@@ -157,74 +171,128 @@ def l1_markers(t: Tables) -> DataFrame:
     return X.top_k(every.withColumn("score", F.round(score, 6)).select("cell_type", "gene", "score"), 10)
 
 
+@query("l1_markers")
+def l1_markers(t: Tables) -> DataFrame:
+    return robust_markers(t, 1.0)
+
+
+@query("elastic_markers")
+def elastic_markers(t: Tables) -> DataFrame:
+    return robust_markers(t, 0.5)
+
+
+def told(z: DataFrame, key: str) -> DataFrame:
+    return z.select("cell_id", key, F.size("z").alias("width"), F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+
+
 @query("embed_joint")
 def embed_joint(t: Tables) -> DataFrame:
-    """PCA, batch correction and column standardisation of the joint embedding, next to the uncorrected scores."""
-    base = reduced(t)
-    fixed = M.harmony(base, "f", "batch", 8, rounds=1).select("cell_id", F.col("f").alias("g"))
-    long = base.join(fixed, "cell_id").select("cell_id", F.posexplode(F.concat("f", "g")).alias("d", "v"))
-    w = Window.partitionBy("d")
-    z = (F.col("v") - F.avg("v").over(w)) / (F.stddev_pop("v").over(w) + 1e-9)
-    return long.select("cell_id", "d", F.round(z, 6).alias("z"))
+    """The joint embedding of training and test cells, batch by sample."""
+    return told(E.joint_embedding(t.expr(), t.cells(), E.Steps(batch=("sample",))), "set")
 
 
 @query("embed_strata")
 def embed_strata(t: Tables) -> DataFrame:
-    """The embedding standardised inside each stratum."""
-    long = reduced(t).select("cell_id", "batch", F.posexplode("f").alias("d", "v"))
-    w = Window.partitionBy("batch", "d")
-    z = (F.col("v") - F.avg("v").over(w)) / (F.stddev_pop("v").over(w) + 1e-9)
-    return long.select("cell_id", "batch", "d", F.round(z, 6).alias("z"))
+    """The embedding inside each stratum (chemo)."""
+    return told(E.strata_embedding(t.expr(), t.cells(), ("chemo",)), "stratum")
+
 
+BASE = ["gbt", "knn", "ridge"]
+FEATURES = ["p_t", *(f"{m}_{x}" for m in BASE for x in ("top1", "margin", "entropy")), "agree_gbt_knn", "agree_gbt_ridge", "agree_knn_ridge"]
 
-BASE = ["knn", "ridge"]
-FOLDS = 3
-FEATURES = ["p_t", "knn_top1", "knn_margin", "knn_entropy", "ridge_top1", "ridge_margin", "ridge_entropy", "agree_knn_ridge"]
 
+def base_models(train: DataFrame, rows: DataFrame, models: list[str] = BASE) -> DataFrame:
+    """rows with a column of class probabilities for each model and p_t, the gate's: each fitted on train.
 
-def base_models(train: DataFrame, test: DataFrame) -> DataFrame:
-    """test with columns knn, ridge (probabilities), p_t: each model fitted on train."""
-    votes = C.knn_votes(C.knn(test, train), LABELS).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("knn"))
-    both = test.join(votes, test["cell_id"] == votes["query"]).drop("query").withColumn("ridge", M.ridge_classifier(train, LABELS, WIDTH))
-    return both.withColumn("p_t", F.get("ridge", F.lit(POSITIVE_LABEL)))
+    The gate is a boosted model of its own, the positive class against the rest, fitted once for all base models.
+    """
+    train = train.withColumn("is_positive", (F.col("cell_type") == POSITIVE_LABEL).cast("int"))
+    held = {"_gate": B.fit_rows(train, [0, 1], "is_positive")}
+    if "gbt" in models:
+        held["gbt"] = B.fit_rows(train, LABELS)
+    out = B.with_probabilities(rows, held).withColumn("p_t", F.get("_gate", F.lit(1))).drop("_gate")
+    if "knn" in models:
+        votes = C.knn_votes(C.knn(rows, train), LABELS).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("knn"))
+        out = out.join(votes, out["cell_id"] == votes["query"]).drop("query")
+    return out.withColumn("ridge", M.ridge_classifier(train, LABELS, WIDTH)) if "ridge" in models else out
+
+
+def fold_predictions(train: DataFrame, test: DataFrame, mode: str = "stratified", folds: int = 5, models: list[str] = BASE) -> tuple[DataFrame, DataFrame]:
+    """(oof, test): training rows with fold and the probabilities of models that did not see them; test rows with the mean
+    of all folds' models. Every fold's models are fitted once and score both."""
+    if not models or set(models) - set(BASE):
+        raise ValueError(f"base models are {', '.join(BASE)}")
+    folded, parts = staged(C.folds(train, mode, "cell_type", "grp", "cell_id", folds)), []
+    for k in [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]:
+        rows = folded.where(F.col("fold") == k).withColumn("is_test", F.lit(False)).unionByName(test.withColumn("fold", F.lit(k)).withColumn("is_test", F.lit(True)))
+        parts.append(staged(base_models(folded.where(F.col("fold") != k).drop("fold"), rows, models)))
+    scored = reduce(DataFrame.unionByName, parts)
+    seen, unseen = scored.where(~F.col("is_test")).drop("is_test"), scored.where("is_test").drop("is_test")
+    long = unseen.select("cell_id", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models), F.struct(F.lit("p_t").alias("model"), F.array("p_t").alias("p")))))
+    mean = C.mean_probabilities(long, ["cell_id", "model"]).groupBy("cell_id").pivot("model", [*models, "p_t"]).agg(F.first("p"))
+    return seen, test.join(mean.withColumn("p_t", F.col("p_t")[0]), "cell_id")
+
+
+def targets(oof: DataFrame, models: list[str]) -> DataFrame:
+    """oof with the features of the arbiter and its target: gated labels, margins of ungated probabilities."""
+    return C.meta_features(oof, models).withColumn("target", C.meta_target(F.col("cell_type"), M.gated_labels(models, POSITIVE_LABEL), [F.col(f"{m}_margin") for m in models]))
+
+
+def ensemble(t: Tables, mode: str = "stratified", folds: int = 5, models: list[str] = BASE) -> DataFrame:
+    """Out-of-fold predictions of the base models train an arbiter, which picks a model for each test row; then the gate.
+
+    The clean variant: the arbiter learns from all folds, each row predicted by models that did not see it.
+    """
+    oof, test = fold_predictions(*labelled(t), mode, folds, models)
+    if len(models) == 1:
+        chosen = C.meta_features(test, models).withColumn("choice", F.lit(0))
+    else:
+        features = [f for f in FEATURES if f == "p_t" or all(part in models or part in ("agree", "top1", "margin", "entropy") for part in f.split("_"))]
+        chosen = M.arbiter_choice(M.arbiter(targets(oof, models), features, "target"), C.meta_features(test, models), features)
+    picked = F.element_at(F.array(*(V.argmax(F.col(m)) for m in models)), F.col("choice") + 1)
+    return chosen.withColumn("pred_final", V.gate(picked, F.col("p_t"), POSITIVE_LABEL))
 
 
 @query("arbiter_lr")
 def arbiter_lr(t: Tables) -> DataFrame:
-    return ensemble(t).select("cell_id", "choice")
+    """The model that the arbiter picks for each test row, with two base models."""
+    return ensemble(t, models=["knn", "ridge"]).select("cell_id", "choice")
 
 
 @query("ensemble_arbiter")
 def ensemble_arbiter(t: Tables) -> DataFrame:
-    return ensemble(t).select("cell_id", "cell_type", "pred_final", "choice", F.round("p_t", 6).alias("p_t"))
-
-
-def out_of_fold(train: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """train with fold and the base models' probabilities, every fold's rows predicted by models that did not see them."""
-    folded = C.stratified_folds(train, "cell_type", "cell_id", folds)
-    parts = [base_models(folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k)) for k in range(folds)]
-    return reduce(DataFrame.unionByName, parts)
+    """Predictions of the test rows, each class's mean probability under each model, the gate's mean and its threshold."""
+    every = [F.round(F.get(m, F.lit(c)), 6).alias(f"proba_{m}_{c}") for m in BASE for c in LABELS]
+    return ensemble(t).select("cell_id", "cell_type", "pred_final", "choice", *every, F.round("p_t", 6).alias("pT_mean"), F.lit(0.55).alias("thr_used"))
 
 
 @query("ensemble_ordered")
 def ensemble_ordered(t: Tables) -> DataFrame:
     """The order-dependent arbiter over the training rows: each fold's choices come from the folds before it."""
-    oof = out_of_fold(labelled(t)[0]).cache()
-    found = M.ordered_arbiter(oof, BASE, FEATURES, FOLDS, POSITIVE_LABEL)
+    train, test = labelled(t)
+    oof, _ = fold_predictions(train, test, "group", 3)
+    folds = oof.select("fold").distinct().count()
+    found = M.ordered_arbiter(oof, BASE, FEATURES, folds, POSITIVE_LABEL)
     return found.select("cell_id", "fold", "cell_type", "choice", F.col("pred").cast("int").alias("pred"))
 
 
-def ensemble(t: Tables) -> DataFrame:
-    """Out-of-fold predictions of two base models train an arbiter, which picks a model for each test row; then the gate.
-
-    The clean variant: the arbiter learns from all folds. Its targets are gated labels and margins of ungated
-    probabilities.
-    """
+@query("ensemble_scores")
+def ensemble_scores(t: Tables) -> DataFrame:
+    """model, fold (-1: mean of the folds), ari, v_measure, score, n_train, n_val, groups of the validation rows."""
     train, test = labelled(t)
-    oof = C.meta_features(out_of_fold(train), BASE)
-    target = C.meta_target(F.col("cell_type"), M.gated_labels(BASE, POSITIVE_LABEL), [F.col(f"{m}_margin") for m in BASE])
-    fitted = M.arbiter(oof.withColumn("target", target), FEATURES, "target")
-    chosen = M.arbiter_choice(fitted, C.meta_features(base_models(train, test), BASE), FEATURES)
-    picked = F.element_at(F.array(V.argmax(F.col("knn")), V.argmax(F.col("ridge"))), F.col("choice") + 1)
-    return chosen.withColumn("pred_final", V.gate(picked, F.col("p_t"), POSITIVE_LABEL))
-
+    oof, _ = fold_predictions(train, test, "group", 3)
+    n_folds, n = oof.select("fold").distinct().count(), oof.count()
+    ordered = M.ordered_arbiter(oof, BASE, FEATURES, n_folds, POSITIVE_LABEL).select("cell_id", "fold", "cell_type", F.lit("ensemble").alias("model"), F.col("pred").cast("int").alias("yhat"))
+    labels = M.gated_labels(BASE, POSITIVE_LABEL)
+    each = oof.select("cell_id", "fold", "cell_type", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), y.alias("yhat")) for m, y in zip(BASE, labels, strict=True)))))
+    every = staged(each.unionByName(ordered))
+    rows = []
+    for model in [*BASE, "ensemble"]:
+        for k in range(n_folds):
+            mine = every.where((F.col("model") == model) & (F.col("fold") == k))
+            rows.append((model, k, *map(float, C.metrics(C.confusion(mine, "cell_type", "yhat")).select("ari", "v_measure", "score").first())))
+    found = t.spark.createDataFrame(rows, "model string, fold int, ari double, v_measure double, score double")  # models x folds
+    sizes = Q.distinct_joined(oof, "fold", "grp").join(oof.groupBy("fold").agg(F.count("*").alias("n_val")), "fold").select("fold", (n - F.col("n_val")).alias("n_train"), "n_val", F.col("grp").alias("val_groups"))
+    means = found.groupBy("model").agg(F.lit(-1).alias("fold"), *(F.avg(c).alias(c) for c in ("ari", "v_measure", "score")))
+    out = found.unionByName(means).join(sizes, "fold", "left")
+    return out.select("model", "fold", *(F.round(c, 6).alias(c) for c in ("ari", "v_measure", "score")), "n_train", "n_val", "val_groups")

@@ -7,6 +7,7 @@ market segment, bulk columns are samples in two replicates.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,12 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        try:
+            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        except AnalysisException as error:
+            raise FileNotFoundError(f"no table {name} in {self.dir}") from error
 
     def cells(self) -> DataFrame:
         """cell_id, sample, patient, chemo, tumor, cell_type, split. Keys determine each other, so nothing is aggregated."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import os
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -31,6 +33,64 @@ def read_wide_csv(spark: SparkSession, path: str, key: str = "gene", column: str
     return wide.select(F.col(quoted(first)).alias(key), F.inline(cells).alias(column, "_raw")).select(key, column, coerce(F.col("_raw")).alias(value))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, on one machine a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tissuemill-files")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a short plan, and nothing to compute again when an executor is lost."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_features(features: DataFrame, path: str, width: int) -> None:
+    """Features (further columns, then f) as a folder of CSV files with columns 0 to width - 1; made if absent, replaced if there."""
+    others = [c for c in features.columns if c != "f"]
+    features.select(*others, *(F.get("f", F.lit(k)).alias(str(k)) for k in range(width))).write.mode("overwrite").csv(path, header=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """A feature table of CSV files, its columns 0, 1, ... as numbers; an absent or empty one is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    df = spark.read.csv(path, header=True)
+    if df.isEmpty():
+        raise ValueError(f"{path}: no rows")
+    return df.select(*(coerce(F.col(quoted(c))).alias(c) if c.isdigit() else F.col(quoted(c)) for c in df.columns))
+
+
+def preview(spark: SparkSession, path: str, rows: int = 5, columns: int = 8) -> DataFrame:
+    """The first rows and columns of a CSV file."""
+    df = spark.read.csv(path, header=True)
+    return df.select(*map(quoted, df.columns[:columns])).limit(rows)
+
+
+def oriented(table: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """bulk_col, cell_type, p of a wide table whose first column names its rows, whichever way it lies.
+
+    Classes are the rows, unless all classes are columns and not all are rows.
+    """
+    first, *others = table.columns
+    named = {r[0] for r in table.select(quoted(first)).collect()}  # classes or bulk samples
+    turned = set(classes) <= set(others) and not set(classes) <= named
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.col(quoted(c)).cast("double").alias("v")) for c in others))
+    long = table.select(F.col(quoted(first)).alias("r"), F.inline(cells))
+    row, column = ("c", "r") if turned else ("r", "c")
+    return long.select(F.col(column).alias("bulk_col"), F.col(row).alias("cell_type"), F.col("v").alias("p"))
+
+
 def props_table(props: DataFrame, classes: Sequence[str]) -> DataFrame:
     """props (bulk_col, cell_type, p) as one row for each class: index, then a column for each bulk sample; absent is 0.
 
@@ -50,13 +110,16 @@ def write_props(props: DataFrame, classes: Sequence[str], path: str) -> DataFram
     """
     table = props_table(props, classes)
     target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
     part = target.with_name(target.name + ".part")
-    with part.open("w", newline="") as out:
-        rows = csv.writer(out)
-        rows.writerow(["", *table.columns])
-        rows.writerows([i, *row] for i, row in enumerate(table.collect()))
-    os.replace(part, target)
+    try:
+        target.parent.mkdir(parents=True, exist_ok=True)
+        with part.open("w", newline="") as out:
+            rows = csv.writer(out)
+            rows.writerow(["", *table.columns])
+            rows.writerows([i, *row] for i, row in enumerate(table.collect()))
+        os.replace(part, target)
+    except OSError as error:
+        raise PermissionError(f"{path} cannot be written: {error}") from error
     return table
 
 
