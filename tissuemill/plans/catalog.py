@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -355,13 +355,19 @@ def knn_vote(t: Tables) -> DataFrame:
 
 
 def probabilities(t: Tables) -> DataFrame:
-    """cell_id, truth, p_t and three models' probabilities over four classes, from the first 12 embedding values."""
+    """cell_id, truth, p_t and three models' probabilities of the ten classes.
+
+    Every value of the embedding counts: the one at place d for class d % 10 of model d div 10 % 3.
+    """
     f = t.features()
-    models = {f"m{k}": V.softmax(F.transform(F.slice("f", 4 * k + 1, 4), lambda x: x * 4)) for k in range(3)}
-    return f.select("cell_id", (F.col("cell_type") % 4).alias("truth"), *(c.alias(n) for n, c in models.items())).withColumn("p_t", F.get("m0", F.lit(0)))
+
+    def scores(k: int) -> Column:
+        return F.array(*(sum((F.get("f", F.lit(d)) for d in range(c, 64, 10) if d // 10 % 3 == k), F.lit(0.0)) * 4 for c in range(10)))
+
+    return f.select("cell_id", F.col("cell_type").alias("truth"), *(V.softmax(scores(k)).alias(f"m{k}") for k in range(3))).withColumn("p_t", F.get("m0", F.lit(0)))
 
 
-PROB = """lx AS (SELECT cell_id, cell_type % 4 AS truth, k, i, CAST(f[4 * k + i + 1] AS DOUBLE) * 4 AS x FROM features, (SELECT unnest(range(3)) AS k), (SELECT unnest(range(4)) AS i)),
+PROB = """lx AS (SELECT cell_id, cell_type AS truth, d // 10 % 3 AS k, d % 10 AS i, sum(x) * 4 AS x FROM (SELECT cell_id, cell_type, unnest(range(64)) AS d, CAST(unnest(f) AS DOUBLE) AS x FROM features) GROUP BY ALL),
 px AS (SELECT cell_id, truth, k, i, exp(x - mx) / (sum(exp(x - mx)) OVER (PARTITION BY cell_id, k) + 1e-12) AS p FROM (SELECT *, max(x) OVER (PARTITION BY cell_id, k) AS mx FROM lx)),
 ft AS (SELECT cell_id, any_value(truth) AS truth, k, max(p) AS top1, max(p) - max(p) FILTER (WHERE r = 2) AS d1, max(p) FILTER (WHERE r = 1) - max(p) FILTER (WHERE r = 2) AS margin,
   -sum(least(greatest(p, 1e-12), 1) * ln(least(greatest(p, 1e-12), 1))) AS entropy, min(i) FILTER (WHERE r = 1) AS yhat, any_value(p) FILTER (WHERE i = 0) AS p0
@@ -463,9 +469,9 @@ def pred_distribution(t: Tables) -> DataFrame:
     return counts.select("yhat", "n", F.concat(F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).cast("string"), F.lit("%")).alias("share"))
 
 
-@query("props_wide", oracle(f"SELECT CAST(i AS INTEGER) AS row_number, cell_type AS index, " + ", ".join(f"round(max(coalesce(p, 0)) FILTER (WHERE bulk_col = 's{s}_{r}'), 6) AS s{s}_{r}" for s in range(5, 9) for r in range(REPLICATES)) + " FROM comp JOIN cls USING (i) GROUP BY 1, 2", COMP))
+@query("props_wide", oracle(f"SELECT CAST(i AS INTEGER) AS row_number, cell_type AS index, " + ", ".join(f"round(max(coalesce(p, 0)) FILTER (WHERE bulk_col = 's{s}_{r}'), 6) AS s{s}_{r}" for s in range(25) for r in range(REPLICATES)) + " FROM comp JOIN cls USING (i) GROUP BY 1, 2", COMP))
 def props_wide(t: Tables) -> DataFrame:
-    columns = [f"s{s}_{r}" for s in range(5, 9) for r in range(REPLICATES)]
+    columns = [f"s{s}_{r}" for s in range(25) for r in range(REPLICATES)]  # all nations, in both replicates
     rows = composition(t).select("bulk_col", F.posexplode("p").alias("row_number", "p"))
     wide = rows.groupBy("row_number").pivot("bulk_col", columns).agg(F.round(F.max("p"), 6))
     return wide.select("row_number", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("row_number") + 1).alias("index"), *columns)
