@@ -466,7 +466,7 @@ def test_ngram_join(spark, unique, docs, rows, empty):
     every = [(r[0], r[1]) for r in unique] + more
     df = spark.createDataFrame(every, "doc_id long, text string")
     expected = brute_components(every)
-    for options in ({}, {"long_list": 5, "block_size": 8}, {"broadcast_nodes": 0, "long_list": 3, "broadcast_lists": 10}):
+    for options in ({"long_list": 5, "block_size": 8}, {"broadcast_nodes": 0, "long_list": 3, "broadcast_lists": 10}):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, **options).collect()}
         assert got == expected
     assert ngram_join.components(docs).count() == len(rows)
