@@ -19,8 +19,8 @@ binary-searched in the L long ones until the overlap is reached or out of reach
 result comes from this search.
 
 Steps, all on DataFrames:
-1. Two passes over the texts: lengths of the lists that may become short ones of a set (twice as many as it needs), then
-   of all lists of sets for which even those do not suffice, since long ones crowd them (map-side combine). So a list not
+1. Two passes over the texts: lengths of the lists that may become short ones of a set (half as many again as it needs),
+   then of all lists of sets for which even those do not suffice, since long ones crowd them (map-side combine). So a list not
    known as long has at most `long_list` entries from each pass.
 2. Third pass: each document's set size, set signature and short lists. Documents with equal sets are one node.
 3. The short lists are dealt by shingle; entries of long lists are salted into blocks. A block is merged in a
@@ -65,7 +65,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, hash_strings, map_arrow, mix64, slices, split_words, stage, table
+from .common import WORD, discard, hash_strings, map_arrow, mix64, release, slices, split_words, stage, table
 
 SHINGLE = 5
 PER_CENT = 80
@@ -195,10 +195,10 @@ class Order:
         return found[np.lexsort((found, rank))[:first]], min(first, int(np.count_nonzero(rank == 0)))
 
     def counted(self, found: np.ndarray) -> np.ndarray:
-        """The lists of a set to be counted: those first in the plain order, twice as many as it has short ones, while no
-        long list is known; then all that are not long, if that leaves too few of the first ones."""
+        """The lists of a set to be counted: those first in the plain order, half as many again as it has short ones, while
+        no long list is known; then all that are not long, if that leaves too few of the first ones."""
         n_short = len(found) - int(least_overlap(len(found))) + 1 if len(found) else 0
-        first = found[: 2 * n_short]
+        first = found[: n_short + (n_short + 1) // 2]
         if not len(self.keys):
             return first
         return found[self.rank(found) == 0] if np.count_nonzero(self.rank(first) == 0) < n_short else found[:0]
@@ -242,6 +242,8 @@ def long_lists(docs: DataFrame, long_list: int = LONG_LIST, most: int = BROADCAS
         rows = counted.where(F.col("n") > long_list).orderBy(F.col("n").desc(), "shingle").limit(most - len(keys)).toPandas()
         keys = np.concatenate((keys, rows["shingle"].to_numpy(np.int64).view(np.uint64)))
         lengths = np.concatenate((lengths, rows["n"].to_numpy(np.int64)))
+        del counted
+        release(docs.sparkSession)
         if not len(keys) or len(keys) >= most:
             break
     return Order(keys, lengths)
@@ -330,6 +332,8 @@ class Join:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         entries = entries.repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "sig")
         self.shared = stage(map_arrow(entries, _merge_blocks, "shingle long, block int, sig long"))
+        del entries
+        release(spark)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, b -> those that link, by T-occurrence search: b is the query, its a the index. Sets come from the
@@ -379,6 +383,8 @@ class Join:
 
         out = stage(map_arrow(together, search, "a long, b long"))
         discard(asked)
+        del held, index, queries, together
+        release(spark)
         return out
 
     def _stars(self, placed: DataFrame, seed: int) -> DataFrame:
