@@ -42,7 +42,8 @@ def prepared(expr: DataFrame, n_cells: int, steps: Steps) -> DataFrame:
     out = X.cp10k(expr)
     if steps.winsor is not None:
         out = X.winsorise(out, X.sparse_quantile(out, "gene", n_cells, steps.winsor))
-    return X.asinh(out, steps.asinh) if steps.asinh is not None else out
+    out = X.asinh(out, steps.asinh) if steps.asinh is not None else out
+    return out.select("cell_id", "gene", "value")
 
 
 def markers(expr: DataFrame, cells: DataFrame, top: int, scaled: bool) -> DataFrame:
