@@ -420,8 +420,9 @@ class Join:
         columns = ["shingle", "block", "sig", "n", "outside", "long_short", "root", "band"]
         band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
         # The smaller set stands in its band of sizes; the larger one looks into the bands of sizes it can link with, for a
-        # long list only those for which its long lists among the short ones make up for what the others lack.
-        most = F.floor((F.col("long_short") - 1) * (100 + PER_CENT) / PER_CENT + F.col("n") * PER_CENT / 100) + 1
+        # long list only those for which its long lists among the short ones make up for what the others lack: from
+        # T(n, m) <= long_short + after(n) follows m <= (long_short + after(n)) (1 + q) / q - n.
+        most = F.floor((F.col("long_short") + _after("n")) * (100 + PER_CENT) / PER_CENT - F.col("n"))
         low, high = F.ceil(F.col("n") * PER_CENT / 100), F.when(F.col("block") < 0, F.col("n")).otherwise(F.least(most, F.col("n")))
         x = placed.withColumn("band", band(F.col("n"))).select(*columns)
         y = placed.where(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high))))
