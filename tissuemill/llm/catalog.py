@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, line_dedup, mixing, ngram_join, order_minhash, privacy, quality, sstable
+from . import chat, collocations, decontaminate, licenses, line_dedup, mixing, ngram_join, order_minhash, packing, periodic, privacy, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reply_trees": chat.op8_reply_trees,
         "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
         "op10_license_families": licenses.op10_license_families,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_packing": packing.op12_packing,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE,
         "op7_systematic_mix": mixing.ORACLE,
         "op8_reply_trees": chat.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
