@@ -177,10 +177,10 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int, exponent: int) -> Itera
             np.add.at(change, rows[:, 1], -1)
             kept = (np.cumsum(change)[:-1] == 0) & (marked > 0)
             ends = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(kept, False), begins) * (n > 0)))) if len(n) else np.zeros(1)
-            held = pa.LargeListArray.from_arrays(pa.array(ends.astype(np.int64)), vocabulary.take(pa.array(marked[kept] - 1)).cast(pa.large_string()))
+            held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), vocabulary.take(pa.array(marked[kept] - 1)))
             runs = pa.StructArray.from_arrays([pa.array(rows[:, 0] - begins[owner]), pa.array(rows[:, 1] - rows[:, 0]), pa.array(rows[:, 2])], ["start", "length", "period"])
             runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)), runs)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), runs, pc.binary_join(held, " ").cast(pa.string())], ["doc_id", "runs", "collapsed"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), runs, pc.binary_join(held, " ")], ["doc_id", "runs", "collapsed"])
 
 
 def periodic_runs(docs: DataFrame, least: int = LEAST, exponent: int = EXPONENT) -> DataFrame:
