@@ -3,19 +3,22 @@
 Texts are lower-cased (A-Z) and cut into pieces at `[.,;:!?\\x0A-\\x0D]`, the pieces into words `[^\\x20\\x09]+`; phrases
 do not cross pieces. Everything is counted for each language.
 
-A shard is a slice of a partition. Its words become ids, with a mark behind every piece; a suffix array of the ids is
-built by prefix doubling, which ends once prefixes reach the longest phrase, since the order beyond decides nothing.
-Neighbours in it give the longest common prefixes, and an interval of suffixes whose common prefixes are at least m
-words is one phrase of m words with as many occurrences as it is long. Shards emit (language, phrase, count); the counts
-are merged by key with map-side combine, and only phrases that reach `least` go on: a part of a frequent phrase is as
-frequent itself.
+Phrases are counted length by length, a pass over the texts for each. A shard is a slice of a partition. Its words become
+ids, with a mark behind every piece; a suffix array of the ids is built by prefix doubling, which ends once prefixes reach
+the length in question, since the order beyond decides nothing. Neighbours in it give the longest common prefixes, and an
+interval of suffixes whose common prefixes are at least m words is one phrase of m words with as many occurrences as it is
+long. Shards emit (language, phrase, count), and the counts are merged by key.
+
+Of a frequent phrase every part is as frequent itself. So from the second pass on a shard leaves out what holds a shorter
+phrase that is not frequent. Frequent phrases are told by one bit for the hash of each, 16 MB at most whatever their number:
+a phrase that only shares a bit comes along and is counted for nothing, none is lost.
 
 A candidate is a phrase of 2 to `longest` words with a >= least occurrences. Cut after k words it scores
 floor(1000000 a^2 / (l r)), l and r being the occurrences of the two parts; the lowest-scoring cut counts (ties: the
 smallest k). A candidate that lies inside a longer candidate with at least half of its occurrences goes. Scores are
 exact: decimals of 38 digits hold the products of counts below 10^15.
 
-Skew: counts are combined before they travel; the joins with the parts have one row for each part on one side, so a
+Skew: counts are combined in each shard before they travel; the joins with the parts have one row for each part on one side, so a
 frequent word multiplies nothing, and adaptive execution splits its partition. The best of a language are chosen in two
 steps, first among those of one of SALTS slices.
 
@@ -27,6 +30,7 @@ gives an empty result; further columns are ignored. A text is held whole by one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, slices, stage, table
+from .common import discard, hash_strings, map_arrow, mix64, slices, stage, table
 
 LONGEST = 3
 LEAST = 10
 TOP = 2000
 #: Texts of so many bytes make a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SALTS = 64
+#: Bits that mark frequent phrases, as a power of two, and the block of them that is merged by itself.
+MOST_BITS = 27
+BLOCK_BYTES = 1 << 14
+BLOCKS = "block int, bits binary"
+BATCH = 100_000
 
 #: What a byte becomes: capitals small, blanks and separators a blank; and whether it ends a piece.
 BLANKS, SEPARATORS = b" \t", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -104,7 +113,64 @@ def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray,
         yield m, order[opens[kept]], counts[kept]
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+def chained(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the m words from each place on, from those of the words."""
+    padded = np.concatenate((hashes, np.zeros(m, np.uint64)))
+    out = np.zeros(len(hashes), np.uint64)
+    for k in range(m):
+        out += mix64(padded[k : k + len(hashes)] + np.uint64(k))
+    return mix64(out)
+
+
+class Seen:
+    """Which phrases may be frequent: one bit for each hash, so every frequent phrase is in, and few others are."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & self.mask).astype(np.int64)
+        return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    return hash_strings(pc.binary_join_element_wise(langs.cast(pa.string()), words.cast(pa.string()), " "))
+
+
+def seen_of(frequent: DataFrame, m: int) -> Seen:
+    """frequent: lang, phrase of m words. Tasks set their own bits; blocks of them are merged by a shuffle. The bits, 16 for
+    each phrase, MOST_BITS at most, reach the driver."""
+    n = 1 << min(MOST_BITS, max(20, (16 * frequent.count()).bit_length()))
+
+    def blocks(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n // 8, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                words = pc.split_pattern(batch.column("phrase"), " ").flatten()
+                langs = batch.column("lang").take(pa.array(np.arange(batch.num_rows).repeat(m)))
+                at = chained(word_hashes(langs, words), m)[::m] & np.uint64(n - 1)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        yield from blocks({k: part for k, part in enumerate(np.split(bits, n // 8 // BLOCK_BYTES)) if part.any()})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                held[at] = held.get(at, 0) | np.frombuffer(raw, np.uint8)
+        yield from blocks(held)
+
+    rows = map_arrow(map_arrow(frequent.select("lang", "phrase"), own, BLOCKS).repartition("block"), merged, BLOCKS).collect()
+    bits = np.zeros(n // 8, np.uint8)
+    for at, raw in rows:
+        bits[at * BLOCK_BYTES : (at + 1) * BLOCK_BYTES] = np.frombuffer(raw, np.uint8)
+    return Seen(bits)
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], m: int, seen: Seen | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SHARD_BYTES):
             codes, piece, text, words = words_and_pieces(part.column("text"))
@@ -113,26 +179,49 @@ def _phrases(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Rec
             langs = pc.fill_null(part.column("lang"), "und").dictionary_encode()
             of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
             ids = codes * len(langs.dictionary) + of + 1  # a word of one language is another id than in the next
-            marked = np.insert(ids, np.flatnonzero(piece[1:] != piece[:-1]) + 1, 0)
-            for m, starts, counts in intervals(marked, longest):
+            marks = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+            marked = np.insert(ids, marks, 0)
+            if seen:
+                kinds, at = np.unique(ids, return_inverse=True)
+                hashes = word_hashes(langs.dictionary.take(pa.array((kinds - 1) % len(langs.dictionary))), words.take(pa.array((kinds - 1) // len(langs.dictionary))))
+                known = np.append(seen.has(chained(np.insert(hashes[at], marks, 0), m - 1)), False)  # of the m - 1 words from each place on
+                held = np.zeros(len(marked), bool)
+                for k in range(m - 1):
+                    held[k:] |= known[: len(marked) - k]
+                marked[~held] = 0  # a word of no frequent phrase ends phrases as a mark does
+            for size, starts, counts in intervals(marked, m):
+                if size < m:
+                    continue
+                if seen:
+                    fits = known[starts] & known[starts + 1]
+                    starts, counts = starts[fits], counts[fits]
                 own = marked[starts]
                 phrase = words.take(pa.array((own - 1) // len(langs.dictionary)))
                 for k in range(1, m):
                     phrase = pc.binary_join_element_wise(phrase, words.take(pa.array((marked[starts + k] - 1) // len(langs.dictionary))), pa.scalar(" ", pa.large_string()))
                 lang = langs.dictionary.take(pa.array((own - 1) % len(langs.dictionary)))
-                yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(np.full(len(own), m, np.int32)), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "m", "phrase", "f"])
+                for at in range(0, len(own), BATCH):
+                    some = slice(at, at + BATCH)
+                    yield pa.RecordBatch.from_arrays([lang[some].cast(pa.string()), phrase[some].cast(pa.string()), pa.array(counts[some].astype(np.int64))], ["lang", "phrase", "f"])
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, m, phrase, f: phrases of 1 to `longest` words and their occurrences in each shard."""
-    return map_arrow(docs.select("text", "lang"), lambda it: _phrases(it, longest), "lang string, m int, phrase string, f long")
+def phrase_counts(docs: DataFrame, m: int, seen: Seen | None = None) -> DataFrame:
+    """lang, phrase, f: phrases of m words and their occurrences; with `seen` only those whose parts of m - 1 words are in it."""
+    told = docs.sparkSession.sparkContext.broadcast(seen)
+    shards = map_arrow(docs.select("text", "lang"), lambda it: _phrases(it, m, told.value), "lang string, phrase string, f long")
+    return shards.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))  # shards are combined already
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` candidates of each language by score, a, phrase."""
-    counted = stage(phrase_counts(docs, longest).groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("m") == 1)))
-    sizes = counted.where("m = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = counted.where(F.col("f") >= least).select("lang", "m", "phrase", "f")
+    counted, seen = [], None
+    for m in range(1, longest + 1):
+        found = phrase_counts(docs, m, seen)
+        counted.append(stage(found if m == 1 else found.where(F.col("f") >= least)))
+        if m < longest:
+            seen = seen_of(counted[-1].where(F.col("f") >= least), m)
+    sizes = counted[0].groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = reduce(DataFrame.unionByName, (df.where(F.col("f") >= least).withColumn("m", F.lit(m)) for m, df in enumerate(counted, 1)))
     words = F.split("phrase", " ")
     some = lambda at, n: F.array_join(F.slice("words", at, n), " ")
     candidates = frequent.where("m >= 2").withColumn("words", words)
@@ -151,7 +240,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).where(F.col("rank") <= top)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     out = stage(rows.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
-    discard(counted)
+    discard(*counted)
     return out
 
 

@@ -11,7 +11,7 @@ shard opens bins freely up to FREE of what its tokens fill at least, beyond that
 A shard then takes about 0.1 % more sequences than its tokens fill (11 % with arrival order and free opening).
 
 Words are encoded once: a text is cut before a blank and around line ends wherever the tokenizer's own pattern ends a token,
-and what is between is encoded once for each worker, equal stretches by way of their hash.
+and what is between is encoded once for each worker.
 
 Defined edge cases: null and empty texts have the end id alone; rows that repeat are packed each; a null doc_id is kept; an
 empty table gives an empty result; further columns are ignored. A text is held whole by one task.
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_strings, map_arrow, slices, stage, table
+from .common import map_arrow, slices, stage, table
 from .sstable import END_ID, Encoder
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -36,6 +36,7 @@ CAPACITY = 1024
 SHARD_ROWS = 8192
 FREE = 0.9
 ENCODE_BYTES = 4 << 20
+#: Stretches that a worker keeps.
 MEMORY_STRETCHES = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,15 +81,24 @@ class StretchEncoder(Encoder):
         for a, b in zip(at[:-1], at[1:], strict=True):
             yield np.concatenate((ids[a:b], tail))
 
+    def _forget(self) -> None:
+        super()._forget()
+        self.row_of: dict[str, int] = {}
+
     def _rows(self, stretches: pa.Array) -> np.ndarray:
-        keys = hash_strings(stretches)
-        new = ~np.isin(keys, self.keys)
-        if len(self.keys) + new.sum() > MEMORY_STRETCHES:
+        """Rows of the pool that hold these different stretches, new ones added."""
+        held = stretches.to_numpy(zero_copy_only=False).tolist()
+        if len(self.row_of) + len(held) > MEMORY_STRETCHES:
             self._forget()
-            new[:] = True
-        if new.any():
-            self._learn(keys[new], stretches.filter(pa.array(new)))
-        return self.places[np.searchsorted(self.keys, keys)]
+        new = [x for x in held if x not in self.row_of]
+        plain, special = [x for x in new if "<|" not in x], [x for x in new if "<|" in x]  # these may hold a special token
+        ids, lengths = self._encode_words(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in special]
+        ids, lengths = np.concatenate([ids, *each]), np.concatenate((lengths, np.array(list(map(len, each)), np.int32)))
+        self.row_of.update(zip(plain + special, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        self.starts = np.concatenate((self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)))
+        self.lengths, self.pool = np.concatenate((self.lengths, lengths)), np.concatenate((self.pool, ids))
+        return np.fromiter(map(self.row_of.__getitem__, held), np.int64, len(held))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
