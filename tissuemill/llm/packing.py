@@ -45,13 +45,16 @@ _BYTES = np.arange(256)
 #: Bytes that begin a character which is not white space; left out are those that begin some white space, and "<", which
 #: may begin a special token, before which a text ends for the pattern.
 SOLID_START = (_BYTES > 32) & (_BYTES < 127) & (_BYTES != 60) | (_BYTES >= 0xC3) & ~np.isin(_BYTES, [0xE1, 0xE2, 0xE3])
+ALNUM = (_BYTES >= 48) & (_BYTES < 58) | (_BYTES >= 65) & (_BYTES < 91) | (_BYTES >= 97) & (_BYTES < 123)
+STOPS = np.isin(_BYTES, list(b",.;:!?)"))
 
 
 class StretchEncoder(Encoder):
     """Ids of whole texts by way of stretches that the byte-level tokenizer never joins.
 
     Its pattern leaves the last white space before a solid character to a token of its own, and a blank joins the word
-    there: so a token ends before a blank or line end with something solid behind it, and behind such a line end.
+    there: so a token ends before a blank or line end with something solid behind it, and behind such a line end. Letters,
+    digits and punctuation never share a token either (but for an apostrophe and what follows it).
     """
 
     SEPARATOR = "<|endoftext|>"
@@ -67,7 +70,7 @@ class StretchEncoder(Encoder):
             before[offsets[(offsets > 0) & (offsets < len(raw))] - 1] = False  # the next text
             line_end = before & (raw[:-1] == 10)
             cut[:-2] |= before & (raw[:-1] == 32) | line_end
-            cut[1:-1] |= line_end
+            cut[1:-1] |= line_end | ALNUM[raw[:-1]] & STOPS[raw[1:]]
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         stretches = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
