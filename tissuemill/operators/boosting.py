@@ -2,7 +2,7 @@
 
 Fitted in numpy on at most `most_rows` training rows (the documented bound, taken by a hash of the key), which reach the
 driver as one matrix; scored in Arrow batches against a broadcast model. Beyond the bound the sample stands for the rest;
-models.gbt_binary and models.gbt_one_vs_rest are the distributed way, which reads every row.
+boosting_passes.fit_passes grows the same trees over every row.
 """
 
 from __future__ import annotations

@@ -7,7 +7,6 @@ genes x batches, classes x features or features x features reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -124,21 +123,6 @@ def gbt_binary(train: DataFrame, positive: int, rounds: int = ROUNDS, seed: int
     return model
 
 
-def gbt_one_vs_rest(train: DataFrame, classes: list[int], rounds: int = ROUNDS, seed: int = 42, parallel: int = 4) -> list:
-    """gbt_binary for each class, some at a time."""
-    with ThreadPool(parallel) as pool:
-        return pool.map(lambda c: gbt_binary(train, c, rounds, seed), classes)
-
-
-def one_vs_rest_probabilities(models: list, df: DataFrame, out: str) -> DataFrame:
-    """df with the softmax of the margins of each class's model."""
-    scored = df.withColumn("features", array_to_vector("f"))
-    for k, model in enumerate(models):
-        scored = model.copy({model.rawPredictionCol: f"_raw{k}", model.probabilityCol: "", model.predictionCol: ""}).transform(scored)
-    margins = F.array(*(2.0 * F.get(vector_to_array(f"_raw{k}"), F.lit(1)) for k in range(len(models))))
-    return scored.withColumn(out, V.softmax(margins)).select(*df.columns, out)
-
-
 def positive_probability(model, df: DataFrame) -> DataFrame:
     scored = model.transform(df.withColumn("features", array_to_vector("f")))
     return scored.withColumn("p_t", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
