@@ -79,14 +79,6 @@ def test_batch_robust_leaves_a_lone_class(spark):
     assert np.isclose(got["a"], (2.0 - 1.0) / 2 - 1.0) and np.isclose(got["b"], 1.0 - 0.5)
 
 
-def test_knn_in_blocks_equals_one_block(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, int(i % 3), [float(x) for x in rng.normal(0, 1, 6)]) for i in range(90)]
-    df = spark.createDataFrame(rows, "cell_id long, cell_type int, f array<double>")
-    one, many = (sorted(map(tuple, C.knn(df.where("cell_id < 20"), df.where("cell_id >= 20"), 7, block_bytes=b).collect())) for b in (1 << 28, 1500))
-    assert one == many and len(one) == 140
-
-
 def test_numeric_features_needs_a_number(spark):
     with pytest.raises(ValueError):
         Q.numeric_features(spark.createDataFrame([("a",)], "x string"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ship
+from . import neighbours as N
 
 
 def class_weights(df: DataFrame, label: str, alpha: float = 0.0, most: float = 5.0) -> DataFrame:
@@ -20,68 +16,12 @@ def class_weights(df: DataFrame, label: str, alpha: float = 0.0, most: float = 5
     return counts.select(label, F.least(F.sum("n").over(everything) / (F.count("*").over(everything) * (F.col("n") + alpha)), F.lit(most)).alias("weight"))
 
 
-def nearest(distance: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least values of each row, ties by column: a partition finds the k-th value, then few are sorted."""
-    k = min(k, distance.shape[1])
-    bound = np.partition(distance, k - 1, axis=1)[:, k - 1]
-    best = np.empty((len(distance), k), np.int64)
-    for i, row in enumerate(distance):
-        near = np.flatnonzero(row <= bound[i])
-        best[i] = near[np.argsort(row[near], kind="stable")[:k]]
-    return best
-
-
-#: Most bytes of training vectors that are broadcast to the block search; more are searched in several blocks.
-BLOCK_BYTES = 256 << 20
-
-
-def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, block_bytes: int = BLOCK_BYTES, metric: str = "cosine") -> DataFrame:
+def knn(queries: DataFrame, train: DataFrame, k: int = 30, digits: int = 9, metric: str = "cosine", probes: int = N.PROBES, exact: bool = True) -> DataFrame:
     """query, neighbour, label, distance, rank: the k nearest by cosine or euclidean distance, ties by neighbour.
 
-    queries: cell_id, f. train: cell_id, cell_type, f. The queries are a stated set; the training side is broadcast in
-    blocks of bounded size, each block keeps its own k best, and the blocks' best are merged by a window.
+    queries: cell_id, f. train: cell_id, cell_type, f. exact=False looks into the `probes` nearest cells only.
     """
-    spark = queries.sparkSession
-    ship(spark)
-    first = train.select("f").first()
-    width = len(first[0]) if first else 1
-    blocks = max(1, -(-train.count() * (width + 2) * 8 // block_bytes))
-
-    found = None
-    for b in range(blocks):
-        block = train if blocks == 1 else train.where(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)) == b)
-        rows = block.select("cell_id", "cell_type", "f").orderBy("cell_id").collect()
-        ids, labels = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
-        vectors = np.array([r[2] for r in rows], float).reshape(len(rows), width)
-        norms = np.linalg.norm(vectors, axis=1)
-        told = spark.sparkContext.broadcast((ids, labels, vectors / np.where(norms == 0, 1, norms)[:, None] if metric == "cosine" else vectors))
-
-        def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            ids, labels, vectors = told.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    q = np.array(part.column("f").to_pylist(), float)
-                    n = np.linalg.norm(q, axis=1)
-                    if metric == "cosine":
-                        distance = np.round(1 - (q / np.where(n == 0, 1, n)[:, None]) @ vectors.T, digits)
-                    else:
-                        square = (q * q).sum(1)[:, None] + (vectors * vectors).sum(1) - 2 * q @ vectors.T
-                        distance = np.round(np.sqrt(np.maximum(square, 0)), digits)
-                    best = nearest(distance, k)
-                    who = np.repeat(np.array(part.column("query").to_pylist()), best.shape[1])
-                    flat = best.ravel()
-                    yield pa.RecordBatch.from_pydict(
-                        {"query": who, "neighbour": ids[flat], "label": pa.array([labels[i] for i in flat], pa.int32()), "distance": np.take_along_axis(distance, best, 1).ravel()}
-                    )
-
-        if rows:
-            part = queries.select(F.col("cell_id").alias("query"), "f").mapInArrow(search, "query long, neighbour long, label int, distance double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query long, neighbour long, label int, distance double")
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return N.search(queries, N.build(train, metric), k, probes, exact, digits)
 
 
 def knn_votes(neighbours: DataFrame, classes: list[int], weighted: bool = False) -> DataFrame:

@@ -209,6 +209,16 @@ def knn_graph(t: Tables) -> DataFrame:
     return rounded(graph(t), "distance")
 
 
+@query("knn_probed")
+def knn_probed(t: Tables) -> DataFrame:
+    """The 15 nearest other rows of every row whose id is divisible by 50, from the cells nearest to it only."""
+    f = t.features()
+    near = C.knn(f.where("cell_id % 50 = 0"), f, 16, metric="euclidean", probes=16, exact=False).where("query <> neighbour")
+    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where("rank <= 15")
+    return rounded(ranked.select(F.col("query").alias("cell_id"), "neighbour", "distance", "rank"), "distance")
+
+
 @query("umap_edges")
 def umap_edges(t: Tables) -> DataFrame:
     """cell_id, neighbour, weight: the fuzzy union of the neighbour graph, which a layout starts from."""
