@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tissuemill.operators import keyed as K
 from tissuemill.operators import models as M
 
 
@@ -52,17 +53,95 @@ def test_harmony_brings_batches_together(points, spark):
     moved = [(i, "ab"[i % 2], [float(v) + (3.0 if i % 2 else 0.0) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(moved, "cell_id long, batch string, f array<double>")
     before = np.array([r[2] for r in moved])
-    after = np.array([r.f for r in M.harmony(df, "f", "batch", 4, clusters=1, rounds=2).orderBy("cell_id").collect()])
+    after = np.array([r.f for r in M.harmony(df, "f", "batch", clusters=1, rounds=2).orderBy("cell_id").collect()])
     gap = lambda z: np.linalg.norm(z[::2].mean(0) - z[1::2].mean(0))
     assert gap(after) < 0.2 * gap(before)
 
 
-def test_combat_removes_sample_shifts(spark):
+def reference_combat(y, batch):
+    """Columns x genes, parametric empirical Bayes gene by gene (no covariates; pooled deviation over columns)."""
+    out, labels = np.empty_like(y), sorted(set(batch))
+    batch = np.array(batch)
+    mean = y.mean(0)
+    sd = np.sqrt(sum(((y[batch == b] - y[batch == b].mean(0)) ** 2).sum(0) for b in labels) / len(y))
+    z = (y - mean) / sd
+    for b in labels:
+        x = z[batch == b]
+        n, g, d = len(x), x.mean(0), x.var(0, ddof=1)
+        g_bar, t2, m, s2 = g.mean(), g.var(ddof=1), d.mean(), d.var(ddof=1)
+        a, rate = (2 * s2 + m**2) / s2, (m * s2 + m**3) / s2
+        for j in range(y.shape[1]):
+            shift, scale = g[j], d[j]
+            for _ in range(500):
+                shift = (t2 * n * g[j] + scale * g_bar) / (t2 * n + scale)
+                scale = (rate + 0.5 * ((x[:, j] - shift) ** 2).sum()) / (n / 2 + a - 1)
+            out[batch == b, j] = (x[:, j] - shift) / np.sqrt(scale) * sd[j] + mean[j]
+    return out
+
+
+def test_combat_equals_empirical_bayes(spark):
     rng = np.random.default_rng(4)
-    rows = [(f"s{s}", f"c{c}", g, float(rng.normal(g, 1) + 5 * s)) for s in range(4) for c in range(5) for g in range(12)]
-    out = M.combat(spark.createDataFrame(rows, "sample string, cell_type string, gene long, m double")).groupBy("sample").agg(F.avg("m").alias("m")).collect()
-    means = [r.m for r in out]
-    assert max(means) - min(means) < 2 and len(means) == 4
+    y = rng.normal(0, 1, (20, 12)) * rng.uniform(0.5, 2, 12) + np.arange(12) + 5 * (np.arange(20) // 5)[:, None]
+    rows = [(f"s{i // 5}", f"c{i % 5}", g, float(y[i, g])) for i in range(20) for g in range(12)]
+    got = M.combat(spark.createDataFrame(rows, "sample string, cell_type string, gene long, m double"), tolerance=1e-12).collect()
+    expected = reference_combat(y, [f"s{i // 5}" for i in range(20)])
+    assert len(got) == 240
+    assert max(abs(r.m - expected[5 * int(r.sample[1:]) + int(r.cell_type[1:]), r.gene]) for r in got) < 1e-6
+
+
+def reference_harmony(x, batch, centres, rounds, sigma=0.1, theta=2.0, penalty=1.0):
+    """All rows at once: assign, shift, assign anew; returns the corrected rows."""
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    labels = sorted(set(batch))
+    phi, z = np.array([[b == label for label in labels] for b in batch], float), x
+    weight = np.ones((len(centres), len(labels)))
+    for _ in range(rounds):
+        d = 2 * (1 - unit(z) @ unit(centres).T)
+        r = np.exp(-(d - d.min(1, keepdims=True)) / sigma) * (phi @ weight.T)
+        r /= r.sum(1, keepdims=True)
+        observed, total = r.T @ phi, np.zeros_like(x)
+        for k in range(len(centres)):
+            mean = (r[:, k : k + 1] * x).sum(0) / r[:, k].sum()
+            for j in range(len(labels)):
+                w = r[:, k] * phi[:, j]
+                total += w[:, None] * ((w @ (x - mean)) / (w.sum() + penalty))
+        expected = np.outer(r.sum(0), phi.mean(0))
+        centres, weight, z = unit(r.T @ unit(z)), ((expected + 1) / (observed + 1)) ** theta, x - total
+    return z
+
+
+def test_harmony_equals_all_rows_at_once(spark):
+    """More rounds than are replayed; groups of different width and batches, all in one run."""
+    rng, data, rows = np.random.default_rng(6), {}, []
+    for level, (n, width, batches) in {"p": (90, 3, "ab"), "q": (70, 4, "abc")}.items():
+        batch = [batches[i % len(batches)] for i in range(n)]
+        x = rng.normal(0, 1, (n, width)) + 3 * (np.arange(n) % 2)[:, None] + np.array([[2.0 * batches.index(b)] * width for b in batch])
+        data[level] = x, batch
+        rows += [(level, i, b, v.tolist()) for i, (b, v) in enumerate(zip(batch, x, strict=True))]
+    df = spark.createDataFrame(rows, "level string, cell_id long, batch string, f array<double>").repartition(3)
+    got = {(r.level, r.cell_id): r.f for r in K.harmony_by(df, "level", "f", "batch", clusters=2, rounds=5, tolerance=0.0).collect()}
+    order = {(r.level, r.cell_id): r.h for r in df.withColumn("h", F.xxhash64("f")).collect()}
+    for level, (x, batch) in data.items():
+        drawn = np.array([x[i] for i in sorted(range(len(x)), key=lambda i: order[level, i])][:100])
+        expected = reference_harmony(x, batch, M.k_means(drawn, 2, 0), 5)
+        assert np.allclose([got[level, i] for i in range(len(x))], expected, atol=1e-8)
+        apart = lambda z: np.linalg.norm(z[np.array(batch) == "a"].mean(0) - z[np.array(batch) == "b"].mean(0))
+        assert apart(expected) < 0.7 * apart(x)
+
+
+def test_components_by_group_equal_svd(spark):
+    rng, rows, data = np.random.default_rng(7), [], {}
+    for level, (n, width) in {"p": (40, 5), "q": (25, 3), "r": (1, 4)}.items():
+        data[level] = rng.normal(0, np.arange(1, width + 1), (n, width))
+        rows += [(level, i, v.tolist()) for i, v in enumerate(data[level])]
+    scores, components = K.pca_by(spark.createDataFrame(rows, "level string, cell_id long, f array<double>").repartition(3), "level", "f", 2)
+    got = {(r.level, r.cell_id): r.f for r in scores.collect()}
+    for level in "pq":
+        x = data[level] - data[level].mean(0)
+        v = np.linalg.svd(x, full_matrices=False)[2][:2]
+        assert np.allclose(np.abs(components[level]), np.abs(v))
+        assert np.allclose(np.abs([got[level, i] for i in range(len(x))]), np.abs(x @ v.T))
+    assert np.allclose(got["r", 0], 0) and len(got["r", 0]) == 1
 
 
 def test_ordered_arbiter_knows_only_the_folds_before(spark):

@@ -83,12 +83,25 @@ def test_joint_embedding(spark):
 
 
 def test_strata_embedding(spark):
+    """Each stratum as if it were alone (columns up to sign), and as many jobs for three strata as for one."""
     cells, expr = study(spark)
-    got = E.strata_embedding(expr, cells, ("chemo",), E.Steps(markers=2, variable=4, components=2, least_cells=10)).collect()
-    assert len(got) == 60 and {len(r.z) for r in got} == {4}
+    steps = E.Steps(markers=2, variable=4, components=2, least_cells=10)
+    jobs = []
+
+    def embedded(cells, group):
+        spark.sparkContext.setJobGroup(group, group)
+        out = {r.cell_id: (r.stratum, np.array(r.z)) for r in E.strata_embedding(expr, cells, ("chemo",), steps).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        return out
+
+    got = embedded(cells, "every stratum")
+    assert len(got) == 60 and {len(z) for _, z in got.values()} == {4} and {level for level, _ in got.values()} == {"c0", "c1"}
     for level in ("c0", "c1"):
-        z = np.array([r.z for r in got if r.stratum == level])
-        assert np.allclose(z.mean(0), 0, atol=1e-6)
+        alone = embedded(cells.where(cells["chemo"] == level), level)
+        z, own = (np.array([x[c][1] for c in sorted(alone)]) for x in (got, alone))
+        assert np.allclose(z.mean(0), 0, atol=1e-6) and np.allclose(z, own, atol=1e-6)
+    assert max(jobs) - min(jobs) < 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_scaled_values_count_zeros(spark):

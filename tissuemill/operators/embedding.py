@@ -13,12 +13,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.files import staged
 from . import expression as X
+from . import keyed as K
 from . import models as M
 from . import qc as Q
 
@@ -35,7 +36,7 @@ class Steps(NamedTuple):
     batch: tuple[str, ...] = ("set",)
 
 
-def prepared(expr: DataFrame, n_cells: int, steps: Steps) -> DataFrame:
+def prepared(expr: DataFrame, n_cells: int | Column, steps: Steps) -> DataFrame:
     """CP10k, then each gene's upper tail cut at the quantile over all cells, then asinh."""
     if steps.winsor is not None and not 0.5 < steps.winsor < 1:
         raise ValueError(f"the quantile must lie between 0.5 and 1, not {steps.winsor}")
@@ -92,8 +93,8 @@ def corrected(values: DataFrame, cells: DataFrame, genes: DataFrame, steps: Step
     order = [r[0] for r in genes.select("gene").distinct().orderBy("gene").collect()]
     full = cells.select("cell_id", "batch").join(dense(z, order), "cell_id", "left")
     full = staged(full.withColumn("f", F.coalesce("f", F.array_repeat(F.lit(0.0), len(order)))))
-    scores, components = M.pca(full, "f", len(order), steps.components)
-    return staged(M.harmony(staged(scores), "f", "batch", len(components)).select("cell_id", "f"))
+    scores, _ = M.pca(full, "f", len(order), steps.components)
+    return staged(M.harmony(staged(scores), "f", "batch").select("cell_id", "f"))
 
 
 def standardised(df: DataFrame) -> DataFrame:
@@ -127,24 +128,84 @@ def joint_embedding(expr: DataFrame, cells: DataFrame, steps: Steps = Steps()) -
     return cells.select("cell_id", "set").join(out, "cell_id")
 
 
+#: Genes of stratum i are numbered from i times this, so what is counted by gene is counted by stratum and gene.
+STRIDE = 1 << 40
+
+
+def dense_by(values: DataFrame, genes: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """cell_id, stratum, f: values (cell_id, stratum, gene, value) as arrays over the genes (stratum, gene, place) of their stratum."""
+    ship(values.sparkSession)
+    held = values.join(genes.select("gene", "place"), "gene").groupBy("cell_id", "stratum").agg(F.collect_list("place").alias("i"), F.collect_list("value").alias("v"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                n = np.array([widths[k] for k in part.column("stratum").to_pylist()], np.int64)
+                ends = np.concatenate(([0], np.cumsum(n)))
+                out, lists = np.zeros(ends[-1]), part.column("i")
+                out[np.repeat(ends[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()] = part.column("v").flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("cell_id"), part.column("stratum"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))], ["cell_id", "stratum", "f"])
+
+    return held.mapInArrow(fill, "cell_id long, stratum string, f array<double>")
+
+
+def corrected_by(values: DataFrame, cells: DataFrame, genes: DataFrame, n_of: Column, steps: Steps) -> DataFrame:
+    """cell_id, stratum, f: `corrected` inside every stratum. genes: stratum, gene; n_of: cells of the stratum of a gene."""
+    some = values.join(genes.select("gene"), "gene", "left_semi")
+    m = X.scale_moments(some, n_of)
+    z = some.join(m, "gene").select("cell_id", "stratum", "gene", (F.least(F.col("value"), F.col("mean") + 10 * F.col("sd")) / F.col("sd")).alias("value"))
+    placed = staged(genes.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("gene")) - 1))
+    widths = {r.stratum: r.n for r in placed.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    none = F.transform(F.sequence(F.lit(1), F.element_at(F.create_map(*(F.lit(x) for pair in widths.items() for x in pair)), F.col("stratum"))), lambda _: F.lit(0.0))
+    full = cells.select("cell_id", "stratum", "batch").join(dense_by(z, placed, widths), ["cell_id", "stratum"], "left")
+    scores, _ = K.pca_by(staged(full.withColumn("f", F.coalesce("f", none))), "stratum", "f", steps.components)
+    return staged(K.harmony_by(staged(scores), "stratum", "f", "batch").select("cell_id", "stratum", "f"))
+
+
+def standardised_by(df: DataFrame) -> DataFrame:
+    s = df.select("cell_id", "stratum", F.posexplode("f").alias("d", "v"))
+    return X.standardise(s, ["stratum", "d"], "v").groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda x: x["z"]).alias("f"))
+
+
 def strata_embedding(expr: DataFrame, cells: DataFrame, strata: tuple[str, ...], steps: Steps = Steps()) -> DataFrame:
-    """cell_id, stratum, z: the same steps inside each stratum, whose levels are few.
+    """cell_id, stratum, z: the same steps inside each stratum, all strata in the same jobs.
 
     Markers need more than `least_cells` training cells; neither they nor the components are logged or scaled beforehand as
-    in the joint form, and the batch is the set.
+    in the joint form, and the batch is the set. Strata are few: their names and sizes reach the driver.
     """
     cells = cells.withColumn("set", F.col("split")).withColumn("batch", F.col("split")).withColumn("stratum", Q.combo(list(strata)))
-    out = None
-    for level, n_train in sorted(cells.groupBy("stratum").agg(F.count_if(F.col("split") == "train")).collect()):
-        mine = cells.where(F.col("stratum") == level)
-        some = expr.join(mine.select("cell_id"), "cell_id", "left_semi")
-        mine, some = staged(mine), staged(some)
-        values = staged(prepared(some, mine.count(), steps))
-        train = mine.where("split = 'train'")
-        tops = markers(some, train, steps.markers, scaled=False) if n_train > steps.least_cells else some.select("gene").where(F.lit(False))
-        tops = staged(tops)
-        use = staged(X.chosen_or_all(M.hvg(values, mine, steps.variable, batch="set").select("gene"), tops, some))
-        z = side_by_side(corrected(values, mine, use, steps, logged=False), corrected(values, mine, X.markers_or_first(tops, use), steps, logged=False))
-        part = mine.select("cell_id", "stratum").join(z, "cell_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    levels = sorted((r.stratum, r.n, r.train) for r in cells.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("train")).collect())
+    if not levels:
+        return cells.sparkSession.createDataFrame([], "cell_id long, stratum string, z array<double>")
+    numbers = F.create_map(*(F.lit(x) for i, (level, *_) in enumerate(levels) for x in (level, i * STRIDE)))
+    cells = staged(cells.withColumn("sample", F.concat_ws("|", "stratum", F.coalesce(F.col("sample").cast("string"), F.lit("")))).withColumn("stratum_set", F.concat_ws("|", "stratum", "set")).withColumn("_first", F.element_at(numbers, F.col("stratum"))))
+    level_of = F.element_at(F.lit([level for level, *_ in levels]), (F.floor(F.col("gene") / STRIDE) + 1).cast("int"))
+    n_of = F.element_at(F.lit([n for _, n, _ in levels]), (F.floor(F.col("gene") / STRIDE) + 1).cast("int"))
+    some = staged(expr.join(cells.select("cell_id", "stratum", "_first"), "cell_id").select("cell_id", "stratum", (F.col("gene") + F.col("_first")).alias("gene"), "value"))
+    values = staged(prepared(some, n_of, steps).withColumn("stratum", level_of))
+    enough = [level for level, _, train in levels if train > steps.least_cells]
+    tops = staged(markers_by(some, cells.where((F.col("split") == "train") & F.col("stratum").isin(enough)), level_of, steps.markers))
+    ranked = M.hvg_ranks(values, cells, steps.variable, batch="stratum_set").withColumn("stratum", level_of)
+    first = Window.partitionBy("stratum").orderBy(F.col("batches").desc(), "rank", "gene")
+    variable = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= steps.variable).select("stratum", "gene")
+    chosen = variable.union(tops.select("stratum", "gene")).distinct()
+    every = some.select("stratum", "gene").distinct()
+    use = staged(chosen.union(every.join(chosen.select("stratum").distinct(), "stratum", "left_anti")))
+    unmarked = use.join(tops.select("stratum").distinct(), "stratum", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy("gene")))
+    narrow = staged(tops.select("stratum", "gene").union(unmarked.where("_n <= 200").select("stratum", "gene")))
+    left, right = (standardised_by(corrected_by(values, cells, genes, n_of, steps)) for genes in (use, narrow))
+    both = left.join(right.withColumnRenamed("f", "g"), "cell_id").select("cell_id", F.concat("f", "g").alias("z"))
+    return cells.select("cell_id", "stratum").join(both, "cell_id")
+
+
+def markers_by(expr: DataFrame, cells: DataFrame, level_of: Column, top: int) -> DataFrame:
+    """stratum, gene: markers of every stratum that has cells, as `markers` finds them. Samples and genes are those of a stratum."""
+    train = expr.join(cells.select("cell_id"), "cell_id", "left_semi")
+    logged = X.log1p(X.cp10k(train)).select("cell_id", "stratum", "gene", "value")
+    groups = cells.groupBy("stratum", "sample", "cell_type").agg(F.count("*").alias("n"))
+    sums = logged.join(cells.select("cell_id", "sample", "cell_type"), "cell_id").groupBy("sample", "cell_type", "gene").agg(F.sum("value").alias("s"))
+    grid = groups.join(logged.select("stratum", "gene").distinct(), "stratum")
+    bulk = grid.join(sums, ["sample", "cell_type", "gene"], "left").select("sample", "cell_type", "gene", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("m"))
+    scores = X.contrast(M.combat(bulk), least=1.0).withColumn("stratum", level_of)
+    return X.top_k(scores, top, ["stratum", "cell_type"]).select("stratum", "gene").distinct()

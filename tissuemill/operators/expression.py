@@ -74,11 +74,12 @@ def contrast(pb: DataFrame, digits: int = 6, by: tuple[str, ...] = (), least: fl
     return both.select(*by, "cell_type", "gene", F.round(F.when(ratio > 0, F.log2(ratio)), digits).alias("score"))
 
 
-def scale_moments(expr: DataFrame, n_cells: int) -> DataFrame:
+def scale_moments(expr: DataFrame, n_cells: int | Column) -> DataFrame:
     """gene, mean, sd (n - 1) over all cells, absent values being zeros; a gene that does not vary has sd 1."""
     s = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    mean, n = F.col("s") / n_cells, float(max(n_cells, 1))
-    var = F.greatest((F.col("q") - n * mean * mean) / max(n - 1, 1.0), F.lit(0.0))
+    n = (n_cells if isinstance(n_cells, Column) else F.lit(n_cells)).cast("double")
+    mean, n = F.col("s") / n, F.greatest(n, F.lit(1.0))
+    var = F.greatest((F.col("q") - n * mean * mean) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))
     return s.select("gene", mean.alias("mean"), F.when(var <= 1e-24, 1.0).otherwise(F.sqrt(var)).alias("sd"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import ship
 from . import classify as C
+from . import keyed as K
 
 
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -203,30 +204,36 @@ def batch_moments(scaled: DataFrame) -> DataFrame:
     return scaled.groupBy("sample", "gene").agg(F.avg("z").alias("g"), F.var_samp("z").alias("d"), F.count("*").alias("n"))
 
 
+def shrunk(moments: pa.Table, rounds: int = 200, tolerance: float = 1e-6) -> pa.Table:
+    """sample, gene, shift, scale: location and scale of each gene of one batch, drawn to the batch's own priors (normal and
+    inverse gamma, by moments over its genes) until they stay. A gene with one column has no variance of its own: scale 1."""
+    g, n = moments.column("g").to_numpy(), moments.column("n").to_numpy().astype(float)
+    d = moments.column("d").to_numpy()
+    d = np.where(np.isnan(d), 1.0, d)
+    bar, t2 = g.mean(), max(g.var(ddof=1) if len(g) > 1 else 0.0, 1e-12)
+    m, v = d.mean(), max(d.var(ddof=1) if len(d) > 1 else 0.0, 1e-12)
+    a, b = (2 * v + m * m) / v, (m * v + m**3) / v
+    new_g, new_d = g.copy(), np.maximum(d, 1e-12)
+    for _ in range(rounds):
+        old_g, old_d = new_g, new_d
+        new_g = (n * t2 * g + new_d * bar) / (n * t2 + new_d)
+        spread = np.where(n > 1, (n - 1) * d, 0.0) + n * (g - new_g) ** 2
+        new_d = np.where(n > 1, (b + spread / 2) / (n / 2 + a - 1), 1.0)
+        if max(np.abs(new_g - old_g).max(), np.abs(new_d - old_d).max()) < tolerance:
+            break
+    return pa.table({"sample": moments.column("sample"), "gene": moments.column("gene"), "shift": new_g, "scale": np.maximum(new_d, 1e-12)})
+
+
 def combat(pb: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """pb with each sample's location and scale removed by parametric empirical Bayes.
 
-    Moments come from aggregations; the fixed point is over genes x batches on the driver. A batch of one column has
-    no variance of its own: scale 1. The corrected value is again an expression over the rows.
+    Moments come from aggregations; each sample's fixed point is found by a task of its own, over as many rows as there are
+    genes. The corrected value is again an expression over the rows.
     """
+    ship(pb.sparkSession)
     centred = batch_scaled(pb)
-    stats = batch_moments(centred).toPandas()
-    out = []
-    for sample, part in stats.groupby("sample"):
-        g, d, n = part["g"].to_numpy(float), part["d"].fillna(1.0).to_numpy(float), part["n"].to_numpy(float)
-        bar, t2 = g.mean(), max(g.var(ddof=1) if len(g) > 1 else 0.0, 1e-12)
-        m, v = d.mean(), max(d.var(ddof=1) if len(d) > 1 else 0.0, 1e-12)
-        a, b = (2 * v + m * m) / v, (m * v + m**3) / v
-        new_g, new_d = g.copy(), np.maximum(d, 1e-12)
-        for _ in range(rounds):
-            old_g, old_d = new_g, new_d
-            new_g = (n * t2 * g + new_d * bar) / (n * t2 + new_d)
-            spread = np.where(n > 1, (n - 1) * d, 0.0) + n * (g - new_g) ** 2
-            new_d = np.where(n > 1, (b + spread / 2) / (n / 2 + a - 1), 1.0)
-            if max(np.abs(new_g - old_g).max(), np.abs(new_d - old_d).max()) < tolerance:
-                break
-        out += [(sample, int(k), float(x), float(max(y, 1e-12))) for k, x, y in zip(part["gene"], new_g, new_d, strict=True)]
-    effects = pb.sparkSession.createDataFrame(out, "sample string, gene long, shift double, scale double")
+    moments = batch_moments(centred).select(F.col("sample").cast("string").alias("sample"), F.col("gene").cast("long").alias("gene"), "g", "d", "n")
+    effects = moments.groupBy("sample").applyInArrow(lambda t: shrunk(t, rounds, tolerance), "sample string, gene long, shift double, scale double")
     fixed = centred.join(effects, ["sample", "gene"])
     return fixed.select("sample", "cell_type", "gene", ((F.col("z") - F.col("shift")) / F.sqrt("scale") * F.col("sd") + F.col("mean")).alias("m"))
 
@@ -258,73 +265,9 @@ def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarra
     return df.mapInArrow(project, df.schema), components
 
 
-def harmony(
-    df: DataFrame, f: str, batch: str, width: int, clusters: int | None = None, rounds: int = 10, sigma: float = 0.1, theta: float = 2.0, ridge_penalty: float = 1.0, tolerance: float = 1e-4, seed: int = 0
-) -> DataFrame:
-    """df with column f corrected: soft clusters penalised for batch imbalance, then a ridge shift per cluster and batch.
-
-    By default one cluster for 30 rows, 100 at most, started by k-means on a bounded draw of rows. Rounds end when the
-    objective changes by less than `tolerance` of itself. Rows keep their vector; the rounds so far are replayed over it in
-    Arrow batches. Each task sums its own rows, so only clusters x batches sums of vectors are shuffled and reach the driver.
-    """
-    ship(df.sparkSession)
-    number = {r[0]: i for i, r in enumerate(df.select(batch).distinct().orderBy(batch).collect())}
-    clusters = clusters or max(1, min(100, round(df.count() / 30)))
-    start = np.array([r[0] for r in df.orderBy(F.xxhash64(f), f).select(f).limit(50 * clusters).collect()], float).reshape(-1, width)
-    centres = k_means(start, clusters, seed)
-    clusters, penalty, history, before = len(centres), np.ones((len(centres), len(number))), [], None
-
-    def soft(z: np.ndarray, b: np.ndarray, centres: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-        d = distances(z, centres)
-        r = np.exp((d - d.min(1, keepdims=True)) / -sigma) * penalty[:, b].T
-        return r / r.sum(1, keepdims=True)
-
-    def replayed(part: pa.RecordBatch, history: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
-        b, z = np.array([number[v] for v in part.column(batch).to_pylist()], int), x
-        for centres, penalty, shift in history:
-            r = soft(z, b, centres, penalty)
-            z = x.copy()
-            for i in np.unique(b):
-                z[b == i] -= r[b == i] @ shift[:, i]
-        return x, b, z
-
-    for _ in range(rounds):
-
-        def sums(batches: Iterator[pa.RecordBatch], history=tuple(history), centres=centres, penalty=penalty) -> Iterator[pa.RecordBatch]:
-            total, objective = np.zeros((clusters, len(number), 2 * width + 1)), 0.0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    x, b, z = replayed(batch.slice(at, 4096), history)
-                    r = soft(z, b, centres, penalty)
-                    objective += float((r * distances(z, centres)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum())
-                    for i in np.unique(b):
-                        total[:, i] += r[b == i].T @ np.column_stack((x[b == i], unit(z[b == i]), np.ones((b == i).sum())))
-            values = np.append(total.ravel(), objective)
-            yield pa.RecordBatch.from_pydict({"k": np.arange(len(values)), "v": values})
-
-        rows = df.select(f, batch).mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(clusters * len(number) * (2 * width + 1) + 1)
-        for k, v in rows:
-            total[k] = v
-        objective, total = total[-1], total[:-1].reshape(clusters, len(number), 2 * width + 1)
-        mass, plain, direction = total[:, :, -1], total[:, :, :width], total[:, :, width:-1]
-        mean = plain.sum(1) / np.maximum(mass.sum(1), 1e-12)[:, None]
-        shift = (plain - mass[:, :, None] * mean[:, None, :]) / (mass[:, :, None] + ridge_penalty)
-        history.append((centres, penalty, shift))
-        expected = mass.sum(1, keepdims=True) * (mass.sum(0) / max(mass.sum(), 1e-12))[None, :]
-        penalty, centres = ((expected + 1) / (mass + 1)) ** theta, unit(direction.sum(1))
-        if before is not None and abs(before - objective) <= tolerance * abs(before):
-            break
-        before = objective
-
-    def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                z = replayed(part, history)[2]
-                yield part.set_column(part.schema.get_field_index(f), f, pa.array(z.tolist(), pa.list_(pa.float64())))
-
-    return df.mapInArrow(correct, df.schema)
+def harmony(df: DataFrame, f: str, batch: str, **parameters) -> DataFrame:
+    """df with column f corrected for the batch: keyed.harmony_by with all rows as one group."""
+    return K.harmony_by(df.withColumn("_all", F.lit("")), "_all", f, batch, **parameters).drop("_all")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -390,29 +333,35 @@ def gene_moments(expr: DataFrame, cells: DataFrame, batch: str) -> DataFrame:
     return sums.join(F.broadcast(sizes), batch).select(batch, "gene", "n", mean.alias("mean"), ((F.col("q") - F.col("n") * mean * mean) / F.greatest(F.col("n") - 1, F.lit(1))).alias("var"))
 
 
-def hvg(expr: DataFrame, cells: DataFrame, top: int, batch: str = "split", span: float = 0.3) -> DataFrame:
-    """gene, rank (median over batches), batches (in how many it is among the top): variance-stabilised selection.
+def trend(moments: pa.Table, batch: str, span: float) -> pa.Table:
+    """batch, gene, mean, sd, n: the deviation that a local quadratic fit of log variance on log mean expects of each gene."""
+    mean, var = moments.column("mean").to_numpy(), moments.column("var").to_numpy()
+    use, fit = var > 0, np.zeros(len(mean))
+    fit[use] = local_quadratic(np.log10(mean[use]), np.log10(var[use]), span)
+    return pa.table({batch: moments.column(batch), "gene": moments.column("gene"), "mean": mean, "sd": 10 ** (fit / 2), "n": moments.column("n")})
+
 
-    Means and variances count absent values. The trend of log variance on log mean is a local quadratic fit over
-    genes on the driver; the clipped standardised variance is a second aggregation.
+def hvg_ranks(expr: DataFrame, cells: DataFrame, top: int, batch: str = "split", span: float = 0.3) -> DataFrame:
+    """gene, rank (median over batches), batches (in how many it is among the top) of every gene.
+
+    Means and variances count absent values. The trend is fitted by a task for each batch, over its genes; the clipped
+    standardised variance is a second aggregation.
     """
+    ship(expr.sparkSession)
     joined = expr.join(cells.select("cell_id", batch), "cell_id")
-    rows = []
-    for b, part in gene_moments(expr, cells, batch).toPandas().groupby(batch):
-        mean, var = part["mean"].to_numpy(float), part["var"].to_numpy(float)
-        use = var > 0
-        fit = np.zeros(len(mean))
-        fit[use] = local_quadratic(np.log10(mean[use]), np.log10(var[use]), span)
-        rows += [(b, int(g), float(m), float(10 ** (f / 2)), int(n)) for g, m, f, n in zip(part["gene"], mean, fit, part["n"], strict=True)]
-    spark = expr.sparkSession
-    trend = spark.createDataFrame(rows, f"{batch} string, gene long, mean double, sd double, n long")
+    moments = gene_moments(expr, cells, batch).select(F.col(batch).cast("string").alias(batch), F.col("gene").cast("long").alias("gene"), "n", "mean", "var")
+    fitted = moments.groupBy(batch).applyInArrow(lambda t: trend(t, batch, span), f"{batch} string, gene long, mean double, sd double, n long")
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.sqrt("n"))
     zero = -F.col("mean") / F.col("sd")
-    scored = joined.join(F.broadcast(trend), [batch, "gene"]).groupBy(batch, "gene", "mean", "sd", "n").agg(F.sum(z * z).alias("ss"), F.count("*").alias("nnz"))
+    scored = joined.join(fitted, [batch, "gene"]).groupBy(batch, "gene", "mean", "sd", "n").agg(F.sum(z * z).alias("ss"), F.count("*").alias("nnz"))
     scored = scored.withColumn("v", (F.col("ss") + (F.col("n") - F.col("nnz")) * zero * zero) / (F.col("n") - 1))
     rank = F.row_number().over(Window.partitionBy(batch).orderBy(F.round("v", 9).desc(), "gene"))
-    ranked = scored.withColumn("r", rank).groupBy("gene").agg(F.median("r").alias("rank"), F.count_if(F.col("r") <= top).alias("batches"))
-    return ranked.orderBy(F.col("batches").desc(), "rank", "gene").limit(top)
+    return scored.withColumn("r", rank).groupBy("gene").agg(F.median("r").alias("rank"), F.count_if(F.col("r") <= top).alias("batches"))
+
+
+def hvg(expr: DataFrame, cells: DataFrame, top: int, batch: str = "split", span: float = 0.3) -> DataFrame:
+    """The `top` genes of hvg_ranks: variance-stabilised selection."""
+    return hvg_ranks(expr, cells, top, batch, span).orderBy(F.col("batches").desc(), "rank", "gene").limit(top)
 
 
 def local_quadratic(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:

@@ -148,7 +148,7 @@ def reduced(t: Tables, k: int = 50) -> DataFrame:
 
 @query("harmony")
 def harmony(t: Tables) -> DataFrame:
-    fixed = M.harmony(reduced(t), "f", "batch", 50)
+    fixed = M.harmony(reduced(t), "f", "batch")
     return fixed.select("cell_id", "batch", F.posexplode("f").alias("component", "score")).withColumn("score", F.round("score", 6))
 
 
