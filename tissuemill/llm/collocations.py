@@ -35,10 +35,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hash_strings, map_arrow, mix64, slices, stage, table
+from .common import discard, map_arrow, mix64, slices, stage, table
 
 LONGEST = 3
 LEAST = 10
@@ -81,18 +82,19 @@ def words_and_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def suffix_array(ids: np.ndarray, longest: int) -> np.ndarray:
     """Places of all suffixes, sorted by their first `longest` ids at least: ranks of prefixes are paired until they reach that far."""
-    rank, reach = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    rank, reach = (ids if ids.max(initial=0) < 1 << 31 else np.unique(ids, return_inverse=True)[1]).astype(np.int64), 1
+    if longest == 1:
+        return np.argsort(rank, kind="stable")
     while True:
-        order = np.argsort(rank, kind="stable")
-        if reach >= longest:
-            return order
         after = np.zeros(len(rank), np.int64)
         after[:-reach] = rank[reach:] + 1
-        pairs = rank * (len(rank) + 1) + after
+        pairs = rank * (int(rank.max(initial=0)) + 2) + after
         order = np.argsort(pairs, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(pairs[order][1:] != pairs[order][:-1])))
-        rank[order] = fresh
         reach *= 2
+        if reach >= longest:
+            return order
+        sorted_pairs = pairs[order]
+        rank[order] = np.concatenate(([0], np.cumsum(sorted_pairs[1:] != sorted_pairs[:-1])))
 
 
 def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -133,8 +135,13 @@ class Seen:
         return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
-def word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
-    return hash_strings(pc.binary_join_element_wise(langs.cast(pa.string()), words.cast(pa.string()), " "))
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(strings))
+
+
+def word_hashes(lang: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Of words of a language, from the hashes of both."""
+    return mix64(word ^ mix64(lang))
 
 
 def seen_of(frequent: DataFrame, m: int) -> Seen:
@@ -151,8 +158,7 @@ def seen_of(frequent: DataFrame, m: int) -> Seen:
         for batch in batches:
             if batch.num_rows:
                 words = pc.split_pattern(batch.column("phrase"), " ").flatten()
-                langs = batch.column("lang").take(pa.array(np.arange(batch.num_rows).repeat(m)))
-                at = chained(word_hashes(langs, words), m)[::m] & np.uint64(n - 1)
+                at = chained(word_hashes(string_hashes(batch.column("lang")).repeat(m), string_hashes(words)), m)[::m] & np.uint64(n - 1)
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         yield from blocks({k: part for k, part in enumerate(np.split(bits, n // 8 // BLOCK_BYTES)) if part.any()})
 
@@ -182,9 +188,8 @@ def _phrases(batches: Iterator[pa.RecordBatch], m: int, seen: Seen | None) -> It
             marks = np.flatnonzero(piece[1:] != piece[:-1]) + 1
             marked = np.insert(ids, marks, 0)
             if seen:
-                kinds, at = np.unique(ids, return_inverse=True)
-                hashes = word_hashes(langs.dictionary.take(pa.array((kinds - 1) % len(langs.dictionary))), words.take(pa.array((kinds - 1) // len(langs.dictionary))))
-                known = np.append(seen.has(chained(np.insert(hashes[at], marks, 0), m - 1)), False)  # of the m - 1 words from each place on
+                hashes = word_hashes(string_hashes(langs.dictionary)[of], string_hashes(words)[codes])
+                known = np.append(seen.has(chained(np.insert(hashes, marks, 0), m - 1)), False)  # of the m - 1 words from each place on
                 held = np.zeros(len(marked), bool)
                 for k in range(m - 1):
                     held[k:] |= known[: len(marked) - k]
