@@ -1,6 +1,7 @@
 """Models against direct numpy derivations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,21 @@ def test_harmony_brings_batches_together(points, spark):
     assert gap(after) < 0.2 * gap(before)
 
 
+def test_components_of_wide_rows_equal_svd(spark):
+    """2,000 columns: the subspace of the first components within 1e-6 of the SVD's, in the same order."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(0, 1, (300, 40)) * 2.0 ** -(np.arange(40) / 3)) @ rng.normal(0, 1, (40, 2000)) + 0.01 * rng.normal(0, 1, (300, 2000)) + 5
+    held = pa.ListArray.from_arrays(pa.array(np.arange(301) * 2000, pa.int32()), pa.array(x.ravel()))
+    df = spark.createDataFrame(pa.table({"cell_id": np.arange(300), "f": held})).repartition(5)
+    scores, components = M.pca(df, "f", 2000, 10)
+    centred = x - x.mean(0)
+    v = np.linalg.svd(centred, full_matrices=False)[2][:10]
+    assert np.linalg.norm(components - (components @ v.T) @ v, 2) < 1e-6
+    assert np.allclose(np.abs((components * v).sum(1)), 1, atol=1e-6)
+    got = np.array([r.f for r in scores.orderBy("cell_id").collect()])
+    assert np.allclose(np.abs(got), np.abs(centred @ v.T), atol=1e-4)
+
+
 def reference_combat(y, batch):
     """Columns x genes, parametric empirical Bayes gene by gene (no covariates; pooled deviation over columns)."""
     out, labels = np.empty_like(y), sorted(set(batch))

@@ -62,8 +62,11 @@ def sums_by(df: DataFrame, key: str, f: str, start: Callable[[str, int], np.ndar
     ship(df.sparkSession)
 
     def emitted(total: dict) -> Iterator[pa.RecordBatch]:
-        for (k, i), row in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64()))], ["key", "i", "row"])
+        held = list(total.items())
+        for at in range(0, len(held), 256):
+            some = held[at : at + 256]
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for _, r in some]))), pa.int32()), pa.array(np.concatenate([r for _, r in some])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in some]), pa.array([i for (_, i), _ in some], pa.int32()), rows], ["key", "i", "row"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

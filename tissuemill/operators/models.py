@@ -247,22 +247,81 @@ def components_of(n: float, s: np.ndarray, xx: np.ndarray, k: int) -> tuple[np.n
     return components * np.sign(components[np.arange(k), np.abs(components).argmax(1)])[:, None], mean
 
 
-def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(df with its scores in place of f, components k x width): at most k, no more than columns or rows."""
-    n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
-    components, mean = components_of(n, s, xx, k)
+#: Columns above which components come from a range finder instead of the sums of all products.
+WIDE = 1024
+
+
+def merged_qr(df: DataFrame, f: str, change) -> np.ndarray:
+    """R of the QR decomposition of all rows change(f): every task decomposes its own, the triangles are merged in two levels."""
     ship(df.sparkSession)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def triangle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            r = np.linalg.qr(rows, mode="r")
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([r.shape[1]], pa.int32()), pa.array([r.tobytes()], pa.binary())], ["part", "width", "r"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                z = change(part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                held = np.linalg.qr(np.vstack((held, z)) if held.size else z, mode="r")
+        yield from triangle(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 0))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x = part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
-                scores = (x - mean) @ components.T
-                held = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(components), pa.int32()), pa.array(scores.ravel()))
-                yield part.set_column(part.schema.get_field_index(f), f, held)
-
-    return df.mapInArrow(project, df.schema), components
+            for width, raw in zip(batch.column("width").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                r = np.frombuffer(raw).reshape(-1, width)
+                held = np.linalg.qr(np.vstack((held, r)) if held.size else r, mode="r")
+        yield from triangle(held)
+
+    schema = "part int, width int, r binary"
+    parts = df.select(f).mapInArrow(own, schema).withColumn("part", F.spark_partition_id())
+    rows = parts.repartition(F.floor(F.sqrt("part"))).mapInArrow(merge, schema).collect()  # about the root of the number of tasks
+    return np.linalg.qr(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in rows]), mode="r")
+
+
+def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(components k x width, mean) of wide rows by a randomised range finder with subspace iteration.
+
+    A task emits width x (k + extra) numbers a round, not width^2. Rounds end when the first k directions turn by less than
+    `tolerance`. The last pass takes the rotation and the order of the components from the merged QR of the projected rows.
+    """
+    everything = df.select(f).withColumn("_all", F.lit(""))
+    first = K.sums_by(everything, "_all", f, lambda _, w: np.zeros((1, w + 1)), lambda _, x, __: np.append(x.sum(0), len(x))[None])
+    if not first:
+        return np.zeros((0, width)), np.zeros(width)
+    n, mean = first[""][0, -1], first[""][0, :-1] / first[""][0, -1]
+    k = min(k, width, int(n))
+    v = np.linalg.qr(np.random.default_rng(seed).normal(0, 1, (width, min(width, k + extra))))[0]
+    for _ in range(rounds):
+
+        def product(_: str, x: np.ndarray, __: pa.RecordBatch, v=v) -> np.ndarray:
+            centred = x - mean
+            return centred.T @ (centred @ v)
+
+        w, values, _ = np.linalg.svd(K.sums_by(everything, "_all", f, lambda _, width, v=v: np.zeros(v.shape), product)[""], full_matrices=False)
+        kept = min(k, int((values > values[0] * 1e-14).sum()) if values[0] > 0 else 0)
+        turned = np.linalg.norm(w[:, :kept] - v @ (v.T @ w[:, :kept])) if kept else 0.0
+        v = w
+        if turned < tolerance:
+            break
+    _, _, rotation = np.linalg.svd(merged_qr(df, f, lambda x, v=v: (x - mean) @ v))
+    components = (v @ rotation.T).T[:k]
+    return components * np.sign(components[np.arange(k), np.abs(components).argmax(1)])[:, None], mean
+
+
+def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(df with its scores in place of f, components k x width): at most k, no more than columns or rows."""
+    if width > WIDE:
+        components, mean = wide_components(df, f, width, k)
+    else:
+        n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
+        components, mean = components_of(n, s, xx, k)
+    scored = K.mapped(df.withColumn("_all", F.lit("")), "_all", f, lambda _, x, __: (x - mean) @ components.T)
+    return scored.drop("_all"), components
 
 
 def harmony(df: DataFrame, f: str, batch: str, **parameters) -> DataFrame:
