@@ -471,7 +471,7 @@ def pred_distribution(t: Tables) -> DataFrame:
 
 @query("props_wide", oracle(f"SELECT CAST(i AS INTEGER) AS row_number, cell_type AS index, " + ", ".join(f"round(max(coalesce(p, 0)) FILTER (WHERE bulk_col = 's{s}_{r}'), 6) AS s{s}_{r}" for s in range(25) for r in range(REPLICATES)) + " FROM comp JOIN cls USING (i) GROUP BY 1, 2", COMP))
 def props_wide(t: Tables) -> DataFrame:
-    columns = [f"s{s}_{r}" for s in range(25) for r in range(REPLICATES)]  # all nations, in both replicates
+    columns = [r[0] for r in t.truth().select("bulk_col").distinct().orderBy("bulk_col").collect()]
     rows = composition(t).select("bulk_col", F.posexplode("p").alias("row_number", "p"))
     wide = rows.groupBy("row_number").pivot("bulk_col", columns).agg(F.round(F.max("p"), 6))
     return wide.select("row_number", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("row_number") + 1).alias("index"), *columns)
