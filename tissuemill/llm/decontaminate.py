@@ -154,6 +154,7 @@ class Items:
         """(text, item, best stretch) for every text and item that overlap."""
         offsets, hashed = tokens(texts)
         best: dict[tuple[int, int], tuple] = {}
+        shared: dict[tuple[int, int], list[int]] = {}  # sums of the item's tokens that stand in the text at all
         for at, item, place, span in self.hits(hashed):
             doc = np.searchsorted(offsets, at, "right") - 1
             inside = at + span <= offsets[doc + 1]  # a window may not run into the next document
@@ -164,9 +165,16 @@ class Items:
             new = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
             bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(doc)] if len(doc) else [0]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # alignments
-                d, i = int(doc[a]), int(item[a])
-                got = self.verify(hashed[offsets[d] : offsets[d + 1]], i, int(shift[a]), place[a:b], span, limits)
-                if got is not None and ((d, i) not in best or (-got[3], *got) < (-best[d, i][3], *best[d, i])):
+                d, i, s = int(doc[a]), int(item[a]), int(shift[a])
+                held = best.get((d, i))
+                if held is not None:  # an alignment that cannot hold as many equal tokens, or as early, cannot win
+                    if (d, i) not in shared:
+                        shared[d, i] = np.concatenate(([0], np.cumsum(np.isin(self.words[i], hashed[offsets[d] : offsets[d + 1]])))).tolist()
+                    low, high = max(0, -s), min(len(self.words[i]), int(offsets[d + 1] - offsets[d]) - s)
+                    if (shared[d, i][low] - shared[d, i][high], low + s) > (-held[3], held[0]):
+                        continue
+                got = self.verify(hashed[offsets[d] : offsets[d + 1]], i, s, place[a:b], span, limits)
+                if got is not None and (held is None or (-got[3], *got) < (-held[3], *held)):
                     best[d, i] = got
         for (d, i), got in best.items():
             yield d, i, got

@@ -287,9 +287,14 @@ def scan(
     shuts = F.filter(at, lambda i: (line(i) != "") & (F.coalesce(line(i + 1), F.lit("")) == ""))
     runs = cleaned.select("doc", F.explode(F.transform(F.arrays_zip(opens.alias("a"), shuts.alias("b")), lambda x: F.struct(x["a"].alias("block"), F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1).alias("lines")))).alias("run"))
     runs = runs.where(F.array_join("run.lines", " ").rlike(told))
-    each = runs.select("doc", "run.block", "run.lines", F.posexplode("run.lines").alias("place", "line"))
-    following = F.split(F.concat_ws(" ", F.get("lines", F.col("place") + 1), F.get("lines", F.col("place") + 2)), " +")
-    following = F.when(F.col("place") + 1 < F.size("lines"), F.slice(following, 1, max(ORDERS) - 1)).otherwise(F.array().cast("array<string>"))
+    # Each line goes on with the first words of the two after it, so a line carries no more of its run than these.
+    ahead = max(ORDERS) - 1
+
+    def goes_on(line: Column, i: Column) -> Column:
+        return F.struct(line.alias("line"), F.concat_ws(" ", *(F.substring_index(F.get("run.lines", i + k), " ", ahead) for k in (1, 2))).alias("next"))
+
+    each = runs.select("doc", "run.block", F.posexplode(F.transform("run.lines", goes_on)).alias("place", "at")).select("doc", "block", "place", "at.line", "at.next")
+    following = F.when(F.col("next") != "", F.slice(F.split("next", " +"), 1, ahead)).otherwise(F.array().cast("array<string>"))
     words = each.select("doc", "block", (F.col("block") + F.col("place")).alias("line"), F.split("line", " +").alias("own"), following.alias("following"))
     words = words.select("doc", "block", "line", F.explode(F.array(F.struct("own", "following"))).alias("held"))
     own, n = F.col("held.own"), F.size("held.own")

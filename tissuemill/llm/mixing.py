@@ -3,7 +3,7 @@
 Each document expects target / source size copies. Inside a source the expected copies are prefix-summed in
 fixed point, one offset is added to the sums, and a document is emitted once for each integer boundary its
 own share crosses. The order inside a source runs by size (five leading bits) and then by a hash of the
-identifier, so that every stretch of the prefix sum sees documents of like size and the taken words stay near
+identifier and the text, so that every stretch of the prefix sum sees documents of like size and the taken words stay near
 the target.
 
 The prefix sum is hierarchical: (source, size class, 256 hash slices) groups are summed with map-side
@@ -11,7 +11,7 @@ combine, the group totals are prefix-summed per source, and rows are only ordere
 with a third of all rows is therefore spread over thousands of groups.
 
 Defined edge cases: a null text has size 0; a null source is a source of its own, last in order; a null
-doc_id takes part like any other; rows with the same doc_id are separate documents; an empty table gives an
+doc_id takes part like any other; rows with the same doc_id are separate documents, dealt to slices by their texts; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -67,16 +67,15 @@ def _plan(docs: DataFrame, key: list[str], weights: tuple[int, ...], cap: int, s
             F.col("source").isNull().cast("int").alias("no_source"),
             F.coalesce("source", F.lit("")).alias("src"),
             word_count(F.col("text")).alias("size"),
+            F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("mixed"),
         )
     )
     bits = F.length(F.bin("size"))
     low = F.greatest(bits - 5, F.lit(0))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sizes.select(
         "*",
         (bits * 32 + F.floor(F.col("size") / F.pow(F.lit(2.0), low))).cast("int").alias("size_class"),
-        order.alias("mixed"),
-        F.substring(order, 1, 2).alias("part"),
+        F.substring("mixed", 1, 2).alias("part"),
     )
     share = targets(sizes, weights, cap).select(
         "*",
@@ -128,7 +127,7 @@ ORACLE = f"""
 WITH d AS (
   SELECT doc_id, CAST(source IS NULL AS INTEGER) AS no_source, coalesce(source, '') AS src,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mixed FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS mixed FROM documents),
 s AS (SELECT no_source, src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY no_source, src) - 1) % 3 + 1 AS DOUBLE) AS weight,
              CAST(source_size * {CAP} AS DOUBLE) AS most FROM s),

@@ -3,7 +3,9 @@
 A document is the average of learned vectors: one hashed vector for each word and one for each of its character
 n-grams (over code points), words being wrapped in "<" and ">". A softmax layer turns the average into a probability. Vectors and
 layer are trained together by stochastic gradient descent in numpy, on the driver, from at most `train_docs`
-labelled documents (the documented bound, taken by the lowest hash of the identifier) of which every word counts.
+labelled documents of at most `train_bytes` of text together (the documented bounds, filled in the order of a hash of the
+identifier) of which every word counts. An identifier that many rows share teaches by one of them, that of the lowest hash
+of its text; a document of more than a sixteenth of `train_bytes` teaches nothing.
 
 The output layer is linear in the average, so after training every hashed slot is folded into one number, and
 scoring needs one number for each different word of a batch: the sum over its slots. The folded table
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, mix64, slices, split_words, table
@@ -36,6 +38,7 @@ EPOCHS = 6
 RATE = 0.25
 BATCH = 16
 TRAIN_DOCS = 2_000
+TRAIN_BYTES = 1 << 28
 SEED = 7
 #: Text scored at a time.
 SCORE_BYTES = 3 << 20
@@ -176,11 +179,15 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from a bounded number of labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Learns from labelled documents that are not held out, bounded in number and in bytes."""
     use = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), "quality").where(remainder(F.col("_id")) != 1)
     use = use.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("_id")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes // 16)
+    one = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), one["text"].alias("text"))
+    filled = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # train_docs rows at most
+    rows = rows.withColumn("filled", filled).where(F.col("filled") <= train_bytes).select("doc_id", "text", "quality")
     rows = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
     return train([r[1] for r in rows], [int(r[2]) for r in rows])
 
