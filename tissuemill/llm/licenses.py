@@ -293,7 +293,8 @@ def scan(
     def goes_on(line: Column, i: Column) -> Column:
         return F.struct(line.alias("line"), F.concat_ws(" ", *(F.substring_index(F.get("run.lines", i + k), " ", ahead) for k in (1, 2))).alias("next"))
 
-    each = runs.select("doc", "run.block", F.posexplode(F.transform("run.lines", goes_on)).alias("place", "at")).select("doc", "block", "place", "at.line", "at.next")
+    each = runs.select("doc", "run.block", F.transform("run.lines", goes_on).alias("each"))
+    each = each.select("doc", "block", F.posexplode("each").alias("place", "at")).select("doc", "block", "place", "at.line", "at.next")
     following = F.when(F.col("next") != "", F.slice(F.split("next", " +"), 1, ahead)).otherwise(F.array().cast("array<string>"))
     words = each.select("doc", "block", (F.col("block") + F.col("place")).alias("line"), F.split("line", " +").alias("own"), following.alias("following"))
     words = words.select("doc", "block", "line", F.explode(F.array(F.struct("own", "following"))).alias("held"))
