@@ -236,6 +236,16 @@ def scatter(t: Tables) -> DataFrame:
     return rounded(scores.select("cell_id", F.col("f")[0].alias("x"), F.col("f")[1].alias("y"), F.col("cell_type").alias("colour")), "x", "y")
 
 
+@query("layout")
+def layout(t: Tables) -> DataFrame:
+    """cell_id, x, y, colour: the spectral layout of the fuzzy neighbour graph, coloured by the label."""
+    from ..operators import layout as L
+    from ..operators import models as M
+
+    f = t.features().select("cell_id", F.col("cell_type").alias("colour"))
+    return rounded(L.coordinates(M.fuzzy_graph(graph(t))).join(f, "cell_id"), "x", "y", digits=4)
+
+
 @query("column_z", oracle("SELECT cell_id, d, round((x - avg(x) OVER (PARTITION BY d)) / (stddev_pop(x) OVER (PARTITION BY d) + 1e-9), 5) AS z FROM ex", KNN))
 def column_z(t: Tables) -> DataFrame:
     """Every column of the embedding standardised."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..operators import expression as X
 from ..operators import models as M
 from ..operators import qc as Q
 from ..operators.boosting_passes import fit_passes
+from ..session import ship
 from ..sources.files import staged
 from .catalog import CLASSES, K, Tables, composition, pb, query, weights
 
@@ -75,30 +77,52 @@ def deconv_lopo(t: Tables) -> DataFrame:
     in one plan, each from its own training samples, among the genes of the bulk matrix. Folds with fewer than LEAST_CELLS
     cells, LEAST_GENES markers or two training columns are left out.
     """
-    columns, x = bulk_matrix(t)
-    _, p = composition_matrix(t)
-    genes = [r[0] for r in t.genes().select("gene").orderBy("gene").collect()]
-    who = {f"s{r.n_nationkey}": r.patient for r in t.cells().select("n_nationkey", "patient").distinct().collect()}
-    patient = np.array([who.get(c.split("_")[0], "UNK") for c in columns])
-    folds = C.lopo_folds(t.cells(), "patient").where("role = 'train'")
-    roles: dict[tuple, set] = {}
-    for r in folds.collect():
-        roles.setdefault((r["outer"], r["inner"]), set()).add(r["patient"])
-    n_cells = dict(t.cells().groupBy("patient").count().collect())
-    profile = pb(t).join(F.broadcast(t.cells().select("sample", "patient").distinct()), "sample").join(F.broadcast(folds.select("outer", "inner", "patient")), "patient")
-    tops = X.top_k(X.contrast(profile, by=("outer", "inner")), MARKERS, by=["outer", "inner", "cell_type"]).groupBy("outer", "inner").agg(F.collect_set("gene").alias("genes")).collect()
-    bags: dict[str, list[np.ndarray]] = {c: [] for c in columns}
-    for r in sorted(tops, key=lambda r: (r["outer"], r["inner"])):
-        mine = roles[r["outer"], r["inner"]]
-        train, use = np.flatnonzero(np.isin(patient, list(mine))), np.isin(genes, r["genes"])
-        if sum(n_cells[m] for m in mine) < LEAST_CELLS or use.sum() < LEAST_GENES or len(train) < 2:
-            continue
-        w, b = M.ridge(x[np.ix_(train, use)], np_ilr(p[train]), 1e-2)
-        for i in np.flatnonzero(patient == r["outer"]):
-            bags[columns[i]].append(np_ilr_inverse((x[i : i + 1, use]) @ w + b)[0])
-    guess = np.array([np.mean(bags[c], axis=0) if bags[c] else np.full(K, 1 / K) for c in columns])
-    error = np.sqrt(((guess - p) ** 2).mean(0))
-    return t.spark.createDataFrame([(k, round(float(e), 6)) for k, e in zip([*CLASSES, "AVERAGE"], [*error, error.mean()], strict=True)], "cell_type string, rmse double")
+    columns, p = composition_matrix(t)
+    who = t.cells().select(F.concat(F.lit("s"), "n_nationkey").alias("of"), "patient").distinct().collect()
+    patient = np.array([dict(map(tuple, who)).get(c.split("_")[0], "UNK") for c in columns])
+    folds = staged(C.lopo_folds(t.cells(), "patient").where("role = 'train'").select("outer", "inner", "patient"))
+    sizes = staged(folds.join(t.cells().groupBy("patient").agg(F.count("*").alias("n")), "patient").groupBy("outer", "inner").agg(F.sum("n").alias("n"), F.collect_set("patient").alias("train")))
+    profile = pb(t).join(F.broadcast(t.cells().select("sample", "patient").distinct()), "sample").join(F.broadcast(folds), "patient")
+    tops = X.top_k(X.contrast(profile, by=("outer", "inner")), MARKERS, by=["outer", "inner", "cell_type"]).select("outer", "inner", "gene").distinct()
+    values = X.asinh(X.cp10k(t.bulk(), "bulk_col")).select("bulk_col", "gene", "value")
+    guesses = fold_guesses(tops.join(values, "gene", "left"), sizes.where(F.col("n") >= LEAST_CELLS), columns, patient, p, LEAST_GENES)
+    mean = F.array(*(F.avg(F.get("p", F.lit(k))).alias(str(k)) for k in range(K)))
+    rows = guesses.groupBy("bulk_col").agg(mean.alias("guess"))
+    truth = t.spark.createDataFrame(list(zip(columns, p.tolist(), strict=True)), "bulk_col string, truth array<double>")
+    guess = F.coalesce("guess", F.array(*[F.lit(1 / K)] * K))
+    error = truth.join(rows, "bulk_col", "left").agg(*(F.sqrt(F.avg((F.get(guess, F.lit(k)) - F.get("truth", F.lit(k))) ** 2)).alias(str(k)) for k in range(K)))
+    each = [F.struct(F.lit(c).alias("cell_type"), F.col(str(k)).alias("rmse")) for k, c in enumerate(CLASSES)]
+    average = F.struct(F.lit("AVERAGE").alias("cell_type"), (sum((F.col(str(k)) for k in range(K)), F.lit(0.0)) / K).alias("rmse"))
+    return error.select(F.inline(F.array(*each, average))).select("cell_type", F.round("rmse", 6).alias("rmse"))
+
+
+def fold_guesses(values: DataFrame, folds: DataFrame, columns: list[str], patient: np.ndarray, p: np.ndarray, least_genes: int) -> DataFrame:
+    """outer, inner, bulk_col, p: each fold's ridge on the bulk columns of its training patients, for those of the outer one.
+
+    values: outer, inner, gene (a marker), bulk_col, value (null where no column holds the gene). Each fold is solved by a task of its
+    own, over columns x markers numbers; columns, patient and p are of bulk size.
+    """
+    ship(values.sparkSession)
+    place = {c: i for i, c in enumerate(columns)}
+    schema = "outer string, inner long, bulk_col string, p array<double>"
+
+    def solve(held: pa.Table, fold: pa.Table) -> pa.Table:
+        genes, at = np.unique(held.column("gene").to_numpy(), return_inverse=True)
+        row = np.array([place.get(c, -1) for c in held.column("bulk_col").to_pylist()], int)
+        x = np.zeros((len(columns), len(genes)))
+        x[row[row >= 0], at[row >= 0]] = held.column("value").to_numpy()[row >= 0]
+        train = np.flatnonzero(np.isin(patient, fold.column("train")[0].as_py() if len(fold) else []))
+        out = pa.schema([("outer", pa.string()), ("inner", pa.int64()), ("bulk_col", pa.string()), ("p", pa.list_(pa.float64()))])
+        if len(genes) < least_genes or len(train) < 2:
+            return out.empty_table()
+        w, b = M.ridge(x[train], np_ilr(p[train]), 1e-2)
+        outer, inner = fold.column("outer")[0].as_py(), fold.column("inner")[0].as_py()
+        left = np.flatnonzero(patient == outer)
+        found = np_ilr_inverse(x[left] @ w + b)
+        return pa.table([[outer] * len(left), [inner] * len(left), [columns[i] for i in left], found.tolist()], schema=out)
+
+    by = ["outer", "inner"]
+    return values.groupBy(*by).cogroup(folds.groupBy(*by)).applyInArrow(solve, schema)
 
 
 def labelled(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -160,9 +184,7 @@ def hvg(t: Tables) -> DataFrame:
 def robust_markers(t: Tables, l1_ratio: float) -> DataFrame:
     """Top markers of each class: ranks of Cohen's d and of the coefficient fused, among genes where both are positive."""
     profile = staged(pb(t))
-    genes = [r[0] for r in t.genes().select("gene").orderBy("gene").collect()]
-    found = [(c, int(g), v) for c in CLASSES for g, v in M.l1_markers(profile, genes, c, l1_ratio=l1_ratio).items()]
-    coefficients = t.spark.createDataFrame(found, "cell_type string, gene long, coefficient double")
+    coefficients = M.sparse_markers(profile, CLASSES, l1_ratio=l1_ratio)
     both = X.cohens_d(profile, weights(t)).join(coefficients, ["cell_type", "gene"])
     positive = both.where("d > 0 and coefficient > 0")
     w = Window.partitionBy("cell_type")
