@@ -68,4 +68,4 @@ def test_long_runs_of_lines_cost_their_length(spark):
     began = time.perf_counter()
     got = {(r.doc_id, r.family) for r in licenses.scan(docs).collect()}
     assert {d for d, _ in got} == {1, 2} and len({f for _, f in got}) == 1
-    assert time.perf_counter() - began < 150  # a quadratic plan takes longer; some 10 s alone, 30 s on a busy machine
+    assert time.perf_counter() - began < 150  # guards against a hang only
