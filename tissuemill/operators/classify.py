@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import neighbours as N
+from .neighbours import nearest  # noqa: F401  part of this module's interface
 
 
 def class_weights(df: DataFrame, label: str, alpha: float = 0.0, most: float = 5.0) -> DataFrame:
