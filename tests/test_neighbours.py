@@ -57,3 +57,22 @@ def test_recall_of_the_nearest_cells(spark):
     got = {(a, b) for a, b, *_ in rows(N.search(frame(spark, x).where("cell_id % 50 = 0"), index, 16, 16, exact=False, digits=6))}
     expected = {(50 * a, b) for a, b, *_ in brute(x[::50], x, 16, "euclidean")}
     assert len(got & expected) / len(expected) >= 0.9
+
+
+def test_exact_search_by_blocks(spark, monkeypatch):
+    """Several blocks and copies, a large group of copies far from the origin; memory of a task does not grow with cells asked."""
+    monkeypatch.setattr(N, "SCAN_ROWS", 60)
+    monkeypatch.setattr(N, "SCAN_COLUMNS", 16)
+    monkeypatch.setattr(N, "SCAN_BATCH", 8)
+    rng = np.random.default_rng(2)
+    x = np.round(np.vstack((rng.normal(0, 1, (150, 8)), np.full((90, 8), 1000.5))), 3)
+    for metric in ("cosine", "euclidean"):
+        got = N.search(frame(spark, x[::3], 1000), N.build(frame(spark, x), metric), 7, 2, digits=6)
+        assert rows(got) == brute(x[::3], x, 7, metric, 1000)
+
+
+def test_equal_rows_have_distance_zero():
+    """By the expanded square two equal rows far from the origin lie about 1e-6 apart."""
+    x = np.array([[12345.678, 9876.543, 1111.111]])
+    row, column, d = N.within(x, np.array([np.inf]), np.vstack((x, x + 1)), 2, "euclidean", 9)
+    assert d[0] == 0 and column.tolist() == [0, 1]

@@ -2,10 +2,10 @@
 
 Centres of cells come from k-means over a bounded sample of training rows; every row, sampled or not, goes to its nearest
 centre's cell, and no training row passes the driver. A query first looks into its `probes` nearest cells, which gives
-the distance of its k-th neighbour so far. Nothing in a cell is nearer than the distance of its centre less the cell's
-radius, so the exact search goes on into those further cells, and only those, whose bound is within that distance. In
-few dimensions these are few; where all rows are about as far from each other they are most, and the search without the
-second round (`exact=False`) is the one for large tables: its recall is measured in the tests.
+the distance of its k-th neighbour so far. The exact search then compares every query with every training row: training
+rows lie in blocks of at most about SCAN_ROWS, queries are sent to every block, and a task multiplies matrices and looks
+closer only at pairs within that distance. Its work is the product of both sides, its memory one block and a batch of
+queries. The search without this round (`exact=False`) does much less; its recall is measured in the tests.
 
 Cosine distances are searched among unit vectors, where the Euclidean distance is sqrt(2 d); vectors of zeros, which have
 distance 1 to everything, get a dimension of their own on either side.
@@ -36,6 +36,9 @@ MOST_CELLS = 4096
 CELL_ROWS = 20_000
 ASKED_ROWS = 20_000
 PROBES = 8
+#: Training rows of a block and queries of a task of the exact search; columns and queries that are multiplied at once.
+SCAN_ROWS, SCAN_QUERIES = 65_536, 65_536
+SCAN_COLUMNS, SCAN_BATCH = 4096, 512
 
 
 def nearest(distance: np.ndarray, k: int) -> np.ndarray:
@@ -71,6 +74,16 @@ def rounded_distances(q: np.ndarray, v: np.ndarray, metric: str, digits: int) ->
     return np.round(1 - q @ v.T if metric == "cosine" else between(q, v), digits)
 
 
+def pair_distances(q: np.ndarray, v: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    """Distances of row i of q to row i of v; equal rows have distance 0 exactly."""
+    return np.round(1 - np.einsum("ij,ij->i", q, v) if metric == "cosine" else np.sqrt(((q - v) ** 2).sum(1)), digits) + 0.0
+
+
+def chunk(cells: int) -> int:
+    """Rows whose distances to all cells are held at once."""
+    return max(64, min(2048, (1 << 20) // max(1, cells)))
+
+
 def centres_of(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
     """Lloyd's rounds from rows drawn at random."""
     rng = np.random.default_rng(seed)
@@ -85,12 +98,11 @@ def centres_of(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.nda
 
 
 class Index(NamedTuple):
-    """rows: cell_id, cell_type, f (prepared), cell, part. For each cell its centre, radius and number of parts."""
+    """rows: cell_id, cell_type, f (prepared), cell, part. For each cell its centre and number of parts."""
 
     rows: DataFrame
     metric: str
     centres: np.ndarray
-    radius: np.ndarray
     parts: np.ndarray
 
 
@@ -108,42 +120,36 @@ def build(train: DataFrame, metric: str = "cosine", cells: int | None = None) ->
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, chunk(cells)):
+                some = batch.slice(at, chunk(cells))
                 x = prepared(matrix(some), metric, 0)
-                far = between(x, told.value)
-                own = far.argmin(1)
+                own = between(x, told.value).argmin(1)
                 held = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([some.column("cell_id"), some.column("cell_type"), held, pa.array(own, pa.int32()), pa.array(far[np.arange(len(x)), own])], ["cell_id", "cell_type", "f", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([some.column("cell_id"), some.column("cell_type"), held, pa.array(own, pa.int32())], ["cell_id", "cell_type", "f", "cell"])
 
-    placed = staged(train.mapInArrow(assign, "cell_id long, cell_type int, f array<double>, cell int, far double"))
-    radius, parts = np.zeros(cells), np.zeros(cells, np.int64)
-    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # cells
-        radius[r.cell], parts[r.cell] = r.far, -(-r.n // CELL_ROWS)
+    placed = staged(train.mapInArrow(assign, "cell_id long, cell_type int, f array<double>, cell int"))
+    parts = np.zeros(cells, np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # cells
+        parts[r.cell] = -(-r.n // CELL_ROWS)
     of_cell = F.element_at(F.lit(np.maximum(parts, 1).tolist()), F.col("cell") + 1)
-    return Index(placed.select("cell_id", "cell_type", "f", "cell", F.pmod(F.xxhash64("cell_id"), of_cell).cast("int").alias("part")), metric, centres, radius, parts)
+    return Index(placed.select("cell_id", "cell_type", "f", "cell", F.pmod(F.xxhash64("cell_id"), of_cell).cast("int").alias("part")), metric, centres, parts)
 
 
-def _asks(queries: DataFrame, index: Index, probes: int, slack: float) -> DataFrame:
-    """query, f, cell: the cells to look into: the nearest `probes`; with column `reach`, the others within reach of it."""
-    told = queries.sparkSession.sparkContext.broadcast((index.centres, index.radius, index.parts))
-    metric, further = index.metric, "reach" in queries.columns
+def _asks(queries: DataFrame, index: Index, probes: int) -> DataFrame:
+    """query, f, cell: the nearest `probes` cells of each query."""
+    told = queries.sparkSession.sparkContext.broadcast((index.centres, index.parts))
+    metric, step = index.metric, chunk(len(index.centres))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, radius, parts = told.value
+        centres, parts = told.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
                 q = prepared(matrix(some), metric, 1)
                 far = np.where(parts > 0, between(q, centres), np.inf)
                 wanted = np.zeros(far.shape, bool)
                 np.put_along_axis(wanted, nearest(far, probes), True, 1)
-                wanted &= parts > 0
-                if further:
-                    reach = some.column("reach").to_numpy(zero_copy_only=False)[:, None]
-                    limit = (np.sqrt(2 * np.maximum(reach + slack, 0)) if metric == "cosine" else reach) + slack
-                    wanted = ~wanted & (far - radius <= limit) & (parts > 0)
-                row, cell = np.nonzero(wanted)
+                row, cell = np.nonzero(wanted & (parts > 0))
                 held = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * q.shape[1], pa.int32()), pa.array(q[row].ravel()))
                 yield pa.RecordBatch.from_arrays([some.column("query").take(pa.array(row)), held, pa.array(cell, pa.int32())], ["query", "f", "cell"])
 
@@ -190,6 +196,85 @@ def _searched(asks: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
     return both.mapInArrow(search, "query long, neighbour long, label int, distance double")
 
 
+def within(q: np.ndarray, reach: np.ndarray, v: np.ndarray, k: int, metric: str, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, rows of v, distances): the k nearest of v within reach of each row of q, ties by place in v.
+
+    Matrix products, with a margin for their rounding, tell which pairs to look at; their distances are computed one by one.
+    """
+    half = np.zeros(len(v)) if metric == "cosine" else (v * v).sum(1) / 2
+    square = np.zeros(len(q)) if metric == "cosine" else (q * q).sum(1)
+    unit, limit = 10.0**-digits, reach.copy()
+    slack = 1e-6 + 2 * unit + 1e-11 * (square + 2 * half.max(initial=0.0))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(v), SCAN_COLUMNS):
+        some = v[at : at + SCAN_COLUMNS]
+        like = q @ some.T - half[at : at + SCAN_COLUMNS]
+        with np.errstate(invalid="ignore"):
+            least = 1 - limit - slack if metric == "cosine" else (square - limit**2 - slack * (1 + 2 * limit)) / 2
+        least[limit < 0] = np.inf  # nothing is nearer than k copies
+        open_ = np.isinf(limit)
+        if open_.any():  # too few known so far: the k likest of these columns, and what ties with them
+            of = like.shape[1] - min(k, like.shape[1])
+            kth = np.partition(like[open_], of, axis=1)[:, of]
+            least[open_] = kth - slack[open_] * (1 + 2 * np.sqrt(np.maximum(square[open_] - 2 * kth, 0)))
+        row, column = np.nonzero(like >= least[:, None])
+        if not len(row):
+            continue
+        d = np.concatenate([pair_distances(q[row[i : i + 65_536]], some[column[i : i + 65_536]], metric, digits) for i in range(0, len(row), 65_536)])
+        keep = d <= limit[row]
+        row, column, d = row[keep], column[keep], d[keep]
+        order = np.lexsort((column, d, row))
+        row, column, d = row[order], column[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        full = place == k - 1  # what comes later in v yields in ties, so only nearer ones count
+        limit[row[full]] = np.minimum(limit[row[full]], d[full] - unit / 2)
+        first = place < k
+        found.append((row[first], column[first] + at, d[first]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, column, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((column, d, row))
+    row, column, d = row[order], column[order], d[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first], d[first]
+
+
+def _scanned(left: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
+    """query, neighbour, label, distance: the k nearest of each block within reach of a query. left: query, f, reach."""
+    n, asked, metric = index.rows.count(), left.count(), index.metric
+    blocks = max(1, -(-n // SCAN_ROWS))
+    wanted = max(-(-asked // SCAN_QUERIES), -(-4 * left.sparkSession.sparkContext.defaultParallelism // blocks))
+    copies = max(1, min(wanted, -(-asked // SCAN_BATCH)))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    rows = index.rows.select(dealt("cell_id", blocks).alias("block"), each(copies).alias("copy"), F.lit(0).alias("side"), F.col("cell_id").alias("id"), F.col("cell_type").alias("label"), "f", F.lit(0.0).alias("reach"))
+    sent = left.select(each(blocks).alias("block"), dealt("query", copies).alias("copy"), F.lit(1).alias("side"), F.col("query").alias("id"), F.lit(None).cast("int").alias("label"), "f", "reach")
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * copies)
+    both = rows.unionByName(sent).repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", "side", "id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, labels, vectors = None, [], None, None, None
+        for batch in batches:
+            places = np.column_stack([batch.column(c).to_numpy() for c in ("block", "copy", "side")])
+            cuts = np.concatenate(([0], np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1, [len(places)])) if len(places) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some, place = batch.slice(a, b - a), tuple(places[a, :2])
+                if place != now:
+                    now, held, vectors = place, [], None
+                if not places[a, 2]:
+                    held.append((some.column("id").to_numpy(), some.column("label"), matrix(some)))
+                    continue
+                if vectors is None and held:
+                    ids, labels, vectors = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.vstack([h[2] for h in held])
+                    held = []
+                for at in range(0, some.num_rows if vectors is not None else 0, SCAN_BATCH):
+                    part = some.slice(at, SCAN_BATCH)
+                    row, column, d = within(prepared(matrix(part), metric, 1), part.column("reach").to_numpy(), vectors, k, metric, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column("id").to_numpy()[row]), pa.array(ids[column]), labels.take(pa.array(column)), pa.array(d)], ["query", "neighbour", "label", "distance"])
+
+    return both.mapInArrow(scan, "query long, neighbour long, label int, distance double")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -202,11 +287,9 @@ def search(queries: DataFrame, index: Index | None, k: int = 30, probes: int = P
         return spark.createDataFrame([], "query long, neighbour long, label int, distance double, rank int")
     asked = queries.select(F.col("cell_id").cast("long").alias("query"), F.col("f").cast("array<double>").alias("f")).where("f is not null")
     asked = staged(asked) if exact else asked
-    first = _best(_searched(_asks(asked, index, probes, 0.0), index, k, digits), k)
+    first = _best(_searched(_asks(asked, index, probes), index, k, digits), k)
     if not exact:
         return first
-    first = staged(first)
-    reach = first.groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("reach"))
-    left = asked.join(reach, "query", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-    more = _searched(_asks(left, index, probes, max(2 * 10.0**-digits, 1e-6)), index, k, digits)  # rounding of distances
-    return _best(first.drop("rank").unionByName(more), k)
+    reach = staged(first.groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("reach")))
+    left = asked.join(reach, "query", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))) + 2 * 10.0**-digits + 1e-6)
+    return _best(_scanned(left, index, k, digits), k)
