@@ -240,3 +240,19 @@ def test_one_vs_rest_trees_take_every_label(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()
     assert {i: label for i, (label, _) in got.items()} == {r.vec_id: r.label for r in rows if r.vec_id % 7 == 0}
     assert {yhat for _, yhat in got.values()} <= {r.label for r in rows} and max(yhat for _, yhat in got.values()) >= 3
+
+
+def test_fuzzy_graph_of_uneven_rows(spark):
+    """Rows of many lengths in one batch, copies at distance 0: weights as found row by row."""
+    lists = {1: [0.0, 0.0, 1.0, 2.5], 2: [0.3], 3: [1.0, 1.5, 1.7, 2.0, 9.0], 4: [0.0, 0.0]}
+    edges = spark.createDataFrame([(i, 100 * i + j, d) for i, ds in lists.items() for j, d in enumerate(ds)], "cell_id long, neighbour long, distance double").coalesce(1)
+    got = {(r.cell_id, r.neighbour): r.weight for r in M.fuzzy_graph(edges).collect()}
+    for i, ds in lists.items():
+        d = np.array(ds)
+        gap = np.maximum(d - d[d > 0].min() if (d > 0).any() else d, 0)
+        low, high, s = 0.0, np.inf, 1.0
+        for _ in range(40):
+            low, high = (low, s) if np.exp(-gap / s).sum() > np.log2(max(2, len(d))) else (s, high)
+            s = s * 2 if high == np.inf else (low + high) / 2
+        want = np.exp(-gap / max(s, 1e-3 * max(d.mean(), 1e-12)))
+        assert np.allclose([got[i, 100 * i + j] for j in range(len(d))], want, atol=1e-12)

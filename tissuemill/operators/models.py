@@ -406,19 +406,23 @@ def fuzzy_graph(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for d in batch.column("distance").to_pylist():
-                d = np.array(d)
-                gap = np.maximum(d - d[d > 0].min() if (d > 0).any() else d, 0)
-                low, high, s = 0.0, np.inf, 1.0
-                for _ in range(rounds):
-                    if np.exp(-gap / s).sum() > np.log2(max(2, len(d))):
-                        high = s
-                    else:
-                        low = s
-                    s = s * 2 if high == np.inf else (low + high) / 2
-                out.append(np.exp(-gap / max(s, 1e-3 * max(d.mean(), 1e-12))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("neighbour"), pa.array(out, pa.list_(pa.float64()))], ["cell_id", "neighbour", "weight"])
+            lists = batch.column("distance")
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            held = np.arange(max(length, default=0)) < length[:, None]
+            d = np.full(held.shape, np.inf)
+            d[held] = lists.flatten().to_numpy()
+            least = np.where(d > 0, d, np.inf).min(1, initial=np.inf)
+            gap = np.where(held, np.maximum(d - np.where(np.isinf(least), 0, least)[:, None], 0), np.inf)
+            low, high, s = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+            wanted = np.log2(np.maximum(2, length))
+            for _ in range(rounds):
+                over = np.exp(-gap / s[:, None]).sum(1) > wanted
+                low, high = np.where(over, low, s), np.where(over, s, high)
+                s = np.where(np.isinf(high), s * 2, (low + high) / 2)
+            mean = np.where(held, d, 0).sum(1) / np.maximum(length, 1)
+            weight = np.exp(-gap / np.maximum(s, 1e-3 * np.maximum(mean, 1e-12))[:, None])[held]
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(weight))
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("neighbour"), out], ["cell_id", "neighbour", "weight"])
 
     weighed = rows.mapInArrow(weigh, "cell_id long, neighbour array<long>, weight array<double>")
     one = weighed.select("cell_id", F.explode(F.arrays_zip("neighbour", "weight")).alias("e")).select("cell_id", "e.neighbour", "e.weight")
