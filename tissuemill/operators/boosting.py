@@ -1,13 +1,14 @@
 """Gradient-boosted trees over histograms, multiclass or binary, with class weights and early stopping.
 
-Fitted in numpy on at most `most_rows` training rows (the documented bound, taken by a hash of the key), which reach the
-driver as one matrix; scored in Arrow batches against a broadcast model. Beyond the bound the sample stands for the rest;
+Fitted in numpy on at most `most_rows` training rows (the documented bound, taken by a hash of the key), each model by a
+task of its own, so those of all folds are fitted side by side; scored in Arrow batches against a broadcast model. Beyond the bound the sample stands for the rest;
 boosting_passes.fit_passes grows the same trees over every row.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -70,16 +71,21 @@ def grow(codes: np.ndarray, edges: list[np.ndarray], slope: np.ndarray, curve: n
     """(tree, value of every training row): the leaf of largest gain is split until none gains or there are leaves enough."""
     n, d = codes.shape
     chosen = np.sort(rng.choice(d, max(1, int(np.ceil(g.features * d))), replace=False))
-    width, offset = g.bins + 1, np.arange(len(chosen)) * (g.bins + 1)
-    held = codes[:, chosen] + offset
+    width = g.bins + 1
 
-    def best(rows: np.ndarray) -> tuple[float, int, int]:
+    def summed(rows: np.ndarray) -> np.ndarray:
+        """(rows, slopes, curves) x features x bins."""
+        out, a, b = np.empty((3, len(chosen), width)), slope[rows], curve[rows]
+        for j, column in enumerate(chosen):
+            at = codes[:, column][rows].astype(np.intp)
+            out[0, j], out[1, j], out[2, j] = np.bincount(at, minlength=width), np.bincount(at, a, width), np.bincount(at, b, width)
+        return out
+
+    def best(rows: np.ndarray, sums: np.ndarray) -> tuple[float, int, int]:
         """(gain, place in chosen, bin) of the best split of a leaf."""
         if len(rows) < 2 * g.least_rows:
             return 0.0, -1, -1
-        flat = held[rows].ravel()
-        shape = (len(chosen), width)
-        count, a, b = (np.bincount(flat, np.repeat(w[rows], len(chosen)), len(chosen) * width).reshape(shape).cumsum(1)[:, :-1] for w in (np.ones(n), slope, curve))
+        count, a, b = sums.cumsum(2)[:, :, :-1]
         a_all, b_all = slope[rows].sum(), curve[rows].sum()
         fits = (count >= g.least_rows) & (len(rows) - count >= g.least_rows) & (b >= g.least_hessian) & (b_all - b >= g.least_hessian)
         gain = np.where(fits, a * a / (b + 1e-9) + (a_all - a) ** 2 / (b_all - b + 1e-9) - a_all**2 / (b_all + 1e-9), 0.0)
@@ -91,22 +97,29 @@ def grow(codes: np.ndarray, edges: list[np.ndarray], slope: np.ndarray, curve: n
 
     everything = np.arange(n)
     nodes = [[-1, 0.0, -1, -1, value(everything)]]
-    found = best(everything)
-    queue, out = [(-found[0], 0, found, everything)], np.full(n, nodes[0][4])
+    sums = summed(everything)
+    found = best(everything, sums)
+    queue, out = [(-found[0], 0, found, everything, sums)], np.full(n, nodes[0][4])
     leaves = 1
     while queue and leaves < g.leaves:
-        loss, node, (_, place, cut), rows = heapq.heappop(queue)
+        loss, node, (_, place, cut), rows, sums = heapq.heappop(queue)
         if -loss <= g.least_gain:
             break
         column = chosen[place]
-        low = codes[rows, column] <= cut
+        low = codes[:, column][rows] <= cut
         sides = (rows[low], rows[~low])
         nodes[node][:4] = [int(column), float(edges[column][cut]), len(nodes), len(nodes) + 1]
-        for side in sides:
+        less = int(len(sides[1]) < len(sides[0]))
+        held = [None, None]
+        if max(map(len, sides)) >= 2 * g.least_rows:  # the larger side is what the smaller one leaves
+            held[less] = summed(sides[less])
+            held[1 - less] = sums - held[less]
+            held[1 - less][1:, held[1 - less][0] == 0] = 0.0
+        for side, own in zip(sides, held, strict=True):
             nodes.append([-1, 0.0, -1, -1, value(side)])
             out[side] = nodes[-1][4]
-            found = best(side)
-            heapq.heappush(queue, (-found[0], len(nodes) - 1, found, side))
+            found = best(side, own)
+            heapq.heappush(queue, (-found[0], len(nodes) - 1, found, side, own))
         leaves += 1
     return Tree(*(np.array(c, t) for c, t in zip(zip(*nodes, strict=True), (np.int64, float, np.int64, np.int64, float), strict=True))), out
 
@@ -142,8 +155,11 @@ def fit(x: np.ndarray, y: np.ndarray, classes: Sequence[int], weight: np.ndarray
     if len(x) < 2 or (share > 1e-6).sum() < 2:
         return Boosted(classes, base, [])
     edges = edges_of(x, g.bins)
-    codes = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
-    rng, z, z_held, rounds = np.random.default_rng(g.seed), np.tile(base, (len(x), 1)), np.tile(base, (len(held), 1)), []
+    codes = np.empty(x.shape, np.uint8 if g.bins < 256 else np.int64, order="F")
+    for j, e in enumerate(edges):
+        codes[:, j] = np.searchsorted(e, x[:, j], "left")
+    del x
+    rng, z, z_held, rounds = np.random.default_rng(g.seed), np.tile(base, (len(codes), 1)), np.tile(base, (len(held), 1)), []
     grown = range(1, 2) if len(classes) == 2 else range(len(classes))
     best, best_at = np.inf, 0
     for _ in range(g.rounds):
@@ -164,16 +180,63 @@ def fit(x: np.ndarray, y: np.ndarray, classes: Sequence[int], weight: np.ndarray
     return Boosted(classes, base, rounds[:best_at] if len(held) else rounds)
 
 
+def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The first `most` rows by a hash of their key. Slices of the hash are counted; only the one in which the bound lies is sorted."""
+    order = F.xxhash64(key)
+    part, left = F.shiftright(order, 52), most
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # 4,096 slices at most
+        if r["count"] > left:
+            return rows.where(part < r.part).unionByName(rows.where(part == r.part).orderBy(order, key).limit(left))
+        left -= r["count"]
+    return rows
+
+
 def fit_rows(train: DataFrame, classes: Sequence[int], label: str = "cell_type", key: str = "cell_id", most_rows: int = MOST_ROWS, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()) -> Boosted:
     """fit on the rows of train (key, f, label), classes weighted; every valid_share-th row by a hash of its key tells when to stop."""
+    whole = train.withColumn("fold", F.lit(-1))
+    return fit_folds(whole, [0], {"": (classes, label)}, key, most_rows, valid_share, most_weight, g)[0][""]
+
+
+def fit_folds(
+    train: DataFrame, folds: Sequence[int], wanted: dict[str, tuple[Sequence[int], str]], key: str = "cell_id", most_rows: int = MOST_ROWS, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()
+) -> dict[int, dict[str, Boosted]]:
+    """fit for each fold, on the rows of train (key, f, fold, labels) of the others, and each of the wanted models (classes,
+    label). Every model is fitted by a task that holds its rows, at most most_rows."""
+    spark = train.sparkSession
+    ship(spark)
     order = F.xxhash64(key)
-    rows = train.select(key, F.col(label).alias("y"), "f", (F.pmod(order, F.lit(valid_share)) == 0).alias("valid")).orderBy(order, key).limit(most_rows).collect()
-    if not rows:
-        return Boosted(list(classes), np.full(len(classes), -np.log(len(classes))), [])
-    y, x, valid = np.array([r.y for r in rows]), np.array([r.f for r in rows], float), np.array([r.valid for r in rows])
-    kinds, counts = np.unique(y, return_counts=True)
-    weight = np.minimum(len(y) / (len(kinds) * counts), most_weight)[np.searchsorted(kinds, y)]
-    return fit(x, y, classes, weight, valid, g)
+    kinds, parts = list(wanted), []
+    for k in folds:
+        rows = bounded(train.where(F.col("fold") != k), key, most_rows)
+        labels = F.array(*(F.struct(F.lit(i).alias("of"), F.col(label).cast("long").alias("y")) for i, (_, label) in enumerate(wanted.values())))
+        parts.append(rows.select(F.lit(k).alias("fold"), F.col(key).cast("long").alias("key"), order.alias("order"), "f", F.inline(labels)))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    tasks = len(folds) * len(kinds)
+    place = {k: i for i, k in enumerate(folds)}
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in place.items() for x in pair)), F.col("fold")) * len(kinds) + F.col("of")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        order, keys, y = (table.column(c).to_numpy() for c in ("order", "key", "y"))
+        of, fold = table.column("of")[0].as_py(), table.column("fold")[0].as_py()
+        x = np.vstack([b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches])
+        del table, batches
+        at = np.lexsort((keys, order))
+        x, y, order = x[at], y[at], order[at]
+        known, counts = np.unique(y, return_counts=True)
+        weight = np.minimum(len(y) / (len(known) * counts), most_weight)[np.searchsorted(known, y)]
+        model = fit(x, y, wanted[kinds[of]][0], weight, order % valid_share == 0, g)
+        yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([of], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["fold", "of", "model"])
+
+    found: dict[int, dict[str, Boosted]] = {k: {name: Boosted(list(classes), np.full(len(classes), -np.log(len(classes))), []) for name, (classes, _) in wanted.items()} for k in folds}
+    for r in every.repartitionById(tasks, number.cast("int")).mapInArrow(solve, "fold int, of int, model binary").collect():
+        found[r.fold][kinds[r.of]] = pickle.loads(r.model)
+    return found
 
 
 def with_probabilities(df: DataFrame, models: dict[str, Boosted]) -> DataFrame:
