@@ -256,3 +256,64 @@ def test_fuzzy_graph_of_uneven_rows(spark):
             s = s * 2 if high == np.inf else (low + high) / 2
         want = np.exp(-gap / max(s, 1e-3 * max(d.mean(), 1e-12)))
         assert np.allclose([got[i, 100 * i + j] for j in range(len(d))], want, atol=1e-12)
+
+
+def test_boosted_trees_of_folds_are_fitted_in_tasks(spark):
+    """Each fold's model equals a fit on the others' rows in the order of their hashes; the bound keeps the first by hash."""
+    from pyspark.sql import functions as F
+
+    from tissuemill.operators import boosting as B
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int) + 2 * (x[:, 2] > 0.5)
+    df = spark.createDataFrame([(i, i % 3, int(y[i]), [float(v) for v in x[i]]) for i in range(400)], "cell_id long, fold int, cell_type int, f array<double>")
+    hashes = {r[0]: r[1] for r in df.select("cell_id", F.xxhash64("cell_id")).collect()}
+    g = B.Growth(rounds=6, least_rows=5, stop=3)
+    for most in (10_000, 150):
+        got = B.fit_folds(df, [0, 2], {"all": (range(4), "cell_type")}, most_rows=most, g=g)
+        assert set(got) == {0, 2}
+        for k in (0, 2):
+            rows = sorted((i for i in range(400) if i % 3 != k), key=lambda i: (hashes[i], i))[:most]
+            kinds, counts = np.unique(y[rows], return_counts=True)
+            weight = np.minimum(len(rows) / (len(kinds) * counts), 5.0)[np.searchsorted(kinds, y[rows])]
+            own = B.fit(x[rows], y[rows], range(4), weight, np.array([hashes[i] % 8 == 0 for i in rows]), g)
+            assert len(own.rounds) and np.allclose(got[k]["all"].predict(x), own.predict(x), atol=1e-12)
+    assert B.fit_rows(df.where("cell_id < 0"), [0, 1]).predict(x[:1]).tolist() == [[0.5, 0.5]]
+
+
+def test_larger_leaf_is_what_the_smaller_leaves():
+    """Splits from sums by subtraction are those from all rows: bins without rows stay empty."""
+    from tissuemill.operators import boosting as B
+
+    rng = np.random.default_rng(1)
+    codes = np.asfortranarray(rng.integers(0, 6, (600, 4)) * 10)
+    edges = [np.arange(64) + 0.5] * 4
+    slope = rng.normal(size=600) + (codes[:, 1] > 20) - 0.5
+    tree, values = B.grow(codes, edges, slope, np.ones(600), B.Growth(features=1.0, rate=1.0), np.random.default_rng(0))
+    assert (tree.feature >= 0).sum() > 5 and (tree.threshold[tree.feature >= 0] % 10 == 0.5).all()
+    leaf = tree._replace(value=np.arange(len(tree.value)).astype(float)).predict(codes)
+    assert all(np.isclose(v, -slope[leaf == at].mean()) for at, v in zip(leaf, values, strict=True))
+
+
+def plain_quadratic(x, y, span):
+    n = len(x)
+    k = min(n, max(4, int(np.ceil(span * n))))
+    out = np.empty(n)
+    for i in range(n):
+        d = np.abs(x - x[i])
+        near = np.argsort(d, kind="stable")[:k]
+        width = max(d[near].max(), 1e-12)
+        w = np.sqrt(np.clip(1 - (d[near] / width) ** 3, 0, None) ** 3 + 1e-9)
+        out[i] = np.linalg.lstsq(np.vander(x[near] - x[i], 3) * w[:, None], y[near] * w, rcond=None)[0][-1]
+    return out
+
+
+def test_local_quadratic_equals_fits_point_by_point():
+    """Scattered, clustered, repeated and few points; and 60,000 points, which took minutes one by one."""
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=700), np.concatenate((rng.normal(size=300) * 1e-3, rng.normal(size=301) + 5)), np.repeat(rng.normal(size=40), 17), np.array([1.0, 1.0, 2.0, 2.0, 2.0]), np.ones(9), np.repeat([0.0, 1.0], [30, 5]), np.array([3.0])):
+        y = np.sin(3 * x) + rng.normal(size=len(x)) * 0.1
+        assert np.allclose(M.local_quadratic(x, y, 0.3), plain_quadratic(x, y, 0.3), atol=1e-7), len(x)
+    x = rng.normal(size=60_000)
+    assert np.abs(M.local_quadratic(x, np.sin(x), 0.3) - np.sin(x)).mean() < 0.05

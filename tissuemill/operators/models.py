@@ -6,6 +6,7 @@ genes x batches, classes x features or features x features reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -471,15 +472,91 @@ def hvg(expr: DataFrame, cells: DataFrame, top: int, batch: str = "split", span:
 
 
 def local_quadratic(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Loess of degree 2 with tricube weights over the nearest share of points."""
+    """Loess of degree 2 with tricube weights over the nearest share of points.
+
+    On one side of a point its weight is a polynomial of degree 9 in the distance, so the sums of a fit come from the moments
+    of runs of 2^i sorted points, about each run's centre: a point asks for about 4 log2(n) runs, whatever its window holds.
+    """
     n = len(x)
+    if not n:
+        return np.empty(0)
     k = min(n, max(4, int(np.ceil(span * n))))
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    at, same = np.unique(x, return_inverse=True)  # equal points have one fit
+    low = nearest_windows(x, at, k)
+    width = np.maximum(np.maximum(at - x[low], x[low + k - 1] - at), 1e-12)
+    middle = np.clip(np.searchsorted(x, at), low, low + k)
+    center = y.mean()
+    sums = side_sums(x, y - center, at, width, low, middle, -1.0) + side_sums(x, y - center, at, width, middle, low + k, 1.0)
+    a, b = sums[:, [[4, 3, 2], [3, 2, 1], [2, 1, 0]]], sums[:, [7, 6, 5]]
+    values, vectors = np.linalg.eigh(a)
+    good = values[:, 0] > 1e-9 * values[:, 2]
+    fit = np.empty(len(at))
+    fit[good] = np.linalg.solve(a[good], b[good][:, :, None])[:, 2, 0] + center
+    for i in np.flatnonzero(~good):  # hardly different points in the window
+        u, v = x[low[i] : low[i] + k] - at[i], y[low[i] : low[i] + k]
+        w = np.sqrt(np.clip(1 - (np.abs(u) / width[i]) ** 3, 0, None) ** 3 + 1e-9)
+        fit[i] = np.linalg.lstsq(np.vander(u, 3) * w[:, None], v * w, rcond=None)[0][-1]
     out = np.empty(n)
-    for i in range(n):
-        d = np.abs(x - x[i])
-        near = np.argsort(d, kind="stable")[:k]
-        width = max(d[near].max(), 1e-12)
-        w = np.clip(1 - (d[near] / width) ** 3, 0, None) ** 3 + 1e-9
-        a = np.vander(x[near] - x[i], 3)
-        out[i] = np.linalg.lstsq(a * np.sqrt(w)[:, None], y[near] * np.sqrt(w), rcond=None)[0][-1]
+    out[order] = fit[same]
+    return out
+
+
+def nearest_windows(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """First place, in the sorted x, of the k points nearest to each of `at`; of equal ones the first."""
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(x) - k)
+    while (low < high).any():  # the first window whose next point on the right is no nearer than its first
+        mid = (low + high) // 2
+        right = (low < high) & (at - x[mid] > x[np.minimum(mid + k, len(x) - 1)] - at)
+        low, high = np.where(right, mid + 1, low), np.where(right, high, np.minimum(high, mid))
+    return low
+
+
+BINOMIAL = np.array([[math.comb(p, q) for q in range(14)] for p in range(14)], float)
+
+
+def moved(m: np.ndarray, shift: np.ndarray, most: int) -> np.ndarray:
+    """Moments (powers x points, 0 .. most) about another centre: sum of (x + shift)^p from sums of x^q."""
+    powers = np.ones((most + 1, len(shift)))
+    for p in range(1, most + 1):
+        powers[p] = powers[p - 1] * shift
+    return np.array([sum(BINOMIAL[p, q] * m[q] * powers[p - q] for q in range(p + 1)) for p in range(most + 1)])
+
+
+def side_sums(x: np.ndarray, y: np.ndarray, at: np.ndarray, width: np.ndarray, first: np.ndarray, end: np.ndarray, sign: float, step: int = 16_384) -> np.ndarray:
+    """Sums of w u^0 .. w u^4 and w u^0 y .. w u^2 y over x[first:end] for each of `at`; u = (x - at) / width, on one side of at."""
+    total = [np.zeros((14, len(at))), np.zeros((12, len(at)))]
+    centre, half = x.copy(), np.zeros(len(x))
+    mx, my = np.zeros((14, len(x))), np.zeros((12, len(x)))
+    mx[0], my[0] = 1.0, y
+    a, b, open_ = first.copy(), end.copy(), np.flatnonzero(first < end)
+    while len(open_):
+        for move in (0, 1):
+            odd = (b if move else a)[open_] % 2 == 1
+            ask = open_[odd & (a[open_] < b[open_])]
+            node = b[ask] - 1 if move else a[ask]
+            for s in range(0, len(ask), step):
+                i, c = ask[s : s + step], node[s : s + step]
+                scale = half[c] / width[i]
+                shift = (centre[c] - at[i]) / width[i]
+                for held, m, most in ((total[0], mx, 13), (total[1], my, 11)):
+                    held[:, i] += moved(m[:, c] * scale ** np.arange(most + 1)[:, None], shift, most)
+            (b if move else a)[ask] += -1 if move else 1
+        open_ = open_[a[open_] < b[open_]]
+        a[open_] //= 2
+        b[open_] //= 2
+        pairs = len(centre) // 2  # a last odd run is never part of a whole pair
+        left, right = slice(0, 2 * pairs, 2), slice(1, 2 * pairs, 2)
+        middle = (centre[left] + centre[right]) / 2
+        reach = np.maximum(np.abs(centre[left] - middle) + half[left], np.abs(centre[right] - middle) + half[right])
+        over = np.where(reach > 0, reach, 1.0)
+        up = []
+        for m, most in ((mx, 13), (my, 11)):
+            one, two = (moved(m[:, part] * (half[part] / over) ** np.arange(most + 1)[:, None], (centre[part] - middle) / over, most) for part in (left, right))
+            up.append(one + two)
+        (mx, my), centre, half = up, middle, reach
+    out = np.zeros((len(at), 8))
+    for j, (m, p) in enumerate([(total[0], p) for p in range(5)] + [(total[1], p) for p in range(3)]):
+        out[:, j] = m[p] * (1 + 1e-9) - 3 * sign * m[p + 3] + 3 * m[p + 6] - sign * m[p + 9]
     return out
