@@ -107,3 +107,16 @@ def test_folds_equal_refits(spark, data, monkeypatch):
 def test_queries_run(spark, data, name):
     df = entry.queries()[name](spark, data).toPandas()
     assert len(df) and not df.isna().any().any()
+
+
+@pytest.mark.parametrize("l1_ratio", [1.0, 0.5])
+def test_genes_enter_the_sparse_fit_in_rounds(spark, monkeypatch, l1_ratio):
+    """Three genes a round; the end is the optimum over all genes."""
+    monkeypatch.setattr(M, "ENTER", 3)
+    rng = np.random.default_rng(3)
+    x = rng.gamma(2, size=(30, 25)) + np.where(np.arange(25) < 2, 3.0 * (np.arange(30) % 2)[:, None], 0)
+    rows = [(f"s{i // 2}", "AB"[i % 2], g, float(x[i, g])) for i in range(30) for g in range(25)]
+    got = {(r.cell_type, r.gene): r.coefficient for r in M.sparse_markers(spark.createDataFrame(rows, "sample string, cell_type string, gene long, m double"), ["A", "B", "C"], l1_ratio=l1_ratio).collect()}
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = M.sparse_logistic(z, np.arange(30) % 2 == 1, np.ones(30), 1.0, l1_ratio)[0]
+    assert np.allclose([got["B", g] for g in range(25)], want, atol=1e-5) and {got["C", g] for g in range(25)} == {0.0} and (want != 0).sum() > 3

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ship
+from ..sources.files import staged
 from . import classify as C
 from . import keyed as K
 
@@ -175,14 +176,14 @@ def ordered_arbiter(oof: DataFrame, models: list[str], features: list[str], fold
     return out.withColumn("pred", F.element_at(F.array(*gated_labels(models, positive)), F.col("choice") + 1))
 
 
-def sparse_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, l1_ratio: float, tolerance: float = 1e-9, rounds: int = 5_000) -> tuple[np.ndarray, float]:
+def sparse_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, l1_ratio: float, tolerance: float = 1e-9, rounds: int = 5_000, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(coefficients, intercept) of least sum(w loss) + penalty (l1_ratio |b| + (1 - l1_ratio) b b / 2), by coordinate descent.
 
     A step minimises a quadratic bound of the loss, so none goes up. Only coordinates that are not 0, or whose gradient exceeds
     the l1 penalty, are stepped; all gradients are looked at before every sweep.
     """
-    beta, intercept = np.zeros(x.shape[1]), 0.0
-    f, curve, all_curve = np.zeros(len(x)), (w[:, None] * x * x).sum(0) / 4, w.sum() / 4
+    beta, intercept = np.zeros(x.shape[1]) if start is None else start.copy(), 0.0
+    f, curve, all_curve = x @ beta, (w[:, None] * x * x).sum(0) / 4, w.sum() / 4
     lasso, square = penalty * l1_ratio, penalty * (1 - l1_ratio)
     columns = np.ascontiguousarray(x.T)
 
@@ -206,33 +207,76 @@ def sparse_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float,
     return beta, intercept
 
 
+#: Genes that enter a class's fit in one round.
+ENTER = 20_000
+
+
 def sparse_markers(pb: DataFrame, classes: list[str], c: float = 1.0, l1_ratio: float = 1.0) -> DataFrame:
-    """cell_type, gene, coefficient of each class against the rest over standardised pseudobulk columns, all classes in one job.
+    """cell_type, gene, coefficient of each class against the rest over standardised pseudobulk columns, all classes in the same jobs.
 
-    l1_ratio 1 is the lasso, below 1 the elastic net; both sides of a class weigh the same. Each class is a group that holds the
-    pseudobulk matrix (samples x classes x genes numbers); absent genes are 0. A class without columns, or alone, has
-    coefficients 0.
+    l1_ratio 1 is the lasso, below 1 the elastic net; both sides of a class weigh the same; absent genes are 0. A class without
+    columns, or alone, has coefficients 0. Genes stay where they are, each with its value in every column (samples x classes).
+    In a round every class is fitted by a task over its working set, then all genes' gradients are looked at: those beyond the
+    penalty, the ENTER largest at a time, join the set. It ends when no gene outside of a set is beyond, which is the
+    condition for the optimum over all genes.
     """
-    ship(pb.sparkSession)
-    wide = pb.groupBy("sample", "cell_type").agg(F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col("m").cast("double").alias("m"))).alias("held"))
-    each = wide.withColumn("target", F.explode(F.array(*map(F.lit, classes))))
+    spark = pb.sparkSession
+    ship(spark)
+    columns = pb.select("sample", "cell_type").distinct().orderBy("sample", "cell_type").collect()  # samples x classes
+    width, kinds = len(columns), np.array([r.cell_type for r in columns])
+    place = spark.createDataFrame([(r.sample, r.cell_type, i) for i, r in enumerate(columns)], pb.select("sample", "cell_type").withColumn("at", F.lit(0)).schema)
+    values = pb.join(F.broadcast(place), ["sample", "cell_type"]).groupBy(F.col("gene").cast("long").alias("gene")).agg(F.collect_list("at").alias("at"), F.collect_list(F.col("m").cast("double")).alias("m"))
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                x = np.zeros((part.num_rows, width))
+                x[np.repeat(np.arange(len(x)), part.column("at").value_lengths().to_numpy()), part.column("at").flatten().to_numpy()] = part.column("m").flatten().to_numpy()
+                sd = x.std(1, ddof=1) if width > 1 else np.zeros(len(x))
+                z = (x - x.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1.0)[:, None]
+                yield pa.RecordBatch.from_arrays([part.column("gene"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(z.ravel()))], ["gene", "z"])
+
+    genes = staged(values.mapInArrow(scale, "gene long, z array<double>"))
+    told = {k: ((kinds == k).astype(float), None) for k in classes if 0 < (kinds == k).sum() < width}
+    told = {k: (y, np.where(y == 1, width / (2 * y.sum()), width / (2 * (width - y.sum())))) for k, (y, _) in told.items()}
+    rest = {k: w * (y - 0.5) for k, (y, w) in told.items()}  # both sides weigh the same
+    lasso, names = l1_ratio / c, list(told)
 
     def fit(t: pa.Table) -> pa.Table:
-        held = t.column("held").combine_chunks()
-        gene, value = (held.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("gene", "m"))
-        genes, at = np.unique(gene, return_inverse=True)
-        x = np.zeros((len(t), len(genes)))
-        x[np.repeat(np.arange(len(t)), held.value_lengths().to_numpy(zero_copy_only=False)), at] = value
-        target = t.column("target")[0].as_py()
-        y = np.array([k == target for k in t.column("cell_type").to_pylist()], float)
-        beta = np.zeros(len(genes))
-        if 0 < y.sum() < len(y):
-            sd = x.std(0, ddof=1)
-            z = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
-            beta = sparse_logistic(z, y, np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), 1 / c, l1_ratio)[0]
-        return pa.table({"cell_type": pa.array([target] * len(genes), pa.string()), "gene": genes, "coefficient": beta})
-
-    return each.groupBy("target").applyInArrow(fit, "cell_type string, gene long, coefficient double")
+        t = t.sort_by("gene")
+        x, target = t.column("z").combine_chunks().flatten().to_numpy().reshape(-1, width).T, t.column("cell_type")[0].as_py()
+        y, w = told[target]
+        beta, intercept = sparse_logistic(x, y, w, 1 / c, l1_ratio, start=t.column("coefficient").to_numpy())
+        left = w * (y - 1 / (1 + np.exp(-x @ beta - intercept)))
+        return pa.table({"cell_type": t.column("cell_type"), "gene": t.column("gene"), "coefficient": beta, "rest": pa.array([left.tolist()] + [None] * (len(beta) - 1), pa.list_(pa.float64()))})
+
+    def beyond(left: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    part = batch.slice(start, 2048)
+                    pull = np.abs(part.column("z").flatten().to_numpy().reshape(part.num_rows, width) @ left.T)
+                    row, k = np.nonzero(pull > lasso + 1e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in k], pa.string()), part.column("gene").take(pa.array(row)), pa.array(pull[row, k])], ["cell_type", "gene", "pull"])
+
+        return run
+
+    solved = None
+    while names:
+        found = genes.mapInArrow(beyond(np.array([rest[k] for k in names])), "cell_type string, gene long, pull double")
+        found = found if solved is None else found.join(solved.select("cell_type", "gene"), ["cell_type", "gene"], "left_anti")
+        order = Window.partitionBy("cell_type").orderBy(F.col("pull").desc(), "gene")
+        new = staged(found.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= ENTER).select("cell_type", "gene", F.lit(0.0).alias("coefficient")))
+        if new.isEmpty():
+            break
+        work = new if solved is None else new.unionByName(solved.select("cell_type", "gene", "coefficient"))
+        solved = staged(work.join(genes, "gene").groupBy("cell_type").applyInArrow(fit, "cell_type string, gene long, coefficient double, rest array<double>"))
+        rest |= {r.cell_type: np.array(r.rest) for r in solved.where("rest is not null").select("cell_type", "rest").collect()}
+    every = genes.select(F.explode(F.array(*map(F.lit, classes))).alias("cell_type"), "gene")
+    if solved is None:
+        return every.withColumn("coefficient", F.lit(0.0))
+    return every.join(solved.drop("rest"), ["cell_type", "gene"], "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
 
 
 def batch_scaled(pb: DataFrame) -> DataFrame:
