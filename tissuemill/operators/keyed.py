@@ -94,6 +94,12 @@ def sums_by(df: DataFrame, key: str, f: str, start: Callable[[str, int], np.ndar
 
 def pca_by(df: DataFrame, key: str, f: str, k: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(df with each row's scores on its group's components, components by group): at most k, no more than columns or rows."""
+    scored, components, _ = pca_by_with_zeros(df, key, f, k, {})
+    return scored, components
+
+
+def pca_by_with_zeros(df: DataFrame, key: str, f: str, k: int, zeros: dict[str, int]) -> tuple[DataFrame, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(scores, components, score of a row of zeros by group) of the rows of df and, in each group, rows of zeros that are not in df."""
     from .models import components_of
 
     def square(_: str, x: np.ndarray, __: pa.RecordBatch) -> np.ndarray:
@@ -102,8 +108,9 @@ def pca_by(df: DataFrame, key: str, f: str, k: int) -> tuple[DataFrame, dict[str
 
     found = {}
     for level, m in sums_by(df, key, f, lambda _, width: np.zeros((width + 1, width + 1)), square).items():
-        found[level] = components_of(m[0, 0], m[0, 1:], m[1:, 1:], k)
-    return mapped(df, key, f, lambda level, x, _: (x - found[level][1]) @ found[level][0].T), {level: c for level, (c, _) in found.items()}
+        found[level] = components_of(m[0, 0] + zeros.get(level, 0), m[0, 1:], m[1:, 1:], k)
+    scored = mapped(df, key, f, lambda level, x, _: (x - found[level][1]) @ found[level][0].T)
+    return scored, {level: c for level, (c, _) in found.items()}, {level: -mean @ c.T for level, (c, mean) in found.items()}
 
 
 class Fit(NamedTuple):

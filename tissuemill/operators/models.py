@@ -339,7 +339,7 @@ def components_of(n: float, s: np.ndarray, xx: np.ndarray, k: int) -> tuple[np.n
 WIDE = 1024
 
 
-def merged_qr(df: DataFrame, f: str, change) -> np.ndarray:
+def merged_qr(df: DataFrame, f: str, change, more: np.ndarray | None = None) -> np.ndarray:
     """R of the QR decomposition of all rows change(f): every task decomposes its own, the triangles are merged in two levels."""
     ship(df.sparkSession)
 
@@ -368,11 +368,11 @@ def merged_qr(df: DataFrame, f: str, change) -> np.ndarray:
     schema = "part int, width int, r binary"
     parts = df.select(f).mapInArrow(own, schema).withColumn("part", F.spark_partition_id())
     rows = parts.repartition(F.floor(F.sqrt("part"))).mapInArrow(merge, schema).collect()  # about the root of the number of tasks
-    return np.linalg.qr(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in rows]), mode="r")
+    return np.linalg.qr(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in rows] + ([] if more is None else [more])), mode="r")
 
 
-def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(components k x width, mean) of wide rows by a randomised range finder with subspace iteration.
+def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0, zeros: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(components k x width, mean) of wide rows, and of as many rows of zeros beside them, by a randomised range finder with subspace iteration.
 
     A task emits width x (k + extra) numbers a round, not width^2. Rounds end when the first k directions turn by less than
     `tolerance`. The last pass takes the rotation and the order of the components from the merged QR of the projected rows.
@@ -381,7 +381,8 @@ def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16,
     first = K.sums_by(everything, "_all", f, lambda _, w: np.zeros((1, w + 1)), lambda _, x, __: np.append(x.sum(0), len(x))[None])
     if not first:
         return np.zeros((0, width)), np.zeros(width)
-    n, mean = first[""][0, -1], first[""][0, :-1] / first[""][0, -1]
+    n = first[""][0, -1] + zeros
+    mean = first[""][0, :-1] / n
     k = min(k, width, int(n))
     v = np.linalg.qr(np.random.default_rng(seed).normal(0, 1, (width, min(width, k + extra))))[0]
     for _ in range(rounds):
@@ -390,26 +391,32 @@ def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16,
             centred = x - mean
             return centred.T @ (centred @ v)
 
-        w, values, _ = np.linalg.svd(K.sums_by(everything, "_all", f, lambda _, width, v=v: np.zeros(v.shape), product)[""], full_matrices=False)
+        w, values, _ = np.linalg.svd(K.sums_by(everything, "_all", f, lambda _, width, v=v: np.zeros(v.shape), product)[""] + zeros * np.outer(mean, mean @ v), full_matrices=False)
         kept = min(k, int((values > values[0] * 1e-14).sum()) if values[0] > 0 else 0)
         turned = np.linalg.norm(w[:, :kept] - v @ (v.T @ w[:, :kept])) if kept else 0.0
         v = w
         if turned < tolerance:
             break
-    _, _, rotation = np.linalg.svd(merged_qr(df, f, lambda x, v=v: (x - mean) @ v))
+    _, _, rotation = np.linalg.svd(merged_qr(df, f, lambda x, v=v: (x - mean) @ v, np.sqrt(zeros) * (-mean @ v)[None]))
     components = (v @ rotation.T).T[:k]
     return components * np.sign(components[np.arange(k), np.abs(components).argmax(1)])[:, None], mean
 
 
 def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarray]:
     """(df with its scores in place of f, components k x width): at most k, no more than columns or rows."""
+    scored, components, _ = pca_with_zeros(df, f, width, k, 0)
+    return scored, components
+
+
+def pca_with_zeros(df: DataFrame, f: str, width: int, k: int, zeros: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(scores, components, score of a row of zeros) of the rows of df and as many rows of zeros, which are not in df."""
     if width > WIDE:
-        components, mean = wide_components(df, f, width, k)
+        components, mean = wide_components(df, f, width, k, zeros=zeros)
     else:
         n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
-        components, mean = components_of(n, s, xx, k)
+        components, mean = components_of(n + zeros, s, xx, k)
     scored = K.mapped(df.withColumn("_all", F.lit("")), "_all", f, lambda _, x, __: (x - mean) @ components.T)
-    return scored.drop("_all"), components
+    return scored.drop("_all"), components, -mean @ components.T
 
 
 def harmony(df: DataFrame, f: str, batch: str, **parameters) -> DataFrame:
