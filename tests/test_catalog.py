@@ -37,3 +37,12 @@ def test_query_equals_sql(name, spark, duck, data):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chosen_genes_are_found_once(spark, data):
+    """Markers and variable genes are not computed anew for each question about them."""
+    import __spark_entry__ as entry
+
+    union, first = (entry.queries()[name](spark, data) for name in ("hvg_union", "first_genes"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (union, first)]
+    assert all("Window" not in plan for plan in plans) and union.count() and {r[0] for r in first.select("chosen").distinct().collect()} == {"markers", "first"}

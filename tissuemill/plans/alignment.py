@@ -173,7 +173,7 @@ def hvg_union(t: Tables) -> DataFrame:
     """The 20 genes of largest variance and all markers."""
     n = t.cells().count()
     top = X.scale_moments(normal(t), n).select("gene", F.round(F.col("sd") * F.col("sd") * (n - 1), 6).alias("s")).orderBy(F.col("s").desc(), "gene").limit(20)
-    return X.chosen_or_all(top, marker_topk(t), t.expr())
+    return X.chosen_or_all(files.staged(top), files.staged(marker_topk(t)), t.expr())  # both are asked whether they are empty
 
 
 @query("hvg_or_all", oracle("SELECT DISTINCT gene FROM expr"))
@@ -186,7 +186,7 @@ def hvg_or_all(t: Tables) -> DataFrame:
 @query("first_genes", oracle("(SELECT 'markers' AS chosen, gene FROM (SELECT DISTINCT gene FROM tops)) UNION ALL (SELECT 'first', gene FROM (SELECT DISTINCT gene FROM expr ORDER BY gene LIMIT 30))", DUPES))
 def first_genes(t: Tables) -> DataFrame:
     """Markers as they are, and the first 30 genes where there are none."""
-    tops = marker_topk(t)
+    tops = files.staged(marker_topk(t))  # asked twice whether it is empty
     found = X.markers_or_first(tops, t.expr(), 30).select(F.lit("markers").alias("chosen"), "gene")
     return found.unionByName(X.markers_or_first(tops.where("gene < 0"), t.expr(), 30).select(F.lit("first").alias("chosen"), "gene"))
 
