@@ -120,3 +120,27 @@ def test_genes_enter_the_sparse_fit_in_rounds(spark, monkeypatch, l1_ratio):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     want = M.sparse_logistic(z, np.arange(30) % 2 == 1, np.ones(30), 1.0, l1_ratio)[0]
     assert np.allclose([got["B", g] for g in range(25)], want, atol=1e-5) and {got["C", g] for g in range(25)} == {0.0} and (want != 0).sum() > 3
+
+
+def test_a_product_sends_one_sum_for_each_cell_reached(spark, monkeypatch):
+    """A graph in several parts, one cell joined with all: the product is numpy's, and far fewer rows are sent than there are edges."""
+    monkeypatch.setattr(L, "LEAST_ROWS", 20)
+    monkeypatch.setattr(L, "MOST_EDGES", 300)
+    rng = np.random.default_rng(4)
+    w = np.where(rng.random((150, 150)) < 0.3, rng.random((150, 150)), 0)
+    w[:, 0] = 1
+    w[:75, 75:] *= 0.05
+    w = np.triu(w.T + w, 1)
+    w += w.T
+    edges = spark.createDataFrame([(int(i) * 3, int(j) * 3, float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "cell_id long, neighbour long, weight double")
+    a = w / np.sqrt(np.outer(w.sum(1), w.sum(1)))
+    cells, n = L.dealt(edges)
+    placed = {r.cell_id // 3: (r.part, r.place) for r in cells.collect()}
+    held = L.packed(edges, cells)
+    start = L.started(cells, 4)
+    sent = L.passed(held, start, 4, L.turned(np.eye(4)))
+    total = L.product(sent, 4).where(f"kind in ({L.OWN}, {L.BEFORE})").collect()
+    own, before = ({r.part: np.reshape(r.x, (-1, 4)) for r in total if r.kind == k} for k in (L.OWN, L.BEFORE))
+    rows = lambda found: np.array([found[placed[i][0]][placed[i][1]] for i in range(n)])
+    assert n == 150 and len(own) > 4 and np.allclose(rows(own), a @ rows(before), atol=1e-12)
+    assert sent.where(f"kind = {L.SENT}").selectExpr("sum(size(cells))").first()[0] < np.count_nonzero(w) / 3

@@ -243,7 +243,7 @@ def layout(t: Tables) -> DataFrame:
     from ..operators import models as M
 
     f = t.features().select("cell_id", F.col("cell_type").alias("colour"))
-    return rounded(L.coordinates(M.fuzzy_graph(graph(t))).join(f, "cell_id"), "x", "y", digits=4)
+    return rounded(L.coordinates(M.fuzzy_graph(files.staged(graph(t)))).join(f, "cell_id"), "x", "y", digits=4)
 
 
 @query("column_z", oracle("SELECT cell_id, d, round((x - avg(x) OVER (PARTITION BY d)) / (stddev_pop(x) OVER (PARTITION BY d) + 1e-9), 5) AS z FROM ex", KNN))
