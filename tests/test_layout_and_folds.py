@@ -144,3 +144,24 @@ def test_a_product_sends_one_sum_for_each_cell_reached(spark, monkeypatch):
     rows = lambda found: np.array([found[placed[i][0]][placed[i][1]] for i in range(n)])
     assert n == 150 and len(own) > 4 and np.allclose(rows(own), a @ rows(before), atol=1e-12)
     assert sent.where(f"kind = {L.SENT}").selectExpr("sum(size(cells))").first()[0] < np.count_nonzero(w) / 3
+
+
+def test_markers_of_folds_from_sums(spark, monkeypatch):
+    """Markers of all folds out of patients' sums equal the contrast of each fold's own pseudobulk: absent pairs, a class that one
+    sample lacks, a gene without cells and one without counts in a fold."""
+    monkeypatch.setattr(S, "MARKERS", 4)
+    rng = np.random.default_rng(9)
+    cells = [(i, f"n{s}", f"p{s % 3}", k, s) for i, (s, k) in enumerate((s, k) for s in range(6) for k in "ABC" if (s, k) != (4, "C") for _ in range(2 + s % 2))]
+    n = {}
+    for _, sample, _, k, _ in cells:
+        n[sample, k] = n.get((sample, k), 0) + 1
+    sums = [(g, s, k, int(s[1:]), float(rng.gamma(2))) for g in range(30) for s, k in n if rng.random() < 0.6 and not (g == 7 and s in ("n0", "n3"))]
+    rows = spark.createDataFrame([*sums, (30, None, None, None, 1.0)], "gene long, sample string, cell_type string, n_nationkey int, s double")
+    folds = [("p0", 0, ["p1"]), ("p0", 1, ["p2", "p1"]), ("p2", 0, ["p0"])]
+    held = spark.createDataFrame(cells, "cell_id long, sample string, patient string, cell_type string, n_nationkey int")
+    got = {tuple(r) for r in S.fold_markers(rows, held, folds).collect()}
+    value = {(g, s, k): v for g, s, k, _, v in sums}
+    dense = [(o, i, s, k, g, value.get((g, s, k), 0.0) / n[s, k]) for o, i, train in folds for s, k in n if f"p{int(s[1:]) % 3}" in train for g in range(31)]
+    scores = X.contrast(spark.createDataFrame(dense, "outer string, inner int, sample string, cell_type string, gene long, m double"), by=("outer", "inner"))
+    want = {tuple(r) for r in X.top_k(scores, 4, by=["outer", "inner", "cell_type"]).select("outer", "inner", "gene").collect()}
+    assert got == want and {r[:2] for r in got} == {f[:2] for f in folds}

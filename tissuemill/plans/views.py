@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import staged
+
 #: The label that plays the gated positive class.
 POSITIVE = "BUILDING"
 CLASSES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -32,6 +34,12 @@ class Tables:
         except AnalysisException as error:
             raise FileNotFoundError(f"no table {name} in {self.dir}") from error
 
+    def with_cells_written(self) -> Tables:
+        """These tables, the cells being written once instead of joined again by each view."""
+        more, cells = Tables(self.spark, self.dir), staged(self.cells())
+        more.cells = lambda: cells
+        return more
+
     def cells(self) -> DataFrame:
         """cell_id, sample, patient, chemo, tumor, cell_type, split. Keys determine each other, so nothing is aggregated."""
         place = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
