@@ -76,3 +76,23 @@ def test_equal_rows_have_distance_zero():
     x = np.array([[12345.678, 9876.543, 1111.111]])
     row, column, d = N.within(x, np.array([np.inf]), np.vstack((x, x + 1)), 2, "euclidean", 9)
     assert d[0] == 0 and column.tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("scale,single", [(1.0, True), (1e-3, True), (1e25, False)])
+def test_products_of_single_precision_lose_no_pair(metric, scale, single):
+    """Near ties, which single precision cannot order, around the k-th distance; far from the origin double precision is used."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (900, 16))
+    x = np.vstack((x, x[:300] + rng.normal(0, 1e-8, (300, 16)), x[:300])) * (scale if metric == "euclidean" and scale < 1e9 else 1.0)
+    if scale > 1e9:
+        x = x * 1e-3 + 100
+    q, v = (N.prepared(a, metric, side) for side, a in ((1, x[::7]), (0, x)))
+    exact = np.array([N.pair_distances(np.tile(row, (len(v), 1)), v, metric, 9) for row in q])
+    reach = np.sort(exact, axis=1)[:, 9] + 1e-6
+    if scale != 1e-3:
+        assert N.single_precision(q, N.block_of(v, metric), reach, metric)[0] == single
+    for limit in (reach, np.where(np.arange(len(q)) % 3, reach, np.inf)):
+        row, column, d = N.within(q, limit, v, 7, metric, 9)
+        want = N.nearest(exact, 7)
+        assert (column.reshape(len(q), 7) == want).all() and (d.reshape(len(q), 7) == np.take_along_axis(exact, want, 1)).all()

@@ -196,28 +196,62 @@ def _searched(asks: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
     return both.mapInArrow(search, "query long, neighbour long, label int, distance double")
 
 
-def within(q: np.ndarray, reach: np.ndarray, v: np.ndarray, k: int, metric: str, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Block(NamedTuple):
+    """Training rows: half their squares (cosine: 0), the greatest length, and both side by side in single precision."""
+
+    half: np.ndarray
+    longest: float
+    single: np.ndarray
+
+
+def block_of(v: np.ndarray, metric: str) -> Block:
+    square = np.einsum("ij,ij->i", v, v)
+    half = np.zeros(len(v)) if metric == "cosine" else square / 2
+    with np.errstate(over="ignore"):
+        return Block(half, float(np.sqrt(square.max(initial=0.0))), np.column_stack((v, -half)).astype(np.float32))
+
+
+def single_precision(q: np.ndarray, block: Block, limit: np.ndarray, metric: str) -> tuple[bool, np.ndarray]:
+    """Whether products of single precision tell well enough what is within the limits, and by how much they may err for each row of q.
+
+    Each of d + 1 products and sums errs by at most 2^-24 of the product of lengths; twice that is allowed for.
+    """
+    size = np.sqrt((q * q).sum(1))
+    margin = (q.shape[1] + 4) * 2.0**-23 * (size * block.longest + block.half.max(initial=0.0) + size**2 + 1)
+    known = limit[np.isfinite(limit) & (limit >= 0)]
+    room = np.median(known if metric == "cosine" else known**2) if len(known) else 0.0
+    single = bool(margin.max(initial=0.0) <= 0.01 * room)
+    return single, margin if single else np.zeros(len(q))
+
+
+def within(q: np.ndarray, reach: np.ndarray, v: np.ndarray, k: int, metric: str, digits: int, block: Block | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of q, rows of v, distances): the k nearest of v within reach of each row of q, ties by place in v.
 
-    Matrix products, with a margin for their rounding, tell which pairs to look at; their distances are computed one by one.
+    Matrix products, with a margin for their rounding, tell which pairs to look at; their distances are computed one by one. The
+    products are of single precision where its margin is small next to what is within reach.
     """
-    half = np.zeros(len(v)) if metric == "cosine" else (v * v).sum(1) / 2
+    block = block or block_of(v, metric)
+    half = block.half
     square = np.zeros(len(q)) if metric == "cosine" else (q * q).sum(1)
     unit, limit = 10.0**-digits, reach.copy()
     slack = 1e-6 + 2 * unit + 1e-11 * (square + 2 * half.max(initial=0.0))
+    single, margin = single_precision(q, block, limit, metric)
+    kind = np.float32 if single else np.float64
+    asked = np.column_stack((q, np.ones(len(q)))).astype(kind)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(v), SCAN_COLUMNS):
         some = v[at : at + SCAN_COLUMNS]
-        like = q @ some.T - half[at : at + SCAN_COLUMNS]
+        like = asked @ (block.single[at : at + SCAN_COLUMNS] if single else np.column_stack((some, -half[at : at + SCAN_COLUMNS]))).T
         with np.errstate(invalid="ignore"):
             least = 1 - limit - slack if metric == "cosine" else (square - limit**2 - slack * (1 + 2 * limit)) / 2
+        least -= margin
         least[limit < 0] = np.inf  # nothing is nearer than k copies
         open_ = np.isinf(limit)
         if open_.any():  # too few known so far: the k likest of these columns, and what ties with them
             of = like.shape[1] - min(k, like.shape[1])
-            kth = np.partition(like[open_], of, axis=1)[:, of]
+            kth = np.partition(like[open_], of, axis=1)[:, of].astype(float) - 2 * margin[open_]
             least[open_] = kth - slack[open_] * (1 + 2 * np.sqrt(np.maximum(square[open_] - 2 * kth, 0)))
-        row, column = np.nonzero(like >= least[:, None])
+        row, column = np.divmod(np.flatnonzero(like >= least.astype(kind)[:, None]), like.shape[1])
         if not len(row):
             continue
         d = np.concatenate([pair_distances(q[row[i : i + 65_536]], some[column[i : i + 65_536]], metric, digits) for i in range(0, len(row), 65_536)])
@@ -253,7 +287,7 @@ def _scanned(left: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
     both = rows.unionByName(sent).repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", "side", "id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, labels, vectors = None, [], None, None, None
+        now, held, ids, labels, vectors, block = None, [], None, None, None, None
         for batch in batches:
             places = np.column_stack([batch.column(c).to_numpy() for c in ("block", "copy", "side")])
             cuts = np.concatenate(([0], np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1, [len(places)])) if len(places) else [0]
@@ -266,10 +300,10 @@ def _scanned(left: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
                     continue
                 if vectors is None and held:
                     ids, labels, vectors = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.vstack([h[2] for h in held])
-                    held = []
+                    held, block = [], block_of(vectors, metric)
                 for at in range(0, some.num_rows if vectors is not None else 0, SCAN_BATCH):
                     part = some.slice(at, SCAN_BATCH)
-                    row, column, d = within(prepared(matrix(part), metric, 1), part.column("reach").to_numpy(), vectors, k, metric, digits)
+                    row, column, d = within(prepared(matrix(part), metric, 1), part.column("reach").to_numpy(), vectors, k, metric, digits, block)
                     yield pa.RecordBatch.from_arrays([pa.array(part.column("id").to_numpy()[row]), pa.array(ids[column]), labels.take(pa.array(column)), pa.array(d)], ["query", "neighbour", "label", "distance"])
 
     return both.mapInArrow(scan, "query long, neighbour long, label int, distance double")
