@@ -74,3 +74,31 @@ def test_lone_class_and_empty_table(spark, sample):
     assert lone.rounds == [] and lone.predict(x[:2]).argmax(1).tolist() == [1, 1]
     none = P.fit_passes(table(spark, x[:0], []), [0, 1, 2])[0]
     assert np.allclose(none.predict(x[:1]), 1 / 3)
+
+
+def test_folds_beyond_the_rows_of_a_task_learn_from_every_row(spark, monkeypatch):
+    """Models of folds over more rows than a task may hold: the rows that a bound would leave out hold all of two classes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(B, "IN_TASK", 200)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 20, (900, 4)).astype(float)
+    hashed = [r[0] for r in spark.range(900).orderBy("id").select(F.xxhash64("id")).collect()]
+    late = np.argsort(np.argsort(hashed)) >= 300
+    y = (x[:, 0] > 9) + 2 * late.astype(int)
+    x[:, 3] = late * 10.0
+    fold = np.arange(900) % 3
+    g = B.Growth(rounds=3, rate=0.5, leaves=6, least_rows=5, bins=32, features=1.0)
+    df = table(spark, x, y, fold).withColumn("is_late", (F.col("cell_type") >= 2).cast("int"))
+    got = B.fit_folds(df, [0, 2], {"all": (range(4), "cell_type"), "late": ([0, 1], "is_late")}, g=g)
+    assert set(got) == {0, 2} and set(got[0]) == {"all", "late"}
+    for k in (0, 2):
+        assert (got[k]["all"].predict(x).argmax(1) == y).all() and (got[k]["late"].predict(x).argmax(1) == late).all()
+        kinds, counts = np.unique(y[fold != k], return_counts=True)
+        held = np.where(fold != k)[0]
+        valid = np.array([hashed[i] % 8 == 0 for i in held])
+        weight = np.minimum(len(held) / (4 * counts), 5.0)[np.searchsorted(kinds, y[held])]
+        own = B.fit(x[held], y[held], range(4), weight, valid, g)
+        assert np.allclose(got[k]["all"].base, own.base) and np.allclose(got[k]["all"].predict(x), own.predict(x), atol=1e-6)
+    in_task = B.fit_folds(df.where("cell_id < 150"), [0], {"all": (range(4), "cell_type")}, g=g)[0]["all"]
+    assert len(in_task.rounds)

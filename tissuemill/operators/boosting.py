@@ -1,8 +1,8 @@
 """Gradient-boosted trees over histograms, multiclass or binary, with class weights and early stopping.
 
-Fitted in numpy on at most `most_rows` training rows (the documented bound, taken by a hash of the key), each model by a
-task of its own, so those of all folds are fitted side by side; scored in Arrow batches against a broadcast model. Beyond the bound the sample stands for the rest;
-boosting_passes.fit_passes grows the same trees over every row.
+Fitted on every training row. Up to IN_TASK rows a model is fitted in numpy by a task of its own, so those of all folds are
+fitted side by side; beyond, boosting_passes.fit_passes grows the trees over rows that stay where they are. Scored in Arrow batches
+against a broadcast model. Only a caller who gives `most_rows` has models of a sample.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-MOST_ROWS = 200_000
+#: Rows that a task may hold to fit a model.
+IN_TASK = 200_000
 
 
 class Growth(NamedTuple):
@@ -191,23 +192,29 @@ def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows
 
 
-def fit_rows(train: DataFrame, classes: Sequence[int], label: str = "cell_type", key: str = "cell_id", most_rows: int = MOST_ROWS, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()) -> Boosted:
+def fit_rows(train: DataFrame, classes: Sequence[int], label: str = "cell_type", key: str = "cell_id", most_rows: int | None = None, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()) -> Boosted:
     """fit on the rows of train (key, f, label), classes weighted; every valid_share-th row by a hash of its key tells when to stop."""
     whole = train.withColumn("fold", F.lit(-1))
     return fit_folds(whole, [0], {"": (classes, label)}, key, most_rows, valid_share, most_weight, g)[0][""]
 
 
 def fit_folds(
-    train: DataFrame, folds: Sequence[int], wanted: dict[str, tuple[Sequence[int], str]], key: str = "cell_id", most_rows: int = MOST_ROWS, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()
+    train: DataFrame, folds: Sequence[int], wanted: dict[str, tuple[Sequence[int], str]], key: str = "cell_id", most_rows: int | None = None, valid_share: int = 8, most_weight: float = 5.0, g: Growth = Growth()
 ) -> dict[int, dict[str, Boosted]]:
-    """fit for each fold, on the rows of train (key, f, fold, labels) of the others, and each of the wanted models (classes,
-    label). Every model is fitted by a task that holds its rows, at most most_rows."""
+    """fit for each fold, on all rows of train (key, f, fold, labels) of the others, and each of the wanted models (classes,
+    label). Every model is fitted by a task that holds its rows, or in passes if some fold leaves more than IN_TASK of them.
+    With most_rows, the first by a hash of the key stand for all."""
     spark = train.sparkSession
+    if most_rows is None:
+        sizes = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}  # folds
+        if any(sum(sizes.values()) - sizes.get(k, 0) > IN_TASK for k in folds):
+            return fit_folds_in_passes(train, folds, wanted, key, valid_share, most_weight, g)
     ship(spark)
     order = F.xxhash64(key)
     kinds, parts = list(wanted), []
     for k in folds:
-        rows = bounded(train.where(F.col("fold") != k), key, most_rows)
+        rows = train.where(F.col("fold") != k)
+        rows = rows if most_rows is None else bounded(rows, key, most_rows)
         labels = F.array(*(F.struct(F.lit(i).alias("of"), F.col(label).cast("long").alias("y")) for i, (_, label) in enumerate(wanted.values())))
         parts.append(rows.select(F.lit(k).alias("fold"), F.col(key).cast("long").alias("key"), order.alias("order"), "f", F.inline(labels)))
     every = parts[0]
@@ -239,6 +246,21 @@ def fit_folds(
     return found
 
 
+def fit_folds_in_passes(
+    train: DataFrame, folds: Sequence[int], wanted: dict[str, tuple[Sequence[int], str]], key: str, valid_share: int, most_weight: float, g: Growth
+) -> dict[int, dict[str, Boosted]]:
+    """The models of fit_folds, grown over every row by tasks that hold sums only; the folds of a model in the same passes."""
+    from .boosting_passes import fit_passes
+
+    numbers = F.create_map(*(F.lit(x) for pair in zip(folds, range(len(folds)), strict=True) for x in pair))
+    numbered = train.withColumn("fold", F.coalesce(F.try_element_at(numbers, F.col("fold")), F.lit(len(folds))))  # the last is left out by none
+    found: dict[int, dict[str, Boosted]] = {k: {} for k in folds}
+    for name, (classes, label) in wanted.items():
+        for k, model in zip(folds, fit_passes(numbered, list(classes), label, key, len(folds), valid_share, most_weight, g), strict=True):
+            found[k][name] = model
+    return found
+
+
 def with_probabilities(df: DataFrame, models: dict[str, Boosted]) -> DataFrame:
     """df (with f) and a column of class probabilities for each model."""
     ship(df.sparkSession)
