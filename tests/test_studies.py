@@ -131,3 +131,53 @@ def test_ensemble(tables):
         S.fold_predictions(train, test, "stratified", 2, ["forest"])
     with pytest.raises(ValueError):
         C.folds(train, "other", "cell_type", "grp", "cell_id")
+
+
+def test_embeddings_store_no_row_as_wide_as_the_genes(spark, monkeypatch):
+    """What the embeddings write has vectors of components only, and a row for each batch in place of its cells of zeros."""
+    from pyspark.sql import functions as F
+
+    cells, expr = study(spark)
+    expr = expr.where("cell_id < 30 or gene >= 6")  # half of the cells lack the markers
+    steps, plain, widest, heaviest = E.Steps(markers=2, variable=4, components=2, least_cells=10), E.staged, [], []
+
+    def looked_at(df):
+        out = plain(df)
+        if "f" in out.columns:
+            widest.append(out.agg(F.max(F.size("f"))).first()[0])
+        if "weight" in out.columns:
+            heaviest.append((out.count(), out.agg(F.sum("weight")).first()[0]))
+        return out
+
+    monkeypatch.setattr(E, "staged", looked_at)
+    z = {r.cell_id: r.z for r in E.joint_embedding(expr, cells, E.Steps(markers=4, variable=4, components=2, batch=("sample",))).collect()}
+    assert len(z) == 60 and np.isfinite(np.array(list(z.values()))).all()
+    assert len(E.strata_embedding(expr, cells, ("chemo",), steps).collect()) == 60
+    assert widest and max(widest) <= 2 and heaviest and {n for _, n in heaviest} == {60} and min(rows for rows, _ in heaviest) < 60
+    for embedded in (E.joint_embedding(expr, cells, steps._replace(winsor=0.51)), E.strata_embedding(expr, cells, ("chemo",), steps._replace(winsor=0.51))):
+        assert embedded.count() == 60  # the cut leaves zeros in most genes
+    assert max(widest) <= 2
+
+
+def test_a_row_of_a_weight_counts_as_so_many_rows(spark):
+    """Sparse vectors, and Harmony on rows with weights, against the rows written out."""
+    from pyspark.sql import functions as F
+
+    from tissuemill.operators import keyed as K
+    from tissuemill.operators import models as M
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (40, 3)) + np.repeat([[3, 0, 0], [0, 3, 0]], 20, axis=0)
+    rows = [(i, f"b{i % 2}", [float(v) for v in r]) for i, r in enumerate(x)]
+    many = [(100 + i, f"b{i % 2}", [1.0, 1.0, 0.0]) for i in range(50)]
+    schema = "cell_id long, batch string, f array<double>"
+    every = M.harmony(spark.createDataFrame(rows + many, schema), "f", "batch", clusters=2, rounds=3, tolerance=0.0).collect()
+    held = [(*r, 1) for r in rows] + [(100 + i, f"b{i}", [1.0, 1.0, 0.0], 25) for i in range(2)]
+    got = M.harmony(spark.createDataFrame(held, schema + ", weight long"), "f", "batch", clusters=2, rounds=3, tolerance=0.0, weight="weight").collect()
+    want = {r.cell_id: r.f for r in every}
+    assert len(got) == 42 and all(np.allclose(r.f, want[r.cell_id], atol=1e-9) for r in got)
+    y = x * (rng.random(x.shape) < 0.5)
+    listed = spark.createDataFrame([(i, "a", [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]], [float(v) for v in r]) for i, r in enumerate(y)], "cell_id long, level string, i array<int>, v array<double>, f array<double>")
+    thin, _, none = K.pca_by_with_zeros(listed.drop("f"), "level", K.Sparse({"a": 3}), 2, {"a": 7})
+    wide, _, want_none = K.pca_by_with_zeros(listed.drop("i", "v"), "level", "f", 2, {"a": 7})
+    assert np.allclose(none["a"], want_none["a"]) and np.allclose(*([r.f for r in d.orderBy("cell_id").select(F.col("f")).collect()] for d in (thin, wide)))

@@ -13,19 +13,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from ..sources.files import staged
 
 ROWS = 2048
-SUMS = "key string, i int, row array<double>"
+SUMS = "key string, i int, row binary"
 #: Rounds after which the corrected vectors are written anew, so that no row replays more.
 REPLAY = 3
 
 
-def by_key(batch: pa.RecordBatch, key: str, f: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+class Sparse(NamedTuple):
+    """Vectors given by the places (column i) and values (column v) of what is not 0 in them, and the width of each group's."""
+
+    widths: dict[str, int]
+
+
+def columns_of(f: str | Sparse) -> list[str]:
+    return ["i", "v"] if isinstance(f, Sparse) else [f]
+
+
+def by_key(batch: pa.RecordBatch, key: str, f: str | Sparse) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(key, places, vectors) of each group in a batch; vectors of a group have one width."""
     keys = batch.column(key).to_numpy(zero_copy_only=False)
+    if isinstance(f, Sparse):
+        for k in dict.fromkeys(keys):
+            at = np.flatnonzero(keys == k)
+            some = batch.take(pa.array(at))
+            x = np.zeros((len(at), f.widths[k]))
+            x[np.repeat(np.arange(len(at)), some.column("i").value_lengths().to_numpy()), some.column("i").flatten().to_numpy()] = some.column("v").flatten().to_numpy()
+            yield k, at, x
+        return
     lists = batch.column(f)
     flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     for k in dict.fromkeys(keys):
@@ -34,14 +53,18 @@ def by_key(batch: pa.RecordBatch, key: str, f: str) -> Iterator[tuple[str, np.nd
         yield k, at, flat[offsets[at][:, None] + np.arange(width)]
 
 
-def replaced(batch: pa.RecordBatch, f: str, rows: list[np.ndarray]) -> pa.RecordBatch:
+def replaced(batch: pa.RecordBatch, f: str | Sparse, rows: list[np.ndarray]) -> pa.RecordBatch:
     lengths = [len(r) for r in rows]
     values = np.concatenate(rows) if rows else np.zeros(0)
-    return batch.set_column(batch.schema.get_field_index(f), f, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
+    if isinstance(f, Sparse):
+        others = [c for c in batch.schema.names if c not in columns_of(f)]
+        return pa.RecordBatch.from_arrays([*map(batch.column, others), lists], [*others, "f"])
+    return batch.set_column(batch.schema.get_field_index(f), f, lists)
 
 
-def mapped(df: DataFrame, key: str, f: str, change: Callable[[str, np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """df with f changed, group by group inside of batches."""
+def mapped(df: DataFrame, key: str, f: str | Sparse, change: Callable[[str, np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """df with f changed, group by group inside of batches; of sparse vectors a column f is made."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,19 +77,20 @@ def mapped(df: DataFrame, key: str, f: str, change: Callable[[str, np.ndarray, p
                         out[i] = row
                 yield replaced(part, f, out)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, T.StructType([*df.drop("i", "v").schema, T.StructField("f", T.ArrayType(T.DoubleType()))]) if isinstance(f, Sparse) else df.schema)
 
 
-def sums_by(df: DataFrame, key: str, f: str, start: Callable[[str, int], np.ndarray], add: Callable[[str, np.ndarray, pa.RecordBatch], np.ndarray]) -> dict[str, np.ndarray]:
-    """A matrix of sums for each group: every task adds its rows up, rows of the matrices are merged by a shuffle."""
+def sums_by(df: DataFrame, key: str, f: str | Sparse, start: Callable[[str, int], np.ndarray], add: Callable[[str, np.ndarray, pa.RecordBatch], np.ndarray]) -> dict[str, np.ndarray]:
+    """A matrix of sums for each group: every task adds its rows up, rows of the matrices are merged by a shuffle. Rows of zeros
+    are not sent, but for the last one; the driver gets bytes, not lists of numbers."""
     ship(df.sparkSession)
 
     def emitted(total: dict) -> Iterator[pa.RecordBatch]:
         held = list(total.items())
         for at in range(0, len(held), 256):
             some = held[at : at + 256]
-            rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for _, r in some]))), pa.int32()), pa.array(np.concatenate([r for _, r in some])))
-            yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in some]), pa.array([i for (_, i), _ in some], pa.int32()), rows], ["key", "i", "row"])
+            rows = pa.array([r.tobytes() for _, r in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in some], pa.string()), pa.array([i for (_, i), _ in some], pa.int32()), rows], ["key", "i", "row"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -77,28 +101,34 @@ def sums_by(df: DataFrame, key: str, f: str, start: Callable[[str, int], np.ndar
                     if k not in total:
                         total[k] = start(k, x.shape[1])
                     total[k] += add(k, x, part.take(pa.array(rows)))
-        yield from emitted({(k, i): row for k, m in total.items() for i, row in enumerate(m)})
+        yield from emitted({(k, i): row for k, m in total.items() for i, row in enumerate(m) if i == len(m) - 1 or row.any()})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for k, i, row in zip(batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("row"), strict=True):
-                total[k, i] = total.get((k, i), 0) + row.values.to_numpy(zero_copy_only=False)
+            for k, i, row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "row")), strict=True):
+                total[k, i] = total.get((k, i), 0) + np.frombuffer(row)
         yield from emitted(total)
 
-    out: dict[str, dict[int, list]] = {}
+    out: dict[str, dict[int, bytes]] = {}
     for k, i, row in df.mapInArrow(own, SUMS).repartition("key", "i").mapInArrow(merged, SUMS).collect():
         out.setdefault(k, {})[i] = row
-    return {k: np.array([rows[i] for i in sorted(rows)]) for k, rows in sorted(out.items())}
+    found = {}
+    for k, rows in sorted(out.items()):
+        last = max(rows)
+        found[k] = np.zeros((last + 1, len(rows[last]) // 8))
+        for i, row in rows.items():
+            found[k][i] = np.frombuffer(row)
+    return found
 
 
-def pca_by(df: DataFrame, key: str, f: str, k: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def pca_by(df: DataFrame, key: str, f: str | Sparse, k: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(df with each row's scores on its group's components, components by group): at most k, no more than columns or rows."""
     scored, components, _ = pca_by_with_zeros(df, key, f, k, {})
     return scored, components
 
 
-def pca_by_with_zeros(df: DataFrame, key: str, f: str, k: int, zeros: dict[str, int]) -> tuple[DataFrame, dict[str, np.ndarray], dict[str, np.ndarray]]:
+def pca_by_with_zeros(df: DataFrame, key: str, f: str | Sparse, k: int, zeros: dict[str, int]) -> tuple[DataFrame, dict[str, np.ndarray], dict[str, np.ndarray]]:
     """(scores, components, score of a row of zeros by group) of the rows of df and, in each group, rows of zeros that are not in df."""
     from .models import components_of
 
@@ -130,28 +160,33 @@ def soft(z: np.ndarray, b: np.ndarray, fit: Fit, sigma: float) -> np.ndarray:
     return r / r.sum(1, keepdims=True)
 
 
-def harmony_by(df: DataFrame, key: str, f: str, batch: str, clusters: int | None = None, rounds: int = 10, sigma: float = 0.1, theta: float = 2.0, ridge_penalty: float = 1.0, tolerance: float = 1e-4, seed: int = 0) -> DataFrame:
+def harmony_by(
+    df: DataFrame, key: str, f: str, batch: str, clusters: int | None = None, rounds: int = 10, sigma: float = 0.1, theta: float = 2.0, ridge_penalty: float = 1.0, tolerance: float = 1e-4, seed: int = 0, weight: str | None = None
+) -> DataFrame:
     """df with column f corrected inside each group: soft clusters penalised for batch imbalance, then a ridge shift for each
     cluster and batch, until a group's objective changes by less than `tolerance` of itself.
 
     By default a group has one cluster for 30 rows, 100 at most, begun by k-means on a bounded draw of its rows. Rows are
     assigned from the corrected vectors of the round before, which are written every REPLAY rounds. In each round
-    groups x clusters x batches sums of vectors are shuffled and reach the driver.
+    groups x clusters x batches sums of vectors are shuffled and reach the driver. weight: a column that tells how many rows a row
+    stands for. Equal rows are drawn as one row with their number, so no task sorts them all.
     """
     from .models import distances, k_means, unit
 
     rows = df.withColumn("_z", F.col(f))
-    sizes = {(r[0], r[1]): r["n"] for r in df.groupBy(key, batch).agg(F.count("*").alias("n")).orderBy(key, batch).collect()}
+    copies = F.col(weight) if weight else F.lit(1)
+    sizes = {(r[0], r[1]): r["n"] for r in df.groupBy(key, batch).agg(F.sum(copies).alias("n")).orderBy(key, batch).collect()}
     levels = list(dict.fromkeys(k for k, _ in sizes))
     n = {k: sum(v for (level, _), v in sizes.items() if level == k) for k in levels}
     most = {k: clusters or max(1, min(100, round(n[k] / 30))) for k in levels}
-    drawn = df.select(F.col(key).alias("_key"), F.col(f).alias("_f"), F.xxhash64(f).alias("_h"))
+    drawn = df.groupBy(F.col(key).alias("_key"), F.xxhash64(f).alias("_h"), F.col(f).alias("_f")).agg(F.sum(copies).alias("_n"))
     for salt in (F.pmod("_h", F.lit(64)), F.lit(0)):
-        drawn = drawn.withColumn("_row", F.row_number().over(Window.partitionBy("_key", salt).orderBy("_h", "_f"))).where(F.col("_row") <= 50 * max(most.values(), default=1))
+        ahead = Window.partitionBy("_key", salt).orderBy("_h", "_f").rowsBetween(Window.unboundedPreceding, -1)
+        drawn = drawn.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where(F.col("_ahead") < 50 * max(most.values(), default=1))
     starts: dict[str, list] = {}
-    for r in drawn.orderBy("_key", "_row").collect():
-        if r["_row"] <= 50 * most[r["_key"]]:
-            starts.setdefault(r["_key"], []).append(r["_f"])
+    for r in drawn.orderBy("_key", "_ahead").collect():
+        held = starts.setdefault(r["_key"], [])
+        held += [r["_f"]] * min(r["_n"], 50 * most[r["_key"]] - len(held))
     fits = {}
     for k in levels:
         centres = k_means(np.array(starts[k], float), most[k], seed)
@@ -184,7 +219,9 @@ def harmony_by(df: DataFrame, key: str, f: str, batch: str, clusters: int | None
                 return total
             b, z = now(k, x, other(part, "_z", width), part, history)
             r = soft(z, b, told[k], sigma)
-            total[-1, 0] = (r * distances(z, told[k].centres)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum()
+            w = part.column(weight).to_numpy()[:, None] if weight else 1
+            total[-1, 0] = (w * r * distances(z, told[k].centres)).sum() + sigma * (w * r * np.log(np.maximum(r, 1e-12))).sum()
+            r = w * r
             for i in np.unique(b):
                 total[i * c : (i + 1) * c] = r[b == i].T @ np.column_stack((x[b == i], unit(z[b == i]), np.ones((b == i).sum())))
             return total

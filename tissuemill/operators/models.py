@@ -339,7 +339,7 @@ def components_of(n: float, s: np.ndarray, xx: np.ndarray, k: int) -> tuple[np.n
 WIDE = 1024
 
 
-def merged_qr(df: DataFrame, f: str, change, more: np.ndarray | None = None) -> np.ndarray:
+def merged_qr(df: DataFrame, f: str | K.Sparse, change, more: np.ndarray | None = None) -> np.ndarray:
     """R of the QR decomposition of all rows change(f): every task decomposes its own, the triangles are merged in two levels."""
     ship(df.sparkSession)
 
@@ -353,8 +353,9 @@ def merged_qr(df: DataFrame, f: str, change, more: np.ndarray | None = None) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                z = change(part.column(f).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                held = np.linalg.qr(np.vstack((held, z)) if held.size else z, mode="r")
+                for _, _, x in K.by_key(part, "_all", f):
+                    z = change(x)
+                    held = np.linalg.qr(np.vstack((held, z)) if held.size else z, mode="r")
         yield from triangle(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,18 +367,18 @@ def merged_qr(df: DataFrame, f: str, change, more: np.ndarray | None = None) ->
         yield from triangle(held)
 
     schema = "part int, width int, r binary"
-    parts = df.select(f).mapInArrow(own, schema).withColumn("part", F.spark_partition_id())
+    parts = df.select(F.lit("").alias("_all"), *K.columns_of(f)).mapInArrow(own, schema).withColumn("part", F.spark_partition_id())
     rows = parts.repartition(F.floor(F.sqrt("part"))).mapInArrow(merge, schema).collect()  # about the root of the number of tasks
     return np.linalg.qr(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in rows] + ([] if more is None else [more])), mode="r")
 
 
-def wide_components(df: DataFrame, f: str, width: int, k: int, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0, zeros: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def wide_components(df: DataFrame, f: str | K.Sparse, width: int, k: int, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0, zeros: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(components k x width, mean) of wide rows, and of as many rows of zeros beside them, by a randomised range finder with subspace iteration.
 
     A task emits width x (k + extra) numbers a round, not width^2. Rounds end when the first k directions turn by less than
     `tolerance`. The last pass takes the rotation and the order of the components from the merged QR of the projected rows.
     """
-    everything = df.select(f).withColumn("_all", F.lit(""))
+    everything = df.select(*K.columns_of(f)).withColumn("_all", F.lit(""))
     first = K.sums_by(everything, "_all", f, lambda _, w: np.zeros((1, w + 1)), lambda _, x, __: np.append(x.sum(0), len(x))[None])
     if not first:
         return np.zeros((0, width)), np.zeros(width)
@@ -408,10 +409,14 @@ def pca(df: DataFrame, f: str, width: int, k: int) -> tuple[DataFrame, np.ndarra
     return scored, components
 
 
-def pca_with_zeros(df: DataFrame, f: str, width: int, k: int, zeros: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(scores, components, score of a row of zeros) of the rows of df and as many rows of zeros, which are not in df."""
+def pca_with_zeros(df: DataFrame, f: str | K.Sparse, width: int, k: int, zeros: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(scores, components, score of a row of zeros) of the rows of df and as many rows of zeros, which are not in df; sparse
+    vectors have the group ""."""
     if width > WIDE:
         components, mean = wide_components(df, f, width, k, zeros=zeros)
+    elif isinstance(f, K.Sparse):
+        scored, components, none = K.pca_by_with_zeros(df.withColumn("_all", F.lit("")), "_all", f, k, {"": zeros})
+        return scored.drop("_all"), components[""], none[""]
     else:
         n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
         components, mean = components_of(n + zeros, s, xx, k)
