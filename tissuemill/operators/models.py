@@ -415,8 +415,13 @@ def pca_with_zeros(df: DataFrame, f: str | K.Sparse, width: int, k: int, zeros:
     if width > WIDE:
         components, mean = wide_components(df, f, width, k, zeros=zeros)
     elif isinstance(f, K.Sparse):
-        scored, components, none = K.pca_by_with_zeros(df.withColumn("_all", F.lit("")), "_all", f, k, {"": zeros})
-        return scored.drop("_all"), components[""], none[""]
+
+        def products(_: str, x: np.ndarray, __: pa.RecordBatch) -> np.ndarray:
+            z = np.hstack((np.ones((len(x), 1)), x))
+            return (z * np.ones((len(z), 1))).T @ z  # to the bit as gram has it: what is drawn by a hash of the scores stays the same
+
+        m = K.sums_by(df.withColumn("_all", F.lit("")), "_all", f, lambda _, w: np.zeros((w + 1, w + 1)), products)[""]
+        components, mean = components_of(m[0, 0] + zeros, m[0, 1:], m[1:, 1:], k)
     else:
         n, s, _, xx, _ = moments(df, f, width, F.array().cast("array<double>"), 0, F.lit(1.0))
         components, mean = components_of(n + zeros, s, xx, k)
