@@ -181,3 +181,23 @@ def test_a_row_of_a_weight_counts_as_so_many_rows(spark):
     thin, _, none = K.pca_by_with_zeros(listed.drop("f"), "level", K.Sparse({"a": 3}), 2, {"a": 7})
     wide, _, want_none = K.pca_by_with_zeros(listed.drop("i", "v"), "level", "f", 2, {"a": 7})
     assert np.allclose(none["a"], want_none["a"]) and np.allclose(*([r.f for r in d.orderBy("cell_id").select(F.col("f")).collect()] for d in (thin, wide)))
+
+
+def test_sparse_rows_have_the_components_of_the_written_out_matrix(spark, monkeypatch):
+    """Both ways of joint components, by sums and by the range finder, against svd with the rows of zeros."""
+    from tissuemill.operators import keyed as K
+    from tissuemill.operators import models as M
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (80, 6)) * [9, 6, 4, 1, 0.5, 0.2] * (rng.random((80, 6)) < 0.7)
+    df = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)], "cell_id long, i array<int>, v array<double>").repartition(3)
+    whole = np.vstack((x, np.zeros((20, 6))))
+    centred = whole - whole.mean(0)
+    vt = np.linalg.svd(centred, full_matrices=False)[2][:3]
+    vt *= np.sign(vt[np.arange(3), np.abs(vt).argmax(1)])[:, None]
+    for wide in (1024, 2):
+        monkeypatch.setattr(M, "WIDE", wide)
+        scores, components, none = M.pca_with_zeros(df, K.Sparse({"": 6}), 6, 3, 20)
+        got = np.array([r.f for r in scores.orderBy("cell_id").collect()])
+        assert scores.columns == ["cell_id", "f"] and np.allclose(components, vt, atol=1e-6)
+        assert np.allclose(got, centred[:80] @ vt.T, atol=1e-6) and np.allclose(none, centred[-1] @ vt.T, atol=1e-6)
